@@ -1,9 +1,10 @@
 """The corpus queries and their SQL, for the repository's entry module."""
 
-from vaultmill.llm import mix, shard, simhash
+from vaultmill.llm import mix, repeats, shard, simhash
 
 QUERIES = {
     "op1_source_mix": mix.op1_source_mix,
+    "op4_repeated_substrings": repeats.op4_repeated_substrings,
     "op6_simhash_components": simhash.op6_simhash_components,
     "op7_ring_shards": shard.op7_ring_shards,
 }
