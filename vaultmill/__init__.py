@@ -1 +1,10 @@
-"""Hybrid retrieval and corpus preparation on Spark."""
+"""Hybrid retrieval and corpus preparation on Spark.
+
+Functions of this package travel to Python workers by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
