@@ -1,11 +1,12 @@
 """The corpus queries and their SQL, for the repository's entry module."""
 
-from vaultmill.llm import mix, repeats, shard, simhash
+from vaultmill.llm import grid, mix, repeats, shard, simhash
 
 QUERIES = {
     "op1_source_mix": mix.op1_source_mix,
     "op4_repeated_substrings": repeats.op4_repeated_substrings,
     "op6_simhash_components": simhash.op6_simhash_components,
     "op7_ring_shards": shard.op7_ring_shards,
+    "op10_grid_order_join": grid.op10_grid_order_join,
 }
-SQL = {"op1_source_mix": mix.OP1_SQL}
+SQL = {"op1_source_mix": mix.OP1_SQL, "op10_grid_order_join": grid.OP10_SQL}
