@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultmill.llm.common import cut, row_id, shuffle_width, table, text_hash
+from vaultmill.llm.common import LAST_ID, cut, row_id, shuffle_width, table, text_hash
 from vaultmill.llm.lyndon import suffix_array
 
 LEAST, PIECE, HOT = 100, 32, 4096
@@ -328,8 +328,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     width = shuffle_width(spark)
     buckets = width * BUCKETS
     text = docs[f"`{text_col}`"].cast("string")
-    src = docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), row_id(docs[f"`{id_col}`"]).alias("did"), text_hash(text).cast("string").alias("t"), F.coalesce(text, F.lit("")).cast("binary").alias("data"))
-    src = src.withColumn("tie", F.hash("t")).select("doc_id", "did", "tie", "data")
+    src = docs.select(row_id(docs[f"`{id_col}`"]).alias("did"), text_hash(text).cast("string").alias("t"), F.coalesce(text, F.lit("")).cast("binary").alias("data"))
+    # both joins below read these very columns, so that they share one shuffle of the texts
+    src = src.select("did", F.hash("t").alias("tie"), "data")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -444,13 +445,13 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     two, three = "bucket long, a binary, b binary", "bucket long, a binary, b binary, c binary"
     doc_rows = "did long, tie int, gone binary, open binary"
-    found = src.select("did", "tie", "data").mapInArrow(find, two).repartition(width, "bucket").mapInArrow(group, two)
+    found = src.mapInArrow(find, two).repartition(width, "bucket").mapInArrow(group, two)
     first = cut(found.repartition(width, "bucket").mapInArrow(per_document, doc_rows))
     unsettled = src.join(first.where(F.octet_length("open") > 0).select("did", "tie", "open"), ["did", "tie"]).select("did", "tie", "data", "open")
     second = unsettled.mapInArrow(fetch, three).repartition(width, "bucket").mapInArrow(sort, two)
     second = second.repartition(width, "bucket").mapInArrow(per_document, doc_rows).select("did", "tie", F.col("gone").alias("gone2"))
     j = src.join(first.select("did", "tie", "gone"), ["did", "tie"], "left").join(second, ["did", "tie"], "left")
-    return j.select("doc_id", "data", "gone", "gone2").mapInArrow(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return j.select(F.when(F.col("did") < LAST_ID, F.col("did")).alias("doc_id"), "data", "gone", "gone2").mapInArrow(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
