@@ -208,7 +208,8 @@ def classes(prints: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     rows = cut(docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), simhash(docs[f"`{text_col}`"].cast("string")).alias("fp")))
-    best = classes(rows.groupBy("fp").agg(F.min(row_id(F.col("doc_id"))).alias("rep")))
+    # written out, so that the join below deals both sides anew and a hot fingerprint's rows can be split
+    best = cut(classes(rows.groupBy("fp").agg(F.min(row_id(F.col("doc_id"))).alias("rep"))))
     return rows.join(best, "fp").select("doc_id", "fp", F.when(F.col("best") < LAST_ID, F.col("best")).alias("component_id"))
 
 
