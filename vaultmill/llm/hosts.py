@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from vaultmill.llm.common import cut, fresh, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, ROUNDS, TOL, THRESHOLD = 0.85, 40, 1e-9, 1.0
+DAMPING, ROUNDS, TOL, THRESHOLD = 0.85, 80, 1e-8, 1.0
 HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 
 

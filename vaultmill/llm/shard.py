@@ -109,7 +109,7 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     runs = spark.createDataFrame(deal(counts, shards, vnodes, cell_bits), "__c int, __a long, __b long, __s int, __o long")
     text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
     d = docs.select("*", (F.octet_length(text).cast("long") + 16).alias(n["size"]), F.crc32(text.cast("binary")).alias(n["text_crc32"]), F.lit("rows").alias(n["law"]), at.alias(n["at"]), cell.alias(n["cell"]))
-    order = W.partitionBy(n["cell"]).orderBy(n["at"], F.col(f"`{id_col}`").asc_nulls_last(), n["size"], n["text_crc32"])
+    order = W.partitionBy(n["cell"]).orderBy(n["at"], F.col(f"`{id_col}`").asc_nulls_last(), n["size"], n["text_crc32"], F.col(f"`{text_col}`").isNull())
     d = d.withColumn(n["rank"], F.row_number().over(order).cast("long") - 1)
     j = d.join(F.broadcast(runs), (d[n["cell"]] == runs["__c"]) & (d[n["rank"]] >= runs["__a"]) & (d[n["rank"]] <= runs["__b"]))
     out = j.withColumn(n["shard"], F.col("__s")).withColumn(n["slot"], F.col("__o") + F.col(n["rank"]) - F.col("__a")).withColumn(n["grown_shard"], F.lit(None).cast("int"))
