@@ -1,14 +1,18 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters and digits in lower case. Test items give n-grams of five words (an item
-of fewer words is one n-gram). A first pass over all documents counts, for these n-grams only, in
-how many documents each occurs. Of every eight n-grams in a row of an item the rarest becomes a
-seed, so any twelve unedited words of an item hold one, however common the item is in the corpus.
-A second pass joins documents to items on the seeds; each stretch of a document that hits lead to is
-aligned with the whole item (match 1, mismatch and gap -1, local). With best score S for an item of
-L words the similarity is (S + L) / 2L: the share of words left when some are replaced. A document
-with similarity ``LEAST`` or more to an item is contaminated. Stretches never limit the number of
-hits, items or documents.
+Words are runs of letters and digits in lower case. A document is contaminated by a test item of L
+words if their local alignment (match 1, mismatch and gap -1) has a score S with similarity
+(S + L) / 2L >= ``LEAST``; where words are replaced that is the share of words left.
+
+Such an alignment has at most B = 2 (1 - LEAST) L losses to spend: 1 for an item word left out at an
+end or a word put in, 2 for a word replaced or dropped. No loss costs more than two of the item's
+L - 2 n-grams of three words per unit, so at least L - 2 - 2B of them occur in the document, and of
+any 2B + 1 at least one does. A first pass over all documents counts in how many each n-gram of the
+benchmark occurs; the 2B + 1 rarest of each item become its seeds. A second pass joins documents to
+items on the n-grams and keeps pairs with a seed and with as many n-grams as must be left, first
+for the document, then for each stretch of it; only these are aligned. For items of more than 10
+words this finds every contaminated document, however common the item is; shorter items need one
+n-gram in common (all words, if they have fewer than three). Nothing limits hits, items or documents.
 
 Test items go to the executors in slices of at most ``SLICE`` bytes of text, a proven bound; a
 larger benchmark takes more passes. Documents are never shuffled.
@@ -31,11 +35,11 @@ from pyspark.sql import types as T
 
 from vaultmill.llm.common import table
 
-GRAM, STRIDE, LEAST, SLICE = 5, 8, 0.8, 4 << 20
+GRAM, LEAST, SLICE = 3, 0.8, 4 << 20
 WORDS = re.compile(r"\w+")
 CHUNK = 200_000  # words looked up at once
 U = np.uint64
-MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def codes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -64,9 +68,28 @@ class Items:
             if w:
                 self.ids.append(i)
                 self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64))
-        self.grams = [codes(w, min(GRAM, len(w))) for w in self.words]
+        n = np.array([len(w) for w in self.words], np.int64)
+        grams = [codes(w, min(GRAM, len(w))) for w in self.words]
         self.sizes = sorted({min(GRAM, len(w)) for w in self.words})
-        self.lookup = np.unique(np.concatenate([*self.grams, np.zeros(0, U)]))
+        code = np.concatenate([*grams, np.zeros(0, U)])
+        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
+        order = np.argsort(code, kind="stable")
+        self.lookup, first, times = np.unique(code[order], return_index=True, return_counts=True)
+        self.first, self.times = first, times
+        self.item, self.offset = item[order], offset[order]  # where the n-gram with number k stands: first[k], times[k]
+        lost = np.floor(4 * (1 - LEAST) * n + 1e-9).astype(np.int64)
+        self.need = np.maximum(1, n - GRAM + 1 - lost)
+        self.seeds = lost + 1
+        self.rare = np.ones(len(code), bool)
+
+    def choose(self, count: np.ndarray) -> None:
+        """Marks the seeds: the rarest n-grams of each item, by documents that hold them."""
+        often = np.repeat(count, self.times)
+        order = np.lexsort((self.offset, often, self.item))
+        item = self.item[order]
+        rank = np.arange(len(item)) - np.searchsorted(item, item)
+        self.rare[order] = rank < self.seeds[item]
 
     @classmethod
     def held(cls, shared: Broadcast) -> Items:
@@ -75,19 +98,8 @@ class Items:
         out.__dict__ = shared.value
         return out
 
-    def choose(self, count: dict[int, int]) -> None:
-        """Keeps the rarest of every STRIDE n-grams in a row."""
-        where: dict[int, list[tuple[int, int]]] = {}
-        for k, g in enumerate(self.grams):
-            rank = [(count.get(x, 0), x) for x in g.tolist()]
-            seeds = {min(range(i, min(i + STRIDE, len(rank))), key=rank.__getitem__) for i in range(max(1, len(rank) - STRIDE + 1))}
-            for i in sorted(seeds):
-                where.setdefault(rank[i][1], []).append((k, i))
-        self.where, self.grams = where, []
-        self.lookup = np.array(sorted(where), U)
-
     def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions, codes) of n-grams that are looked up."""
+        """(positions, numbers) of the benchmark's n-grams among the words."""
         for n in self.sizes:
             c = codes(ids, n)
             at = np.flatnonzero(c)
@@ -95,7 +107,7 @@ class Items:
             i = np.searchsorted(self.lookup, x)
             i[i == len(self.lookup)] = 0
             ok = self.lookup[i] == x
-            yield at[ok], x[ok]
+            yield at[ok], i[ok]
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray]]:
         """(first word of each document and the end, word ids), an unknown word after each document."""
@@ -114,33 +126,48 @@ class Items:
         if ids:
             yield starts, np.array(ids, np.int64)
 
+    def pairs(self, starts: list[int], ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(document, item, positions, offsets in the item) of pairs that share a seed and enough n-grams."""
+        at, k = (np.concatenate(x) for x in zip(*self.hits(ids)))
+        n = self.times[k]
+        slot = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(at, n)
+        item, off, rare = self.item[slot], self.offset[slot], self.rare[slot]
+        doc = np.searchsorted(starts, at, side="right") - 1
+        pair = doc * len(self.words) + item
+        order = np.lexsort((off, pair))
+        pair, at, off, rare = pair[order], at[order], off[order], rare[order]
+        if not len(pair):
+            return
+        head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        distinct = np.concatenate([[True], (pair[1:] != pair[:-1]) | (off[1:] != off[:-1])])
+        enough = np.add.reduceat(distinct.astype(np.int64), head) >= self.need[pair[head] % len(self.words)]
+        stop = np.append(head[1:], len(pair))
+        for i in np.flatnonzero(enough & np.logical_or.reduceat(rare, head)).tolist():
+            w = slice(head[i], stop[i])
+            yield int(pair[head[i]]) // len(self.words), int(pair[head[i]]) % len(self.words), at[w], off[w]
+
     def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """(document's place, item, similarity, first word, end) of every contaminated stretch."""
         base = 0
         for starts, ids in self.chunks(texts):
-            found: dict[tuple[int, int], list[int]] = {}
-            for at, x in self.hits(ids):
-                docs = np.searchsorted(starts, at, side="right") - 1
-                for p, d, c in zip(at.tolist(), docs.tolist(), x.tolist()):
-                    for k, i in self.where[c]:
-                        found.setdefault((d, k), []).append(p - i)
-            for (d, k), diagonals in sorted(found.items()):
+            for d, k, at, off in self.pairs(starts, ids):
                 item = self.words[k]
                 slack = max(4, len(item) // 2)
                 lo, end = starts[d], starts[d + 1] - 1
-                a = b = -1
+                diagonal = at - off
+                order = np.argsort(diagonal, kind="stable")
+                diagonal, off = diagonal[order], off[order]
+                cuts = np.flatnonzero(np.diff(diagonal) > len(item) + 2 * slack) + 1
                 best: tuple[float, int, int] | None = None
-                for g in [*sorted(set(diagonals)), None]:
-                    if g is not None and a >= 0 and g - slack <= b:
-                        b = max(b, min(end, g + len(item) + slack))
+                for g, o in zip(np.split(diagonal, cuts), np.split(off, cuts)):
+                    if len(np.unique(o)) < self.need[k]:
                         continue
-                    if a >= 0:
-                        s, e, score = align(item, ids[a:b])
-                        sim = (score + len(item)) / (2 * len(item))
-                        if sim >= LEAST and (best is None or sim > best[0]):
-                            best = (sim, a + s - lo, a + e - lo)
-                    if g is not None:
-                        a, b = max(lo, g - slack), min(end, g + len(item) + slack)
+                    a, b = max(lo, int(g[0]) - slack), min(end, int(g[-1]) + len(item) + slack)
+                    s, e, score = align(item, ids[a:b])
+                    sim = (score + len(item)) / (2 * len(item))
+                    if sim >= LEAST and (best is None or sim > best[0]):
+                        best = (sim, a + s - lo, a + e - lo)
                 if best is not None:
                     yield base + d, self.ids[k], *best
             base += len(starts) - 1
@@ -203,15 +230,17 @@ def prepared(docs: DataFrame, bench: DataFrame) -> Iterator[Items]:
             n = np.zeros(len(it.lookup), np.int64)
             for b in batches:
                 for starts, ids in it.chunks(b.column(0)):
-                    for at, x in it.hits(ids):
-                        pair = np.unique(np.stack([np.searchsorted(starts, at, side="right"), np.searchsorted(it.lookup, x)], 1), axis=0)
-                        np.add.at(n, pair[:, 1], 1)
+                    for at, k in it.hits(ids):
+                        pair = np.unique(np.searchsorted(starts, at, side="right") * len(n) + k)
+                        np.add.at(n, pair % len(n), 1)
             k = np.flatnonzero(n)
             yield pa.record_batch([pa.array(k), pa.array(n[k])], ["gram", "n"])
 
         got = docs.select(docs["text"].cast("string")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        known = items.lookup.tolist()
-        items.choose({known[r["gram"]]: r["n"] for r in got.toLocalIterator()})  # n-grams of the slice at most
+        held = np.zeros(len(items.lookup), np.int64)
+        for r in got.toLocalIterator():  # n-grams of the slice at most
+            held[r["gram"]] = r["n"]
+        items.choose(held)
         yield items
 
 
