@@ -133,11 +133,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     n = names
     sid, src = docs[f"`{id_col}`"], docs[f"`{source_col}`"]
     spread = sid if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(sid)
-    d = docs.select(
-        "*", word_count(docs[f"`{text_col}`"]).alias(n["size"]),
-        F.when(src.isNull(), "n").otherwise(F.concat(F.lit("s"), src.cast("string"))).alias(n["key"]),
-        F.pmod(F.coalesce(F.pmod(spread, F.lit(SALTS)), F.lit(0)) + word_count(docs[f"`{text_col}`"]), F.lit(SALTS)).cast("int").alias(n["salt"]),
-    )
+    # the words are counted once: a column used twice is not computed again above this projection
+    d = docs.select("*", word_count(docs[f"`{text_col}`"]).alias(n["size"]), F.when(src.isNull(), "n").otherwise(F.concat(F.lit("s"), src.cast("string"))).alias(n["key"]))
+    d = d.withColumn(n["salt"], F.pmod(F.coalesce(F.pmod(spread, F.lit(SALTS)), F.lit(0)) + F.col(n["size"]), F.lit(SALTS)).cast("int"))
     cells = cut(d.groupBy(F.col(n["key"]).alias("key"), F.col(n["size"]).alias("size"), F.col(n["salt"]).alias("salt")).agg(F.count("*").alias("n")))
     sizes = cells.groupBy("key", "size").agg(F.sum("n").alias("n"))
     totals = sizes.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("docs"))
