@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 
 from vaultmill.llm.common import cut, row_id, table, text_hash
 
-SAMPLE, BITS, ROUNDS, SALTS = 20_000, 17, 200, 32
-SEEN = 10  # sampled rows that a feature must occur in to get a weight
+SAMPLE, BITS, ROUNDS, SALTS = 20_000, 17, 120, 32
+SEEN = 20  # sampled rows that a feature must occur in to get a weight
 STEM = 4  # letters of the word beginnings that are features too
 WORDS = re.compile(r"\w+")
 MARKS = "!?#$%&*|.,;:\n"
@@ -75,46 +75,61 @@ def featured(texts: pa.Array) -> pa.Array:
     return pa.array([features(t.as_py()) for t in texts], pa.list_(pa.int32()))
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS, ridge: float = 1e-4, rate: float = 0.1) -> np.ndarray:
-    """Logistic regression on binary features by Adam over the whole sample; the last weight is the bias."""
-    out = np.zeros(WIDTH + 1)
-    if not len(rows) or not 0 < y.sum() < len(y):
+class Sample:
+    """Binary features of a bounded number of rows, row after row in one array."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        often = np.bincount(flat, minlength=WIDTH) >= SEEN
+        keep = often[flat]
+        who = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.flat, self.who, self.n = flat[keep], who[keep], len(sizes)
+        size = np.bincount(self.who, minlength=self.n)
+        self.full = np.flatnonzero(size)
+        self.starts = (np.cumsum(size) - size)[self.full]
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n, np.float32)
+        if len(self.full):
+            out[self.full] = np.add.reduceat(weights[self.flat], self.starts)
         return out
-    often = np.bincount(np.concatenate(rows), minlength=WIDTH) >= SEEN
-    rows = [r[often[r]] if often[r].any() else r for r in rows]
-    flat = np.concatenate(rows)
-    sizes = np.array([len(r) for r in rows])
-    starts, who = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(rows)), sizes)
-    m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
-    out[-1] = np.log(y.mean() / (1 - y.mean()))
-    for k in range(1, rounds + 1):
-        z = np.add.reduceat(out[flat], starts) + out[-1]
-        r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.append(np.bincount(flat, r[who], WIDTH), r.sum()) + ridge * np.append(out[:-1], 0)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        out = out - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return out
-
-
-def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+
+    def train(self, y: np.ndarray, rounds: int = ROUNDS, ridge: float = 1e-4, rate: float = 0.1) -> np.ndarray:
+        """Logistic regression by Adam over all rows with a label (y is nan elsewhere); the last weight is the bias."""
+        out = np.zeros(WIDTH + 1, np.float32)
+        known = ~np.isnan(y)
+        n, share = known.sum(), y[known].mean() if known.any() else 0
+        if not 0 < share < 1:
+            return out
+        y = np.where(known, y, 0)
+        m, v = np.zeros(WIDTH + 1, np.float32), np.zeros(WIDTH + 1, np.float32)
+        out[-1] = np.log(share / (1 - share))
+        for k in range(1, rounds + 1):
+            z = self.sums(out) + out[-1]
+            r = np.where(known, (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n, 0)
+            g = np.append(np.bincount(self.flat, r.astype(np.float32)[self.who], WIDTH), r.sum()) + ridge * np.append(out[:-1], 0)
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            out = out - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        return out.astype(np.float32)
+
+
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Sample, np.ndarray, np.ndarray]:
     """Features and labels of a bounded sample, on the driver."""
     lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     lab = lab.where("q is not null or t is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of three numbers
     got = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(lab), "doc_id").select(featured("text").alias("f"), "q", "t").toArrow()
-    rows = [r.values.to_numpy() for c in got["f"].chunks for r in c]
-    num = lambda c: np.array([np.nan if x is None else x for x in got[c].to_pylist()], float)
-    return rows, num("q"), num("t")
+    parts = [c for c in got["f"].chunks if len(c)]
+    flat = np.concatenate([c.flatten().to_numpy() for c in parts]) if parts else np.zeros(0, np.int32)
+    sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in parts]) if parts else np.zeros(0, np.int64)
+    num = lambda c: np.array([np.nan if x is None else x >= 0.5 for x in got[c].to_pylist()], float)
+    return Sample(flat, sizes), num("q"), num("t")
 
 
 def evidence(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """A column function: text -> chance that a document is of quality and not toxic."""
     rows, q, t = sampled(docs, labels, sample)
-    models = []
-    for y in (q, t):
-        ok = np.flatnonzero(~np.isnan(y))
-        models.append(train([rows[i] for i in ok], (y[ok] >= 0.5).astype(float)))
-    shared = docs.sparkSession.sparkContext.broadcast([m.astype(np.float32) for m in models])  # two vectors of fixed width
+    models = [rows.train(y) for y in (q, t)]
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # two vectors of fixed width
     silent = [not m.any() for m in models]
 
     @F.arrow_udf(T.DoubleType())
