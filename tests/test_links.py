@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vaultmill.operators.links import edges, extract, resolve
+from vaultmill.operators.links import edges, extract, resolve, resolve_with
 
 
 def links_of(spark, text):
@@ -65,3 +65,9 @@ def test_typed_edges_collapse_and_untyped_stay(spark):
     d = spark.createDataFrame([("i", "s.md", "[[a]] [[a]] [[a]] (r) [[a]] (r)")], "id string, path string, truth string")
     got = edges(d, d.select("path", F.lit("t").alias("title"))).collect()
     assert sorted((r.relationship_type or "") for r in got) == ["", "", "r"]
+
+
+def test_resolver_function(spark):
+    rows = spark.createDataFrame([("s", "a.md", 0, "x", None), ("s", "a.md", 1, "y", None)], "source_id string, source_path string, n int, label string, relationship_type string")
+    got = {r.label: r.target_path for r in resolve_with(rows, lambda label, source: f"{source}/{label}" if label == "x" else None).collect()}
+    assert got == {"x": "a.md/x", "y": None}

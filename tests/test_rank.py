@@ -35,7 +35,7 @@ def brute(rows, query):
 def test_bm25(spark, text):
     rows, df = corpus(spark)
     post, length = lexical.postings(df, "text"), lexical.lengths(df, "text")
-    got = lexical.search(post, length, lexical.stats(length), text, 20).orderBy("lexical_rank").collect()
+    got = lexical.search(post, lexical.stats(length), text, 20).orderBy("lexical_rank").collect()
     want = brute(rows, lexical.phrases(text))[:20]
     assert [r.doc_id for r in got] == [w[0] for w in want]
     assert np.allclose([r.score for r in got], [w[1] for w in want])
@@ -46,8 +46,8 @@ def test_bm25(spark, text):
 def test_refused_and_empty_queries(spark, text):
     _, df = corpus(spark)
     post, length = lexical.postings(df, "text"), lexical.lengths(df, "text")
-    assert lexical.search(post, length, lexical.stats(length), text).count() == 0
-    assert lexical.search(post, length, lexical.stats(length), "zebra", 0).count() == 0
+    assert lexical.search(post, lexical.stats(length), text).count() == 0
+    assert lexical.search(post, lexical.stats(length), "zebra", 0).count() == 0
 
 
 def test_lenient_queries():

@@ -47,7 +47,7 @@ def lexical_top(spark: SparkSession, sf_dir: str, text: str = TEXT, top_k: int =
     query = lexical.phrases(text)
     length = lexical.lengths(docs, "text")
     found = lexical.matches(term_counts(docs, sorted({t for p in query for t in p})), query)
-    return lexical.ranked(lexical.bm25(found, length, lexical.stats(length)), top_k)
+    return lexical.ranked(lexical.bm25(found, lexical.stats(length), length), top_k)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, query = corpus(spark, sf_dir), lexical.phrases(TEXT)
     length = lexical.lengths(docs, "text")
     found = lexical.matches(term_counts(docs, sorted({t for p in query for t in p})), query)
-    return lexical.bm25(found, length, lexical.stats(length)).select("doc_id", F.round("score", 9).alias("score"))
+    return lexical.bm25(found, lexical.stats(length), length).select("doc_id", F.round("score", 9).alias("score"))
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def phrase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = lexical.lengths(docs, "text")
     t = lexical.tokens(docs, "text").select("doc_id", F.posexplode("terms").alias("p", "term")).where(F.col("term").isin(*query[0]))
     post = t.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("p")).alias("positions"))
-    top = lexical.ranked(lexical.bm25(lexical.matches(post, query), length, lexical.stats(length)), TOP)
+    top = lexical.ranked(lexical.bm25(lexical.matches(post, query), lexical.stats(length), length), TOP)
     return top.select("doc_id", "lexical_rank", F.round("score", 9).alias("score"))
 
 

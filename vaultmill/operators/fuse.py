@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RRF_K = 60
+RRF_K = 60  # fixed value
 
 
 def signal() -> Column:

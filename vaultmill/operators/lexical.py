@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vaultmill.functions.text import REFUSED, query_tokens, terms, terms_of
 
+# fixed values of the ranking function
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
@@ -23,13 +24,20 @@ def tokens(docs: DataFrame, *columns: str, id_col: str = "id") -> DataFrame:
 
 
 def postings(docs: DataFrame, *columns: str, id_col: str = "id") -> DataFrame:
-    """(doc_id, term, tf, positions). Positions of different columns never adjoin."""
+    """(doc_id, term, tf, positions, n_tokens). Positions of different columns never adjoin.
+
+    Each row carries its document's length, so a stored index ranks without a join.
+    """
+    parts = [terms(F.coalesce(F.col(c), F.lit(""))) for c in columns]
+    d = docs.select(F.col(id_col).alias("doc_id"), *[p.alias(f"t{k}") for k, p in enumerate(parts)])
+    n = sum((F.size(f"t{k}") for k in range(1, len(parts))), F.size("t0"))
     out = None
-    for k, c in enumerate(columns):
-        part = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(terms(F.coalesce(F.col(c), F.lit("")))).alias("p", "term"))
+    for k in range(len(parts)):
+        part = d.select("doc_id", n.alias("n_tokens"), F.posexplode(f"t{k}").alias("p", "term"))
         part = part.withColumn("p", F.col("p") + k * (1 << 29))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("p")).alias("positions"))
+    rows = out.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("p")).alias("positions"), F.max("n_tokens").alias("n_tokens"))
+    return rows.select("doc_id", "term", "tf", "positions", "n_tokens")
 
 
 def lengths(docs: DataFrame, *columns: str, id_col: str = "id") -> DataFrame:
@@ -62,35 +70,38 @@ def shifted(k: int):
 
 
 def matches(posts: DataFrame, query: list[list[str]]) -> DataFrame:
-    """(q, doc_id, tf): how often each phrase of the query occurs in each document."""
+    """(q, doc_id, tf and, where the postings have it, n_tokens): how often each phrase occurs in each document."""
     spark = posts.sparkSession
+    more = ["n_tokens"] if "n_tokens" in posts.columns else []
     single = {t for p in query if len(p) == 1 for t in p}
     out = None
     if single:
         wanted = spark.createDataFrame([(i, p[0]) for i, p in enumerate(query) if len(p) == 1], "q int, term string")
         # the terms also stand in a filter, which reaches the scan of the postings
-        out = posts.where(F.col("term").isin(*single)).join(F.broadcast(wanted), "term").select("q", "doc_id", "tf")
+        out = posts.where(F.col("term").isin(*single)).join(F.broadcast(wanted), "term").select("q", "doc_id", "tf", *more)
     for i, p in enumerate(query):
         if len(p) == 1:
             continue
         docs = None
         for k, t in enumerate(p):
-            part = posts.where(F.col("term") == t).select("doc_id", shifted(k).alias(f"p{k}"))
+            part = posts.where(F.col("term") == t).select("doc_id", shifted(k).alias(f"p{k}"), *(more if k == 0 else []))
             docs = part if docs is None else docs.join(part, "doc_id")
         starts = F.col("p0")
         for k in range(1, len(p)):
             starts = F.array_intersect(starts, F.col(f"p{k}"))
-        rows = docs.select(F.lit(i).alias("q"), "doc_id", F.size(starts).alias("tf")).where("tf > 0")
+        rows = docs.select(F.lit(i).alias("q"), "doc_id", F.size(starts).alias("tf"), *more).where("tf > 0")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def bm25(found: DataFrame, doc_lengths: DataFrame, corpus: DataFrame) -> DataFrame:
-    """found(q, doc_id, tf) -> (doc_id, score)."""
+def bm25(found: DataFrame, corpus: DataFrame, doc_lengths: DataFrame | None = None) -> DataFrame:
+    """found(q, doc_id, tf) -> (doc_id, score). Lengths are joined only if found has none."""
     n = found.groupBy("q").agg(F.count("*").alias("n"))  # one row for each phrase of the query
     ratio = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.broadcast(n.crossJoin(F.broadcast(corpus)).select("q", "avgdl", F.when(ratio <= 0, F.lit(LEAST_IDF)).otherwise(ratio).alias("idf")))
-    rows = found.join(idf, "q").join(doc_lengths, "doc_id")
+    rows = found.join(idf, "q")
+    if "n_tokens" not in found.columns:
+        rows = rows.join(doc_lengths, "doc_id")
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_tokens") / F.col("avgdl"))
     return rows.groupBy("doc_id").agg(F.sum(F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + norm)).alias("score"))
 
@@ -102,8 +113,8 @@ def ranked(scores: DataFrame, top_k: int) -> DataFrame:
     return top.select("doc_id", F.row_number().over(order).alias("lexical_rank"), "score")
 
 
-def search(posts: DataFrame, doc_lengths: DataFrame, corpus: DataFrame, text: str, top_k: int = 20, strict: bool = True) -> DataFrame:
+def search(posts: DataFrame, corpus: DataFrame, text: str, top_k: int = 20, strict: bool = True) -> DataFrame:
     query = phrases(text, strict) if top_k > 0 else []
     if not query:
         return posts.sparkSession.createDataFrame([], "doc_id string, lexical_rank int, score double")
-    return ranked(bm25(matches(posts, query), doc_lengths, corpus), top_k)
+    return ranked(bm25(matches(posts, query), corpus), top_k)

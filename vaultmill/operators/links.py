@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vaultmill.functions.text import BLANK, doc_id, fold, parent, stem, strip
 
+# fixed value: what a link looks like
 LINK = rf"\[\[([^\[\]]+?)\]\](?:{BLANK}*\(([^)]+)\))?"
 
 
@@ -62,3 +67,14 @@ def edges(docs: DataFrame, scope: DataFrame, text: str = "truth") -> DataFrame:
 def once(e: DataFrame) -> DataFrame:
     typed = e.where("relationship_type is not null").dropDuplicates()
     return typed.unionByName(e.where("relationship_type is null"))
+
+
+def resolve_with(links: DataFrame, resolver: Callable[[str, str], str | None]) -> DataFrame:
+    """The same with a function (label, source path) -> path or None in place of a scope."""
+
+    @F.arrow_udf(T.StringType())
+    def call(labels: pa.Array, sources: pa.Array) -> pa.Array:
+        return pa.array([resolver(a, b) for a, b in zip(labels.to_pylist(), sources.to_pylist())], pa.string())
+
+    rows = links.withColumn("target_path", call("label", "source_path"))
+    return rows.withColumn("target_id", doc_id(F.coalesce("target_path", file_name(F.col("label")))))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from vaultmill.functions.text import BLANK, content_hash, doc_id, stem, strip
 
+# fixed values: what front matter and the start of a timeline look like
 FRONT = rf"(?s)\A---{BLANK}*\n(.*?)\n---{BLANK}*\n(.*)\z"
 TIMELINE = r"(?imd)^[ \t]*---[ \t]*\n(?:[ \t]*\n)*[ \t]*##[ \t]+Timeline[ \t]*$"
 META = T.StructType([T.StructField(c, T.StringType()) for c in ("error", "title", "domain", "json")])

@@ -19,10 +19,18 @@ class Engine:
     def __init__(self, spark: SparkSession, store: Store, embedder: Embedder, *, metric: str = "l2", strict_lexical: bool = True):
         self.spark, self.store, self.embedder = spark, store, embedder
         self.metric, self.strict = metric, strict_lexical
+        self._stats: tuple[list[str], DataFrame] | None = None
+
+    def stats(self) -> DataFrame:
+        """Corpus statistics, computed once for each state of the store."""
+        segments = self.store.segments()
+        if self._stats is None or self._stats[0] != segments:
+            s = lexical.stats(self.store.table("lengths"))
+            self._stats = segments, self.spark.createDataFrame([s.first()], s.schema)
+        return self._stats[1]
 
     def lexical(self, text: str, top_k: int = 20) -> DataFrame:
-        lengths = self.store.table("lengths")
-        return lexical.search(self.store.table("postings"), lengths, lexical.stats(lengths), text, top_k, self.strict)
+        return lexical.search(self.store.table("postings"), self.stats(), text, top_k, self.strict)
 
     def semantic(self, text: str, top_k: int = 20) -> DataFrame:
         if top_k <= 0:

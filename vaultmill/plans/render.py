@@ -1,4 +1,4 @@
-"""Results as text blocks and JSON."""
+"""Results as text blocks and JSON. The layout of the blocks is a fixed format."""
 
 from __future__ import annotations
 

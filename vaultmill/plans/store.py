@@ -22,6 +22,14 @@ from vaultmill.schema import OWNER, TABLES
 GONE = T.StructType([T.StructField("id", T.StringType()), T.StructField("edges_only", T.BooleanType())])
 
 
+def laid_out(name: str, df: DataFrame) -> DataFrame:
+    """Rows in the order that lookups need: postings in files by term range, others by owner in each
+    file, so filters skip files and row groups by their statistics."""
+    if name == "postings":
+        return df.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    return df.sortWithinPartitions(OWNER[name])
+
+
 class Store:
     """Tables documents, truths, chunks, postings, lengths and edges below one folder."""
 
@@ -105,9 +113,7 @@ class Store:
         for t, schema in TABLES.items():
             df = tables.get(t)
             df = self.spark.createDataFrame([], schema) if df is None else df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-            if t == "postings":  # a term's rows lie together, so a query's filter skips the other row groups
-                df = df.sortWithinPartitions("term", "doc_id")
-            df.write.parquet(f"{self.root}/{name}/{t}")
+            laid_out(t, df).write.parquet(f"{self.root}/{name}/{t}")
         gone.select("id", "edges_only").write.parquet(f"{self.root}/{name}/gone")
         self._set_current([*self.segments(), name])
 
@@ -117,7 +123,7 @@ class Store:
         tables = {t: self.table(t) for t in TABLES}
         name = f"segment-{uuid.uuid4().hex}"
         for t, df in tables.items():
-            (df.repartitionByRange("term").sortWithinPartitions("term", "doc_id") if t == "postings" and old else df).write.parquet(f"{self.root}/{name}/{t}")
+            laid_out(t, df).write.parquet(f"{self.root}/{name}/{t}")
         self.spark.createDataFrame([], GONE).write.parquet(f"{self.root}/{name}/gone")
         self._set_current([name])
         for s in old:

@@ -12,7 +12,7 @@ def _struct(*fields: tuple) -> T.StructType:
 DOCUMENTS = _struct(("id", _s, "key"), ("title", _s), ("path", _s), ("domain", _s), ("content_hash", _s, "key"), ("timeline_text", _s), ("metadata_json", _s), ("created_at", _s), ("updated_at", _s))
 TRUTHS = _struct(("id", _s), ("title", _s), ("content", _s))
 CHUNKS = _struct(("doc_id", _s), ("chunk_index", _i), ("text", _s), ("embedding", T.ArrayType(T.FloatType())))
-POSTINGS = _struct(("doc_id", _s), ("term", _s), ("tf", _i), ("positions", T.ArrayType(_i)))
+POSTINGS = _struct(("doc_id", _s), ("term", _s), ("tf", _i), ("positions", T.ArrayType(_i)), ("n_tokens", _i))
 LENGTHS = _struct(("doc_id", _s), ("n_tokens", _i))
 EDGES = _struct(("source_id", _s), ("target_id", _s), ("relationship_type", _s))
 TABLES = {"documents": DOCUMENTS, "truths": TRUTHS, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "edges": EDGES}
