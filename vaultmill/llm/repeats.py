@@ -17,10 +17,12 @@ only match within the group of one anchor hash, and groups are independent:
    equal in 100 bytes are neighbours in its order; all but the earliest of each such run go.
    Groups with more than ``HOT`` contexts are split first: their windows are dealt singly, by their
    own hash, after equal ones of a batch are collapsed, so a passage that a third of all documents
-   share does not meet in one task.
+   share does not meet in one task. An anchor with ``CROWD`` contexts in one batch (a passage in many
+   different surroundings) is dealt so from the start: the batch sends its windows singly and a note
+   that the anchor's group is split, so no group gets more than CROWD contexts from a batch.
 3. Removed runs are merged per document and cut out of the text.
 
-Anchors travel as packed columns, one row for each batch and bucket, not as rows.
+Anchors travel as packed columns, one row for each batch and partition, not as rows.
 
 Null text: as empty. Rows with equal id and text count as one document and get equal results; rows
 with equal id and different text are ordered by a hash of the text; null ids come last. Empty input:
@@ -41,10 +43,10 @@ from vaultmill.llm.common import LAST_ID, cut, row_id, shuffle_width, table, tex
 from vaultmill.llm.lyndon import suffix_array
 
 LEAST, PIECE, HOT = 100, 32, 4096
+CROWD, SINGLE = 64, 128  # contexts of one anchor in a batch that make it a crowd; mark of a single window
 SPAN = LEAST - PIECE + 1  # pieces of one window
 CHUNK, POS = 1 << 19, 20  # window starts handled at once; bits for a position in a chunk
 SORT = 1 << 18  # letters for one run of the sorter, if its groups allow
-BUCKETS = 8  # for each shuffle partition
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(7))
 LETTER = _rng.integers(0, 2**64, 256, dtype=U)
@@ -189,8 +191,8 @@ def shared(x: np.ndarray) -> np.ndarray:
     return twice[at] == x
 
 
-def settle(a: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Anchor columns -> the earliest of each context, and the runs of all others."""
+def settle(a: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Anchor columns -> which rows are the earliest of their context, and the runs of all others."""
     mh, ch, did, tie, lo, more = a
     many = np.flatnonzero(shared(mh))
     s, new, past = later([mh[many], ch[many]], [did[many], tie[many], lo[many]])
@@ -198,7 +200,7 @@ def settle(a: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     keep = np.ones(len(mh), bool)
     keep[s[~new]] = False
     gone = s[past]
-    return [c[keep] for c in a], [did[gone], tie[gone], lo[gone], (lo[gone] + more[gone] + LEAST).astype(np.int32)]
+    return keep, [did[gone], tie[gone], lo[gone], (lo[gone] + (more[gone] & (SINGLE - 1)) + LEAST).astype(np.int32)]
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,6 +238,32 @@ def by_document(cols: list[np.ndarray]) -> Iterator[tuple[int, int, slice]]:
         yield int(did[a]), int(tie[a]), slice(a, b)
 
 
+def window_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the 100 bytes at each of the ascending positions."""
+    value = np.empty(len(at), U)
+    step = max(1, CHUNK // 32)  # single windows lie 100 bytes apart
+    for i in range(0, len(at), step):
+        part = at[i : i + step]
+        a = int(part[0])
+        h, q = prefix(buf[a : int(part[-1]) + LEAST])
+        x = part - a
+        with np.errstate(over="ignore"):
+            value[i : i + step] = stir((h[x + LEAST] - h[x]) * q[x])
+    return value
+
+
+def singles(data: np.ndarray, place: np.ndarray, a: list[np.ndarray]) -> list[np.ndarray]:
+    """Anchor columns, with the anchors' places in the bytes -> one row per window, keyed by its hash."""
+    mh, ch, did, tie, lo, more = a
+    n = more.astype(np.int64) + 1
+    buf = np.concatenate([data[p : p + k + LEAST - 1] for p, k in zip(place.tolist(), n.tolist())])
+    size = n + LEAST - 1
+    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    value = window_hashes(buf, np.repeat(np.cumsum(size) - size, n) + off)
+    r = lambda c: np.repeat(c, n)
+    return [value, value, r(did), r(tie), (r(lo) + off).astype(np.int32), np.full(len(value), SINGLE, np.uint8)]
+
+
 def spread(x: np.ndarray, n: int) -> np.ndarray:
     return (stir(x.astype(np.int64).view(U) if x.dtype != U else x) % U(n)).astype(np.int64)
 
@@ -260,14 +288,8 @@ def repeated_windows(meta: list[np.ndarray], blob: bytes) -> list[np.ndarray]:
     win = np.repeat(np.arange(len(grp)), more + 1)  # the context of each window
     off = np.arange(len(win)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
     at = base[win] + off
-    value = np.empty(len(win), U)
-    step = CHUNK
-    for i in range(0, len(win), step):  # windows of a slice cover one stretch of the bytes
-        a, b = int(at[i]), int(at[min(len(win), i + step) - 1]) + LEAST
-        h, q = prefix(buf[a:b])
-        x = at[i : i + step] - a
-        with np.errstate(over="ignore"):
-            value[i : i + step] = stir((h[x + LEAST] - h[x]) * q[x] + stir(grp[win[i : i + step]]))
+    with np.errstate(over="ignore"):
+        value = stir(window_hashes(buf, at) + stir(grp[win]))
     live = np.flatnonzero(shared(value))
     out: list[list[np.ndarray]] = []
     if not len(live):
@@ -326,7 +348,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary)."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    buckets = width * BUCKETS
+    buckets = width  # a bucket's number is its partition
     text = docs[f"`{text_col}`"].cast("string")
     src = docs.select(row_id(docs[f"`{id_col}`"]).alias("did"), text_hash(text).cast("string").alias("t"), F.coalesce(text, F.lit("")).cast("binary").alias("data"))
     # both joins below read these very columns, so that they share one shuffle of the texts
@@ -343,20 +365,34 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                 continue
             k, lo, more, mh, ch = (np.concatenate(c) for c in zip(*found))
             a = [mh, ch, did[k], tie[k], lo.astype(np.int32), more.astype(np.uint8)]
+            place = at[k] + lo
             del found
-            a, gone = settle(a)
+            keep, gone = settle(a)
+            a, place = [c[keep] for c in a], place[keep]
+            _, where, count = np.unique(a[0], return_inverse=True, return_counts=True)
+            crowd = count[where] >= CROWD
+            notes = np.unique(a[0][crowd])
+            if len(notes):
+                one = singles(data, place[crowd], [c[crowd] for c in a])
+                keep, more_gone = settle(one)
+                a = [np.concatenate([x[~crowd], y[keep]]) for x, y in zip(a, one)]
+                gone = [np.concatenate(c) for c in zip(gone, more_gone)]
             gone = merged_all(gone)
-            yield rows_of(dealt(a, ANCHOR, spread(a[0], buckets)), dealt(gone, RUN, spread(gone[0], buckets)))
+            yield rows_of(dealt(a, ANCHOR, spread(a[0], buckets)), dealt(gone, RUN, spread(gone[0], buckets)), dealt([notes], (U,), spread(notes, buckets)))
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = columns(batches)
         a, gone = unpack(got[0], ANCHOR), unpack(got[1], RUN)
-        a, more = settle(a)
+        notes = unpack(got[2] if len(got) > 2 else [], (U,))[0]
+        keep, more = settle(a)
+        a = [c[keep] for c in a]
         gone = merged_all([np.concatenate(c) for c in zip(gone, more)])
-        several = np.flatnonzero(shared(a[0]))
+        single, split = a[5] == SINGLE, np.isin(a[0], notes)
+        several = np.flatnonzero(shared(a[0]) | single | split)
         mh, _, did, tie, lo, n = (c[several] for c in a)
         _, where, count = np.unique(mh, return_inverse=True, return_counts=True)
-        hot = (count[where] > HOT).astype(np.uint8) if len(mh) else np.zeros(0, np.uint8)
+        hot = ((count[where] > HOT) | single[several] | split[several]).astype(np.uint8) if len(mh) else np.zeros(0, np.uint8)
+        n = n & (SINGLE - 1)
         o = [did, tie, lo, n, mh, hot]
         yield rows_of(dealt(gone, RUN, spread(gone[0], buckets)), dealt(o, OPEN, spread(did, buckets)))
 
@@ -387,12 +423,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                     meta.append((g, did, tie, a, m))
                     bits.append(buf[a : a + m + LEAST])
                 if h.any():  # windows of hot groups go on their own
-                    hs, q = prefix(buf)
                     for a, m in zip(lo[h].tolist(), n[h].tolist()):
                         x = np.arange(a, a + m + 1)
-                        with np.errstate(over="ignore"):
-                            v = stir((hs[x + LEAST] - hs[x]) * q[x])
-                        for s, g in zip(x.tolist(), v.tolist()):
+                        for s, g in zip(x.tolist(), window_hashes(buf, x).tolist()):
                             meta.append((g, did, tie, s, 0))
                             bits.append(buf[s : s + LEAST])
             if not meta:
@@ -445,11 +478,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     two, three = "bucket long, a binary, b binary", "bucket long, a binary, b binary, c binary"
     doc_rows = "did long, tie int, gone binary, open binary"
-    found = src.mapInArrow(find, two).repartition(width, "bucket").mapInArrow(group, two)
-    first = cut(found.repartition(width, "bucket").mapInArrow(per_document, doc_rows))
+    found = src.mapInArrow(find, three).repartitionById(width, F.col("bucket").cast("int")).mapInArrow(group, two)
+    first = cut(found.repartitionById(width, F.col("bucket").cast("int")).mapInArrow(per_document, doc_rows))
     unsettled = src.join(first.where(F.octet_length("open") > 0).select("did", "tie", "open"), ["did", "tie"]).select("did", "tie", "data", "open")
-    second = unsettled.mapInArrow(fetch, three).repartition(width, "bucket").mapInArrow(sort, two)
-    second = second.repartition(width, "bucket").mapInArrow(per_document, doc_rows).select("did", "tie", F.col("gone").alias("gone2"))
+    second = unsettled.mapInArrow(fetch, three).repartitionById(width, F.col("bucket").cast("int")).mapInArrow(sort, two)
+    second = second.repartitionById(width, F.col("bucket").cast("int")).mapInArrow(per_document, doc_rows).select("did", "tie", F.col("gone").alias("gone2"))
     j = src.join(first.select("did", "tie", "gone"), ["did", "tie"], "left").join(second, ["did", "tie"], "left")
     return j.select(F.when(F.col("did") < LAST_ID, F.col("did")).alias("doc_id"), "data", "gone", "gone2").mapInArrow(clean, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
