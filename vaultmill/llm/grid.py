@@ -37,7 +37,7 @@ from vaultmill.llm.simhash import forest
 LEAST = 0.98
 LEADING = 8  # coordinates with cells
 KEYED = 3  # of these, coordinates that blocks are joined on
-BLOCK, SMALL = 512, 64  # vectors of a block; of an interval that is compared outright
+BLOCK, SMALL = 1024, 128  # vectors of a block; of an interval that is compared outright
 MARGIN = 1e-6
 
 
@@ -64,6 +64,19 @@ def scaled(a: np.ndarray) -> np.ndarray:
     return a / np.sqrt((a * a).sum(axis=1, keepdims=True))
 
 
+def slim(blobs: list[bytes]) -> bytes:
+    """The vectors of a block, in single precision if that loses nothing."""
+    a = np.frombuffer(b"".join(blobs), "<f8")
+    with np.errstate(over="ignore"):
+        b = a.astype("<f4")
+    return (b if (b == a).all() else a).tobytes()
+
+
+def full(data: pa.Buffer, n: int, dim: int) -> np.ndarray:
+    a = np.frombuffer(data, "<f4" if data.size == 4 * n * dim else "<f8")
+    return scaled(a.astype("<f8").reshape(n, dim))
+
+
 def axes(vectors: DataFrame) -> dict[int, np.ndarray]:
     """vectors(vec, dim) -> per length the principal axes as rows, leading first."""
 
@@ -161,7 +174,7 @@ def links(items: DataFrame, *, least: float, leading: int = LEADING) -> tuple[Da
                 x = unit(blobs) @ turn[dim[at]][:leading].T
                 cells = np.unique(np.stack([p[f"c{k}"].to_numpy() for k in range(KEYED)], 1), axis=0)
                 ids = p["id"].to_numpy().astype(np.int64)
-                rows.append((int(ids[0]), label[at], ids.tobytes(), p["n"].to_numpy().astype(np.int64).tobytes(), b"".join(blobs), dim[at], x.min(axis=0).tolist(), x.max(axis=0).tolist(), [" ".join(map(str, c)) for c in cells.tolist()]))
+                rows.append((int(ids[0]), label[at], ids.tobytes(), p["n"].to_numpy().astype(np.int64).tobytes(), slim(blobs), dim[at], x.min(axis=0).tolist(), x.max(axis=0).tolist(), [" ".join(map(str, c)) for c in cells.tolist()]))
                 at = stop
             return rows, t.slice(at)
 
@@ -199,8 +212,8 @@ def links(items: DataFrame, *, least: float, leading: int = LEADING) -> tuple[Da
         for b in batches:
             for r in range(b.num_rows):
                 same, dim = b.column(0)[r].as_py() == b.column(1)[r].as_py(), b.column(2)[r].as_py()
-                i1, n1, v1, i2, n2, v2 = (np.frombuffer(b.column(k)[r].as_buffer(), d) for k, d in zip(range(3, 9), ("<i8", "<i8", "<f8") * 2))
-                u, v = scaled(v1.reshape(-1, dim)), scaled(v2.reshape(-1, dim))
+                i1, n1, i2, n2 = (np.frombuffer(b.column(k)[r].as_buffer(), "<i8") for k in (3, 4, 6, 7))
+                u, v = full(b.column(5)[r].as_buffer(), len(i1), dim), full(b.column(8)[r].as_buffer(), len(i2), dim)
                 x, y = u @ turn[dim][:leading].T, v @ turn[dim][:leading].T
                 found: list[np.ndarray] = []
                 joined(u, x, slice(0, len(u)), v, y, slice(0, len(v)), eps, least, same, found)
