@@ -228,6 +228,21 @@ def test_classifier(spark):
     assert quality.judge(d.limit(0), lab).count() == 0
 
 
+def test_classifier_learns_rare_words():
+    rng = random.Random(5)
+    insults = [f"{i}{i}insult" for i in range(5)]
+
+    def row(bad):
+        words = [rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(40)]
+        return " ".join([*words, rng.choice(insults)] if bad else words)
+
+    y = np.array([float(i % 10 == 0) for i in range(400)])
+    rows = [quality.features(row(x)) for x in y]
+    w = quality.Sample(np.concatenate(rows), np.array([len(r) for r in rows])).train(y)
+    said = [w[quality.features(row(i % 10 == 0))].sum() + w[-1] > 0 for i in range(400)]
+    assert sum(said[::10]) >= 36 and sum(said) - sum(said[::10]) <= 4
+
+
 def test_sites_shrink(spark):
     rows = [("big", "a", 0.9)] * 400 + [("big", "b", 0.8)] * 400 + [("bad", "a", 0.1)] * 400 + [("tiny", "a", 0.1)]
     s = {(r.host, r.path): r for r in quality.sites(spark.createDataFrame(rows, "host string, path string, p double")).collect()}

@@ -3,7 +3,8 @@
 Evidence of the document itself comes from two logistic models on its text, one for quality and one
 for toxicity, trained here on at most ``SAMPLE`` labelled rows (those with the smallest hash of the
 id: a bounded, repeatable sample; scoring covers every row). Features are the shape of the text
-and which hashed words occur. p is the chance that the document is of quality and not toxic.
+and which hashed words occur, rare ones too. p is the chance that the document is of quality and
+not toxic.
 
 Sites add what single documents cannot show. Documents are grouped by host (``source`` in this
 corpus) and by path within the host (``lang`` here; a URL's host and leading path elsewhere). By
@@ -35,8 +36,9 @@ from pyspark.sql import types as T
 
 from vaultmill.llm.common import cut, row_id, table, text_hash
 
-SAMPLE, BITS, ROUNDS, SALTS = 20_000, 17, 120, 32
-SEEN = 20  # sampled rows that a feature must occur in to get a weight
+SAMPLE, BITS, SALTS = 20_000, 17, 32
+RIDGE, TRUST, SETTLED = 10.0, 1.5, 1e-5
+BLOCK = 1 << 20  # features of the sample worked on at once
 STEM = 4  # letters of the word beginnings that are features too
 WORDS = re.compile(r"\w+")
 MARKS = "!?#$%&*|.,;:\n"
@@ -76,40 +78,85 @@ def featured(texts: pa.Array) -> pa.Array:
 
 
 class Sample:
-    """Binary features of a bounded number of rows, row after row in one array."""
+    """Binary features of a bounded number of rows, row after row, in blocks of about ``BLOCK``."""
 
     def __init__(self, flat: np.ndarray, sizes: np.ndarray):
-        often = np.bincount(flat, minlength=WIDTH) >= SEEN
-        keep = often[flat]
-        who = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.flat, self.who, self.n = flat[keep], who[keep], len(sizes)
-        size = np.bincount(self.who, minlength=self.n)
-        self.full = np.flatnonzero(size)
-        self.starts = (np.cumsum(size) - size)[self.full]
+        self.n, self.blocks = len(sizes), []
+        full = np.flatnonzero(sizes)
+        ends = np.cumsum(sizes[full])
+        a = 0
+        while a < len(full):
+            before = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, before + BLOCK, side="right")))
+            size = sizes[full[a:b]]
+            self.blocks.append((full[a:b], flat[before : ends[b - 1]], np.cumsum(size) - size, size))
+            a = b
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n, np.float32)
-        if len(self.full):
-            out[self.full] = np.add.reduceat(weights[self.flat], self.starts)
+        """For each row, the sum of its features' weights."""
+        out = np.zeros(self.n)
+        for rows, flat, starts, _ in self.blocks:
+            out[rows] = np.add.reduceat(weights[flat], starts)
         return out
 
-    def train(self, y: np.ndarray, rounds: int = ROUNDS, ridge: float = 1e-4, rate: float = 0.1) -> np.ndarray:
-        """Logistic regression by Adam over all rows with a label (y is nan elsewhere); the last weight is the bias."""
-        out = np.zeros(WIDTH + 1, np.float32)
+    def back(self, values: np.ndarray) -> np.ndarray:
+        """For each feature, the sum of its rows' values."""
+        out = np.zeros(WIDTH)
+        for rows, flat, _, size in self.blocks:
+            out += np.bincount(flat, np.repeat(values[rows], size), WIDTH)
+        return out
+
+    def train(self, y: np.ndarray) -> np.ndarray:
+        """Logistic regression over all rows with a label (y is nan elsewhere); the last weight is the bias.
+
+        Every feature gets a weight, held back by a ridge as strong as the evidence on it is weak:
+        its scale is |z| ** ``TRUST``, z being how many standard deviations its count among positive
+        rows is from what their share gives. L-BFGS until no slope is over ``SETTLED`` of the steepest
+        at the start; the loss is strictly convex and falls with every step, so this ends.
+        """
         known = ~np.isnan(y)
         n, share = known.sum(), y[known].mean() if known.any() else 0
         if not 0 < share < 1:
-            return out
+            return np.zeros(WIDTH + 1, np.float32)
         y = np.where(known, y, 0)
-        m, v = np.zeros(WIDTH + 1, np.float32), np.zeros(WIDTH + 1, np.float32)
-        out[-1] = np.log(share / (1 - share))
-        for k in range(1, rounds + 1):
-            z = self.sums(out) + out[-1]
-            r = np.where(known, (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n, 0)
-            g = np.append(np.bincount(self.flat, r.astype(np.float32)[self.who], WIDTH), r.sum()) + ridge * np.append(out[:-1], 0)
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            out = out - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-        return out.astype(np.float32)
+        seen = self.back(known.astype(float))
+        z = (self.back(y) - seen * share) / np.sqrt(seen * share * (1 - share) + 1)
+        scale = np.abs(z) ** TRUST
+
+        def slopes(w: np.ndarray) -> tuple[float, np.ndarray]:
+            x = self.sums(w[:-1] * scale) + w[-1]
+            r = np.where(known, (1 / (1 + np.exp(-np.clip(x, -500, 500))) - y) / n, 0)
+            loss = np.where(known, np.logaddexp(0, x) - y * x, 0).sum() / n + RIDGE / (2 * n) * (w[:-1] ** 2).sum()
+            return loss, np.append(self.back(r) * scale + RIDGE / n * w[:-1], r.sum())
+
+        w = np.zeros(WIDTH + 1)
+        w[-1] = np.log(share / (1 - share))
+        loss, g = slopes(w)
+        enough = SETTLED * np.abs(g).max()
+        past: list[tuple[np.ndarray, np.ndarray, float]] = []  # steps, changes of slope, their products
+        while np.abs(g).max() > enough:
+            d, used = g.copy(), []
+            for s, t, st in reversed(past):
+                used.append((s * d).sum() / st)
+                d -= used[-1] * t
+            d *= past[-1][2] / (past[-1][1] ** 2).sum() if past else 1 / np.abs(g).sum()
+            for (s, t, st), u in zip(past, reversed(used)):
+                d += s * (u - (t * d).sum() / st)
+            step, fall = 1.0, (g * d).sum()
+            new, better, h = w, loss, g
+            while step > 1e-12:
+                new = w - step * d
+                better, h = slopes(new)
+                if better <= loss - 1e-4 * step * fall:
+                    break
+                step /= 2
+            if not better < loss:  # as low as the arithmetic goes
+                break
+            s, t = new - w, h - g
+            if (s * t).sum() > 0:
+                past = [*past[-7:], (s, t, (s * t).sum())]
+            w, loss, g = new, better, h
+        return np.append(w[:-1] * scale, w[-1]).astype(np.float32)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Sample, np.ndarray, np.ndarray]:
