@@ -194,6 +194,26 @@ def test_leaks(spark):
     assert leaks.leaks(df, b.limit(0)).count() == 0 and leaks.clean(df, b.limit(0)).count() == len(docs) and leaks.leaks(df.limit(0), b).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(40)]
+    items = [[rng.choice(vocab) for _ in range(n)] for n in range(1, 17) for _ in range(3)]
+    items += ["a b c d e".split(), "f g h i".split(), "r r s r r".split()]
+    docs = ["x a b other d e y", "x f g other h i y", "r r r r"]
+    for w in items * 6:
+        w = list(w)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randint(0, 1)] = [rng.choice(["other", *vocab])] * rng.randint(0, 1)
+        docs.append(" ".join([*rng.choices(vocab, k=rng.randint(0, 6)), *w, *rng.choices(vocab, k=rng.randint(0, 6))]))
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    want = {(i, k): sim for i, t in enumerate(docs) for k, w in enumerate(items) if (sim := (score(w, t.split()) + len(w)) / (2 * len(w))) >= leaks.LEAST}
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.leaks(d, b).collect()}
+    assert (0, len(items) - 3) in want and (1, len(items) - 2) in want and {len(items[k]) for _, k in want} == set(range(1, 17))
+    assert set(got) == set(want) and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
 def test_slices_cover_the_benchmark(spark, monkeypatch):
     b = spark.createDataFrame([(i, f"one two three four five six{i}") for i in range(20)], "item_id long, text string")
     monkeypatch.setattr(leaks, "SLICE", 60)

@@ -6,13 +6,15 @@ words if their local alignment (match 1, mismatch and gap -1) has a score S with
 
 Such an alignment has at most B = 2 (1 - LEAST) L losses to spend: 1 for an item word left out at an
 end or a word put in, 2 for a word replaced or dropped. No loss costs more than two of the item's
-L - 2 n-grams of three words per unit, so at least L - 2 - 2B of them occur in the document, and of
-any 2B + 1 at least one does. A first pass over all documents counts in how many each n-gram of the
-benchmark occurs; the 2B + 1 rarest of each item become its seeds. A second pass joins documents to
+L - 2 n-grams of three words per unit, nor more than one of its L - 1 n-grams of two words or of
+its L single words. Each item uses the longest of these n-grams of which some must be left (under
+0.8: three words for items of more than 10, two words for shorter ones, the word itself for an item
+of one). With D the most that can be lost, all but D of them occur in the document, and of any
+D + 1 at least one does. A first pass over all documents counts in how many each n-gram of the
+benchmark occurs; the D + 1 rarest of each item become its seeds. A second pass joins documents to
 items on the n-grams and keeps pairs with a seed and with as many n-grams as must be left, first
-for the document, then for each stretch of it; only these are aligned. For items of more than 10
-words this finds every contaminated document, however common the item is; shorter items need one
-n-gram in common (all words, if they have fewer than three). Nothing limits hits, items or documents.
+for the document, then for each stretch of it; only these are aligned. This finds every contaminated
+document, however common or short the item is. Nothing limits hits, items or documents.
 
 Test items go to the executors in slices of at most ``SLICE`` bytes of text, a proven bound; a
 larger benchmark takes more passes. Documents are never shuffled.
@@ -69,8 +71,14 @@ class Items:
                 self.ids.append(i)
                 self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64))
         n = np.array([len(w) for w in self.words], np.int64)
-        grams = [codes(w, min(GRAM, len(w))) for w in self.words]
-        self.sizes = sorted({min(GRAM, len(w)) for w in self.words})
+        spend = 2 * (1 - LEAST) * n + 1e-9
+        size, lost = np.ones(len(n), np.int64), np.floor(spend).astype(np.int64)
+        for g in range(2, GRAM + 1):
+            most = np.floor((g - 1) * spend).astype(np.int64)
+            some = n - g + 1 > most
+            size[some], lost[some] = g, most[some]
+        grams = [codes(w, g) for w, g in zip(self.words, size.tolist())]
+        self.sizes = sorted(set(size.tolist()))
         code = np.concatenate([*grams, np.zeros(0, U)])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
@@ -78,8 +86,7 @@ class Items:
         self.lookup, first, times = np.unique(code[order], return_index=True, return_counts=True)
         self.first, self.times = first, times
         self.item, self.offset = item[order], offset[order]  # where the n-gram with number k stands: first[k], times[k]
-        lost = np.floor(4 * (1 - LEAST) * n + 1e-9).astype(np.int64)
-        self.need = np.maximum(1, n - GRAM + 1 - lost)
+        self.need = n - size + 1 - lost
         self.seeds = lost + 1
         self.rare = np.ones(len(code), bool)
 
