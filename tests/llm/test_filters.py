@@ -121,6 +121,16 @@ def test_walks(spark):
     assert hosts.filter_urls(pages(spark, []), r)[0].count() == 0
 
 
+def test_walk_settles_far_from_seeds(spark):
+    e = [(i, i + 1, 1) for i in range(12)] + [(12, 0, 1), (3, 12, 2)]
+    name = lambda i: f"h{i:02}"
+    nodes = spark.createDataFrame([(name(i),) for i in range(14)], "host string")
+    edges = spark.createDataFrame([(name(a), name(b), n) for a, b, n in e], "src string, dst string, n long")
+    got = {r.host: r["rank"] for r in hosts.walk(nodes, edges, spark.createDataFrame([("h00", 5.0)], "host string, mass double"), damping=0.05).collect()}
+    want = ppr(14, e, [1] + [0] * 13, damping=0.05)
+    assert all(got[name(i)] == pytest.approx(want[i], rel=1e-6, abs=0) for i in range(14)) and want[11] > 0 == got["h13"]
+
+
 def test_preferences(spark):
     rows = [
         (1, 0, 0, "user", "q"), (1, 0, 1, "assistant", "yes"), (1, 0, 2, "user", "and"), (1, 0, 3, "assistant", "é"),

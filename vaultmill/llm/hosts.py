@@ -11,7 +11,9 @@ allowed pages, along links: who is linked by the trusted is trusted. Distrust ru
 links from the hosts with blocked pages: who links to the blocked is distrusted. A host is blocked
 if its distrust exceeds ``threshold`` times its trust. Seeds weigh by their share of ruled pages.
 The walk of a host without links returns to the seeds. Each round is one join and one aggregation
-over hosts, cut by a checkpoint; rounds end when no rank moves by more than ``tol``.
+over hosts, cut by a checkpoint; rounds end when no rank moves by more than ``tol`` of itself, so that
+hosts far from the seeds are reached and compared too. Moves shrink by ``damping`` each round and a
+reached host keeps a rank above zero, so the rounds do end; ranks below ``LEAST`` count as zero there.
 
 Null urls and those without "://": host and path are empty; rules do not fit; the empty host is
 judged like any other. Null html: no links. Repeated rows are judged alike; null ids stay null. No
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 from vaultmill.llm.common import cut, fresh, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, ROUNDS, TOL, THRESHOLD = 0.85, 80, 1e-8, 1.0
+DAMPING, TOL, THRESHOLD = 0.85, 1e-8, 1.0
+LEAST = 1e-300  # near the smallest number of full precision
 HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]*)"""
 
 
@@ -61,7 +64,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, tol: float = TOL) -> DataFrame:
+def walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tol: float = TOL) -> DataFrame:
     """Personalised PageRank. nodes(host), edges(src, dst, n), seeds(host, mass) -> (host, rank)."""
     total = seeds.agg(F.sum("mass")).first()[0]
     if not total:
@@ -71,16 +74,14 @@ def walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, damping: float
     start = nodes.join(seeds, "host", "left").select("host", (F.coalesce("mass", F.lit(0.0)) / F.lit(float(total))).alias("seed"))
     ends = start.join(out.select(F.col("src").alias("host"), F.lit(False).alias("e")), "host", "left").select("host", "seed", F.coalesce("e", F.lit(True)).alias("ends"))
     state = cut(ends.withColumn("rank", F.col("seed")))
-    for _ in range(rounds):
+    while True:
         back = state.where("ends").agg(F.sum("rank")).first()[0] or 0.0
         moved = steps.join(state.select(F.col("host").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("w")).alias("got"))
         rank = F.col("seed") * (1 - damping + damping * back) + damping * F.coalesce("got", F.lit(0.0))
         new = cut(state.join(moved, "host", "left").select("host", "seed", "ends", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("moved")))
-        still = (new.agg(F.max("moved")).first()[0] or 0.0) <= tol
         state = new.drop("moved")
-        if still:
-            break
-    return state.select("host", "rank")
+        if new.where(F.col("moved") > tol * F.col("rank") + LEAST).isEmpty():
+            return state.select("host", "rank")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> tuple[DataFrame, dict[str, str]]:
