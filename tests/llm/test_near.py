@@ -144,3 +144,10 @@ def test_grid_join_with_repeated_and_null_ids(spark):
     got = sorted(map(str, map(tuple, grid.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())))
     assert got == sorted(map(str, [(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (None, 1, 1, False), (None, 0, None, True)]))
     assert grid.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_unsettled_components_raise(spark):
+    path = spark.createDataFrame([(i * 7919 % 64, (i + 1) * 7919 % 64) for i in range(63)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.components(path, max_rounds=2)
+    assert {r.root for r in common.components(path).collect()} == {0}

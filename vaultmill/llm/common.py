@@ -62,7 +62,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     ``edges`` holds pairs of bigint node ids; self pairs and repeats are ignored. Returns one row
     ``(node, root)`` for every node that has an edge to another one; root is the component's
     smallest node. The number of edges never grows, hubs are reduced by partial minima, and each
-    round ends in a checkpoint so that a lost executor costs one round at most.
+    round ends in a checkpoint so that a lost executor costs one round at most. Raises if the edges
+    still change after ``max_rounds``, so that no component is ever returned split.
     """
     e = cut(
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
@@ -79,4 +80,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
         e = cut(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
