@@ -72,6 +72,22 @@ def test_removed_bytes(spark, monkeypatch, hot, sort, chunk, crowd):
     assert sorted(got) == sorted(brute(rows))
 
 
+def test_colliding_hashes_remove_nothing(spark, monkeypatch):
+    """The 64-bit numbers only group and set aside: with three bits left the results are the same."""
+    stir = repeats.stir
+    monkeypatch.setattr(repeats, "stir", lambda x: stir(x) & repeats.U(0xE000000000000000))
+    rows = corpus()[::2]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowd in (64, 2):
+        monkeypatch.setattr(repeats, "CROWD", crowd)
+        assert sorted(tuple(r) for r in repeats.repeats(df).drop("kept").collect()) == sorted(brute(rows))
+
+
+def test_ids_must_be_whole_numbers(spark):
+    with pytest.raises(TypeError):
+        repeats.repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_kept_text_and_null_ids(spark):
     t = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))
     rows = spark.createDataFrame([(1, t), (2, "head " + t), (None, t + " tail")], "doc_id long, text string")

@@ -8,10 +8,11 @@ Suffixes of the whole corpus are not sorted in one place. Equal strings of 100 b
 anchor - the leftmost smallest hash among their 32-byte pieces - at the same offset, so strings can
 only match within the group of one anchor hash, and groups are independent:
 
-1. Each document yields its anchors, each with the run of window starts it governs and a hash of
+1. Each document yields its anchors, each with the run of window starts it governs and a digest of
    the bytes those windows cover (the context). Per batch and again per group, equal contexts
-   after the earliest are removed as a whole; this collapses copies before anything is shuffled.
-   Groups with one context left have no more repeats.
+   after the earliest are one text with several owners: the earliest stands for all in what
+   follows, and the others' windows repeat it. This collapses copies before anything is shuffled.
+   Groups with one context left have no more repeats: two windows of one context are never equal.
 2. For groups with several contexts the bytes are fetched. Windows whose hash no other window of
    the group has are set aside, and all other regions go to the suffix sorter (``lyndon``). Windows
    equal in 100 bytes are neighbours in its order; all but the earliest of each such run go.
@@ -22,6 +23,12 @@ only match within the group of one anchor hash, and groups are independent:
    that the anchor's group is split, so no group gets more than CROWD contexts from a batch.
 3. Removed runs are merged per document and cut out of the text.
 
+What decides equality: anchors and window hashes are 64-bit numbers that only group and set aside;
+if two of them collide, more is compared and nothing else happens. Contexts are equal if length,
+anchor offset and the 128-bit BLAKE2b digest of their bytes are, the standard by which archives
+identify payloads. Windows are equal if their bytes are, by the suffix order or, where single windows of
+a batch are collapsed, by direct comparison.
+
 Anchors travel as packed columns, one row for each batch and partition, not as rows.
 
 Null text: as empty. Rows with equal id and text count as one document and get equal results; rows
@@ -39,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultmill.llm.common import LAST_ID, cut, row_id, shuffle_width, table, text_hash
+from vaultmill.llm.common import LAST_ID, cut, integer_id, row_id, shuffle_width, table, text_hash
 from vaultmill.llm.lyndon import suffix_array
 
 LEAST, PIECE, HOT = 100, 32, 4096
@@ -48,6 +55,7 @@ SPAN = LEAST - PIECE + 1  # pieces of one window
 CHUNK, POS = 1 << 19, 20  # window starts handled at once; bits for a position in a chunk
 SORT = 1 << 18  # letters for one run of the sorter, if its groups allow
 U = np.uint64
+DIGEST = np.dtype([("high", "<u8"), ("low", "<u8")])
 _rng = np.random.Generator(np.random.PCG64(7))
 LETTER = _rng.integers(0, 2**64, 256, dtype=U)
 BASE = U(0x9E3779B97F4A7C15)
@@ -80,6 +88,17 @@ def prefix(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, q[: len(buf) + 1]
 
 
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray, offset: np.ndarray | None = None) -> np.ndarray:
+    """BLAKE2b of each stretch of bytes (and its anchor's offset), 128 bits."""
+    data, make = memoryview(buf).cast("B"), hashlib.blake2b
+    if offset is None:
+        out = [make(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]
+    else:
+        salt = [bytes([k]) for k in range(256)]
+        out = [make(data[a:b], digest_size=16, salt=salt[k]).digest() for a, b, k in zip(start.tolist(), end.tolist(), offset.tolist())]
+    return np.frombuffer(b"".join(out), DIGEST)
+
+
 def pieces_of(lengths: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
     """Chunks of (document, first start, end of bytes): whole documents, or one part of a long one."""
     chunk, size = [], 0
@@ -99,7 +118,7 @@ def pieces_of(lengths: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, chunk: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
-    """(document, first start, further starts, anchor hash, context hash) of each governed run."""
+    """(document, first start, further starts, anchor hash, context digest) of each governed run."""
     lens = np.array([b - a for _, a, b in chunk])
     buf = np.concatenate([data[starts[k] + a : starts[k] + b] for k, a, b in chunk]) if len(chunk) > 1 else data[starts[chunk[0][0]] + chunk[0][1] : starts[chunk[0][0]] + chunk[0][2]]
     ends = np.cumsum(lens)
@@ -121,19 +140,18 @@ def anchors(data: np.ndarray, starts: np.ndarray, chunk: list[tuple[int, int, in
     lo = ok[head]
     hi = ok[np.append(head[1:], len(ok)) - 1]
     at, pid = pos[head], pid[head]
-    with np.errstate(over="ignore"):
-        context = stir((h[hi + LEAST] - h[lo]) * q[lo] + stir(((at - lo) * 256 + (hi - lo)).astype(U)))
+    context = digests(buf, lo, hi + LEAST, at - lo)
     base = (ends - lens)[pid]
     first = np.array([a for _, a, _ in chunk])[pid]
     return np.array([k for k, _, _ in chunk])[pid], lo - base + first, hi - lo, piece[at], context
 
 
-# packed columns: anchors (hash, context, id, tie, start, further starts) and runs (id, tie, from, to)
-ANCHOR = (U, U, np.int64, np.int32, np.int32, np.uint8)
-RUN = (np.int64, np.int32, np.int32, np.int32)
-OPEN = (np.int64, np.int32, np.int32, np.uint8, U, np.uint8)  # id, tie, start, further, hash, hot
+# packed columns: anchors (hash, context digest, id, tie, start, further starts) and runs (id, tie, from, to)
+ANCHOR = (U, DIGEST, np.int64, np.int64, np.int32, np.uint8)
+RUN = (np.int64, np.int64, np.int32, np.int32)
+OPEN = (np.int64, np.int64, np.int32, np.uint8, U, np.uint8)  # id, tie, start, further, hash, hot
 
-CONTEXT = (U, np.int64, np.int32, np.int32, np.uint8)  # group, id, tie, start, further starts
+CONTEXT = (U, np.int64, np.int64, np.int32, np.uint8)  # group, id, tie, start, further starts
 
 
 def pack(cols: Iterable[np.ndarray], kinds: tuple) -> bytes:
@@ -195,7 +213,7 @@ def settle(a: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Anchor columns -> which rows are the earliest of their context, and the runs of all others."""
     mh, ch, did, tie, lo, more = a
     many = np.flatnonzero(shared(mh))
-    s, new, past = later([mh[many], ch[many]], [did[many], tie[many], lo[many]])
+    s, new, past = later([mh[many], ch["high"][many], ch["low"][many]], [did[many], tie[many], lo[many]])
     s = many[s]
     keep = np.ones(len(mh), bool)
     keep[s[~new]] = False
@@ -259,9 +277,10 @@ def singles(data: np.ndarray, place: np.ndarray, a: list[np.ndarray]) -> list[np
     buf = np.concatenate([data[p : p + k + LEAST - 1] for p, k in zip(place.tolist(), n.tolist())])
     size = n + LEAST - 1
     off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    value = window_hashes(buf, np.repeat(np.cumsum(size) - size, n) + off)
+    at = np.repeat(np.cumsum(size) - size, n) + off
+    value = window_hashes(buf, at)
     r = lambda c: np.repeat(c, n)
-    return [value, value, r(did), r(tie), (r(lo) + off).astype(np.int32), np.full(len(value), SINGLE, np.uint8)]
+    return [value, digests(buf, at, at + LEAST), r(did), r(tie), (r(lo) + off).astype(np.int32), np.full(len(value), SINGLE, np.uint8)]
 
 
 def spread(x: np.ndarray, n: int) -> np.ndarray:
@@ -350,9 +369,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     width = shuffle_width(spark)
     buckets = width  # a bucket's number is its partition
     text = docs[f"`{text_col}`"].cast("string")
-    src = docs.select(row_id(docs[f"`{id_col}`"]).alias("did"), text_hash(text).cast("string").alias("t"), F.coalesce(text, F.lit("")).cast("binary").alias("data"))
+    src = docs.select(row_id(integer_id(docs, id_col)).alias("did"), text_hash(text).alias("tie"), F.coalesce(text, F.lit("")).cast("binary").alias("data"))
     # both joins below read these very columns, so that they share one shuffle of the texts
-    src = src.select("did", F.hash("t").alias("tie"), "data")
+    src = src.select("did", "tie", "data")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -409,7 +428,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         keys = list(rows)
         for i in range(0, len(keys), 4096):
             part = keys[i : i + 4096]
-            yield pa.record_batch([pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.int32()), *(pa.array([rows[k][x] for k in part], pa.binary()) for x in (0, 1))], ["did", "tie", "gone", "open"])
+            yield pa.record_batch([pa.array([k[0] for k in part], pa.int64()), pa.array([k[1] for k in part], pa.int64()), *(pa.array([rows[k][x] for k in part], pa.binary()) for x in (0, 1))], ["did", "tie", "gone", "open"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -431,10 +450,11 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             if not meta:
                 continue
             g = np.array([m[0] for m in meta], U)
-            cols = [g, *(np.array([m[i] for m in meta], k) for i, k in zip(range(1, 5), (np.int64, np.int32, np.int32, np.uint8)))]
+            cols = [g, *(np.array([m[i] for m in meta], k) for i, k in zip(range(1, 5), (np.int64, np.int64, np.int32, np.uint8)))]
             # equal single windows: the earliest of the batch goes on, the others are settled here
             single = np.flatnonzero(cols[4] == 0)
-            text = np.array([hash(bits[i].tobytes()) for i in single], np.int64)
+            known: dict[bytes, int] = {}
+            text = np.array([known.setdefault(bits[i].tobytes(), len(known)) for i in single], np.int64)
             s, new, past = later([cols[0][single], text], [c[single] for c in cols[1:4]])
             drop = np.zeros(len(g), bool)
             drop[single[s[~new]]] = True
@@ -477,7 +497,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             yield pa.record_batch([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     two, three = "bucket long, a binary, b binary", "bucket long, a binary, b binary, c binary"
-    doc_rows = "did long, tie int, gone binary, open binary"
+    doc_rows = "did long, tie long, gone binary, open binary"
     found = src.mapInArrow(find, three).repartitionById(width, F.col("bucket").cast("int")).mapInArrow(group, two)
     first = cut(found.repartitionById(width, F.col("bucket").cast("int")).mapInArrow(per_document, doc_rows))
     unsettled = src.join(first.where(F.octet_length("open") > 0).select("did", "tie", "open"), ["did", "tie"]).select("did", "tie", "data", "open")
