@@ -6,9 +6,12 @@ closest in relative entropy to leaving the corpus as it is. The minimiser is an
 ``r = min(cap, exp(lambda_source * x))``, and lambda solves a smooth convex dual per source. The
 dual needs only the token mass at each (source, x), so documents are pre-aggregated once and the
 Newton iterations run over that histogram, distributed by source, with a bracket that falls back
-to bisection. ``base`` names the reference measure: "tokens" weighs a document by its size (x = 1:
-the mix keeps every source's inner composition), "documents" weighs all documents alike (x = size
-over the source's mean size: long documents are tilted more).
+to bisection; a source that has met its tolerance takes one last step, which leaves its lambda exact
+to the arithmetic, and sources that do not settle raise. ``base`` names the reference measure:
+"documents", the default, weighs all documents alike, so that x is the document's size over its
+source's mean size and every size has a rate of its own: sources that grow repeat long documents more,
+sources that shrink drop them first. "tokens" weighs a document by its size; x is 1 then, all documents
+of a source share one rate, and the source keeps its inner composition.
 
 Rates become whole copies by systematic rounding: within a source, sizes in descending order share
 one running sum of fractional copies, and each size gets as many extra copies as the sum passes
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vaultmill.llm.common import cut, fresh, table
+from vaultmill.llm.common import cut, fresh, table, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1_000_000  # rates are kept in millionths, so that running sums are exact integers
@@ -61,7 +64,7 @@ def water_fill(sources: DataFrame, weights: Sequence[int], cap: int) -> DataFram
     return s.withColumn("target", F.least(F.col("most").cast("double"), F.col("level") * F.col("w"))).drop("level", "most", "w")
 
 
-def solve_dual(mass: DataFrame, targets: DataFrame, cap: float, tol: float = 1e-10, max_rounds: int = 80) -> DataFrame:
+def solve_dual(mass: DataFrame, targets: DataFrame, cap: float, tol: float = 1e-9, max_rounds: int = 200) -> DataFrame:
     """Newton on the dual. mass(key, x, mass), targets(key, target) -> (key, lam), one row per key.
 
     Per source the gradient is sum(mass * min(cap, e^(lam x))) - target and the curvature is
@@ -75,7 +78,7 @@ def solve_dual(mass: DataFrame, targets: DataFrame, cap: float, tol: float = 1e-
         F.coalesce(F.greatest(at_cap / F.col("least_x"), F.lit(1.0)) + 1.0, F.lit(1.0)).alias("hi"), F.lit(False).alias("done"),
     )
     state = cut(state)
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         if state.where(~F.col("done")).isEmpty():
             break
         tilt = F.col("lam") * F.col("x")
@@ -92,8 +95,14 @@ def solve_dual(mass: DataFrame, targets: DataFrame, cap: float, tol: float = 1e-
         step = F.col("lam") - F.try_divide(F.col("gap"), F.col("curve"))
         middle = (F.col("lo2") + F.col("hi2")) / 2
         inside = F.col("curve").isNotNull() & (F.col("curve") > 0) & (step > F.col("lo2")) & (step < F.col("hi2"))
-        over = F.col("done") | F.col("got").isNull() | (F.abs("gap") <= F.col("target") * tol) | (F.col("hi2") - F.col("lo2") < 1e-15)
-        state = cut(s.select("key", "target", F.when(over, F.col("lam")).when(inside, step).otherwise(middle).alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), over.alias("done")))
+        met = F.abs("gap") <= F.col("target") * tol
+        over = F.col("done") | F.col("got").isNull() | met | (F.col("hi2") - F.col("lo2") < 1e-15)
+        if k > 20 and k % 2:  # steps that stall at the kinks of the cap: halve the bracket in between
+            inside = F.lit(False)
+        lam = F.when(F.col("done") | F.col("got").isNull(), F.col("lam")).when(inside, step).when(over, F.col("lam")).otherwise(middle)
+        state = cut(s.select("key", "target", lam.alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), over.alias("done")))
+    else:
+        raise RuntimeError(f"rates have not settled in {max_rounds} rounds")
     return state.select("key", "lam")
 
 
@@ -107,7 +116,9 @@ def round_copies(rated: DataFrame, cap: int) -> DataFrame:
     larger = W.partitionBy("key").orderBy(F.col("size").desc()).rowsBetween(W.unboundedPreceding, -1)
     part = F.col("n") * (F.col("q") % UNIT)
     r = rated.withColumn("start", F.coalesce(F.sum(part).over(larger), F.lit(0)) + UNIT // 2)
-    r = r.withColumn("whole", F.floor(F.col("q") / UNIT)).withColumn("extra", F.floor((F.col("start") + part) / UNIT) - F.floor(F.col("start") / UNIT))
+    # integer division: no sum is rounded
+    r = r.withColumn("whole", F.expr(f"q div {UNIT}")).withColumn("end", F.col("start") + part)
+    r = r.withColumn("extra", F.expr(f"end div {UNIT} - start div {UNIT}")).drop("end")
     for _ in range(REPAIRS):
         r = r.withColumn("gap", F.col("target") - F.sum(F.col("size") * (F.col("n") * F.col("whole") + F.col("extra"))).over(W.partitionBy("key")))
         off = F.abs(F.abs(F.col("gap")) - F.col("size"))
@@ -118,19 +129,14 @@ def round_copies(rated: DataFrame, cap: int) -> DataFrame:
     return r.drop("start", "q")
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = WEIGHTS, cap: int = CAP, base: str = "tokens") -> tuple[DataFrame, dict[str, str]]:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = WEIGHTS, cap: int = CAP, base: str = "documents") -> tuple[DataFrame, dict[str, str]]:
     """All rows of docs with the columns size, source_size, target, rate and copies added.
 
     Returns the table and the names that the added columns got (they evade names already there).
     """
     if base not in ("tokens", "documents"):
         raise ValueError("base is tokens or documents")
-    names: dict[str, str] = {}
-    probe = docs
-    for n in ("size", "source_size", "target", "rate", "copies", "key", "salt", "start", "whole", "extra", "rank"):
-        names[n] = fresh(probe, n)
-        probe = probe.withColumn(names[n], F.lit(1))
-    n = names
+    n = unused(("size", "source_size", "target", "rate", "copies", "key", "salt", "start", "whole", "extra", "rank", "on_key", "on_size", "on_salt"), docs)
     sid, src = docs[f"`{id_col}`"], docs[f"`{source_col}`"]
     spread = sid if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(sid)
     # the words are counted once: a column used twice is not computed again above this projection
@@ -153,16 +159,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     starts = cells.join(rated.select("key", "size", "whole", "extra", "rate", "target", "source_size"), ["key", "size"])
     starts = starts.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     for c in ("key", "size", "salt"):
-        starts = starts.withColumnRenamed(c, f"__{c}")
+        starts = starts.withColumnRenamed(c, n[f"on_{c}"])
     for c in ("start", "whole", "extra", "rate", "target", "source_size"):
         starts = starts.withColumnRenamed(c, n[c])
-    on = [d[n[c]] == starts[f"__{c}"] for c in ("key", "size", "salt")]
-    j = d.join(starts, on).drop("__key", "__size", "__salt")
+    on = [d[n[c]] == starts[n[f"on_{c}"]] for c in ("key", "size", "salt")]
+    j = d.join(starts, on)
     order = W.partitionBy(n["key"], n["size"], n["salt"]).orderBy(F.col(f"`{id_col}`").asc_nulls_last())
     j = j.withColumn(n["rank"], F.row_number().over(order).cast("long"))
     more = F.col(n["start"]) + F.col(n["rank"]) <= F.col(n["extra"])
     j = j.withColumn(n["copies"], F.col(n["whole"]) + more.cast("long"))
-    return j.drop(*[n[c] for c in ("key", "salt", "start", "whole", "extra", "rank")]), n
+    return j.drop(*[n[c] for c in ("key", "salt", "start", "whole", "extra", "rank", "on_key", "on_size", "on_salt")]), n
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
@@ -179,18 +185,27 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS k,
          coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
   FROM documents),
-s AS (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS total FROM d GROUP BY k),
+s AS (SELECT k, any_value(source) AS source, sum(size)::BIGINT AS total, count(*)::BIGINT AS docs FROM d GROUP BY k),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w, total * 3 AS most FROM s),
 o AS (SELECT *, (sum(total) OVER () - coalesce(sum(most) OVER b, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER b, 0))::DOUBLE AS level
   FROM w WINDOW b AS (ORDER BY most::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT k, total, least(most::DOUBLE, (max(level) OVER ()) * w) AS target FROM o),
-q AS (SELECT *, CASE WHEN total > 0 THEN least(round(target / total * 1000000)::BIGINT, 3000000) ELSE 0 END AS q FROM t),
-h AS (SELECT d.k, size, count(*)::BIGINT AS n, any_value(q.q) AS q, any_value(q.total) AS total, any_value(q.target) AS target
-  FROM d JOIN q ON d.k = q.k GROUP BY d.k, size),
+t AS (SELECT k, total, docs, least(most::DOUBLE, (max(level) OVER ()) * w) AS target FROM o),
+m AS (SELECT d.k, size, count(*)::BIGINT AS n, any_value(t.total) AS total, any_value(t.target) AS target, any_value(t.docs) AS docs
+  FROM d JOIN t ON d.k = t.k GROUP BY d.k, size),
+x AS (SELECT *, CASE WHEN total > 0 THEN (size * docs)::DOUBLE / total END AS x FROM m),
+b AS (
+  SELECT k, -700.0::DOUBLE AS lo, greatest(ln(3.0::DOUBLE) / min(x), 1.0::DOUBLE) + 1 AS hi, 0 AS i FROM x WHERE x > 0 GROUP BY k
+  UNION ALL
+  SELECT b.k, CASE WHEN sum(n * size * least(exp(least((lo + hi) / 2 * x, ln(3.0::DOUBLE))), 3.0::DOUBLE)) < any_value(target) THEN (lo + hi) / 2 ELSE lo END,
+    CASE WHEN sum(n * size * least(exp(least((lo + hi) / 2 * x, ln(3.0::DOUBLE))), 3.0::DOUBLE)) < any_value(target) THEN hi ELSE (lo + hi) / 2 END, i + 1
+  FROM b JOIN x ON b.k = x.k WHERE i < 100 GROUP BY b.k, lo, hi, i),
+h AS (SELECT x.k, size, n, total, target,
+    CASE WHEN total > 0 THEN least(round(least(exp(least((lo + hi) / 2 * x, 50.0)), 3.0::DOUBLE) * 1000000)::BIGINT, 3000000) ELSE 0 END AS q
+  FROM x LEFT JOIN (SELECT * FROM b WHERE i = 100) e ON e.k = x.k),
 c AS (SELECT *, coalesce(sum(n * (q % 1000000)) OVER (PARTITION BY k ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 500000 AS start FROM h),
 e0 AS (SELECT k, size, n, total, target, q // 1000000 AS whole, (start + n * (q % 1000000)) // 1000000 - start // 1000000 AS extra FROM c),
 g1 AS (SELECT *, target - sum(size * (n * whole + extra)) OVER (PARTITION BY k)::BIGINT AS gap FROM e0),
