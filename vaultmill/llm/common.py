@@ -77,6 +77,27 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+SKETCH = 4096  # counters of the sketch that finds crowded keys
+CROWD = 65_536  # rows of a key for one task
+
+
+def salted(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str], crowd: int | None = None) -> DataFrame:
+    """Inner join on keys of which some may have very many rows on the left.
+
+    The rows of each key are counted first; a sketch of ``SKETCH`` maxima (keys share one by hash) says
+    into how many parts of about ``crowd`` rows a key is cut. Left rows take a part by the hash of the
+    columns ``spread``; right rows are repeated for each part of their key.
+    """
+    n = unused(("slot", "parts", "part"), many, few)
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SKETCH)).alias(n["slot"])
+    counts = many.groupBy(*keys).agg(F.count("*").alias(n["parts"]))
+    sketch = counts.groupBy(slot).agg(F.ceil(F.max(n["parts"]) / (crowd or CROWD)).cast("int").alias(n["parts"]))
+    sketch = F.broadcast(cut(sketch))  # SKETCH rows at most
+    left = many.select("*", slot).join(sketch, n["slot"]).withColumn(n["part"], F.pmod(F.xxhash64(*spread), F.col(n["parts"])).cast("int"))
+    right = few.select("*", slot).join(sketch, n["slot"]).withColumn(n["part"], F.explode(F.sequence(F.lit(0), F.col(n["parts"]) - 1)))
+    return left.drop(n["slot"], n["parts"]).join(right.drop(n["slot"], n["parts"]), [*keys, n["part"]]).drop(n["part"])
+
+
 HUBS = 8192  # nodes of the highest degrees that are handled apart, at most
 LEAF = 32  # edges that any node may have without being a hub
 
