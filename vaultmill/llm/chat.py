@@ -62,13 +62,13 @@ def preferences(turns: DataFrame) -> DataFrame:
 
 def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    pair, side = F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)).cast("int")
+    pair, side = F.shiftright("conv_id", 1), F.pmod("conv_id", F.lit(2)).cast("int")
     return preferences(c.select(pair.alias("pair"), side.alias("side"), "turn", "role", "text"))
 
 
 OP2_SQL = r"""
 WITH t AS (
-  SELECT floor(conv_id / 2)::BIGINT AS pair, ((conv_id % 2) + 2) % 2 AS side, role, text,
+  SELECT (conv_id - ((conv_id % 2) + 2) % 2) // 2 AS pair, ((conv_id % 2) + 2) % 2 AS side, role, text,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS i
   FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT pair FROM t GROUP BY pair HAVING count(DISTINCT side) = 2),
