@@ -2,17 +2,24 @@
 
 Writing: every page's payload (its html in UTF-8) has a SHA-256. Only headers - id, digest, size -
 are shuffled by digest; of equal payloads of at least ``LEAST`` bytes the smallest id becomes the
-response and the others become revisit records without payload that name it. The decisions then
-meet the payloads by page, which no hot payload skews, and records with fresh headers go out through
-Spark's own writer (task commits survive lost executors, any Hadoop file system will do): one
-record is one row, and the writer's line separator is the blank lines that end a WARC record.
-Archives are gzip files, a member per file.
+response and the others become revisit records without payload that name it. A digest with very
+many pages is met by a broadcast of at most ``HUBS`` rows, so it is in no single task. The list of
+revisits then meets the payloads: by broadcast up to ``FEW`` of them, so that payloads stay where they
+are read, by a join on id and digest beyond that, which no hot payload skews. Records get fresh headers
+(the date of writing, their own ids, length, digest) and are compressed singly, a gzip member for
+each, so that any record can be read from its offset. Members are gathered to archives of about
+``ROOM`` bytes, each opened by a warcinfo record, and go out through Spark's own writer: a row is a
+file, task commits survive lost executors and any Hadoop file system will do. The writer ends a row
+with a separator; that is the zero byte which ends a gzip member of less than 16 MB (an empty member
+is added after a larger one), taken off the row before.
 
 Reading: each archive is unpacked as a stream and cut by Content-Length, never by searching for
 separators, so payloads may hold anything. Payload digests are checked against the headers, and
 revisit records are joined to their responses for size and digest.
 
-Null html: an empty payload. Null url: no target URI. Null ids: come last, and have no id header.
+Ids are whole numbers (others raise a TypeError). Null html: an empty payload. Null url: no target URI.
+Null ids: come last, and have no id header. A record is held whole, an archive is not longer than
+``ROOM`` and one record.
 Rows that repeat id and payload of a response are responses too. Empty input: empty output.
 """
 
@@ -23,14 +30,16 @@ import hashlib
 import io
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultmill.llm.common import cut, row_id, shared_dir, table
+from vaultmill.llm.common import HUBS, LEAF, cut, integer_id, row_id, shared_dir, star, table
 
 LEAST = 100
+ROOM, FEW = 32 << 20, 200_000  # bytes of an archive; revisits that are broadcast, of about 100 bytes
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
@@ -42,16 +51,51 @@ def record_id(page: Column, digest: Column) -> Column:
 
 def resolve(pages: DataFrame) -> DataFrame:
     """pages(rid, digest, bytes, ..) -> (rid, digest, first): first is the response's id."""
-    heads = pages.select("rid", "digest", "bytes")
-    first = heads.where(F.col("bytes") >= LEAST).groupBy("digest").agg(F.min("rid").alias("first"))
-    return heads.where(F.col("bytes") >= LEAST).select("rid", "digest").distinct().join(first, "digest").where("first < rid")
-
-
-def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2025-01-01T00:00:00Z") -> None:
+    heads = cut(pages.where(F.col("bytes") >= LEAST).select(F.col("digest").alias("u"), F.col("rid").alias("v")).distinct())
+    met = star(heads, max(LEAF, heads.count() // HUBS)).where("m < v")
+    return cut(met.select(F.col("v").alias("rid"), F.col("u").alias("digest"), F.col("m").alias("first")))
+
+
+def member(record: bytes) -> bytes:
+    """A gzip member whose last byte is zero."""
+    out = gzip.compress(record, 6, mtime=0)
+    return out if not out[-1] else out + gzip.compress(b"", 6, mtime=0)
+
+
+def archives(date: str, room: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
+        row = lambda: pa.record_batch([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+        for b in batches:
+            for r in b.column(0).cast(pa.large_binary()):
+                if size >= room:
+                    yield row()
+                    held, size = [], 0
+                record = r.as_py()
+                if not held:
+                    fields = b"software: vaultmill\r\nformat: WARC File Format 1.1\r\n"
+                    name = uuid.UUID(bytes=hashlib.md5(date.encode() + record).digest())
+                    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(fields)}{END}"
+                    held.append(member(head.encode() + fields + END.encode()))
+                held.append(member(record))
+                size += len(held[-1])
+        if held:
+            yield row()
+
+    return pack
+
+
+def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str | None = None, room: int = ROOM) -> None:
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.coalesce(pages[f"`{payload_col}`"].cast("string"), F.lit(""))
-    p = pages.select(pages[f"`{id_col}`"].cast("string").alias("pid"), row_id(pages[f"`{id_col}`"]).alias("rid"), pages[f"`{url_col}`"].cast("string").alias("url"), payload.alias("payload"))
+    i = integer_id(pages, id_col)
+    p = pages.select(i.cast("string").alias("pid"), row_id(i).alias("rid"), pages[f"`{url_col}`"].cast("string").alias("url"), payload.alias("payload"))
     p = p.withColumns({"bytes": F.octet_length("payload"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    p = p.join(resolve(p), ["rid", "digest"], "left")
+    revisits = resolve(p)
+    if revisits.count() <= FEW:
+        revisits = F.broadcast(revisits)
+    p = p.join(revisits, ["rid", "digest"], "left")
     revisit = F.col("first").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
@@ -71,8 +115,9 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         F.lit("Content-Type: application/http; msgtype=response"),
         line("Content-Length", F.octet_length("block").cast("string")),
     )
-    out = p.withColumn("block", block).select(F.concat(head, F.lit(END), F.col("block")).alias("value"))
-    out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 50_000).text(path)
+    out = p.withColumn("block", block).select(F.concat(head, F.lit(END), F.col("block"), F.lit(END)).cast("binary").alias("value"))
+    out = out.mapInArrow(archives(date, room), "value binary").select(F.col("value").cast("string").alias("value"))
+    out.write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -95,6 +140,8 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in b.column(0):
             rows = []
             for head, block in records(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())))):
+                if head["warc-type"] == "warcinfo":
+                    continue
                 payload = block.partition(END.encode())[2]
                 claimed = head["warc-payload-digest"].removeprefix("sha256:")
                 if head["warc-type"] == "response" and hashlib.sha256(payload).hexdigest() != claimed:
