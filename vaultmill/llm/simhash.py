@@ -15,7 +15,7 @@ the number of distinct fingerprints so that a slice holds about ``SLICE`` of the
 fuller is split again by its next bits, in turn, so memory stays bounded. Equal fingerprints
 are one item. Components come from the links of all slices.
 
-Null, empty and blank texts: fingerprint zero, linked like any other. Null ids: never the smallest
+Ids are whole numbers (others raise a TypeError). Null, empty and blank texts: fingerprint zero, linked like any other. Null ids: never the smallest
 of a component, unless it has no other. Repeated rows: rows of one fingerprint. Empty input: empty.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vaultmill.llm.common import LAST_ID, components, cut, row_id, table, text_hash
+from vaultmill.llm.common import LAST_ID, components, cut, integer_id, row_id, table, text_hash, unused
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 SLICE = 512  # distinct fingerprints for a slice, on average
@@ -207,7 +207,7 @@ def classes(prints: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
-    rows = cut(docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), simhash(docs[f"`{text_col}`"].cast("string")).alias("fp")))
+    rows = cut(docs.select(integer_id(docs, id_col).alias("doc_id"), simhash(docs[f"`{text_col}`"].cast("string")).alias("fp")))
     # written out, so that the join below deals both sides anew and a hot fingerprint's rows can be split
     best = cut(classes(rows.groupBy("fp").agg(F.min(row_id(F.col("doc_id"))).alias("rep"))))
     return rows.join(best, "fp").select("doc_id", "fp", F.when(F.col("best") < LAST_ID, F.col("best")).alias("component_id"))
@@ -215,15 +215,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest id (null ids last)."""
-    key = lambda d: (row_id(d["doc_id"]), text_hash(d["text"]))
+    key = lambda d: (row_id(integer_id(d, "doc_id")), text_hash(d["text"]))
+    n = unused(("i", "t", "row"), docs)
     i, t = key(docs)
     rows = cut(docs.select(F.struct(i.alias("i"), t.alias("t")).alias("rep"), simhash(docs["text"].cast("string")).alias("fp")))
-    best = classes(rows.groupBy("fp").agg(F.min("rep").alias("rep"))).select(F.col("best.i").alias("__i"), F.col("best.t").alias("__t")).distinct()
-    kept = docs.join(best, (i == best["__i"]) & (t == best["__t"]), "left_semi")
+    best = classes(rows.groupBy("fp").agg(F.min("rep").alias("rep"))).select(F.col("best.i").alias(n["i"]), F.col("best.t").alias(n["t"])).distinct()
+    kept = docs.join(best, (i == best[n["i"]]) & (t == best[n["t"]]), "left_semi")
     i, t = key(kept)
     # rows that repeat both id and text are one document
     w = W.partitionBy(i, t).orderBy(F.lit(0))
-    return kept.select("*", F.row_number().over(w).alias("__n")).where("__n = 1").drop("__n")
+    return kept.select("*", F.row_number().over(w).alias(n["row"])).where(F.col(n["row"]) == 1).drop(n["row"])
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
