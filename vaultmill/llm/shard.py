@@ -1,8 +1,10 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has 2^60 positions (the first 15 hex digits of an MD5) cut into ``cells`` equal cells.
+The ring has 2^60 positions (the first 15 hex digits of an MD5) cut into ``cells`` equal cells. A
+document's key is its id with size and checksum of its text, so rows without id, or of one id, spread
+over the ring too; only rows equal in all three share a position.
 Every shard owns ``vnodes`` virtual nodes; a cell belongs to the first virtual node at or after
-it, clockwise. A shard's capacity is floor(n / shards), plus one for the first n mod shards
+it, clockwise (of several in one cell the first counts). A shard's capacity is floor(n / shards), plus one for the first n mod shards
 shards, so full shards are exactly balanced (law "rows": counts at most one apart). A shard takes
 the keys of its own cells in clockwise order while it has room; keys beyond that continue
 clockwise to the next virtual node whose shard still has room. Keys of cells below capacity never
@@ -13,8 +15,9 @@ number of rows. The plan that goes back has a run of ranks (cell, from, to, shar
 each cell plus at most one for each shard that fills up, so it is broadcast with a proven bound.
 A row's rank within its cell is the only shuffle.
 
-Null text: size 16, crc 0. Null id: one key of its own. Rows of one id stay in clockwise order by
-size and checksum. Empty input: empty output.
+Null text: size 16, crc 0. Null id: the word "null" stands for it. Ids may be of any type that casts to
+text. Rows of one position are ordered by id, and by null before empty text. Columns of the table keep
+their names; added ones evade them. Empty input: empty output.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vaultmill.llm.common import fresh, shared_dir, table
+from vaultmill.llm.common import shared_dir, table, unused
 
 BITS, CELL_BITS, SHARDS, VNODES = 60, 16, 40, 128
 
@@ -35,8 +38,9 @@ def position(key: str) -> int:
     return int(hashlib.md5(key.encode()).hexdigest()[:15], 16)
 
 
-def key_position(id_col: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("null")).cast("binary")), 1, 15), 16, 10).cast("long")
+def key_position(id_col: Column, size: Column, crc: Column) -> Column:
+    key = F.concat_ws("|", F.coalesce(id_col.cast("string"), F.lit("null")), size.cast("string"), crc.cast("string"))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def owners(shards: int, vnodes: int, cell_bits: int = CELL_BITS) -> list[int]:
@@ -97,25 +101,22 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     """All rows of docs with the columns size, text_crc32, law, shard, slot and grown_shard added."""
     spark = docs.sparkSession
     shared_dir(spark)
-    names: dict[str, str] = {}
-    probe = docs
-    for c in ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "at", "cell", "rank"):
-        names[c] = fresh(probe, c)
-        probe = probe.withColumn(names[c], F.lit(1))
-    n = names
-    at = key_position(docs[f"`{id_col}`"])
+    n = unused(("size", "text_crc32", "law", "shard", "slot", "grown_shard", "at", "cell", "rank", "run_cell", "first", "last", "to", "offset"), docs)
+    text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
+    size, crc = F.octet_length(text).cast("long") + 16, F.crc32(text.cast("binary"))
+    at = key_position(docs[f"`{id_col}`"], size, crc)
     cell = F.shiftright(at, BITS - cell_bits).cast("int")
     counts = {r[0]: r[1] for r in docs.groupBy(cell.alias("c")).count().collect()}  # at most 2^cell_bits rows
-    runs = spark.createDataFrame(deal(counts, shards, vnodes, cell_bits), "__c int, __a long, __b long, __s int, __o long")
-    text = F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit(""))
-    d = docs.select("*", (F.octet_length(text).cast("long") + 16).alias(n["size"]), F.crc32(text.cast("binary")).alias(n["text_crc32"]), F.lit("rows").alias(n["law"]), at.alias(n["at"]), cell.alias(n["cell"]))
+    runs = spark.createDataFrame(deal(counts, shards, vnodes, cell_bits), f"{n['run_cell']} int, {n['first']} long, {n['last']} long, {n['to']} int, {n['offset']} long")
+    d = docs.select("*", size.alias(n["size"]), crc.alias(n["text_crc32"]), F.lit("rows").alias(n["law"]), at.alias(n["at"]), cell.alias(n["cell"]))
     order = W.partitionBy(n["cell"]).orderBy(n["at"], F.col(f"`{id_col}`").asc_nulls_last(), n["size"], n["text_crc32"], F.col(f"`{text_col}`").isNull())
     d = d.withColumn(n["rank"], F.row_number().over(order).cast("long") - 1)
-    j = d.join(F.broadcast(runs), (d[n["cell"]] == runs["__c"]) & (d[n["rank"]] >= runs["__a"]) & (d[n["rank"]] <= runs["__b"]))
-    out = j.withColumn(n["shard"], F.col("__s")).withColumn(n["slot"], F.col("__o") + F.col(n["rank"]) - F.col("__a")).withColumn(n["grown_shard"], F.lit(None).cast("int"))
-    return out.drop("__c", "__a", "__b", "__s", "__o", n["at"], n["cell"], n["rank"]), n
+    j = d.join(F.broadcast(runs), (d[n["cell"]] == runs[n["run_cell"]]) & (d[n["rank"]] >= runs[n["first"]]) & (d[n["rank"]] <= runs[n["last"]]))
+    out = j.withColumn(n["shard"], F.col(n["to"])).withColumn(n["slot"], F.col(n["offset"]) + F.col(n["rank"]) - F.col(n["first"])).withColumn(n["grown_shard"], F.lit(None).cast("int"))
+    return out.drop(*[n[c] for c in ("run_cell", "first", "last", "to", "offset", "at", "cell", "rank")]), n
 
 
 def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
