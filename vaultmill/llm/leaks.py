@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits in lower case. A document is contaminated by a test item of L
 words if their local alignment (match 1, mismatch and gap -1) has a score S with similarity
-(S + L) / 2L >= ``LEAST``; where words are replaced that is the share of words left.
+(S + L) / 2L >= ``LEAST``; where words are replaced that is the share of words left. Items of fewer
+than ``SHORTEST`` words are no passages (any text holds "the" and "of") and match nothing.
 
 Such an alignment has at most B = 2 (1 - LEAST) L losses to spend: 1 for an item word left out at an
 end or a word put in, 2 for a word replaced or dropped. No loss costs more than two of the item's
@@ -10,17 +11,23 @@ L - 2 n-grams of three words per unit, nor more than one of its L - 1 n-grams of
 its L single words. Each item uses the longest of these n-grams of which some must be left (under
 0.8: three words for items of more than 10, two words for shorter ones, the word itself for an item
 of one). With D the most that can be lost, all but D of them occur in the document, and of any
-D + 1 at least one does. A first pass over all documents counts in how many each n-gram of the
-benchmark occurs; the D + 1 rarest of each item become its seeds. A second pass joins documents to
-items on the n-grams and keeps pairs with a seed and with as many n-grams as must be left, first
-for the document, then for each stretch of it; only these are aligned. This finds every contaminated
-document, however common or short the item is. Nothing limits hits, items or documents.
-
-Test items go to the executors in slices of at most ``SLICE`` bytes of text, a proven bound; a
-larger benchmark takes more passes. Documents are never shuffled.
-
-Null, empty and blank texts on either side match nothing. Repeated rows are judged alike. Empty
-tables: no document is contaminated.
+D + 1 at least one does: the D + 1 that the fewest documents hold are the item's seeds.
+
+1. One pass over the documents finds which hold which n-grams of the benchmark. A filter of bits,
+   ``FILTER`` of them at most however large the benchmark is, goes to the executors; what it lets
+   through is shuffled as (n-gram, document) and meets the benchmark's n-grams there, so a filter that
+   is too full costs time only.
+2. N-grams are counted by documents and the seeds are chosen. Documents and items that share a seed
+   are candidates; those that share as many n-grams as must be left go on.
+3. The texts of these documents alone are fetched (by a broadcast of their keys up to ``FEW``, by a
+   shuffle beyond that), meet their items and are aligned, ``TOGETHER`` items of a document at a time.
+
+This finds every contaminated document, however common the item is; nothing limits hits, items or
+documents. N-grams and items that very many documents share are dealt to several tasks (``salted``).
+
+Null, empty and blank texts on either side match nothing. Document ids are whole numbers (others
+raise a TypeError), item ids too; null ids are kept. Repeated rows on either side are judged alike,
+each on its own. Empty tables: no document is contaminated.
 """
 
 from __future__ import annotations
@@ -30,22 +37,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vaultmill.llm.common import table
+from vaultmill.llm.common import cut, integer_id, row_id, salted, table, text_hash, unused
 
-GRAM, LEAST, SLICE = 3, 0.8, 4 << 20
+GRAM, LEAST, SHORTEST = 3, 0.8, 3
+FILTER = 28  # the filter has at most 2 to this power of bits: 32 MB
+FEW = 200_000  # keys of documents that are broadcast, of 16 bytes
+TOGETHER = 64
 WORDS = re.compile(r"\w+")
 CHUNK = 200_000  # words looked up at once
+KNOWN = 1 << 18  # words whose hash is remembered
 U = np.uint64
 MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+class Numbers(dict):
+    """Word -> 64-bit number, not zero; remembers words seen before."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        n = self[word] = xxhash.xxh64_intdigest(word) | 1
+        return n
+
+
+def numbers(text: str | None, known: Numbers) -> list[int]:
+    return list(map(known.__getitem__, WORDS.findall(text.lower()))) if text else []
+
+
 def codes(ids: np.ndarray, n: int) -> np.ndarray:
-    """A number for every run of n known words; 0 where one is unknown."""
+    """A number for every run of n words; 0 where one of them is the mark between documents."""
     if len(ids) < n:
         return np.zeros(0, U)
     x, known = np.full(len(ids) - n + 1, U(n)), np.ones(len(ids) - n + 1, bool)
@@ -53,131 +78,133 @@ def codes(ids: np.ndarray, n: int) -> np.ndarray:
         for k in range(n):
             part = ids[k : len(ids) - n + 1 + k]
             known &= part > 0
-            x = (x ^ (x >> U(29))) * MIX[k] + part.astype(U)
+            x = (x ^ (x >> U(29))) * MIX[k] + part
         x ^= x >> U(32)
     return np.where(known, x | U(1), U(0))
 
 
-class Items:
-    """Test items of one slice, and what is looked up in documents."""
-
-    def __init__(self, rows: list[tuple[int, str]]):
-        self.vocab: dict[str, int] = {}
-        self.ids: list[int] = []
-        self.words: list[np.ndarray] = []
-        for i, text in rows:
-            w = WORDS.findall(text.lower())
-            if w:
-                self.ids.append(i)
-                self.words.append(np.array([self.vocab.setdefault(x, len(self.vocab) + 1) for x in w], np.int64))
-        n = np.array([len(w) for w in self.words], np.int64)
-        spend = 2 * (1 - LEAST) * n + 1e-9
-        size, lost = np.ones(len(n), np.int64), np.floor(spend).astype(np.int64)
-        for g in range(2, GRAM + 1):
-            most = np.floor((g - 1) * spend).astype(np.int64)
-            some = n - g + 1 > most
-            size[some], lost[some] = g, most[some]
-        grams = [codes(w, g) for w, g in zip(self.words, size.tolist())]
-        self.sizes = sorted(set(size.tolist()))
-        code = np.concatenate([*grams, np.zeros(0, U)])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        offset = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
-        order = np.argsort(code, kind="stable")
-        self.lookup, first, times = np.unique(code[order], return_index=True, return_counts=True)
-        self.first, self.times = first, times
-        self.item, self.offset = item[order], offset[order]  # where the n-gram with number k stands: first[k], times[k]
-        self.need = n - size + 1 - lost
-        self.seeds = lost + 1
-        self.rare = np.ones(len(code), bool)
-
-    def choose(self, count: np.ndarray) -> None:
-        """Marks the seeds: the rarest n-grams of each item, by documents that hold them."""
-        often = np.repeat(count, self.times)
-        order = np.lexsort((self.offset, often, self.item))
-        item = self.item[order]
-        rank = np.arange(len(item)) - np.searchsorted(item, item)
-        self.rare[order] = rank < self.seeds[item]
-
-    @classmethod
-    def held(cls, shared: Broadcast) -> Items:
-        """From a broadcast of an instance's fields (plain values: executors need no module to read them)."""
-        out = cls.__new__(cls)
-        out.__dict__ = shared.value
-        return out
-
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(positions, numbers) of the benchmark's n-grams among the words."""
-        for n in self.sizes:
-            c = codes(ids, n)
-            at = np.flatnonzero(c)
-            x = c[at]
-            i = np.searchsorted(self.lookup, x)
-            i[i == len(self.lookup)] = 0
-            ok = self.lookup[i] == x
-            yield at[ok], i[ok]
-
-    def chunks(self, texts: pa.Array) -> Iterator[tuple[list[int], np.ndarray]]:
-        """(first word of each document and the end, word ids), an unknown word after each document."""
-        get = self.vocab.get
-        starts: list[int] = [0]
-        ids: list[int] = []
-        for t in texts:
-            s = t.as_py()
-            if s:
-                ids += [get(w, 0) for w in WORDS.findall(s.lower())]
-            ids.append(0)
-            starts.append(len(ids))
-            if len(ids) > CHUNK:
-                yield starts, np.array(ids, np.int64)
-                starts, ids = [0], []
-        if ids:
-            yield starts, np.array(ids, np.int64)
-
-    def pairs(self, starts: list[int], ids: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(document, item, positions, offsets in the item) of pairs that share a seed and enough n-grams."""
-        at, k = (np.concatenate(x) for x in zip(*self.hits(ids)))
-        n = self.times[k]
-        slot = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(at, n)
-        item, off, rare = self.item[slot], self.offset[slot], self.rare[slot]
-        doc = np.searchsorted(starts, at, side="right") - 1
-        pair = doc * len(self.words) + item
-        order = np.lexsort((off, pair))
-        pair, at, off, rare = pair[order], at[order], off[order], rare[order]
-        if not len(pair):
-            return
-        head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        distinct = np.concatenate([[True], (pair[1:] != pair[:-1]) | (off[1:] != off[:-1])])
-        enough = np.add.reduceat(distinct.astype(np.int64), head) >= self.need[pair[head] % len(self.words)]
-        stop = np.append(head[1:], len(pair))
-        for i in np.flatnonzero(enough & np.logical_or.reduceat(rare, head)).tolist():
-            w = slice(head[i], stop[i])
-            yield int(pair[head[i]]) // len(self.words), int(pair[head[i]]) % len(self.words), at[w], off[w]
-
-    def matches(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
-        """(document's place, item, similarity, first word, end) of every contaminated stretch."""
-        base = 0
-        for starts, ids in self.chunks(texts):
-            for d, k, at, off in self.pairs(starts, ids):
-                item = self.words[k]
-                slack = max(4, len(item) // 2)
-                lo, end = starts[d], starts[d + 1] - 1
-                diagonal = at - off
-                order = np.argsort(diagonal, kind="stable")
-                diagonal, off = diagonal[order], off[order]
-                cuts = np.flatnonzero(np.diff(diagonal) > len(item) + 2 * slack) + 1
-                best: tuple[float, int, int] | None = None
-                for g, o in zip(np.split(diagonal, cuts), np.split(off, cuts)):
-                    if len(np.unique(o)) < self.need[k]:
-                        continue
-                    a, b = max(lo, int(g[0]) - slack), min(end, int(g[-1]) + len(item) + slack)
-                    s, e, score = align(item, ids[a:b])
-                    sim = (score + len(item)) / (2 * len(item))
-                    if sim >= LEAST and (best is None or sim > best[0]):
-                        best = (sim, a + s - lo, a + e - lo)
-                if best is not None:
-                    yield base + d, self.ids[k], *best
-            base += len(starts) - 1
+def plan(words: int) -> tuple[int, int]:
+    """For an item of so many words: the length of its n-grams, and how many of them may be lost."""
+    spend = 2 * (1 - LEAST) * words + 1e-9
+    size, lost = 1, int(spend)
+    for g in range(2, GRAM + 1):
+        most = int((g - 1) * spend)
+        if words - g + 1 > most:
+            size, lost = g, most
+    return size, lost
+
+
+def prepared(bench: DataFrame, shortest: int) -> DataFrame:
+    """(k, item_id, text, size, need, seeds, grams): k is a number of its own for every row."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Numbers()
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = np.array(numbers(t, known), U)
+                if len(ids) >= max(1, shortest):
+                    size, lost = plan(len(ids))
+                    rows.append((i, t, size, len(ids) - size + 1 - lost, lost + 1, codes(ids, size).view(np.int64)))
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            cols = zip(*rows) if rows else [()] * 6
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "text", "size", "need", "seeds", "grams"])
+
+    rows = bench.select(integer_id(bench, "item_id").alias("item_id"), bench["text"].cast("string").alias("text"))
+    found = rows.mapInArrow(read, "item_id long, text string, size int, need int, seeds int, grams array<long>")
+    return cut(found.withColumn("k", F.monotonically_increasing_id()))
+
+
+def filter_bits(grams: DataFrame) -> np.ndarray:
+    """Two bits for every n-gram, as 64-bit words."""
+    bits = min(FILTER, max(10, int(np.ceil(np.log2(16 * max(1, grams.count()))))))
+    at = grams.select(F.explode(F.array(F.col("gram"), F.shiftrightunsigned("gram", 32))).alias("at")).select(F.expr(f"at & {(1 << bits) - 1}L").alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63L as int)))").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), U)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(U)
+    return out
+
+
+def held(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which codes may be n-grams of the benchmark."""
+    mask = U(len(bits) * 64 - 1)
+    ok = code > 0
+    for shift in (0, 32):
+        at = (code >> U(shift)) & mask
+        ok &= (bits[at >> U(6)] >> (at & U(63))) & U(1) > 0
+    return ok
+
+
+def hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+    """docs(i, t, text) -> (i, t, gram), each n-gram once for a row."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Numbers()
+        for b in batches:
+            starts, ids, first = [0], [], 0
+            for row, x in enumerate(b.column(2), 1):
+                ids += numbers(x.as_py(), known)
+                ids.append(0)
+                starts.append(len(ids))
+                if len(ids) < CHUNK and row < b.num_rows:
+                    continue
+                words = np.array(ids, U)
+                for n in sizes:
+                    c = codes(words, n)
+                    at = np.flatnonzero(held(shared.value, c))
+                    doc, gram = np.searchsorted(starts, at, side="right") - 1 + first, c[at]
+                    order = np.lexsort((gram, doc))
+                    doc, gram = doc[order], gram[order]
+                    new = np.ones(len(doc), bool)
+                    new[1:] = (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])
+                    rows = pa.array(doc[new])
+                    yield pa.record_batch([b.column(0).take(rows), b.column(1).take(rows), pa.array(gram[new].view(np.int64))], ["i", "t", "gram"])
+                starts, ids, first = [0], [], row
+
+    return docs.mapInArrow(look, "i long, t long, gram long")
+
+
+def candidates(found: DataFrame, items: DataFrame) -> DataFrame:
+    """(i, t, k): documents and items that share a seed and as many n-grams as must be left."""
+    grams = items.select("k", "need", "seeds", F.posexplode("grams").alias("offset", "gram"))
+    often = found.groupBy("gram").agg(F.count("*").alias("docs"))
+    rank = F.row_number().over(W.partitionBy("k").orderBy(F.coalesce("docs", F.lit(0)), "offset"))
+    ranked = cut(grams.join(often, "gram", "left").withColumn("rank", rank).where("docs is not null"))
+    seeds = ranked.where("rank <= seeds").select("k", "gram").distinct()
+    pairs = salted(found, seeds, ["gram"], ["i", "t"]).select("i", "t", "k").distinct()
+    # of these pairs alone the other n-grams are looked up: as many rows as the items have n-grams
+    wanted = salted(pairs, ranked.groupBy("k", "need", "gram").agg(F.count("*").alias("times")), ["k"], ["i", "t"])
+    shared = wanted.join(found.distinct(), ["i", "t", "gram"])
+    return cut(shared.groupBy("i", "t", "k").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("i", "t", "k"))
+
+
+def matches(text: np.ndarray, item: np.ndarray) -> tuple[float, int, int] | None:
+    """(similarity, first word, end) of the best stretch of a text that is contaminated by the item."""
+    size, lost = plan(len(item))
+    need, mine = len(item) - size + 1 - lost, codes(item, size)
+    order = np.argsort(mine, kind="stable")
+    lookup = mine[order]
+    c = codes(text, size)
+    lo, hi = np.searchsorted(lookup, c, "left"), np.searchsorted(lookup, c, "right")
+    at = np.flatnonzero(hi > lo)
+    n = (hi - lo)[at]
+    off = order[np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    diagonal = np.repeat(at, n) - off
+    slack = max(4, len(item) // 2)
+    order = np.argsort(diagonal, kind="stable")
+    diagonal, off = diagonal[order], off[order]
+    cuts = np.flatnonzero(np.diff(diagonal) > len(item) + 2 * slack) + 1
+    best: tuple[float, int, int] | None = None
+    for g, o in zip(np.split(diagonal, cuts), np.split(off, cuts)):
+        if not len(g) or len(np.unique(o)) < need:
+            continue
+        a, b = max(0, int(g[0]) - slack), min(len(text), int(g[-1]) + len(item) + slack)
+        s, e, score = align(item, text[a:b])
+        sim = (score + len(item)) / (2 * len(item))
+        if sim >= LEAST and (best is None or sim > best[0]):
+            best = (sim, a + s, a + e)
+    return best
 
 
 def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
@@ -211,80 +238,60 @@ def align(item: np.ndarray, stretch: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def slices(bench: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    part: list[tuple[int, str]] = []
-    size = 0
-    for r in bench.select("item_id", "text").where("text is not null").toLocalIterator():
-        if size + len(r["text"]) > SLICE and part:
-            yield part
-            part, size = [], 0
-        part.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    if part:
-        yield part
-
-
-def prepared(docs: DataFrame, bench: DataFrame) -> Iterator[Items]:
-    """Items of each slice with their seeds chosen by the counts over all documents."""
-    for rows in slices(bench):
-        items = Items(rows)
-        if not items.words:
-            continue
-        shared = docs.sparkSession.sparkContext.broadcast(items.__dict__)
-
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            it = Items.held(shared)
-            n = np.zeros(len(it.lookup), np.int64)
-            for b in batches:
-                for starts, ids in it.chunks(b.column(0)):
-                    for at, k in it.hits(ids):
-                        pair = np.unique(np.searchsorted(starts, at, side="right") * len(n) + k)
-                        np.add.at(n, pair % len(n), 1)
-            k = np.flatnonzero(n)
-            yield pa.record_batch([pa.array(k), pa.array(n[k])], ["gram", "n"])
-
-        got = docs.select(docs["text"].cast("string")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        held = np.zeros(len(items.lookup), np.int64)
-        for r in got.toLocalIterator():  # n-grams of the slice at most
-            held[r["gram"]] = r["n"]
-        items.choose(held)
-        yield items
-
-
-def leaks(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word, end_word) for each contaminated document and item."""
-    schema = "doc_id long, item_id long, similarity double, first_word long, end_word long"
-    out = None
-    for items in prepared(docs, bench):
-        shared = docs.sparkSession.sparkContext.broadcast(items.__dict__)
-
-        def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows = list(Items.held(shared).matches(b.column(1)))
-                cols = list(zip(*rows)) or [()] * 5
-                yield pa.record_batch([b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], schema.replace(",", "").split()[::2])
+def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, items of (item_id, text)) -> the contaminated stretches."""
+    known = Numbers()
+    for b in batches:
+        rows = []
+        for i, text, items in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            words = np.array(numbers(text.as_py(), known), U)
+            for x in items.as_py():
+                best = matches(words, np.array(numbers(x["text"], known), U))
+                if best is not None:
+                    rows.append((i, x["item_id"], *best))
+        cols = list(zip(*rows)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "item_id", "similarity", "first_word", "end_word"])
 
-        part = docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(match, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
+SCHEMA = "doc_id long, item_id long, similarity double, first_word long, end_word long"
 
-def marker(shared: Broadcast):
-    @F.arrow_udf(T.BooleanType())
-    def hit(texts: pa.Array) -> pa.Array:
-        found = np.zeros(len(texts), bool)
-        found[[m[0] for m in Items.held(shared).matches(texts)]] = True
-        return pa.array(found)
 
-    return hit
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, i, t, text): i and t name a document, rows of equal id and text alike."""
+    i, text = integer_id(docs, "doc_id"), docs["text"].cast("string")
+    return docs.select(i.alias("doc_id"), row_id(i).alias("i"), text_hash(text).alias("t"), text.alias("text"))
 
 
-def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, bench: DataFrame, *, shortest: int = SHORTEST) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, end_word) for each contaminated document and item."""
+    items = prepared(bench, shortest)
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # GRAM numbers at most
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    rows = keyed(docs)
+    bits = filter_bits(items.select(F.explode("grams").alias("gram")))
+    found = cut(hits(rows.select("i", "t", "text"), bits, sizes))
+    pairs = candidates(found, items)
+    keys = cut(pairs.groupBy("i", "t").agg(F.count("*").alias("n")))
+    if keys.count() <= FEW:
+        rows = rows.join(F.broadcast(keys.select("i", "t")), ["i", "t"], "left_semi")
+    part = F.pmod(F.xxhash64("k"), F.ceil(F.col("n") / TOGETHER)).alias("part")
+    named = salted(pairs, items.select("k", "item_id", "text"), ["k"], ["i", "t"])
+    sets = named.join(keys, ["i", "t"]).groupBy("i", "t", part).agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    return rows.join(sets, ["i", "t"]).select("doc_id", "text", "items").mapInArrow(aligned, SCHEMA)
+
+
+def clean(docs: DataFrame, bench: DataFrame, *, shortest: int = SHORTEST) -> DataFrame:
     """The rows of docs without contamination."""
-    for items in prepared(docs, bench):
-        hit = marker(docs.sparkSession.sparkContext.broadcast(items.__dict__))
-        docs = docs.where(~hit(docs["text"].cast("string")))
-    return docs
+    n = unused(("i", "t"), docs)
+    # a document is named by id and text; its hash takes the id's place, so that both come back as one number
+    named = keyed(docs).select(F.xxhash64("i", "t").alias("doc_id"), "text")
+    bad = cut(leaks(named, bench, shortest=shortest).select(F.col("doc_id").alias(n["i"])).distinct())
+    if bad.count() <= FEW:
+        bad = F.broadcast(bad)
+    mark = F.xxhash64(row_id(integer_id(docs, "doc_id")), text_hash(docs["text"]))
+    return docs.join(bad, mark == bad[n["i"]], "left_anti")
 
 
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
