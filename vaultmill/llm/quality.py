@@ -18,7 +18,7 @@ are documents with odds of at least 1.
 The join of documents with their site is salted on both sides, so a site with a third of all rows
 is spread over many tasks.
 
-Null and empty texts: the models' answer for an empty text. Null hosts and paths are sites of their
+Ids are whole numbers (others raise a TypeError). Null and empty texts: the models' answer for an empty text. Null hosts and paths are sites of their
 own. Labels may repeat (they are averaged) or name unknown documents. Without labels of both classes
 a model is silent and keeps everything. Empty input: empty output.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vaultmill.llm.common import cut, row_id, table, text_hash
+from vaultmill.llm.common import cut, integer_id, row_id, table, text_hash, unused
 
 SAMPLE, BITS, SALTS = 20_000, 17, 32
 RIDGE, TRUST, SETTLED = 10.0, 1.5, 1e-5
@@ -216,8 +216,8 @@ def sites(scored: DataFrame) -> DataFrame:
         k_path = strength(g["psq"] - g["hsq"], g["paths"], g["hosts"], g["ss"] - g["psq"], n)
     else:
         k_host = k_path = 1.0
-    h = hosts.select(F.col("host").alias("__h"), ((F.col("hs") + k_host * mean) / (F.col("hn") + k_host)).alias("base"))
-    out = paths.join(h, F.col("host").eqNullSafe(F.col("__h"))).drop("__h", "ss")
+    h = hosts.select(F.col("host").alias("of"), ((F.col("hs") + k_host * mean) / (F.col("hn") + k_host)).alias("base"))
+    out = paths.join(h, F.col("host").eqNullSafe(F.col("of"))).drop("of", "ss")
     return out.withColumn("strength", F.lit(k_path)).withColumn("overall", F.lit(mean))
 
 
@@ -229,19 +229,21 @@ def logit(c: Column) -> Column:
 def decide(d: DataFrame, n: dict[str, str]) -> DataFrame:
     """Adds site, score and keep to rows with host, path, p and salt (columns named by n)."""
     s = sites(d.select(F.col(n["host"]).alias("host"), F.col(n["path"]).alias("path"), F.col(n["p"]).alias("p")))
-    s = s.select(*[F.col(c).alias(f"__{c}") for c in ("host", "path", "n", "s", "base", "strength", "overall")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    j = d.join(s, (d[n["salt"]] == s["__salt"]) & d[n["host"]].eqNullSafe(s["__host"]) & d[n["path"]].eqNullSafe(s["__path"]))
+    cols = ("host", "path", "n", "s", "base", "strength", "overall")
+    m = {c: v for c, v in zip((*cols, "salt"), unused([f"site_{c}" for c in (*cols, "salt")], d).values())}
+    s = s.select(*[F.col(c).alias(m[c]) for c in cols], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(m["salt"]))
+    j = d.join(s, (d[n["salt"]] == s[m["salt"]]) & d[n["host"]].eqNullSafe(s[m["host"]]) & d[n["path"]].eqNullSafe(s[m["path"]]))
     p = F.col(n["p"])
-    site = (F.col("__strength") * F.col("__base") + F.col("__s") - p) / (F.col("__strength") + F.col("__n") - 1)
+    site = (F.col(m["strength"]) * F.col(m["base"]) + F.col(m["s"]) - p) / (F.col(m["strength"]) + F.col(m["n"]) - 1)
     j = j.withColumn(n["site"], site)
-    j = j.withColumn(n["score"], logit(p) + logit(F.col(n["site"])) - logit(F.col("__overall")))
+    j = j.withColumn(n["score"], logit(p) + logit(F.col(n["site"])) - logit(F.col(m["overall"])))
     return j.withColumn(n["keep"], F.col(n["score"]) >= 0).drop(n["salt"], *s.columns)
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text hash, host, path, p, site, score, keep) for every row of docs."""
     chance = evidence(docs, labels, sample)
-    i = docs["doc_id"]
+    i = integer_id(docs, "doc_id")
     d = docs.select(
         i.alias("doc_id"), text_hash(docs["text"]).alias("text_hash"), docs[f"`{host}`"].cast("string").alias("host"), docs[f"`{path}`"].cast("string").alias("path"),
         chance(docs["text"].cast("string")).alias("p"), F.pmod(F.xxhash64(i, F.octet_length(docs["text"])), F.lit(SALTS)).cast("int").alias("salt"),
@@ -251,8 +253,9 @@ def judge(docs: DataFrame, labels: DataFrame, *, host: str = "source", path: str
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps."""
-    good = judge(docs, labels).where("keep").select(row_id(F.col("doc_id")).alias("__i"), "text_hash", "host", "path").distinct()
-    same = (row_id(docs["doc_id"]) == good["__i"]) & (text_hash(docs["text"]) == good["text_hash"]) & docs["source"].cast("string").eqNullSafe(good["host"]) & docs["lang"].cast("string").eqNullSafe(good["path"])
+    n = unused(("i", "h", "host", "path"), docs)
+    good = judge(docs, labels).where("keep").select(row_id(F.col("doc_id")).alias(n["i"]), F.col("text_hash").alias(n["h"]), F.col("host").alias(n["host"]), F.col("path").alias(n["path"])).distinct()
+    same = (row_id(integer_id(docs, "doc_id")) == good[n["i"]]) & (text_hash(docs["text"]) == good[n["h"]]) & docs["source"].cast("string").eqNullSafe(good[n["host"]]) & docs["lang"].cast("string").eqNullSafe(good[n["path"]])
     return docs.join(good, same, "left_semi")
 
 
