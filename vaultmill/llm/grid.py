@@ -4,9 +4,11 @@ Vectors of one label (and length) with cosine >= ``least`` are linked. On unit v
 Euclidean distance of at most eps = sqrt(2 - 2 * least). Vectors are turned onto the principal axes
 of the data (a rotation keeps distances; the axes come from one distributed pass of moments, a
 matrix of bounded size), the leading coordinates are cut into cells of width eps, and vectors are
-sorted by cell, lexicographically: the epsilon grid order. The sorted sequence is cut into blocks.
-Blocks that hold cells next to each other meet by an equi-join on the leading cells, and a pair of
-blocks goes on only if their bounding boxes come within eps. Each such pair of sequence intervals is
+sorted by cell, lexicographically: the epsilon grid order. The sorted sequence is cut into blocks of
+about ``ROOM`` bytes, however long the vectors are. Blocks that hold cells next to each other meet by
+an equi-join on the leading cells, and a pair of blocks goes on only if their bounding boxes come
+within eps. That join sees names and boxes only; a cell with many blocks is dealt to several tasks
+(its blocks are counted first). Each pair of sequence intervals is
 joined recursively: split in halves, halves with boxes further apart than eps are skipped, and
 small ones are compared by one matrix product in double precision. A pair yields the number of
 links per vector and the edges of a spanning forest, never a list of all pairs.
@@ -15,9 +17,10 @@ Vectors equal in all components and label are one class, compared once and count
 groups of copies of any size cost nothing. Cosines are computed from the vectors as they are; the
 rotation only decides what is skipped, with a margin far above its rounding.
 
-Null or zero vectors, and those with null or non-finite components, link with nothing; so does a
-null label. Null ids: never the smallest of a component unless it has no other. Repeated rows count
-as vectors of their own. Empty input: empty output.
+Labels may have any type that casts to text; ids are whole numbers (others raise a TypeError). Null or
+zero vectors, and those with null or non-finite components, link with nothing; so does a null label.
+Null ids: never the smallest of a component unless it has no other. Repeated rows count as vectors
+of their own. Empty input: empty output.
 """
 
 from __future__ import annotations
@@ -27,18 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vaultmill.llm.common import LAST_ID, components, cut, row_id, shuffle_width, table
+from vaultmill.llm.common import LAST_ID, components, cut, integer_id, row_id, salted, shuffle_width, table
 from vaultmill.llm.simhash import forest
 
 LEAST = 0.98
 LEADING = 8  # coordinates with cells
 KEYED = 3  # of these, coordinates that blocks are joined on
-BLOCK, SMALL = 1024, 128  # vectors of a block; of an interval that is compared outright
+ROOM, SMALL = 1 << 21, 128  # bytes of a block in single precision; vectors of an interval that is compared outright
+CROWD = 256  # blocks of a cell for one task
 MARGIN = 1e-6
+STEPS = np.stack(np.meshgrid(*[np.arange(-1, 2, dtype=np.int32)] * KEYED, indexing="ij"), -1).reshape(-1, KEYED)
 
 
 @F.arrow_udf(T.BinaryType())
@@ -156,54 +160,58 @@ def links(items: DataFrame, *, least: float, leading: int = LEADING) -> tuple[Da
     placed = cut(placed.repartitionByRange(width, *order).sortWithinPartitions(*order))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of up to BLOCK vectors of one label, named by their first id (which is unique)."""
+        """Runs of vectors of one label, named by their first id (which is unique)."""
         held: list[pa.RecordBatch] = []
         size = 0
 
+        def row(p: pa.Table) -> tuple:
+            dim, blobs = p["dim"][0].as_py(), p["vec"].to_pylist()
+            x = unit(blobs) @ turn[dim][:leading].T
+            cells = np.unique(np.stack([p[f"c{k}"].to_numpy() for k in range(KEYED)], 1), axis=0)
+            around = np.unique((cells[:, None, :] + STEPS[None, :, :]).reshape(-1, KEYED), axis=0)
+            ids = p["id"].to_numpy().astype(np.int64)
+            names = [[" ".join(map(str, c)) for c in w.tolist()] for w in (cells, around)]
+            return (int(ids[0]), p["label"][0].as_py(), ids.tobytes(), p["n"].to_numpy().astype(np.int64).tobytes(), slim(blobs), dim, x.min(axis=0).tolist(), x.max(axis=0).tolist(), *names)
+
         def blocks(t: pa.Table, end: bool) -> tuple[list[tuple], pa.Table]:
             rows, at, n = [], 0, t.num_rows
             label, dim = t["label"].to_pylist(), t["dim"].to_pylist()
             while at < n:
-                stop = at
-                while stop < n and stop - at < BLOCK and label[stop] == label[at] and dim[stop] == dim[at]:
+                stop, most = at, max(1, ROOM // (4 * dim[at]))
+                while stop < n and stop - at < most and label[stop] == label[at] and dim[stop] == dim[at]:
                     stop += 1
-                if stop == n and stop - at < BLOCK and not end:
+                if stop == n and stop - at < most and not end:
                     break
-                p = t.slice(at, stop - at)
-                blobs = p["vec"].to_pylist()
-                x = unit(blobs) @ turn[dim[at]][:leading].T
-                cells = np.unique(np.stack([p[f"c{k}"].to_numpy() for k in range(KEYED)], 1), axis=0)
-                ids = p["id"].to_numpy().astype(np.int64)
-                rows.append((int(ids[0]), label[at], ids.tobytes(), p["n"].to_numpy().astype(np.int64).tobytes(), slim(blobs), dim[at], x.min(axis=0).tolist(), x.max(axis=0).tolist(), [" ".join(map(str, c)) for c in cells.tolist()]))
+                rows.append(row(t.slice(at, stop - at)))
                 at = stop
             return rows, t.slice(at)
 
         def record(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.string()))
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "label", "ids", "ns", "vecs", "dim", "low", "high", "cells"])
+            names = pa.list_(pa.string())
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), names, names)
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["block", "label", "ids", "ns", "vecs", "dim", "low", "high", "cells", "around"])
 
         for b in batches:
             held.append(b)
-            size += b.num_rows
-            if size >= 8 * BLOCK:
+            size += b.nbytes
+            if size >= 8 * ROOM:
                 rows, rest = blocks(pa.Table.from_batches(held), False)
-                held, size = rest.to_batches(), rest.num_rows
-                if rows:
-                    yield record(rows)
-        if size:
-            yield record(blocks(pa.Table.from_batches(held), True)[0])
-
-    blocks = cut(placed.mapInArrow(block, "block long, label long, ids binary, ns binary, vecs binary, dim int, low array<double>, high array<double>, cells array<string>"))
-    home = blocks.select("block", "label", "dim", "low", "high", F.explode("cells").alias("cell"))
-    near = F.array(*[F.array(*[F.lit(int(z)) for z in np.unravel_index(i, (3,) * KEYED)]) for i in range(3**KEYED)])
-    own = F.split("cell", " ").cast("array<int>")
-    around = home.select("block", "label", "dim", "low", "high", F.explode(F.transform(near, lambda s: F.array_join(F.zip_with(s, own, lambda p, q: p + q - 1), " "))).alias("cell")).distinct()
+                held, size = rest.to_batches(), rest.nbytes
+                for r in rows:  # a block at a time: they are large
+                    yield record([r])
+        if held:
+            for r in blocks(pa.Table.from_batches(held), True)[0]:
+                yield record([r])
+
+    blocks = cut(placed.mapInArrow(block, "block long, label string, ids binary, ns binary, vecs binary, dim int, low array<double>, high array<double>, cells array<string>, around array<string>"))
+    home = blocks.select(F.col("block").alias("block2"), "label", "dim", F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode("cells").alias("cell"))
+    around = blocks.select("block", "label", "dim", "low", "high", F.explode("around").alias("cell"))
     apart = F.aggregate(
         F.zip_with(F.zip_with("low", "high2", lambda p, q: p - q), F.zip_with("low2", "high", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g
     )
-    other = home.select(F.col("block").alias("block2"), "label", "dim", "cell", F.col("low").alias("low2"), F.col("high").alias("high2"))
     # a block's number is the first id of a sorted run, so "label, dim" agree and each pair is met from one side
-    pairs = around.join(other, ["label", "dim", "cell"]).where("block <= block2").where(apart <= eps * eps).select("block", "block2").distinct()
+    met = salted(home, around, ["label", "dim", "cell"], ["block2"], CROWD)
+    pairs = met.where("block <= block2").where(apart <= eps * eps).select("block", "block2").distinct()
     left = blocks.select("block", "dim", F.col("ids").alias("i1"), F.col("ns").alias("n1"), F.col("vecs").alias("v1"))
     right = blocks.select(F.col("block").alias("block2"), F.col("ids").alias("i2"), F.col("ns").alias("n2"), F.col("vecs").alias("v2"))
     work = pairs.join(left, "block").join(right, "block2").select("block", "block2", "dim", "i1", "n1", "v1", "i2", "n2", "v2")
@@ -239,26 +247,25 @@ def links(items: DataFrame, *, least: float, leading: int = LEADING) -> tuple[Da
 
 def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", least: float = LEAST) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
-    r = rows.select(rows[f"`{id_col}`"].cast("long").alias("vec_id"), row_id(rows[f"`{id_col}`"]).alias("rid"), rows[f"`{label_col}`"].cast("long").alias("label"), packed(rows[f"`{vec_col}`"]).alias("vec"))
+    i = integer_id(rows, id_col)
+    r = rows.select(i.alias("vec_id"), row_id(i).alias("rid"), rows[f"`{label_col}`"].cast("string").alias("label"), packed(rows[f"`{vec_col}`"]).alias("vec"))
     r = r.withColumn("vec", F.when(F.col("label").isNotNull(), F.col("vec"))).withColumn("h", F.sha2("vec", 256))
     r = cut(r)
     live = r.where(F.col("vec").isNotNull())
     classes = live.groupBy("label", "h").agg(F.min("rid").alias("rid"), F.count("*").alias("n"), F.first("vec").alias("vec"))
-    # ids of classes must differ even where row ids repeat
-    classes = cut(classes.withColumn("dim", (F.octet_length("vec") / 8).cast("int")))
-    numbered = classes.withColumn("id", F.row_number().over(W.partitionBy("rid").orderBy("label", "h")).cast("long"))
-    clash = numbered.where("id > 1").isEmpty()
-    items = numbered.withColumn("id", F.col("rid")) if clash else numbered.withColumn("id", F.xxhash64("rid", "label", "h"))
-    items = cut(items)
+    # row ids may repeat or be null, so classes get numbers of their own, fixed by writing them out
+    items = cut(classes.withColumn("dim", (F.octet_length("vec") / 8).cast("int")).withColumn("id", F.monotonically_increasing_id()))
     counted, edges = links(items, least=least)
     comp = components(edges)
     best = comp.join(items, comp.node == items.id).groupBy("root").agg(F.min("rid").alias("best"))
     member = comp.join(best, "root").select(F.col("node").alias("id"), "best")
     done = items.join(counted, "id", "left").join(member, "id", "left").select("label", "h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("best", "rid").alias("best"))
-    j = r.select("vec_id", "rid", "label", "h").join(done, ["label", "h"], "left")
-    comp_id = F.coalesce("best", "rid")
+    # rows that link with nothing have no class; they stay out of the join, where they would be one key
+    alone = r.where("vec is null").select("vec_id", "rid", F.lit(0).cast("long").alias("links"), F.col("rid").alias("best"))
+    j = r.where("vec is not null").select("vec_id", "rid", "label", "h").join(done, ["label", "h"]).select("vec_id", "rid", "links", "best").unionByName(alone)
+    comp_id = F.col("best")
     comp_id = F.when(comp_id < LAST_ID, comp_id)
-    return j.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.col("vec_id").isNull() & comp_id.isNull()).alias("kept"))
+    return j.select("vec_id", F.col("links").cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.col("vec_id").isNull() & comp_id.isNull()).alias("kept"))
 
 
 def op10_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
