@@ -1,14 +1,16 @@
 import gzip
 import hashlib
 import io
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vaultmill.llm import chat, hosts, leaks, quality, warc
+from vaultmill.llm import chat, hosts, leaks, quality, shard, simhash, warc
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -26,12 +28,44 @@ def test_warc_round_trip(spark, tmp_path):
         want.append((i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first if again else None))
     got = [tuple(r) for r in warc.read_archives(spark, path).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want))
-    heads = [h for f in (tmp_path / "archives").glob("*.gz") for h, _ in warc.records(io.BufferedReader(gzip.open(f)))]
+    heads = [h for f in (tmp_path / "archives").glob("part*") for h, _ in warc.records(io.BufferedReader(gzip.open(f))) if h["warc-type"] != "warcinfo"]
     assert len(heads) == len(rows) and {h["warc-record-id"] for h in heads if h["warc-type"] == "response"} >= {h["warc-refers-to"] for h in heads if h["warc-type"] == "revisit"}
     warc.write_archives(df.limit(0), str(tmp_path / "none"))
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
+def members(data):
+    """Unpacks one gzip member after the other."""
+    while data:
+        d = zlib.decompressobj(31)
+        yield d.decompress(data) + d.flush()
+        data = d.unused_data
+
+
+@pytest.mark.parametrize("few", [0, 10])
+def test_archives_are_small_and_seekable(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(warc, "FEW", few)
+    rng = random.Random(7)
+    rows = [(i, f"http://h/{i}", "".join(rng.choice("abcdef<>é ") for _ in range(400)) * (1 + i % 3)) for i in range(60)]
+    rows += [(100 + i, "http://copy/", rows[7][2]) for i in range(50)] + [(200, "http://large/", "z" * (17 << 20)), (201, None, "z" * (17 << 20))]
+    path = tmp_path / "a"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), str(path), room=3000)
+    files = list(path.glob("part*"))
+    assert len(files) > 5
+    seen = 0
+    for f in files:
+        parts = [m for m in members(f.read_bytes()) if m]
+        assert b"WARC-Type: warcinfo" in parts[0] and b"".join(parts) == gzip.decompress(f.read_bytes())
+        seen += len(parts) - 1
+        for m in parts:
+            assert len(list(warc.records(io.BytesIO(m)))) == 1  # a record can be read on its own
+        assert sum(len(gzip.compress(m)) for m in parts[:-1]) < 6000
+    assert seen == len(rows)
+    got = {r.page_id: r for r in warc.read_archives(spark, str(path)).collect()}
+    assert len(got) == len(rows) and all(got[100 + i].refers_to == 7 for i in range(50)) and got[201].refers_to == 200 and got[201].payload_bytes == 17 << 20
+    assert b"WARC-Date: 2" in gzip.decompress(files[0].read_bytes())
+
+
 @pytest.mark.parametrize("bad", [b"HTTP\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc", b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabcd\r\n\r\n"])
 def test_broken_archives(bad):
     with pytest.raises(ValueError):
@@ -219,17 +253,46 @@ def test_leaks_of_short_items(spark):
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     want = {(i, k): sim for i, t in enumerate(docs) for k, w in enumerate(items) if (sim := (score(w, t.split()) + len(w)) / (2 * len(w))) >= leaks.LEAST}
-    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.leaks(d, b).collect()}
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks.leaks(d, b, shortest=1).collect()}
+    usual = {(r.doc_id, r.item_id) for r in leaks.leaks(d, b).collect()}
+    assert usual == {k for k in want if len(items[k[1]]) >= leaks.SHORTEST} != set(want)
     assert (0, len(items) - 3) in want and (1, len(items) - 2) in want and {len(items[k]) for _, k in want} == set(range(1, 17))
     assert set(got) == set(want) and all(got[k] == pytest.approx(v) for k, v in want.items())
 
 
-def test_slices_cover_the_benchmark(spark, monkeypatch):
-    b = spark.createDataFrame([(i, f"one two three four five six{i}") for i in range(20)], "item_id long, text string")
-    monkeypatch.setattr(leaks, "SLICE", 60)
-    assert sorted(i for s in leaks.slices(b) for i, _ in s) == list(range(20)) and len(list(leaks.slices(b))) > 5
-    d = spark.createDataFrame([(1, "x one two three four five six7 y"), (2, "clean")], "doc_id long, text string")
-    assert (1, 7) in {(r.doc_id, r.item_id) for r in leaks.leaks(d, b).collect()} and [r.doc_id for r in leaks.clean(d, b).collect()] == [2]
+def test_items_of_one_template(spark, monkeypatch):
+    """Thousands of items share most of their words; all links are found, by either way of fetching."""
+    rng = random.Random(12)
+    template = [f"t{i}" for i in range(14)]
+    items = [[*template[:7], *(f"w{rng.randrange(3000)}" for _ in range(6)), *template[7:]] for _ in range(2000)]
+    docs = [" ".join([f"x{rng.randrange(99)}", *items[rng.randrange(2000)], "end"]) for _ in range(30)] + [" ".join(template)] * 20 + ["clean words only"] * 20
+    docs.append(" ".join(w for it in items[:150] for w in it))  # a dump of the benchmark
+    d = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(docs)], "doc_id long, text string, i string, t string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string").repartition(4)
+    some = rng.sample(range(2000), 40) + [int(r) for r in range(5)]
+    got = {(r.doc_id, r.item_id) for r in leaks.leaks(d, b).collect()}
+    for k in some:
+        for i, t in enumerate(docs):
+            sim = (score(items[k], t.split()) + 20) / 40
+            assert ((i, k) in got) == (sim >= leaks.LEAST), (i, k, sim)
+    assert {i for i, _ in got} >= set(range(30)) and {k for i, k in got if i == 70} >= set(range(150)) and not {i for i, _ in got} & set(range(30, 70))
+    monkeypatch.setattr(leaks, "FEW", 0)
+    monkeypatch.setattr(leaks, "FILTER", 10)  # a filter that lets nearly everything through
+    monkeypatch.setattr(leaks, "TOGETHER", 3)
+    monkeypatch.setattr("vaultmill.llm.common.CROWD", 4)
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(d, b).collect()} == got
+    left = leaks.clean(d, b)
+    assert left.columns == d.columns and sorted(r.doc_id for r in left.collect()) == list(range(30, 70))
+
+
+def test_salted_join(spark):
+    from vaultmill.llm.common import salted
+
+    many = spark.createDataFrame([(i % 3 if i % 2 else 7, i) for i in range(200)] + [(None, 1)], "k long, part int")
+    few = spark.createDataFrame([(7, "a"), (1, "b"), (1, "c"), (5, "d")], "k long, slot string")
+    want = sorted(map(str, many.join(few, "k").collect()))
+    assert sorted(map(str, salted(many, few, ["k"], ["part"], 8).collect())) == want
+    assert salted(many.limit(0), few, ["k"], ["part"]).count() == 0
 
 
 def made(rng, good):
@@ -280,3 +343,93 @@ def test_sites_shrink(spark):
     assert s["big", "a"].overall == pytest.approx(mean)
     assert abs(s["big", "a"].base - 0.85) < 0.02 and s["bad", "a"].base < 0.15
     assert 0.1 < s["tiny", "a"].base < mean and s["tiny", "a"].base > s["bad", "a"].base
+
+
+def by_hand(rows):
+    """The posteriors of (host, path, p) rows by the formulas of the docstring, one row after the other."""
+    groups = lambda key: {k: [r[2] for r in rows if key(r) == k] for k in {key(r) for r in rows}}
+    hosts, paths = groups(lambda r: r[0]), groups(lambda r: r[:2])
+    n, total = len(rows), sum(r[2] for r in rows)
+    mean = min(max(total / n, 1e-4), 1 - 1e-4)
+    square = lambda g: sum(sum(v) ** 2 / len(v) for v in g.values())
+    each = sum(r[2] ** 2 for r in rows)
+
+    def strength(between, groups, above, within):
+        noise = within / max(1, n - groups)
+        spread = max(0.0, between / max(1, groups - above) - noise) / max(1.0, n / max(1, groups))
+        return min(1e6, max(1.0, mean * (1 - mean) / max(spread, 1e-9) - 1))
+
+    k_host = strength(square(hosts) - total**2 / n, len(hosts), 1, each - square(hosts))
+    k_path = strength(square(paths) - square(hosts), len(paths), len(hosts), each - square(paths))
+    clip = lambda x: min(max(x, 1e-9), 1 - 1e-9)
+    logit = lambda x: math.log(clip(x) / (1 - clip(x)))
+    out = []
+    for h, q, p in rows:
+        base = (sum(hosts[h]) + k_host * mean) / (len(hosts[h]) + k_host)
+        site = (k_path * base + sum(paths[h, q]) - p) / (k_path + len(paths[h, q]) - 1)
+        score = logit(p) + logit(site) - logit(mean)
+        out.append((h, q, p, site, score, score >= 0))
+    return out
+
+
+def test_posteriors_by_hand(spark):
+    rng = random.Random(21)
+    rows = []
+    for h, q, n, m in [("good", "a", 150, 0.95), ("good", "b", 60, 0.9), ("bad", "a", 150, 0.12), ("bad", None, 40, 0.2), (None, "a", 30, 0.5), ("mixed", "a", 50, 0.9), ("mixed", "b", 50, 0.1), ("tiny", "a", 1, 0.1), ("few", "b", 3, 0.3)]:
+        rows += [(h, q, min(1.0, max(0.0, rng.gauss(m, 0.25)))) for _ in range(n)]
+    rows += [rows[0], rows[0], ("tiny", "z", 1.0), ("tiny", "z", 0.0)]
+    d = spark.createDataFrame([(*r, i % quality.SALTS, "x", 1) for i, r in enumerate(rows)], "host string, path string, p double, salt int, site_host string, __n int")
+    names = {c: c for c in ("host", "path", "p", "salt", "site", "score", "keep")}
+    out = quality.decide(d, names)
+    assert {"site_host", "__n"} <= set(out.columns)
+    key = lambda r: (str(r[0]), str(r[1]), round(r[2], 12))
+    got = sorted((tuple(r) for r in out.select("host", "path", "p", "site", "score", "keep").collect()), key=key)
+    want = sorted(by_hand(rows), key=key)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2:5] == pytest.approx(b[2:5], rel=1e-9, abs=1e-9) and a[5] == b[5]
+    # shrinkage decides: weak documents of good sites stay, fair ones of bad sites go
+    assert any(r[2] < 0.5 and r[5] for r in want) and any(r[2] >= 0.5 and not r[5] for r in want)
+
+
+def test_random_host_graph(spark):
+    """Thousands of links with hubs, cycles and hosts without links, against the dense walk."""
+    rng = np.random.default_rng(3)
+    n = 300
+    e = {(int(a), int(b)) for a, b in zip(rng.integers(0, n // 2, 3000), rng.integers(0, n, 3000)) if a != b}
+    e |= {(0, i) for i in range(1, n)} | {(i, 1) for i in range(2, n // 2)} | {(n - 2, n - 1), (n - 1, n - 2)}
+    e = [(a, b, int(rng.integers(1, 5))) for a, b in sorted(e)]
+    seeds = {0: 3.0, 7: 1.0, n - 1: 2.0, n - 5: 4.0}
+    nodes = spark.createDataFrame([(f"h{i}",) for i in range(n)], "host string")
+    edges = spark.createDataFrame([(f"h{a}", f"h{b}", w) for a, b, w in e], "src string, dst string, n long")
+    got = {r.host: r["rank"] for r in hosts.walk(nodes, edges, spark.createDataFrame([(f"h{k}", v) for k, v in seeds.items()], "host string, mass double")).collect()}
+    want = ppr(n, e, [seeds.get(i, 0) for i in range(n)], rounds=400)
+    assert all(got[f"h{i}"] == pytest.approx(want[i], rel=1e-5, abs=1e-12) for i in range(n))
+
+
+def test_names_of_the_table_stay(spark):
+    more = {c: F.lit(c) for c in ("__h", "__p", "__n", "__s", "__i", "i", "t", "rank", "site_host", "fp", "cell", "first", "size")}
+    p = pages(spark, [("http://com/en/", "<a href='//x.org/'>"), (None, None)]).withColumns(more)
+    out, n = hosts.filter_urls(p, rules(spark, hosts.RULES))
+    assert [c for c in out.columns if c in p.columns] == p.columns and {r["__h"] for r in out.collect()} == {"__h"}
+    d = spark.createDataFrame([(1, "one two three four", "en", "s"), (1, "one two three four", "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string").withColumns(more)
+    lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.kept(d, lab).columns == d.columns and quality.kept(d, lab).count() == 3
+    b = spark.createDataFrame([(1, "two three four")], "item_id long, text string")
+    assert leaks.clean(d, b).columns == d.columns and [r.doc_id for r in leaks.clean(d, b).collect()] == [2]
+    assert simhash.one_of_each(d).columns == d.columns and simhash.one_of_each(d).count() == 2
+    out, n = shard.shard(d)
+    assert [c for c in out.columns if c in d.columns] == d.columns and out.count() == 3
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(2)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(999)) for _ in range(150_000))
+    item = " ".join(long.split()[70_000:70_030])
+    d = spark.createDataFrame([(1, long, "en", "s"), (2, "short text of a few words", "en", "s")], "doc_id long, text string, lang string, source string")
+    got = leaks.leaks(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.similarity, r.first_word) for r in got] == [(1, 1.0, 70_000)]
+    lab = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.judge(d, lab).count() == 2
+    turns = [(k, s, 0, "user", long) for k in (1, 2) for s in (0, 1)] + [(1, 1, 1, "assistant", long), (2, 0, 1, "assistant", "x")]
+    rows = {r.pair: r for r in chat.preferences(spark.createDataFrame([(*t, "more") for t in turns], "pair long, side int, turn int, role string, text string, prompt string")).collect()}
+    assert rows[1].rejected_mask == f"14:{len(long) + 21}" and len(rows[1].prompt) == len(long) + 17 and rows[2].chosen.startswith("<|assistant|>\nx")

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from vaultmill.llm import common, grid, simhash
 
@@ -112,10 +113,11 @@ def vectors(seed, n=300, dim=12):
     return rows
 
 
-@pytest.mark.parametrize("seed, block, small", [(1, 512, 64), (2, 16, 4)])
-def test_grid_join_is_exact(spark, monkeypatch, seed, block, small):
-    monkeypatch.setattr(grid, "BLOCK", block)
+@pytest.mark.parametrize("seed, room, small, crowd", [(1, 1 << 21, 64, 256), (2, 768, 4, 2), (3, 100, 2, 1)])
+def test_grid_join_is_exact(spark, monkeypatch, seed, room, small, crowd):
+    monkeypatch.setattr(grid, "ROOM", room)
     monkeypatch.setattr(grid, "SMALL", small)
+    monkeypatch.setattr(grid, "CROWD", crowd)
     rows = vectors(seed)
 
     def ok(v):
@@ -132,12 +134,23 @@ def test_grid_join_is_exact(spark, monkeypatch, seed, block, small):
     n = len(rows)
     want_links = [sum(linked(i, j) for j in range(n) if j != i) for i in range(n)]
     want = roots(n, linked)
-    got = {r.vec_id: r for r in grid.near_vectors(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n string")).collect()}
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n string")
+    if seed == 2:  # labels may be text
+        table = table.withColumn("label", F.concat(F.lit("l"), F.col("label").cast("string")))
+    got = {r.vec_id: r for r in grid.near_vectors(table).collect()}
     assert len(got) == n
     for k, (i, _, _) in enumerate(rows):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (want_links[k], rows[want[k]][0], rows[want[k]][0] == i)
 
 
+def test_ids_must_be_whole_numbers(spark):
+    rows = spark.createDataFrame([("a", [1.0], "x", "t")], "vec_id string, embedding array<float>, label string, text string")
+    with pytest.raises(TypeError):
+        grid.near_vectors(rows)
+    with pytest.raises(TypeError):
+        simhash.near_duplicates(rows, id_col="vec_id")
+
+
 def test_grid_join_with_repeated_and_null_ids(spark):
     v, w = [1.0, 0.0], [0.0, 1.0]
     rows = [(1, v, 0), (1, v, 0), (1, w, 0), (None, w, 0), (None, [1.0, 1.0], 0)]
