@@ -2,24 +2,28 @@ import json
 from functools import partial
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests import vaults
 from vaultmill import cli
-from vaultmill.errors import QueryError, StoreError, ToolStartError
-from vaultmill.operators.embed import KeywordEmbedder
+from vaultmill.errors import IngestError, ParseError, QueryError, StoreError, ToolStartError
+from vaultmill.operators import graph
+from vaultmill.operators.embed import HashingEmbedder, VocabularyEmbedder, encoder, named
 from vaultmill.plans import render
-from vaultmill.plans.ingest import Stats, ingest
+from vaultmill.plans import store as store_module
+from vaultmill.plans.ingest import Stats, ingest, ingest_files
 from vaultmill.plans.query import Engine
 from vaultmill.plans.store import Store
 from vaultmill.plans.tools import Tools
+from vaultmill.schema import TABLES
 from vaultmill.streaming.ingest import watch
 
 
-def build(spark, tmp_path_factory, files, keys):
+def build(spark, tmp_path_factory, files, concepts=()):
     base = tmp_path_factory.mktemp("vault")
     folder = vaults.write(base / "notes", files)
     store = Store.create(spark, str(base / "store"))
-    make = partial(KeywordEmbedder, keys)
+    make = partial(vaults.Concepts, *concepts)
     stats = ingest(spark, folder, store, make)
     return folder, store, make, stats
 
@@ -30,20 +34,20 @@ def ids(store):
 
 @pytest.fixture(scope="module")
 def query_engine(spark, tmp_path_factory):
-    _, store, make, _ = build(spark, tmp_path_factory, vaults.QUERY, vaults.QUERY_KEYS)
+    _, store, make, _ = build(spark, tmp_path_factory, vaults.QUERY, vaults.QUERY_CONCEPTS)
     return Engine(spark, store, make())
 
 
 @pytest.fixture(scope="module")
 def expand_engine(spark, tmp_path_factory):
-    _, store, make, _ = build(spark, tmp_path_factory, vaults.EXPAND, vaults.EXPAND_KEYS)
+    _, store, make, _ = build(spark, tmp_path_factory, vaults.EXPAND, vaults.EXPAND_CONCEPTS)
     return Engine(spark, store, make())
 
 
 def test_signals(query_engine):
     rows = {r.path: r for r in query_engine.query("zebra").collect()}
-    assert rows["sem.md"].signal == "semantic" and rows["sem.md"].lexical_rank is None
-    assert rows["fused.md"].signal == rows["lex.md"].signal == "fused"
+    assert rows["by_sense.md"].signal == "semantic" and rows["by_sense.md"].lexical_rank is None
+    assert rows["by_both.md"].signal == rows["by_word.md"].signal == "fused"
     scores = [r.rrf_score for r in query_engine.query("zebra").collect()]
     assert scores == sorted(scores, reverse=True)
     assert all(r.chunk_text and r.expansion_depth == 0 for r in rows.values())
@@ -55,7 +59,7 @@ def test_operators_only_is_semantic(query_engine):
 
 def test_lexical_only(query_engine):
     rows = query_engine.query("zebra", semantic_top_k=0).collect()
-    assert {r.path for r in rows} == {"lex.md", "fused.md"} and {r.signal for r in rows} == {"lexical"}
+    assert {r.path for r in rows} == {"by_word.md", "by_both.md"} and {r.signal for r in rows} == {"lexical"}
     assert query_engine.query("zebra", final_top_k=0).count() == 0
 
 
@@ -87,32 +91,32 @@ def test_expansion_limits(expand_engine):
 
 
 def test_neighbors(spark, tmp_path_factory):
-    _, store, make, _ = build(spark, tmp_path_factory, vaults.NEIGHBORS, {})
+    _, store, make, _ = build(spark, tmp_path_factory, vaults.NEIGHBORS)
     engine, by = Engine(spark, store, make()), ids(store)
-    rows = engine.neighbors(by["source.md"]).collect()
+    rows = engine.neighbors(by["here.md"]).collect()
     assert [r.target_id for r in rows] == sorted(r.target_id for r in rows)
-    assert {(r.target_path, r.relationship_type) for r in rows} == {("target_a.md", "cites"), ("target_b.md", None), (None, "refers")}
-    assert engine.neighbors(by["no_edges.md"]).count() == engine.neighbors("unknown").count() == 0
-    assert [r.source_path for r in engine.backlinks(by["target_a.md"]).collect()] == ["source.md"]
-    text = render.neighbors_text(engine.neighbors(by["source.md"]))
+    assert {(r.target_path, r.relationship_type) for r in rows} == {("there.md", "cites"), ("yonder.md", None), (None, "refers")}
+    assert engine.neighbors(by["alone.md"]).count() == engine.neighbors("unknown").count() == 0
+    assert [r.source_path for r in engine.backlinks(by["there.md"]).collect()] == ["here.md"]
+    text = render.neighbors_text(engine.neighbors(by["here.md"]))
     assert "#1  -> " in text and "(no relationship)" in text and "(dangling)" in text
     assert render.neighbors_text(engine.neighbors("unknown")) == "(no outbound edges)"
 
 
 def test_ingest_and_reingest(spark, tmp_path_factory):
-    folder, store, make, stats = build(spark, tmp_path_factory, vaults.INGEST, {})
+    folder, store, make, stats = build(spark, tmp_path_factory, vaults.INGEST)
     assert stats == Stats(3, 3, 0, 0)
     docs = {r.path: r for r in store.table("documents").collect()}
-    assert docs["with-timeline.md"].timeline_text == "- first entry" and docs["with-timeline.md"].title == "Long Note" and docs["with-timeline.md"].domain == "work"
-    assert docs["minimal.md"].timeline_text is None and docs["minimal.md"].title == "minimal"
+    assert docs["dated.md"].timeline_text == "- first entry" and docs["dated.md"].title == "Long Note" and docs["dated.md"].domain == "work"
+    assert docs["plain.md"].timeline_text is None and docs["plain.md"].title == "plain"
     edges = store.table("edges").collect()
     assert len(edges) == 2 and sum(e.target_id in {d.id for d in docs.values()} for e in edges) == 1
     assert ingest(spark, folder, store, make) == Stats(3, 0, 3, 0)
-    (__import__("pathlib").Path(folder) / "minimal.md").write_text("Another line.\n")
+    (__import__("pathlib").Path(folder) / "plain.md").write_text("Another line.\n")
     assert ingest(spark, folder, store, make) == Stats(3, 1, 2, 0)
     again = {r.path: r for r in store.table("documents").collect()}
-    assert again["minimal.md"].created_at == docs["minimal.md"].created_at and again["minimal.md"].updated_at > docs["minimal.md"].updated_at
-    assert again["with-timeline.md"].updated_at == docs["with-timeline.md"].updated_at
+    assert again["plain.md"].created_at == docs["plain.md"].created_at and again["plain.md"].updated_at > docs["plain.md"].updated_at
+    assert again["dated.md"].updated_at == docs["dated.md"].updated_at
     assert {t: store.table(t).count() for t in ("documents", "chunks", "edges", "truths", "lengths")} == {"documents": 3, "chunks": 3, "edges": 2, "truths": 3, "lengths": 3}
     before = sorted(map(str, store.table("postings").collect()))
     store.compact()
@@ -120,7 +124,7 @@ def test_ingest_and_reingest(spark, tmp_path_factory):
 
 
 def test_late_target_refreshes_edges(spark, tmp_path_factory):
-    folder, store, make, _ = build(spark, tmp_path_factory, {"s/source.md": "See [[t/target]] (relates) and [[Late Title]].\n"}, {})
+    folder, store, make, _ = build(spark, tmp_path_factory, {"s/source.md": "See [[t/target]] (relates) and [[Late Title]].\n"})
     engine = Engine(spark, store, make())
     sid = ids(store)["s/source.md"]
     assert {r.target_path for r in engine.neighbors(sid).collect()} == {None}
@@ -130,7 +134,7 @@ def test_late_target_refreshes_edges(spark, tmp_path_factory):
 
 
 def test_bad_files_keep_what_is_stored(spark, tmp_path_factory):
-    folder, store, make, _ = build(spark, tmp_path_factory, {"a.md": "good\n", "b.md": b"\xff", ".hidden/c.md": "seen\n"}, {})
+    folder, store, make, _ = build(spark, tmp_path_factory, {"a.md": "good\n", "b.md": b"\xff", ".hidden/c.md": "seen\n"})
     assert sorted(ids(store)) == [".hidden/c.md", "a.md"]
     vaults.write(__import__("pathlib").Path(folder), {"a.md": "---\nx: [\n---\nbad\n"})
     stats = ingest(spark, folder, store, make)
@@ -138,44 +142,44 @@ def test_bad_files_keep_what_is_stored(spark, tmp_path_factory):
 
 
 def test_empty_folder(spark, tmp_path_factory):
-    assert build(spark, tmp_path_factory, {}, {})[3] == Stats()
+    assert build(spark, tmp_path_factory, {})[3] == Stats()
 
 
 def test_store_errors(spark, tmp_path):
     with pytest.raises(StoreError):
         Store.open(spark, str(tmp_path / "none"))
     with pytest.raises(ToolStartError):
-        Tools(spark, str(tmp_path / "none"), KeywordEmbedder({}))
+        Tools(spark, str(tmp_path / "none"), vaults.Concepts())
     assert not (tmp_path / "none").exists()
     Store.create(spark, str(tmp_path / "s"))
     assert Store.create(spark, str(tmp_path / "s")).table("documents").count() == 0
 
 
 def test_example_and_tools(spark, tmp_path_factory):
-    _, store, make, _ = build(spark, tmp_path_factory, vaults.EXAMPLE, vaults.EXAMPLE_KEYS)
+    _, store, make, _ = build(spark, tmp_path_factory, vaults.SHORE, vaults.SHORE_CONCEPTS)
     engine, tools = Engine(spark, store, make()), Tools(spark, store.root, make())
-    assert engine.query("antinet").first().path == "mental-models-overview.md"
-    row = {r.path: r for r in engine.query("heuristic").collect()}["bounded-rationality.md"]
+    assert engine.query("anemone").first().path == "walks.md"
+    row = {r.path: r for r in engine.query("estuary").collect()}["marsh.md"]
     assert row.signal == "semantic" and row.semantic_rank == 1
-    assert {r.path: r.signal for r in engine.query("balancing").collect()}["balancing-loops.md"] == "fused"
+    assert {r.path: r.signal for r in engine.query("urchin").collect()}["grazers.md"] == "fused"
     options = {"lexical_top_k": 1, "semantic_top_k": 1, "final_top_k": 1, "expand": True, "expand_depth": 2}
-    rows = engine.query("circular", **options).collect()
-    assert [(r.path, r.expansion_depth) for r in rows][0] == ("feedback-loops.md", 0)
-    assert sorted((r.path, r.expansion_depth) for r in rows[1:]) == [("balancing-loops.md", 1), ("reinforcing-loops.md", 1), ("systems-archetypes.md", 2)]
-    assert tools.query("circular", **options).rows == [r.asDict() for r in rows]
+    rows = engine.query("intertidal", **options).collect()
+    assert [(r.path, r.expansion_depth) for r in rows][0] == ("pools.md", 0)
+    assert sorted((r.path, r.expansion_depth) for r in rows[1:]) == [("grazers.md", 1), ("kelp.md", 1), ("otters.md", 2)]
+    assert tools.query("intertidal", **options).rows == [r.asDict() for r in rows]
     by = ids(store)
-    assert len(tools.graph_neighbors(by["feedback-loops.md"]).rows) == 2
+    assert len(tools.graph_neighbors(by["pools.md"]).rows) == 2
     assert tools.graph_neighbors("unknown").is_error
-    assert tools.query("circular", expand=True, expand_depth=9).is_error
-    text = render.results_text(engine.query("circular", **options))
-    assert text.startswith("#1  signal=fused  rrf_score=0.032787  lex_rank=1  sem_rank=1\n    path: feedback-loops.md") and "depth=2" in text
-    assert render.results_text(engine.query("circular", final_top_k=0)) == "(no candidate found)"
-    assert json.loads(render.as_json(engine.query("circular", **options))) == [r.asDict() for r in rows]
+    assert tools.query("intertidal", expand=True, expand_depth=9).is_error
+    text = render.results_text(engine.query("intertidal", **options))
+    assert text.startswith("#1  signal=fused  rrf_score=0.032787  lex_rank=1  sem_rank=1\n    path: pools.md") and "depth=2" in text
+    assert render.results_text(engine.query("intertidal", final_top_k=0)) == "(no candidate found)"
+    assert json.loads(render.as_json(engine.query("intertidal", **options))) == [r.asDict() for r in rows]
 
 
 def test_command_line(spark, tmp_path, capsys):
     folder, root = vaults.write(tmp_path / "n", vaults.EXPAND), str(tmp_path / "s")
-    make = partial(KeywordEmbedder, vaults.EXPAND_KEYS)
+    make = partial(vaults.Concepts, *vaults.EXPAND_CONCEPTS)
     run = lambda *a: cli.main([*a, "--store", root], spark, make)
     assert run("query", "alpha") == 1
     assert run("init") == 0 and run("ingest", folder) == 0
@@ -190,10 +194,132 @@ def test_command_line(spark, tmp_path, capsys):
 def test_streaming_ingest(spark, tmp_path):
     folder = vaults.write(tmp_path / "n", {"a.md": "first [[b]] (x)\n"})
     store = Store.create(spark, str(tmp_path / "s"))
-    go = lambda: watch(spark, folder, store, partial(KeywordEmbedder, {}), str(tmp_path / "c"), once=True).awaitTermination()
+    go = lambda: watch(spark, folder, store, vaults.Concepts, str(tmp_path / "c"), once=True).awaitTermination()
     go()
     vaults.write(tmp_path / "n", {"b.md": "second [[a]]\n"})
     go()
     by = ids(store)
     assert sorted(by) == ["a.md", "b.md"]
-    assert Engine(spark, store, KeywordEmbedder({})).neighbors(by["b.md"]).first().target_path == "a.md"
+    assert Engine(spark, store, vaults.Concepts()).neighbors(by["b.md"]).first().target_path == "a.md"
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Both read the same list; the second to commit builds on the first one's."""
+    store = Store.create(spark, str(tmp_path / "s"))
+    one, two = Store.open(spark, store.root), Store.open(spark, store.root)
+    row = lambda i: {"documents": spark.createDataFrame([(i, i, f"{i}.md", None, "h", None, "{}", "t", "t")], TABLES["documents"])}
+    gone = lambda i: spark.createDataFrame([(i, False)], "id string, edges_only boolean")
+    state = two._state
+
+    def late():  # another write comes between reading the list and committing
+        got = state()
+        two._state = state
+        one.append(row("a"), gone("a"))
+        return got
+
+    two._state = late
+    two.append(row("b"), gone("b"))
+    assert sorted(r.id for r in store.table("documents").collect()) == ["a", "b"] and len(store.segments()) == 2
+
+
+def test_compaction_and_vacuum(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST", 3)
+    monkeypatch.setattr(store_module, "KEPT", 2)
+    store = Store.create(spark, str(tmp_path / "s"))
+    for k in range(6):
+        files = spark.createDataFrame([("same.md", bytearray(f"text {k}".encode())), (f"{k}.md", bytearray(b"x"))], "path string, content binary")
+        ingest_files(files, store, vaults.Concepts)
+    assert len(store.segments()) <= 4 and len(store.numbers()) <= 2
+    docs = store.table("documents").select("path").collect()
+    assert sorted(r.path for r in docs) == [f"{k}.md" for k in range(6)] + ["same.md"]
+    assert store.table("truths").where("title = 'same'").first().content == "text 5"
+    folders = lambda: {p.name for p in (tmp_path / "s").glob("segment-*")}
+    assert store.vacuum() == 0 and len(folders()) > len(store.segments())  # readers may still hold the old ones
+    assert store.vacuum(grace=0) > 0 and folders() == set(store.segments())
+    old = store.segments()
+    two = Store.open(spark, store.root)
+    assert store.compact() and len(store.segments()) == 1
+    two.segments = lambda: old  # a compaction that started before the other one ended gives way
+    assert not two.compact() and len(Store.open(spark, store.root).segments()) == 1
+
+
+def scans(df):
+    """The file scans of a plan, and whether each has a filter on ids."""
+    plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    return [line for line in plan.splitlines() if "FileScan" in line], plan
+
+
+def test_lookups_filter_their_scans(spark, expand_engine):
+    """Without broadcasts by size no table is read whole or shuffled for a few ids."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs, edges = expand_engine.store.table("documents"), expand_engine.store.table("edges")
+        i = docs.where("path = 'A.md'").first().id
+        got, plan = scans(graph.neighbors(edges, docs, i))
+        assert len(got) == 3 and all("PushedFilters: [" in x and "PushedFilters: []" not in x for x in got) and "SortMergeJoin" not in plan
+        rows, few = graph.matching(docs, "id", edges.select("target_id"))
+        assert few and "SortMergeJoin" not in scans(rows)[1] and all("PushedFilters: []" not in x for x in scans(rows)[0])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_expansion_by_lookup_is_the_walk(spark, monkeypatch):
+    import random
+
+    rng = random.Random(8)
+    name = lambda i: f"d{i:03}"
+    links = [(name(rng.randrange(120)), name(rng.randrange(160))) for _ in range(400)]
+    edges = spark.createDataFrame(links, "source_id string, target_id string")
+    docs = spark.createDataFrame([(name(i),) for i in range(120)], "id string")
+    for few in (1000, 5):
+        monkeypatch.setattr(graph, "FEW", few)
+        monkeypatch.setattr(graph, "SOME", 40)
+        for seeds, depth, top in [(["d000"], 1, 20), (["d001", "d002", "none"], 2, 20), (["d003"], 3, 7), (["d004"], 3, 500), ([], 2, 20), (["d005"], 2, 0)]:
+            s = spark.createDataFrame([(x,) for x in seeds], "doc_id string")
+            want = [tuple(r) for r in graph.expand(s, edges, docs, depth, top).collect()]
+            assert graph.expand_from(seeds, edges, docs, depth, top) == want
+
+
+def test_embedders(spark, tmp_path, capsys):
+    assert encoder(VocabularyEmbedder(["zebra", "the"]))(["The zebra, the Zébra", ""]).tolist() == [[2, 2], [0, 0]]
+    assert isinstance(named("vaultmill.operators.embed:HashingEmbedder"), HashingEmbedder)
+    with pytest.raises(TypeError):
+        named("builtins:list")
+
+    class Quiet:
+        def encode(self, texts, show_progress_bar=True):
+            assert show_progress_bar is False
+            return [[1.0]] * len(texts)
+
+    assert encoder(Quiet())(["a"]).tolist() == [[1.0]]
+    folder, root = vaults.write(tmp_path / "n", {"a.md": "one\n", "b.md": b"\xff"}), str(tmp_path / "s")
+    run = lambda *a: cli.main([*a, "--store", root], spark)
+    model = ("--embedder", "vaultmill.operators.embed:HashingEmbedder")
+    assert run("init") == 0 and run("ingest", folder, "--strict", *model) == 1
+    assert "b.md: not valid UTF-8" in capsys.readouterr().err and Store.open(spark, root).table("documents").count() == 0
+    assert run("ingest", folder, *model) == 1 and run("query", "one", *model) == 0
+    assert "path: a.md" in capsys.readouterr().out
+
+
+def test_errors_name_documents(spark, tmp_path):
+    store = Store.create(spark, str(tmp_path / "s"))
+    bad = spark.createDataFrame([(f"{k}.md", bytearray(b"---\na: [\n---\n")) for k in range(30)] + [("ok.md", bytearray(b"x"))], "path string, content binary")
+    with pytest.raises(ParseError) as e:
+        ingest_files(bad, store, vaults.Concepts, strict=True)
+    assert e.value.total == 30 and len(e.value.failures) == 20 and "0.md: malformed front matter" in str(e.value)
+    assert isinstance(e.value, IngestError)
+
+
+def test_refused_query_warns(query_engine, caplog):
+    with caplog.at_level("WARNING"):
+        assert {r.signal for r in query_engine.query("it's a zebra").collect()} == {"semantic"}
+    assert "refused" in caplog.text
+
+
+def test_hit_without_document(spark, tmp_path_factory):
+    _, store, make, _ = build(spark, tmp_path_factory, vaults.QUERY, vaults.QUERY_CONCEPTS)
+    gone = store.table("documents").select("id", F.lit(False).alias("edges_only"))
+    store.append({t: store.table(t) for t in ("postings", "lengths", "chunks")}, gone)
+    with pytest.raises(QueryError):
+        Engine(spark, store, make()).query("zebra")
+    assert Tools(spark, store.root, make()).query("zebra").is_error

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vaultmill.functions.text import fold
 from vaultmill.operators.links import edges, extract, resolve, resolve_with
 
 
@@ -71,3 +72,12 @@ def test_resolver_function(spark):
     rows = spark.createDataFrame([("s", "a.md", 0, "x", None), ("s", "a.md", 1, "y", None)], "source_id string, source_path string, n int, label string, relationship_type string")
     got = {r.label: r.target_path for r in resolve_with(rows, lambda label, source: f"{source}/{label}" if label == "x" else None).collect()}
     assert got == {"x": "a.md/x", "y": None}
+
+
+def test_names_fold_fully(spark):
+    """As Python's casefold: sharp s, ligatures, final sigma, letters that grow."""
+    names = [" Straße ", "STRASSE", "ΣΊΣΥΦΟΣ", "σίσυφος", "ﬁn", "ŉ", "ǰ", "ſ", "ΐ", "ᾳ", "Ἄ", "ẞ", "Ꭰ", "ꭰ", "plain", "", "İx"]
+    names += [f"a{chr(c)}b" for c in range(0x80, 0x2000) if chr(c).isalpha()]
+    got = spark.createDataFrame(list(enumerate(names)), "i int, s string").select("i", fold(F.col("s")).alias("f")).collect()
+    wrong = [names[r.i] for r in got if r.f != names[r.i].strip().casefold()]
+    assert not [w for w in wrong if names.index(w) < 17] and len(wrong) < 5, wrong[:20]

@@ -6,18 +6,27 @@ links); operators are the engine's own. Every query runs over its whole tables.
 
 from __future__ import annotations
 
+import contextlib
+import io
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaultmill import cli
+from vaultmill.errors import VaultError
 from vaultmill.functions.text import content_hash, doc_id, excerpt, sanitized
 from vaultmill.operators import chunk, embed, fuse, graph, lexical, links, semantic
 from vaultmill.operators.parse import parse, split_page
-from vaultmill.plans.ingest import detect_changes, ingest_files, upsert
+from vaultmill.plans import render
+from vaultmill.plans.ingest import Stats, detect_changes, ingest_files
 from vaultmill.plans.query import Engine
 from vaultmill.plans.store import Store
+from vaultmill.plans.tools import Tools
+from vaultmill.schema import DOCUMENTS, RESULT
+from vaultmill.sources.vault import scan
 
 TEXT = "the nicht pour ciónes"
 TOP = 20
@@ -34,20 +43,15 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
-def term_counts(docs: DataFrame, wanted: list[str] | None = None) -> DataFrame:
-    """(doc_id, term, tf) straight from the texts: postings without positions."""
-    t = lexical.tokens(docs, "text")
-    if wanted is not None:  # a scan for a few terms shuffles only what matches
-        t = t.select("doc_id", F.filter("terms", lambda x: x.isin(*wanted)).alias("terms"))
-    return t.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+def scores(spark: SparkSession, sf_dir: str, text: str = TEXT) -> DataFrame:
+    """BM25 of all documents straight from the texts."""
+    tokens, query = lexical.tokens(corpus(spark, sf_dir), "text"), lexical.phrases(text)
+    stats = lexical.stats(tokens.select(F.size("terms").alias("n_tokens")))
+    return lexical.bm25(lexical.matches(lexical.postings_of(tokens, query), query), stats)
 
 
 def lexical_top(spark: SparkSession, sf_dir: str, text: str = TEXT, top_k: int = TOP) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    query = lexical.phrases(text)
-    length = lexical.lengths(docs, "text")
-    found = lexical.matches(term_counts(docs, sorted({t for p in query for t in p})), query)
-    return lexical.ranked(lexical.bm25(found, lexical.stats(length), length), top_k)
+    return lexical.ranked(scores(spark, sf_dir, text), top_k)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +59,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, query = corpus(spark, sf_dir), lexical.phrases(TEXT)
-    length = lexical.lengths(docs, "text")
-    found = lexical.matches(term_counts(docs, sorted({t for p in query for t in p})), query)
-    return lexical.bm25(found, lexical.stats(length), length).select("doc_id", F.round("score", 9).alias("score"))
+    return scores(spark, sf_dir).select("doc_id", F.round("score", 9).alias("score"))
 
 
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,17 +71,12 @@ def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.term_df(term_counts(corpus(spark, sf_dir)))
+    return lexical.vocabulary(lexical.tokens(corpus(spark, sf_dir), "text"))
 
 
 def phrase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query whose one token is a phrase of two terms, matched on positions."""
-    query = lexical.phrases("of–the")
-    docs = corpus(spark, sf_dir)
-    length = lexical.lengths(docs, "text")
-    t = lexical.tokens(docs, "text").select("doc_id", F.posexplode("terms").alias("p", "term")).where(F.col("term").isin(*query[0]))
-    post = t.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("p")).alias("positions"))
-    top = lexical.ranked(lexical.bm25(lexical.matches(post, query), lexical.stats(length), length), TOP)
+    top = lexical_top(spark, sf_dir, "of–the")
     return top.select("doc_id", "lexical_rank", F.round("score", 9).alias("score"))
 
 
@@ -165,7 +161,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse(files(spark, sf_dir)).select("id", "path", "title", "domain", "content_hash", "timeline_text", "truth", F.coalesce("error", F.lit("")).alias("error"))
+    return parse(files(spark, sf_dir)).select("id", "path", "title", "domain", "content_hash", "timeline_text", "metadata_json", "truth", F.coalesce("error", F.lit("")).alias("error"))
 
 
 def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,9 +179,20 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_rows(dialogues(spark, sf_dir))
 
 
+VOCABULARY = ("the", "nicht", "pour", "una", "region", "lies", "lives", "buys", "asia")
+
+
+def vocabulary() -> embed.Embedder:
+    return embed.VocabularyEmbedder(VOCABULARY)
+
+
+def shown(vector: str):
+    return F.array_join(F.transform(vector, lambda x: x.cast("int").cast("string")), ",")
+
+
 def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = embed.embedded(chunk_pack(spark, sf_dir), embed.HashingEmbedder)
-    return v.select("doc_id", "chunk_index", F.size("embedding").alias("width"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 3).alias("square"))
+    v = embed.embedded(chunk_pack(spark, sf_dir), vocabulary)
+    return v.select("doc_id", "chunk_index", shown("embedding").alias("vector"))
 
 
 def sanitize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,8 +217,13 @@ def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored, batch = changed(spark, sf_dir)
-    return upsert(stored.select("id", "content_hash"), batch)
+    """Two writes to a store; the rows of the second stand in place of those of the same id."""
+    store = fresh_store(spark)
+    for rows in changed(spark, sf_dir):
+        rows = rows.select(F.col("id").cast("string").alias("id"), "content_hash")
+        gone = rows.select("id", F.lit(False).alias("edges_only"))
+        store.append({"documents": rows.select("*", *[F.lit("").alias(f.name) for f in DOCUMENTS if f.name not in rows.columns])}, gone)
+    return store.table("documents").select("id", "content_hash")
 
 
 # -- links and graph ----------------------------------------------------------------------------
@@ -240,6 +252,23 @@ def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.resolve(links.extract(n), n).select("source_path", "n", "target_path", "target_id")
 
 
+def resolve_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links resolved by a function of label and source in place of a scope."""
+    found = links.extract(notes(spark, sf_dir))
+    place = lambda label, source: f"nation/{label}.md" if label.isupper() and not source.startswith("region/") else None
+    return links.resolve_with(found, place).select("source_path", "n", "target_path", "target_id")
+
+
+CASES = ("[[%]] (x)", "[[%]](y z)", "[[%]]\n (n)", "[[%]] ()", "[[ % ]] ( s )", "[[%", "[[a[%]]]", "[[]] (%)", "[[a]] [[%]](r)[[%]]", "[[%.md]] (x) (y)", "[[a\nb%]]", "[%]")
+
+
+def link_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = spark.createDataFrame(list(enumerate(CASES)), "k int, form string")
+    rows = read(spark, sf_dir, "region").crossJoin(F.broadcast(cases))  # a dozen forms of a link for each region
+    docs = rows.select(F.concat(F.col("k").cast("string"), "r_name").alias("path"), F.replace("form", F.lit("%"), F.col("r_name")).alias("truth")).withColumn("id", doc_id(F.col("path")))
+    return links.extract(docs).select("source_path", "n", "label", "relationship_type")
+
+
 def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = notes(spark, sf_dir)
     return links.edges(n, n)
@@ -304,15 +333,218 @@ b AS (SELECT id AS doc_id, min(depth)::INTEGER AS expansion_depth FROM w GROUP B
 
 # -- the engine end to end ----------------------------------------------------------------------
 
+QUESTION = "lies in region ASIA"
+SOME_NOTE = "customer/Customer#000000001.md"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="vaultmill-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def as_files(rows: DataFrame) -> DataFrame:
+    return rows.select("path", F.col("truth").cast("binary").alias("content"))
+
+
+def fresh_store(spark: SparkSession) -> Store:
+    return Store.create(spark, shared_folder(spark, "store"))
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> Store:
+    store = fresh_store(spark)
+    ingest_files(as_files(notes(spark, sf_dir)), store, vocabulary)
+    return store
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' notes with a word more."""
+    return notes(spark, sf_dir).where(F.col("path").startswith("nation/")).withColumn("truth", F.concat("truth", F.lit(" Edited.")))
+
 
 def engine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingest of the notes into a fresh store, then a fused query with expansion."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vaultmill-")
-    store = Store.create(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
-    ingest_files(notes(spark, sf_dir).select("path", F.col("truth").cast("binary").alias("content")), store, embed.HashingEmbedder)
-    return Engine(spark, store, embed.HashingEmbedder()).query("lies in region ASIA", expand=True, expand_depth=2)
+    return Engine(spark, ingested(spark, sf_dir), vocabulary()).query(QUESTION, expand=True, expand_depth=2)
+
+
+def engine_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ingested(spark, sf_dir)
+    i = store.table("documents").where(F.col("path") == SOME_NOTE).first()["id"]
+    return Engine(spark, store, vocabulary()).neighbors(i)
 
 
+def stored_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking by the stored postings."""
+    top = Engine(spark, ingested(spark, sf_dir), vocabulary()).lexical(QUESTION)
+    return top.select("doc_id", "lexical_rank", F.round("score", 9).alias("score"))
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with front matter and timeline, and their chunks, as a store has them."""
+    store = fresh_store(spark)
+    ingest_files(files(spark, sf_dir), store, vocabulary)
+    return store.table("documents").select("id", "path", "title", "domain", "content_hash", "timeline_text", "metadata_json")
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingested(spark, sf_dir).table("chunks").select("doc_id", "chunk_index", "text", shown("embedding").alias("vector"))
+
+
+def stored_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second ingest replaces what changed: documents, chunks and lengths after it."""
+    store = ingested(spark, sf_dir)
+    ingest_files(as_files(edited(spark, sf_dir)), store, vocabulary)
+    chunks, lengths = store.table("chunks"), store.table("lengths")
+    terms = store.table("postings").groupBy("doc_id").agg(F.count("*").alias("terms"))
+    d = store.table("documents").select(F.col("id").alias("doc_id"), "content_hash")
+    return d.join(chunks, "doc_id").join(lengths, "doc_id").join(terms, "doc_id").select("doc_id", "content_hash", "text", "n_tokens", "terms")
+
+
+def late_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that dangled at first, after their targets came."""
+    store, all_notes = fresh_store(spark), notes(spark, sf_dir)
+    ingest_files(as_files(all_notes.where(F.col("path").startswith("customer/"))), store, vocabulary)
+    ingest_files(as_files(all_notes), store, vocabulary)
+    store.compact()
+    return store.table("edges")
+
+
+def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of three runs: all notes, the same with some edited, and files that are no text."""
+    store = fresh_store(spark)
+    rest = notes(spark, sf_dir).where(~F.col("path").startswith("nation/"))
+    bad = read(spark, sf_dir, "region").select("r_name", F.expr("X'C328'").alias("content"))
+    runs: list[Callable[[], Stats]] = [
+        lambda: ingest_files(as_files(notes(spark, sf_dir)), store, vocabulary),
+        lambda: ingest_files(as_files(rest.unionByName(edited(spark, sf_dir))), store, vocabulary),
+        lambda: ingest_files(bad.select(F.concat("r_name", F.lit(".md")).alias("path"), "content"), store, vocabulary),
+    ]
+    rows = [(k, s.total, s.ingested, s.skipped, s.failed) for k, s in enumerate(r() for r in runs)]
+    return spark.createDataFrame(rows, "run int, total long, ingested long, skipped long, failed long")
+
+
+def tool_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tool's answer, read back from its JSON."""
+    tools = Tools(spark, ingested(spark, sf_dir).root, vocabulary())
+    rows = tools.query(QUESTION, expand=True, expand_depth=2).rows
+    return spark.createDataFrame([tuple(r[f.name] for f in RESULT) for r in rows], RESULT)
+
+
+def tool_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = ingested(spark, sf_dir)
+    i = store.table("documents").where(F.col("path") == SOME_NOTE).first()["id"]
+    rows = Tools(spark, store.root, vocabulary()).graph_neighbors(i).rows
+    return spark.createDataFrame([(r["target_id"], r["relationship_type"], r["target_path"]) for r in rows], "target_id string, relationship_type string, target_path string")
+
+
+def rendered_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = render.results_text(engine_query(spark, sf_dir))
+    blocks = [f"#{b}".rstrip("\n") for b in f"\n{text}".split("\n#")[1:]]
+    return spark.createDataFrame(list(enumerate(blocks, 1)), "position int, block string")
+
+
+def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows come back where there is nothing to ask or to return."""
+    engine = Engine(spark, ingested(spark, sf_dir), vocabulary())
+    runs = {
+        "operators only": lambda: engine.lexical("AND OR NOT"), "blank": lambda: engine.lexical("  "), "refused": lambda: engine.lexical("it's"), "lexical 0": lambda: engine.lexical(QUESTION, 0),
+        "semantic 0": lambda: engine.semantic(QUESTION, 0), "final 0": lambda: engine.query(QUESTION, final_top_k=0), "depth 0": lambda: engine.query(QUESTION, expand=True, expand_depth=0),
+        "expanded 0": lambda: engine.query(QUESTION, expand=True, expand_top_k=0), "unknown id": lambda: engine.neighbors("none"),
+    }
+    return spark.createDataFrame([(k, r().count()) for k, r in runs.items()], "asked string, n long")
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which error each wrong use gives."""
+    store, nowhere = ingested(spark, sf_dir), shared_folder(spark, "none")
+    engine = Engine(spark, store, vocabulary())
+    bad = spark.createDataFrame([("x.md", bytearray(b"---\na: [\n---\n"))], "path string, content binary")
+    wrong = {
+        "open": lambda: Store.open(spark, nowhere), "tools": lambda: Tools(spark, nowhere, vocabulary()), "unknown": lambda: engine.require("none"), "depth": lambda: engine.query("x", expand=True, expand_depth=4),
+        "negative": lambda: engine.query("x", expand=True, expand_top_k=-1), "strict": lambda: ingest_files(bad, store, vocabulary, strict=True), "lost": lambda: lose(store, engine),
+    }
+    rows = []
+    for name, run in wrong.items():
+        try:
+            run()
+            rows.append((name, "none"))
+        except VaultError as e:
+            rows.append((name, type(e).__name__))
+    return spark.createDataFrame(rows, "used string, error string")
+
+
+def lose(store: Store, engine: Engine) -> None:
+    """A hit whose document is gone."""
+    gone = store.table("documents").select("id", F.lit(False).alias("edges_only"))
+    kept = {t: store.table(t) for t in ("postings", "lengths", "chunks")}
+    store.append(kept, gone)
+    engine.query(QUESTION)
+
+
+def written(spark: SparkSession, rows: DataFrame) -> str:
+    """A folder with the notes as files."""
+    folder = shared_folder(spark, "notes")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for r in rows.collect():  # regions and nations
+        path = hadoop.Path(f"{folder}/{r['path']}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(r["truth"].encode()))
+        out.close()
+    return folder
+
+
+def few_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notes(spark, sf_dir).where(F.col("path").startswith("nation/") | F.col("path").startswith("region/"))
+
+
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(spark, written(spark, few_notes(spark, sf_dir)))
+    return found.select("path", F.sha2("content", 256).alias("content_hash"), doc_id(F.col("path")).alias("id"))
+
+
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the commands return and print."""
+    folder, root = written(spark, few_notes(spark, sf_dir)), shared_folder(spark, "store")
+    rows = []
+    for name, args in [("early", ["query", "x"]), ("init", ["init"]), ("ingest", ["ingest", folder]), ("again", ["ingest", folder]), ("nothing", ["query", "x", "--semantic-top-k", "0"]), ("unknown", ["neighbors", "none"]), ("json", ["neighbors", "none", "--json"])]:
+        said = io.StringIO()
+        with contextlib.redirect_stdout(said), contextlib.redirect_stderr(io.StringIO()):
+            code = cli.main([*args, "--store", root], spark, vocabulary)
+        rows.append((name, code, said.getvalue().strip().replace(root, "STORE")))
+    return spark.createDataFrame(rows, "command string, code int, said string")
+
+
+# the notes as a store has them: titles are file names, and every note is one chunk
+_STORED = _RESOLVE.replace("lower(title)", "lower(regexp_extract(path, '([^/]*)\\.[^./]*$', 1))") + r""",
+sd AS (SELECT left(sha256(path), 16) AS id, path, regexp_extract(path, '([^/]*)\.[^./]*$', 1) AS title, truth, sha256(truth) AS content_hash FROM notes),
+st_tokens AS (SELECT id, list_filter(string_split_regex(strip_accents(lower(title || ' ' || truth)), '[^\p{L}\p{N}\p{Co}\p{M}]+'), lambda x: x <> '') AS terms FROM sd),
+sl AS (SELECT id, len(terms) AS n FROM st_tokens),
+ss AS (SELECT count(*) AS n_docs, avg(n) AS avgdl FROM sl),
+sp AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM st_tokens) GROUP BY ALL),
+sq AS (SELECT * FROM sp WHERE term IN ('lies', 'in', 'region', 'asia')),
+si AS (SELECT term, CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_docs - df + 0.5) / (df + 0.5)) END AS idf
+  FROM (SELECT term, count(*)::DOUBLE AS df FROM sq GROUP BY term), ss),
+sb AS (SELECT sq.id, sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * sl.n / ss.avgdl))) AS score
+  FROM sq JOIN si USING (term) JOIN sl ON sl.id = sq.id, ss GROUP BY sq.id),
+slex AS (SELECT id, row_number() OVER (ORDER BY round(score, 12) DESC, id)::INTEGER AS lexical_rank, score FROM sb QUALIFY lexical_rank <= 20),
+sv AS (SELECT id, list_transform({VOCABULARY}, lambda v: len(list_filter(terms, lambda t: t = v))) AS vector
+  FROM (SELECT id, list_filter(string_split_regex(strip_accents(lower(truth)), '[^\p{L}\p{N}\p{Co}\p{M}]+'), lambda x: x <> '') AS terms FROM sd)),
+sk AS (SELECT id, row_number() OVER (ORDER BY round(list_distance(vector::DOUBLE[], {QUERY}::DOUBLE[]), 12), id)::INTEGER AS semantic_rank FROM sv QUALIFY semantic_rank <= 20),
+sf AS (SELECT coalesce(slex.id, sk.id) AS id, coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) AS s, lexical_rank, semantic_rank,
+  CASE WHEN lexical_rank IS NOT NULL AND semantic_rank IS NOT NULL THEN 'fused' WHEN lexical_rank IS NOT NULL THEN 'lexical' ELSE 'semantic' END AS signal
+  FROM slex FULL JOIN sk ON slex.id = sk.id ORDER BY s DESC, coalesce(slex.id, sk.id) LIMIT 10),
+sw(id, depth) AS (SELECT id, 0 FROM sf UNION SELECT e.target_id, depth + 1 FROM sw JOIN edges e ON e.source_id = sw.id JOIN sd ON sd.id = e.target_id WHERE depth < 2),
+sx AS (SELECT id, min(depth) AS depth FROM sw GROUP BY id HAVING min(depth) > 0 ORDER BY depth, id LIMIT 20),
+result AS (
+  SELECT id AS doc_id, 0 AS chunk_index, path, title, signal, round(s, 6) AS rrf_score, lexical_rank, semantic_rank, truth AS chunk_text, 0 AS expansion_depth FROM sf JOIN sd USING (id)
+  UNION ALL SELECT id, 0, path, title, 'expanded', 0.0::DOUBLE, NULL, NULL, truth, depth::INTEGER FROM sx JOIN sd USING (id))
+""".replace("{VOCABULARY}", str(list(VOCABULARY))).replace("{QUERY}", str([int(v in ("lies", "in", "region", "asia")) for v in VOCABULARY]))
+_ENGINE = f"WITH RECURSIVE {_STORED} SELECT * FROM result"
+_VECTOR = "array_to_string(vector, ',')"
+
 QUERIES = {
     "bm25_topk": bm25_topk, "bm25_all": bm25_all, "bm25_stats": bm25_stats, "doc_lengths": doc_lengths, "term_df": term_df, "phrase_topk": phrase_topk,
     "knn_topk_chunks": knn_topk_chunks, "knn_cosine": knn_cosine, "knn_best_per_doc": knn_best_per_doc,
@@ -322,7 +554,10 @@ QUERIES = {
     "change_detect": change_detect, "upsert_merge": upsert_merge,
     "link_extract": link_extract, "resolve_links": resolve_links, "link_edges": link_edges, "neighbors_dangling": neighbors_dangling,
     "expand_depth1": expand_depth(1), "expand_depth2": expand_depth(2), "expand_depth3": expand_depth(3), "expand_topk": expand_topk,
-    "engine_query": engine_query,
+    "resolve_function": resolve_function, "link_cases": link_cases,
+    "engine_query": engine_query, "engine_neighbors": engine_neighbors, "stored_bm25": stored_bm25, "stored_documents": stored_documents, "stored_chunks": stored_chunks,
+    "stored_upsert": stored_upsert, "late_targets": late_targets, "ingest_counts": ingest_counts, "tool_query": tool_query, "tool_neighbors": tool_neighbors,
+    "rendered_results": rendered_results, "guards": guards, "errors": errors, "scan_files": scan_files, "command_line": command_line,
 }
 
 SQL = {
@@ -344,6 +579,7 @@ SELECT doc_id, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id)::INTEG
     "doc_id_hash": "SELECT page_id, left(sha256(url), 16) AS id FROM pages",
     "content_hash": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "parse_documents": """SELECT left(sha256(path), 16) AS id, path, 'Note ' || doc_id AS title, lang AS domain, sha256(body) AS content_hash, '- from ' || source AS timeline_text,
+  '{"title": "Note ' || doc_id || '", "domain": "' || lang || '"}' AS metadata_json,
   regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS truth, '' AS error
 FROM (SELECT *, source || '/' || doc_id || '.md' AS path,
   '---' || chr(10) || 'title: Note ' || doc_id || chr(10) || 'domain: ' || lang || chr(10) || '---' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Timeline' || chr(10) || chr(10) || '- from ' || source || chr(10) AS body
@@ -358,11 +594,49 @@ f(conv_id, i, k, cur) AS (
     CASE WHEN length(cur) + 2 + length(ps[i + 1]) <= 1000 THEN cur || chr(10) || chr(10) || ps[i + 1] ELSE ps[i + 1] END
   FROM f JOIN p ON p.conv_id = f.conv_id WHERE i < len(ps))
 SELECT conv_id AS doc_id, k::INTEGER AS chunk_index, arg_max(cur, i) AS text FROM f GROUP BY conv_id, k""",
+    "engine_query": _ENGINE,
+    "tool_query": _ENGINE,
+    "engine_neighbors": f"""WITH RECURSIVE {_STORED} SELECT e.*, s.path AS source_path, t.path AS target_path FROM edges e JOIN sd s ON s.id = e.source_id LEFT JOIN sd t ON t.id = e.target_id
+WHERE s.path = '{SOME_NOTE}'""",
+    "tool_neighbors": f"""WITH RECURSIVE {_STORED} SELECT e.target_id, e.relationship_type, t.path AS target_path FROM edges e JOIN sd s ON s.id = e.source_id LEFT JOIN sd t ON t.id = e.target_id
+WHERE s.path = '{SOME_NOTE}'""",
+    "stored_bm25": f"WITH RECURSIVE {_STORED} SELECT id AS doc_id, lexical_rank, round(score, 9) AS score FROM slex",
+    "stored_chunks": f"WITH RECURSIVE {_STORED} SELECT id AS doc_id, 0 AS chunk_index, truth AS text, {_VECTOR} AS vector FROM sd JOIN sv USING (id)",
+    "stored_upsert": f"""WITH RECURSIVE {_STORED},
+d AS (SELECT id, title, CASE WHEN path LIKE 'nation/%' THEN truth || ' Edited.' ELSE truth END AS text FROM sd),
+t AS (SELECT id, list_filter(string_split_regex(strip_accents(lower(title || ' ' || text)), '[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{M}}]+'), lambda x: x <> '') AS terms FROM d)
+SELECT d.id AS doc_id, sha256(text) AS content_hash, text, len(terms)::INTEGER AS n_tokens, len(list_distinct(terms))::BIGINT AS terms FROM d JOIN t USING (id)""",
+    "late_targets": f"WITH RECURSIVE {_STORED} SELECT * FROM edges",
+    "ingest_counts": f"""WITH {_NOTES}, n AS (SELECT count(*) AS n, count(*) FILTER (path LIKE 'nation/%') AS e FROM notes)
+SELECT 0 AS run, n AS total, n AS ingested, 0::BIGINT AS skipped, 0::BIGINT AS failed FROM n UNION ALL SELECT 1, n, e, n - e, 0 FROM n UNION ALL SELECT 2, c, 0, 0, c FROM (SELECT count(*) AS c FROM region)""",
+    "stored_documents": """SELECT left(sha256(path), 16) AS id, path, 'Note ' || doc_id AS title, lang AS domain, sha256(body) AS content_hash, '- from ' || source AS timeline_text,
+  '{"title": "Note ' || doc_id || '", "domain": "' || lang || '"}' AS metadata_json
+FROM (SELECT *, source || '/' || doc_id || '.md' AS path,
+  '---' || chr(10) || 'title: Note ' || doc_id || chr(10) || 'domain: ' || lang || chr(10) || '---' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Timeline' || chr(10) || chr(10) || '- from ' || source || chr(10) AS body
+  FROM documents)""",
+    "rendered_results": f"""WITH RECURSIVE {_STORED},
+o AS (SELECT *, row_number() OVER (ORDER BY expansion_depth, rrf_score DESC, doc_id)::INTEGER AS position, replace(regexp_replace(chunk_text, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS x FROM result)
+SELECT position, '#' || position || '  signal=' || signal || '  rrf_score=' || printf('%.6f', rrf_score) || '  lex_rank=' || coalesce(lexical_rank::VARCHAR, '-') || '  sem_rank=' || coalesce(semantic_rank::VARCHAR, '-')
+  || CASE WHEN expansion_depth > 0 THEN '  depth=' || expansion_depth ELSE '' END || chr(10) || '    path: ' || path || chr(10) || '    title: ' || title || chr(10) || '    chunk_index: ' || chunk_index
+  || chr(10) || '    excerpt: ' || CASE WHEN length(x) > 280 THEN left(x, 277) || '...' ELSE x END AS block FROM o""",
+    "guards": "SELECT * FROM (VALUES ('operators only', 0::BIGINT), ('blank', 0), ('refused', 0), ('lexical 0', 0), ('semantic 0', 0), ('final 0', 0), ('depth 0', 10), ('expanded 0', 10), ('unknown id', 0)) v(asked, n)",
+    "errors": "SELECT * FROM (VALUES ('open', 'StoreError'), ('tools', 'ToolStartError'), ('unknown', 'QueryError'), ('depth', 'QueryError'), ('negative', 'QueryError'), ('strict', 'ParseError'), ('lost', 'QueryError')) v(used, error)",
+    "scan_files": f"WITH {_NOTES} SELECT path, sha256(truth) AS content_hash, left(sha256(path), 16) AS id FROM notes WHERE path LIKE 'nation/%' OR path LIKE 'region/%'",
+    "command_line": """WITH n AS (SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS n)
+SELECT 'early' AS command, 1 AS code, '' AS said UNION ALL SELECT 'init', 0, 'store ready at STORE' UNION ALL SELECT 'ingest', 0, 'total=' || n || ' ingested=' || n || ' skipped=0 failed=0' FROM n
+UNION ALL SELECT 'again', 0, 'total=' || n || ' ingested=0 skipped=' || n || ' failed=0' FROM n UNION ALL SELECT 'nothing', 0, '(no candidate found)'
+UNION ALL SELECT 'unknown', 0, '(no outbound edges)' UNION ALL SELECT 'json', 0, '[]'""",
+    "resolve_function": f"""WITH {_NOTES}, p AS (SELECT *, CASE WHEN label = upper(label) AND label <> lower(label) AND NOT starts_with(source_path, 'region/') THEN 'nation/' || label || '.md' END AS target_path FROM m)
+SELECT source_path, n::INTEGER AS n, target_path, left(sha256(coalesce(target_path, CASE WHEN ends_with(label, '.md') THEN label ELSE label || '.md' END)), 16) AS target_id FROM p""",
+    "link_cases": "WITH c AS (SELECT unnest(range({n})) AS k, unnest([{forms}]) AS form), d AS (SELECT k || r_name AS path, replace(form, '%', r_name) AS t FROM c, region), "
+    "f AS (SELECT path, regexp_extract_all(t, '\\[\\[([^\\[\\]]+?)\\]\\](?:\\s*\\(([^)]+)\\))?', 1) AS labels, regexp_extract_all(t, '\\[\\[([^\\[\\]]+?)\\]\\](?:\\s*\\(([^)]+)\\))?', 2) AS rels FROM d), "
+    "u AS (SELECT path, unnest(range(len(labels))) AS n, unnest(labels) AS label, unnest(rels) AS rel FROM f) "
+    "SELECT path AS source_path, n::INTEGER AS n, label, CASE WHEN rel <> '' THEN trim(rel) END AS relationship_type FROM u".format(n=len(CASES), forms=", ".join("'" + c.replace("\n", "' || chr(10) || '") + "'" for c in CASES)),
     "sanitize_query": """SELECT page_id, array_to_string(list_filter(string_split_regex(regexp_replace(regexp_replace(url || ' AND NOT or_x', '["*():^\\-=\\[\\]{}<>~+|?,/;!@#$%&_]', ' ', 'g'), '\\b(?:AND|OR|NOT|NEAR)\\b', ' ', 'g'), '\\s+'), lambda x: x <> ''), ' OR ') AS match FROM pages""",
     "excerpt": "SELECT doc_id, CASE WHEN length(e) > 280 THEN left(e, 277) || '...' ELSE e END AS excerpt FROM (SELECT doc_id, replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS e FROM documents)",
     "change_detect": """SELECT b.doc_id AS id, CASE WHEN lang = 'es' THEN 'new' WHEN lang = 'de' THEN 'changed' ELSE 'same' END AS status,
   CASE WHEN lang = 'es' THEN '' ELSE 'at ' || source END AS created_at FROM documents b WHERE lang <> 'fr'""",
-    "upsert_merge": "SELECT doc_id AS id, sha256(CASE WHEN lang = 'de' THEN text || ' edited' ELSE text END) AS content_hash FROM documents",
+    "upsert_merge": "SELECT doc_id::VARCHAR AS id, sha256(CASE WHEN lang = 'de' THEN text || ' edited' ELSE text END) AS content_hash FROM documents",
     "link_extract": f"WITH {_NOTES} SELECT source_path, n::INTEGER AS n, label, relationship_type FROM m",
     "resolve_links": f"WITH {_RESOLVE} SELECT source_path, n::INTEGER AS n, target_path, target_id FROM x",
     "link_edges": f"WITH {_RESOLVE} SELECT * FROM edges",
@@ -371,3 +645,6 @@ LEFT JOIN notes s ON left(sha256(s.path), 16) = e.source_id LEFT JOIN notes t ON
     **{f"expand_depth{k}": f"WITH RECURSIVE {_HOPS.replace('{depth}', str(k))} SELECT * FROM b" for k in (1, 2, 3)},
     "expand_topk": f"WITH RECURSIVE {_HOPS.replace('{depth}', '3')} SELECT * FROM b ORDER BY expansion_depth, doc_id LIMIT 50",
 }
+SQL["embed_chunks"] = f"""WITH c AS ({SQL["chunk_pack"]}),
+t AS (SELECT doc_id, chunk_index, list_filter(string_split_regex(strip_accents(lower(text)), '[^\\p{{L}}\\p{{N}}\\p{{Co}}\\p{{M}}]+'), lambda x: x <> '') AS terms FROM c)
+SELECT doc_id, chunk_index, array_to_string(list_transform({list(VOCABULARY)}, lambda v: len(list_filter(terms, lambda x: x = v))), ',') AS vector FROM t"""

@@ -8,11 +8,12 @@ from __future__ import annotations
 import argparse
 import logging
 import sys
+from functools import partial
 
 from pyspark.sql import SparkSession
 
 from vaultmill.errors import VaultError
-from vaultmill.operators.embed import HashingEmbedder
+from vaultmill.operators.embed import HashingEmbedder, named
 from vaultmill.plans import render
 from vaultmill.plans.ingest import ingest
 from vaultmill.plans.query import Engine
@@ -27,10 +28,13 @@ def arguments() -> argparse.ArgumentParser:
     common = argparse.ArgumentParser(add_help=False)
     common.add_argument("--store", required=True)
     common.add_argument("-v", "--verbose", action="store_true")
+    model = argparse.ArgumentParser(add_help=False)
+    model.add_argument("--embedder", metavar="MODULE:FACTORY", help="what makes the embedder; hashed words without it")
     sub.add_parser("init", parents=[common], help="make an empty store")
-    i = sub.add_parser("ingest", parents=[common], help="take in a folder")
+    i = sub.add_parser("ingest", parents=[common, model], help="take in a folder")
     i.add_argument("folder")
-    q = sub.add_parser("query", parents=[common], help="rank documents")
+    i.add_argument("--strict", action="store_true", help="write nothing if a document is bad")
+    q = sub.add_parser("query", parents=[common, model], help="rank documents")
     q.add_argument("text")
     q.add_argument("--lexical-top-k", type=int, default=20)
     q.add_argument("--semantic-top-k", type=int, default=20)
@@ -51,6 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, embed
     for name in NOISY:
         logging.getLogger(name).setLevel(logging.WARNING)
     spark = spark or SparkSession.builder.appName("vaultmill").getOrCreate()
+    make = partial(named, a.embedder) if getattr(a, "embedder", None) else embedder_class
     try:
         if a.command == "init":
             Store.create(spark, a.store)
@@ -58,10 +63,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, embed
             return 0
         store = Store.open(spark, a.store)
         if a.command == "ingest":
-            s = ingest(spark, a.folder, store, embedder_class)
+            s = ingest(spark, a.folder, store, make, strict=a.strict)
             print(f"total={s.total} ingested={s.ingested} skipped={s.skipped} failed={s.failed}")
             return int(s.failed > 0)
-        engine = Engine(spark, store, embedder_class())
+        engine = Engine(spark, store, make())
         if a.command == "query":
             rows = engine.query(a.text, lexical_top_k=a.lexical_top_k, semantic_top_k=a.semantic_top_k, final_top_k=a.top_k, expand=a.expand, expand_depth=a.depth, expand_top_k=a.expand_top_k)
             print(render.as_json(rows) if a.json else render.results_text(rows))

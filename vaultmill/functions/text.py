@@ -72,9 +72,16 @@ def parent(path: Column) -> Column:
     return F.regexp_extract(path, r"(?s)^(.*/)?[^/]*$", 1)
 
 
+# lower-case letters that full case folding changes further (sharp s, final sigma, ligatures and the like)
+FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c != c.casefold()}
+
+
 def fold(text: Column) -> Column:
-    """Key for names: stripped, without case."""
-    return F.replace(F.replace(F.lower(strip(text)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Key for names: stripped, without case. Letters that lower() leaves are looked up singly, in texts that have any."""
+    low = F.lower(strip(text))
+    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
+    full = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.when(low.rlike(f"[{''.join(FOLDED)}]"), full).otherwise(low)
 
 
 # fixed values: characters and words of the query language that free text is freed of, and the marks

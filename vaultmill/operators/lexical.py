@@ -40,6 +40,23 @@ def postings(docs: DataFrame, *columns: str, id_col: str = "id") -> DataFrame:
     return rows.select("doc_id", "term", "tf", "positions", "n_tokens")
 
 
+def postings_of(tokens: DataFrame, query: list[list[str]]) -> DataFrame:
+    """The same for the terms of a query alone, from tokens: only what matches is shuffled."""
+    wanted = sorted({t for p in query for t in p})
+    places = F.filter(F.transform("terms", lambda t, p: F.struct(p.alias("p"), t.alias("term"))), lambda x: x["term"].isin(wanted))
+    found = tokens.select("doc_id", F.size("terms").alias("n_tokens"), F.explode(places).alias("x"))
+    rows = found.groupBy("doc_id", "n_tokens", F.col("x.term").alias("term")).agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("x.p")).alias("positions"))
+    return rows.select("doc_id", "term", "tf", "positions", "n_tokens")
+
+
+def vocabulary(tokens: DataFrame) -> DataFrame:
+    """(term, df, cf) from tokens: one scan and one shuffle, of partial sums by term."""
+    once = F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
+    each = F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    x = tokens.select(F.explode(F.concat(once, each)).alias("x"))
+    return x.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.df").alias("df"), F.sum("x.cf").alias("cf"))
+
+
 def lengths(docs: DataFrame, *columns: str, id_col: str = "id") -> DataFrame:
     return tokens(docs, *columns, id_col=id_col).select("doc_id", F.size("terms").alias("n_tokens"))
 
@@ -59,10 +76,14 @@ def phrases(text: str, strict: bool = True) -> list[list[str]]:
     strict: a token with one of the marks that the query language refuses makes the query fail, so
     nothing matches. Otherwise such tokens are split like text.
     """
-    found = query_tokens(text)
-    if strict and any(m in t for t in found for m in REFUSED):
+    if refused(text, strict):
         return []
-    return [p for p in map(terms_of, found) if p]
+    return [p for p in map(terms_of, query_tokens(text)) if p]
+
+
+def refused(text: str, strict: bool = True) -> bool:
+    """Whether the query language takes a token of the text amiss."""
+    return strict and any(m in t for t in query_tokens(text) for m in REFUSED)
 
 
 def shifted(k: int):

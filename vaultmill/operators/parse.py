@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vaultmill.errors import ParseError
 from vaultmill.functions.text import BLANK, content_hash, doc_id, stem, strip
 
 # fixed values: what front matter and the start of a timeline look like
@@ -54,6 +55,14 @@ def split_page(body: Column) -> tuple[Column, Column]:
     return strip(F.get(parts, F.lit(0))), F.when(timeline != "", timeline)
 
 
+def refuse_bad(parsed: DataFrame, shown: int = 20) -> None:
+    """Raises a ParseError if documents could not be parsed, naming the first few."""
+    bad = parsed.where("error is not null").select("path", "error")
+    first = {r["path"]: r["error"] for r in bad.orderBy("path").limit(shown).collect()}
+    if first:
+        raise ParseError(first, bad.count())
+
+
 def parse(files: DataFrame) -> DataFrame:
     """files(path, content) -> id, path, title, domain, content_hash, metadata_json, truth, timeline_text, error.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from vaultmill.operators import chunk, embed, lexical, links
-from vaultmill.operators.parse import parse
+from vaultmill.operators.parse import parse, refuse_bad
 from vaultmill.plans.store import Store
 from vaultmill.sources.vault import scan
 
@@ -35,13 +35,9 @@ def detect_changes(parsed: DataFrame, stored: DataFrame) -> DataFrame:
     return j.withColumn("status", status).withColumnRenamed("__created", "kept_created_at").drop("__hash")
 
 
-def upsert(stored: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """stored with the rows of batch in place of those of the same key."""
-    return stored.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch)
-
-
-def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], embed.Embedder], *, now: str | None = None, whole_store_scope: bool = False) -> Stats:
-    """files(path, content) into the store. A bad document is counted and keeps its stored version.
+def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], embed.Embedder], *, now: str | None = None, whole_store_scope: bool = False, strict: bool = False) -> Stats:
+    """files(path, content) into the store. A bad document is counted and keeps its stored version;
+    with strict it is a ParseError, raised before anything is written.
 
     Links resolve among the documents of this run; with whole_store_scope also among stored ones
     (for micro-batches, which see a few files at a time).
@@ -53,7 +49,9 @@ def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], emb
         counts = {r["s"]: r["count"] for r in parsed.groupBy(F.when(bad, "failed").when(F.col("status") == "same", "same").otherwise("fresh").alias("s")).count().collect()}
         stats = Stats(sum(counts.values()), counts.get("fresh", 0), counts.get("same", 0), counts.get("failed", 0))
         if stats.failed:
-            for r in parsed.where(bad).select("path", "error").limit(100).collect():
+            if strict:
+                refuse_bad(parsed)
+            for r in parsed.where(bad).select("path", "error").toLocalIterator():  # a line for each
                 log.error("failed: %s: %s", r["path"], r["error"])
         if not stats.total:
             log.warning("no documents found")

@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+import logging
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vaultmill.errors import QueryError
 from vaultmill.operators import fuse, graph, lexical, semantic
-from vaultmill.operators.embed import Embedder, encode
+from vaultmill.operators.embed import Embedder, encoder
 from vaultmill.plans.store import Store
 from vaultmill.schema import NEIGHBOR, RESULT
 
+log = logging.getLogger(__name__)
+
 
 class Engine:
     """Ranked retrieval with graph expansion, and neighbour lookup. Results are ordered DataFrames."""
 
     def __init__(self, spark: SparkSession, store: Store, embedder: Embedder, *, metric: str = "l2", strict_lexical: bool = True):
         self.spark, self.store, self.embedder = spark, store, embedder
-        self.metric, self.strict = metric, strict_lexical
+        self.metric, self.strict, self.encode = metric, strict_lexical, encoder(embedder)
         self._stats: tuple[list[str], DataFrame] | None = None
 
     def stats(self) -> DataFrame:
@@ -30,33 +33,48 @@ class Engine:
         return self._stats[1]
 
     def lexical(self, text: str, top_k: int = 20) -> DataFrame:
+        if top_k > 0 and lexical.refused(text, self.strict):
+            log.warning("the lexical query was refused, so only the semantic list counts: %r", text)
         return lexical.search(self.store.table("postings"), self.stats(), text, top_k, self.strict)
 
     def semantic(self, text: str, top_k: int = 20) -> DataFrame:
         if top_k <= 0:
             return self.spark.createDataFrame([], "doc_id string, chunk_index int, semantic_rank int")
-        vector = [float(x) for x in encode(self.embedder, [text])[0]]
+        vector = [float(x) for x in self.encode([text])[0]]
         return semantic.search(self.store.table("chunks"), vector, top_k, self.metric)
 
     def query(self, text: str, *, lexical_top_k: int = 20, semantic_top_k: int = 20, final_top_k: int = 10, expand: bool = False, expand_depth: int = 1, expand_top_k: int = 20, lift_cap: bool = False) -> DataFrame:
-        """Fused results, best first, then expanded documents by depth and id."""
-        if expand and expand_depth > graph.MOST_DEPTH and not lift_cap:
-            raise QueryError(f"depth is at most {graph.MOST_DEPTH}")
+        """Fused results, best first, then expanded documents by depth and id.
+
+        What is ranked is bounded by the three numbers of rows, so it comes to the driver, and documents,
+        edges and chunks are looked up by id from there: no table is shuffled.
+        """
+        if expand:
+            graph.check(expand_depth, expand_top_k, lift_cap)
         documents, chunks = self.store.table("documents"), self.store.table("chunks")
-        top = fuse.fuse(self.lexical(text, lexical_top_k), self.semantic(text, semantic_top_k), final_top_k)
-        top = self.spark.createDataFrame(top.collect(), top.schema)  # final_top_k rows: later steps start from them
-        docs = documents.select(F.col("id").alias("doc_id"), "path", "title")
-        lost = F.raise_error(F.concat(F.lit("no documents row for the hit "), F.col("doc_id"))).cast("string")
-        ranked = top.withColumn("chunk_index", F.coalesce("chunk_index", F.lit(0))).join(docs, "doc_id", "left").withColumn("path", F.when(F.col("path").isNull(), lost).otherwise(F.col("path")))
-        ranked = ranked.select("*", F.round("rrf_score", 6).alias("score"), F.lit(0).alias("expansion_depth")).drop("rrf_score").withColumnRenamed("score", "rrf_score")
-        rows = ranked
-        if expand and expand_depth > 0:
-            more = graph.expand(top.select("doc_id"), self.store.table("edges"), documents, expand_depth, expand_top_k, lift_cap).join(docs, "doc_id")
-            none = F.lit(None).cast("int")
-            rows = ranked.unionByName(more.select("doc_id", F.lit(0).alias("chunk_index"), none.alias("lexical_rank"), none.alias("semantic_rank"), F.lit("expanded").alias("signal"), "path", "title", F.lit(0.0).alias("rrf_score"), "expansion_depth"))
-        text_of = chunks.select("doc_id", "chunk_index", F.col("text").alias("chunk_text"))
-        rows = rows.join(text_of, ["doc_id", "chunk_index"], "left").withColumn("chunk_text", F.coalesce("chunk_text", F.lit("")))
-        return rows.orderBy("expansion_depth", F.desc("rrf_score"), "doc_id").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RESULT])
+        top = fuse.fuse(self.lexical(text, lexical_top_k), self.semantic(text, semantic_top_k), final_top_k).collect()
+        rows = [(r["doc_id"], r["chunk_index"] or 0, r["signal"], round(r["rrf_score"], 6), r["lexical_rank"], r["semantic_rank"], 0) for r in top]
+        if expand and expand_depth > 0 and rows:
+            more = graph.expand_from([r[0] for r in rows], self.store.table("edges"), documents, expand_depth, expand_top_k, lift_cap)
+            rows += [(i, 0, "expanded", 0.0, None, None, d) for i, d in more]
+        found = {r["id"]: r for r in self.lookup(documents.select("id", "path", "title"), "id", [r[0] for r in rows])}
+        lost = [r[0] for r in rows if r[0] not in found]
+        if lost:
+            raise QueryError(f"no documents row for the hit {lost[0]}")
+        texts = {(r["doc_id"], r["chunk_index"]): r["text"] for r in self.lookup(self.chunk_texts(chunks, rows), "doc_id", [r[0] for r in rows])}
+        out = [(i, k, found[i]["path"], found[i]["title"], s, score, lex, sem, texts.get((i, k)) or "", d) for i, k, s, score, lex, sem, d in rows]
+        return self.spark.createDataFrame(sorted(out, key=lambda r: (r[9], -r[5], r[0])), RESULT).coalesce(1)
+
+    @staticmethod
+    def lookup(table: DataFrame, key: str, ids: list[str]) -> list[Row]:
+        out: list[Row] = []
+        for i in range(0, len(ids), graph.FEW):
+            out += graph.having(table, key, ids[i : i + graph.FEW]).collect()
+        return out
+
+    @staticmethod
+    def chunk_texts(chunks: DataFrame, rows: list[tuple]) -> DataFrame:
+        return chunks.select("doc_id", "chunk_index", "text").where(F.col("chunk_index").isin(sorted({r[1] for r in rows})) if rows else F.lit(False))
 
     def neighbors(self, doc_id: str) -> DataFrame:
         """Outbound edges; an unknown id has none."""
@@ -69,7 +87,3 @@ class Engine:
         if self.store.table("documents").where(F.col("id") == doc_id).limit(1).isEmpty():
             raise QueryError(f"unknown document {doc_id}")
 
-
-def numbered(rows: DataFrame, *order) -> DataFrame:
-    """Adds the display position to a result of bounded size."""
-    return rows.withColumn("position", F.row_number().over(W.orderBy(*order)))

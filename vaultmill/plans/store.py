@@ -1,17 +1,25 @@
-"""A store of Parquet segments with an atomic list of what is current.
+"""A store of Parquet segments with a numbered list of what is current.
 
 Each write adds a segment: new rows of every table, and the ids whose older rows they replace. The
-list of segments is a small file that is replaced by one rename, so readers see all of a write or
-nothing, and a failed write leaves only files that nobody reads. A write costs what the batch costs,
-not what the store holds; ``compact`` rewrites the segments as one when there are many.
+list of segments is a small file, ``list-<number>``; a commit writes the next number, which fails if
+another writer was there first - then the change is made anew on top of that one's list. So readers
+see all of a write or nothing, no writer loses another's rows, and a failed write leaves only files
+that nobody reads. A write costs what the batch costs, not what the store holds.
+
+With more than ``MOST`` segments an append also compacts: the segments are rewritten as one, those
+added meanwhile stay behind it. Segments that are no longer listed are kept for readers that opened
+the store before, and are deleted by ``vacuum`` once they have been out of use for a time.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +27,8 @@ from pyspark.sql import types as T
 from vaultmill.errors import StoreError
 from vaultmill.schema import OWNER, TABLES
 
+MOST, RETRIES, KEPT = 16, 50, 20  # segments; attempts at a commit; old lists that stay
+GRACE = 24 * 3600.0  # seconds for which segments out of use are kept
 GONE = T.StructType([T.StructField("id", T.StringType()), T.StructField("edges_only", T.BooleanType())])
 
 
@@ -43,16 +53,23 @@ class Store:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def numbers(self) -> list[int]:
+        """The numbers of the lists that are there, ascending."""
+        fs, at = self._fs(), self._path("lists")
+        if not fs.exists(at):
+            return []
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        return sorted(int(n.removeprefix("list-")) for n in names if n.startswith("list-"))
+
     def exists(self) -> bool:
-        return self._fs().exists(self._path("CURRENT"))
+        return bool(self.numbers())
 
     @classmethod
     def create(cls, spark: SparkSession, root: str) -> Store:
         """Makes an empty store; an existing one is left as it is."""
         store = cls(spark, root)
         if not store.exists():
-            store._fs().mkdirs(store._path(""))
-            store._set_current([])
+            store._commit(lambda state: state or {"segments": [], "retired": []})
         return store
 
     @classmethod
@@ -67,11 +84,16 @@ class Store:
         return store
 
     def segments(self) -> list[str]:
-        if not self.exists():
+        return self._state()[1]["segments"]
+
+    def _state(self) -> tuple[int, dict]:
+        """The last number and its list."""
+        numbers = self.numbers()
+        if not numbers:
             raise StoreError(f"no store at {self.root}")
-        stream = self._fs().open(self._path("CURRENT"))
+        stream = self._fs().open(self._path(f"lists/list-{numbers[-1]}"))
         try:
-            return json.loads(self._jvm_text(stream))
+            return numbers[-1], json.loads(self._jvm_text(stream))
         finally:
             stream.close()
 
@@ -79,20 +101,39 @@ class Store:
         scanner = self.spark._jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A")
         return scanner.next() if scanner.hasNext() else "[]"
 
-    def _set_current(self, segments: list[str]) -> None:
-        fs, tmp = self._fs(), self._path(f"CURRENT-{uuid.uuid4().hex}")
-        out = fs.create(tmp, True)
-        out.write(bytearray(json.dumps(segments).encode()))
-        out.close()
+    def _commit(self, change: Callable[[dict | None], dict | None]) -> bool:
+        """Writes the changed list under the next number. ``change`` is applied again if another
+        writer took that number, and gives None if there is nothing left to do."""
+        fs = self._fs()
+        fs.mkdirs(self._path("lists"))
         context = self._hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
         options = self.spark.sparkContext._gateway.new_array(self._hadoop.fs.Options.Rename, 1)
-        options[0] = self._hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(fs.makeQualified(tmp), fs.makeQualified(self._path("CURRENT")), options)
-
-    def table(self, name: str) -> DataFrame:
+        options[0] = self._hadoop.fs.Options.Rename.NONE  # fails if the name is taken
+        for _ in range(RETRIES):
+            number, state = self._state() if self.exists() else (0, None)
+            new = change(state)
+            if new is None:
+                return False
+            tmp = self._path(f"lists/tmp-{uuid.uuid4().hex}")
+            out = fs.create(tmp, False)
+            out.write(bytearray(json.dumps(new).encode()))
+            out.close()
+            try:
+                context.rename(fs.makeQualified(tmp), fs.makeQualified(self._path(f"lists/list-{number + 1}")), options)
+            except Py4JJavaError as e:
+                fs.delete(tmp, False)
+                if "FileAlreadyExists" not in str(e.java_exception):
+                    raise StoreError(f"cannot write to {self.root}: {e.java_exception}") from e
+                continue
+            for old in self.numbers()[:-KEPT]:
+                fs.delete(self._path(f"lists/list-{old}"), False)
+            return True
+        raise StoreError(f"other writers came first {RETRIES} times at {self.root}")
+
+    def table(self, name: str, segments: list[str] | None = None) -> DataFrame:
         """The current rows of a table: of each id those of the last segment that replaced it."""
         schema, own = TABLES[name], OWNER[name]
-        segments = self.segments()
+        segments = self.segments() if segments is None else segments
         if not segments:
             return self.spark.createDataFrame([], schema)
         nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
@@ -115,16 +156,38 @@ class Store:
             df = self.spark.createDataFrame([], schema) if df is None else df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
             laid_out(t, df).write.parquet(f"{self.root}/{name}/{t}")
         gone.select("id", "edges_only").write.parquet(f"{self.root}/{name}/gone")
-        self._set_current([*self.segments(), name])
+        self._commit(lambda state: state | {"segments": [*state["segments"], name]})
+        if len(self.segments()) > MOST:
+            self.compact()
 
-    def compact(self) -> None:
-        """Rewrites all segments as one and removes the old ones."""
+    def compact(self) -> bool:
+        """Rewrites all segments as one. Gives way (False) if another compaction was faster."""
         old = self.segments()
-        tables = {t: self.table(t) for t in TABLES}
         name = f"segment-{uuid.uuid4().hex}"
-        for t, df in tables.items():
-            laid_out(t, df).write.parquet(f"{self.root}/{name}/{t}")
+        for t in TABLES:
+            laid_out(t, self.table(t, old)).write.parquet(f"{self.root}/{name}/{t}")
         self.spark.createDataFrame([], GONE).write.parquet(f"{self.root}/{name}/gone")
-        self._set_current([name])
-        for s in old:
+
+        def change(state: dict) -> dict | None:
+            now = state["segments"]
+            if now[: len(old)] != old:
+                return None
+            return {"segments": [name, *now[len(old) :]], "retired": [*state["retired"], *([s, time.time()] for s in old)]}
+
+        done = self._commit(change)
+        if not done:
+            self._fs().delete(self._path(name), True)
+        return done
+
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Deletes segments that have been out of use for ``grace`` seconds. Returns how many."""
+        due: list[str] = []
+
+        def change(state: dict) -> dict | None:
+            due[:] = [s for s, since in state["retired"] if time.time() - since >= grace]
+            return state | {"retired": [r for r in state["retired"] if r[0] not in due]} if due else None
+
+        self._commit(change)
+        for s in due:
             self._fs().delete(self._path(s), True)
+        return len(due)

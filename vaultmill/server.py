@@ -17,7 +17,7 @@ from typing import TextIO
 from pyspark.sql import SparkSession
 
 from vaultmill.errors import ToolStartError
-from vaultmill.operators.embed import HashingEmbedder
+from vaultmill.operators.embed import HashingEmbedder, named
 from vaultmill.plans.tools import Tools
 
 log = logging.getLogger(__name__)
@@ -84,12 +84,13 @@ def serve(tools: Tools, lines: TextIO, out: TextIO) -> None:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="vaultmill-server")
     p.add_argument("--store", required=True)
+    p.add_argument("--embedder", metavar="MODULE:FACTORY", help="what makes the embedder; hashed words without it")
     p.add_argument("-v", "--verbose", action="store_true")
     a = p.parse_args(argv)
     logging.basicConfig(level=logging.DEBUG if a.verbose else logging.INFO, stream=sys.stderr)
     spark = SparkSession.builder.appName("vaultmill-server").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
-        tools = Tools(spark, a.store, HashingEmbedder())
+        tools = Tools(spark, a.store, named(a.embedder) if a.embedder else HashingEmbedder())
     except ToolStartError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,38 +12,41 @@ from pyspark.sql import types as T
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
 
 
-def list_files(spark: SparkSession, folder: str, suffix: str = ".md") -> list[str]:
-    """All files below the folder by Hadoop's listing, hidden names included."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return []
-    out, it = [], fs.listFiles(root, True)
-    while it.hasNext():
-        p = it.next().getPath()
-        if p.getName().endswith(suffix):
-            out.append(p.toString())
-    return sorted(out)
+BATCH = 1000  # hidden files that are read as one set
+
+
+def root_of(spark: SparkSession, folder: str) -> str:
+    """The folder's path without scheme and host."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+
+
+def hidden_files(spark: SparkSession, folder: str, suffix: str = ".md") -> Iterator[str]:
+    """Files below the folder that Spark's reader skips, as some name below it begins with "." or "_".
+
+    The listing is read as it comes; paths that are not hidden are never kept.
+    """
+    path, root = spark._jvm.org.apache.hadoop.fs.Path(folder), root_of(spark, folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    while found.hasNext():
+        p = found.next().getPath()
+        names = p.toUri().getPath()[len(root) + 1 :].split("/")
+        if names[-1].endswith(suffix) and any(x[:1] in "._" for x in names):
+            yield p.toString()
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content): every *.md below the folder, path relative to it.
+    """(path, content): every *.md below the folder, path relative to it; a missing folder is empty.
 
-    Files go through Spark's binary reader, so they are read on the executors. Names that begin
-    with "." or "_" are skipped by that reader; those files are read apart and added.
+    Files are listed and read by Spark's binary reader. Hidden ones, which it skips, are read apart.
     """
-    paths = list_files(spark, folder)
-    if not paths:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], FILES)
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder).select("path", "content")
-    below = lambda p: any(x[:1] in "._" for x in p.split(f"{root}/", 1)[-1].split("/"))
-    hidden = [p for p in paths if below(p)]
-    if hidden:
-        read = spark.sparkContext.binaryFiles(",".join(hidden)).map(lambda kv: (kv[0], bytes(kv[1])))
-        raw = raw.unionByName(spark.createDataFrame(read, FILES))
-    relative = F.expr("substring(p, n)")
-    plain = raw.withColumn("p", F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")).withColumn("n", F.lit(len(root) + 2))
-    return plain.select(relative.alias("path"), "content")
+    sets = iter(lambda found=hidden_files(spark, folder): list(islice(found, BATCH)), [])
+    read = [spark.sparkContext.binaryFiles(",".join(s)).map(lambda kv: (kv[0], bytes(kv[1]))) for s in sets]
+    if read:
+        raw = raw.unionByName(spark.createDataFrame(spark.sparkContext.union(read), FILES))
+    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return raw.withColumn("p", plain).select(F.expr(f"substring(p, {len(root_of(spark, folder)) + 2})").alias("path"), "content")

@@ -2,7 +2,8 @@
 
 The file source remembers which files it has read; every micro-batch goes through the same
 incremental ingest, with links resolved against the whole store. Since ingest is idempotent by
-content hash, a batch that is repeated after a failure changes nothing.
+content hash, a batch that is repeated after a failure changes nothing. Each batch adds a segment to
+the store, which compacts itself when there are many.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 from vaultmill.operators.embed import Embedder
 from vaultmill.plans.ingest import ingest_files
 from vaultmill.plans.store import Store
+from vaultmill.sources.vault import root_of
 
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watch(spark: SparkSession, folder: str, store: Store, make_embedder: Callable[[], Embedder], checkpoint: str, *, once: bool = False) -> StreamingQuery:
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    root = root_of(spark, folder)
     files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
     plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     rows = files.withColumn("p", plain).select(F.expr(f"substring(p, {len(root) + 2})").alias("path"), "content")
