@@ -13,9 +13,9 @@ its L single words. Each item uses the longest of these n-grams of which some mu
 of one). With D the most that can be lost, all but D of them occur in the document, and of any
 D + 1 at least one does: the D + 1 that the fewest documents hold are the item's seeds.
 
-1. One pass over the documents finds which hold which n-grams of the benchmark. A filter of bits,
-   ``FILTER`` of them at most however large the benchmark is, goes to the executors; what it lets
-   through is shuffled as (n-gram, document) and meets the benchmark's n-grams there, so a filter that
+1. One pass over the documents finds which hold which n-grams of the benchmark. A filter of bits for
+   its words and one for its n-grams go to the executors, each of 2 to the ``FILTER`` bits at most however
+   large the benchmark is; what they let through is shuffled as (n-gram, document) and meets the benchmark's n-grams there, so a filter that
    is too full costs time only.
 2. N-grams are counted by documents and the seeds are chosen. Documents and items that share a seed
    are candidates; those that share as many n-grams as must be left go on.
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from vaultmill.llm.common import cut, integer_id, row_id, salted, table, text_hash, unused
 
 GRAM, LEAST, SHORTEST = 3, 0.8, 3
-FILTER = 28  # the filter has at most 2 to this power of bits: 32 MB
+FILTER = 28  # a filter has at most 2 to this power of bits: 32 MB
 FEW = 200_000  # keys of documents that are broadcast, of 16 bytes
 TOGETHER = 64
 WORDS = re.compile(r"\w+")
@@ -56,31 +56,55 @@ MIX = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
 class Numbers(dict):
-    """Word -> 64-bit number, not zero; remembers words seen before."""
+    """Word -> a small number that stands for its 64-bit hash; 0 for words that a filter does not hold.
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        n = self[word] = xxhash.xxh64_intdigest(word) | 1
-        return n
+    Words seen before are remembered; ``rest`` forgets them when they have become many, so numbers
+    hold between two calls of it.
+    """
 
+    def __init__(self, words: np.ndarray | None = None):
+        super().__init__()
+        self.words, self.table = words, np.zeros(1024, U)
+        self.n = 0
 
-def numbers(text: str | None, known: Numbers) -> list[int]:
-    return list(map(known.__getitem__, WORDS.findall(text.lower()))) if text else []
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh64_intdigest(word) | 1
+        if self.words is not None:
+            mask = len(self.words) * 64 - 1
+            if not all(int(self.words[at >> 6]) >> (at & 63) & 1 for at in (h & mask, h >> 32 & mask)):
+                self[word] = 0
+                return 0
+        self.n += 1
+        if self.n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros(self.n, U)])
+        self.table[self.n] = h
+        self[word] = self.n
+        return self.n
+
+    def of(self, text: str | None) -> list[int]:
+        return list(map(self.__getitem__, WORDS.findall(text.lower()))) if text else []
+
+    def hashes(self, ids: list[int]) -> np.ndarray:
+        return self.table[np.array(ids, np.int64)]
+
+    def rest(self) -> None:
+        if len(self) > KNOWN:
+            self.clear()
+            self.n = 0
 
 
-def codes(ids: np.ndarray, n: int) -> np.ndarray:
-    """A number for every run of n words; 0 where one of them is the mark between documents."""
-    if len(ids) < n:
-        return np.zeros(0, U)
-    x, known = np.full(len(ids) - n + 1, U(n)), np.ones(len(ids) - n + 1, bool)
+def codes(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all runs of n words without a zero, and a number for each."""
+    if len(words) < n:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    known, last = words > 0, len(words) - n + 1
+    at = np.flatnonzero(np.logical_and.reduce([known[k : last + k] for k in range(n)]))
+    x = np.full(len(at), U(n))
     with np.errstate(over="ignore"):
         for k in range(n):
-            part = ids[k : len(ids) - n + 1 + k]
-            known &= part > 0
-            x = (x ^ (x >> U(29))) * MIX[k] + part
+            x = (x ^ (x >> U(29))) * MIX[k] + words[at + k]
         x ^= x >> U(32)
-    return np.where(known, x | U(1), U(0))
+    return at, x
 
 
 def plan(words: int) -> tuple[int, int]:
@@ -95,30 +119,31 @@ def plan(words: int) -> tuple[int, int]:
 
 
 def prepared(bench: DataFrame, shortest: int) -> DataFrame:
-    """(k, item_id, text, size, need, seeds, grams): k is a number of its own for every row."""
+    """(k, item_id, text, size, need, seeds, grams, words): k is a number of its own for every row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Numbers()
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = np.array(numbers(t, known), U)
-                if len(ids) >= max(1, shortest):
-                    size, lost = plan(len(ids))
-                    rows.append((i, t, size, len(ids) - size + 1 - lost, lost + 1, codes(ids, size).view(np.int64)))
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            cols = zip(*rows) if rows else [()] * 6
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "text", "size", "need", "seeds", "grams"])
+                known.rest()
+                words = known.hashes(known.of(t))
+                if len(words) >= max(1, shortest):
+                    size, lost = plan(len(words))
+                    rows.append((i, t, size, len(words) - size + 1 - lost, lost + 1, codes(words, size)[1].view(np.int64), np.unique(words).view(np.int64)))
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            cols = zip(*rows) if rows else [()] * 7
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["item_id", "text", "size", "need", "seeds", "grams", "words"])
 
     rows = bench.select(integer_id(bench, "item_id").alias("item_id"), bench["text"].cast("string").alias("text"))
-    found = rows.mapInArrow(read, "item_id long, text string, size int, need int, seeds int, grams array<long>")
+    found = rows.mapInArrow(read, "item_id long, text string, size int, need int, seeds int, grams array<long>, words array<long>")
     return cut(found.withColumn("k", F.monotonically_increasing_id()))
 
 
-def filter_bits(grams: DataFrame) -> np.ndarray:
-    """Two bits for every n-gram, as 64-bit words."""
-    bits = min(FILTER, max(10, int(np.ceil(np.log2(16 * max(1, grams.count()))))))
-    at = grams.select(F.explode(F.array(F.col("gram"), F.shiftrightunsigned("gram", 32))).alias("at")).select(F.expr(f"at & {(1 << bits) - 1}L").alias("at"))
+def filter_bits(codes: DataFrame) -> np.ndarray:
+    """codes(c) -> two bits for every code, as 64-bit words."""
+    bits = min(FILTER, max(10, int(np.ceil(np.log2(64 * max(1, codes.count()))))))
+    at = codes.select(F.explode(F.array(F.col("c"), F.shiftrightunsigned("c", 32))).alias("at")).select(F.expr(f"at & {(1 << bits) - 1}L").alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63L as int)))").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), U)
     out[words["w"].to_numpy()] = words["b"].to_numpy().view(U)
@@ -126,34 +151,34 @@ def filter_bits(grams: DataFrame) -> np.ndarray:
 
 
 def held(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Which codes may be n-grams of the benchmark."""
-    mask = U(len(bits) * 64 - 1)
-    ok = code > 0
+    """Which codes the filter holds; of others it lets a few through."""
+    mask, ok = U(len(bits) * 64 - 1), np.ones(len(code), bool)
     for shift in (0, 32):
         at = (code >> U(shift)) & mask
         ok &= (bits[at >> U(6)] >> (at & U(63))) & U(1) > 0
     return ok
 
 
-def hits(docs: DataFrame, bits: np.ndarray, sizes: list[int]) -> DataFrame:
+def hits(docs: DataFrame, words: np.ndarray, grams: np.ndarray, sizes: list[int]) -> DataFrame:
     """docs(i, t, text) -> (i, t, gram), each n-gram once for a row."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast((words, grams))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Numbers()
+        known = Numbers(shared.value[0])
         for b in batches:
             starts, ids, first = [0], [], 0
             for row, x in enumerate(b.column(2), 1):
-                ids += numbers(x.as_py(), known)
+                ids += known.of(x.as_py())
                 ids.append(0)
                 starts.append(len(ids))
                 if len(ids) < CHUNK and row < b.num_rows:
                     continue
-                words = np.array(ids, U)
+                words = known.hashes(ids)
+                known.rest()
                 for n in sizes:
-                    c = codes(words, n)
-                    at = np.flatnonzero(held(shared.value, c))
-                    doc, gram = np.searchsorted(starts, at, side="right") - 1 + first, c[at]
+                    at, gram = codes(words, n)
+                    ok = held(shared.value[1], gram)
+                    doc, gram = np.searchsorted(starts, at[ok], side="right") - 1 + first, gram[ok]
                     order = np.lexsort((gram, doc))
                     doc, gram = doc[order], gram[order]
                     new = np.ones(len(doc), bool)
@@ -182,15 +207,15 @@ def candidates(found: DataFrame, items: DataFrame) -> DataFrame:
 def matches(text: np.ndarray, item: np.ndarray) -> tuple[float, int, int] | None:
     """(similarity, first word, end) of the best stretch of a text that is contaminated by the item."""
     size, lost = plan(len(item))
-    need, mine = len(item) - size + 1 - lost, codes(item, size)
+    need, mine = len(item) - size + 1 - lost, codes(item, size)[1]
     order = np.argsort(mine, kind="stable")
     lookup = mine[order]
-    c = codes(text, size)
+    at, c = codes(text, size)
     lo, hi = np.searchsorted(lookup, c, "left"), np.searchsorted(lookup, c, "right")
-    at = np.flatnonzero(hi > lo)
-    n = (hi - lo)[at]
-    off = order[np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    diagonal = np.repeat(at, n) - off
+    met = np.flatnonzero(hi > lo)
+    n = (hi - lo)[met]
+    off = order[np.repeat(lo[met], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    diagonal = np.repeat(at[met], n) - off
     slack = max(4, len(item) // 2)
     order = np.argsort(diagonal, kind="stable")
     diagonal, off = diagonal[order], off[order]
@@ -244,9 +269,10 @@ def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
         for i, text, items in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-            words = np.array(numbers(text.as_py(), known), U)
+            known.rest()
+            words = known.hashes(known.of(text.as_py()))
             for x in items.as_py():
-                best = matches(words, np.array(numbers(x["text"], known), U))
+                best = matches(words, known.hashes(known.of(x["text"])))
                 if best is not None:
                     rows.append((i, x["item_id"], *best))
         cols = list(zip(*rows)) or [()] * 5
@@ -270,8 +296,8 @@ def leaks(docs: DataFrame, bench: DataFrame, *, shortest: int = SHORTEST) -> Dat
     if not sizes:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     rows = keyed(docs)
-    bits = filter_bits(items.select(F.explode("grams").alias("gram")))
-    found = cut(hits(rows.select("i", "t", "text"), bits, sizes))
+    words, grams = (filter_bits(items.select(F.explode(c).alias("c")).distinct()) for c in ("words", "grams"))
+    found = cut(hits(rows.select("i", "t", "text"), words, grams, sizes))
     pairs = candidates(found, items)
     keys = cut(pairs.groupBy("i", "t").agg(F.count("*").alias("n")))
     if keys.count() <= FEW:
