@@ -14,4 +14,13 @@ QUERIES = {
     "op9_quality_posterior": quality.op9_quality_posterior,
     "op10_grid_order_join": grid.op10_grid_order_join,
 }
-SQL = {"op1_source_mix": mix.OP1_SQL, "op2_preference_pairs": chat.OP2_SQL, "op5_warc_revisits": warc.OP5_SQL, "op10_grid_order_join": grid.OP10_SQL}
+SQL = {
+    "op1_source_mix": mix.OP1_SQL,
+    "op2_preference_pairs": chat.OP2_SQL,
+    "op3_url_trust": hosts.OP3_SQL,
+    "op4_repeated_substrings": repeats.OP4_SQL,
+    "op5_warc_revisits": warc.OP5_SQL,
+    "op6_simhash_components": simhash.OP6_SQL,
+    "op7_ring_shards": shard.OP7_SQL,
+    "op10_grid_order_join": grid.OP10_SQL,
+}

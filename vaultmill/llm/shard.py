@@ -120,3 +120,30 @@ def op7_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
+
+# The ring of the defaults. CRC-32 byte by byte, since SQL has no function for it; keys beyond a shard's
+# room walk on one after the other, each to the next virtual node whose shard has room.
+OP7_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce([i] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+t AS (SELECT doc_id, text IS NULL AS none, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+y AS (SELECT doc_id, none, n + 16 AS size, [4294967295] || list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM t),
+z AS (SELECT doc_id, none, size, xor(list_reduce(bytes, lambda a, b: xor(tab[xor(a & 255, b) + 1], a >> 8)), 4294967295)::BIGINT AS crc FROM y, crc),
+d AS (SELECT *, ('0x' || left(md5(coalesce(doc_id::VARCHAR, 'null') || '|' || size || '|' || crc), 15))::BIGINT AS pos FROM z),
+v AS (SELECT pos >> {BITS - CELL_BITS} AS cell, arg_min(s, pos) AS shard
+  FROM (SELECT a.range AS s, ('0x' || left(md5('shard-' || a.range || '-node-' || b.range), 15))::BIGINT AS pos FROM range({SHARDS}) a, range({VNODES}) b) GROUP BY 1),
+k AS (SELECT *, pos >> {BITS - CELL_BITS} AS cell, row_number() OVER (ORDER BY pos, doc_id NULLS LAST, size, crc, none) AS clock FROM d),
+o AS (SELECT k.*, coalesce((SELECT arg_min(shard, v.cell) FROM v WHERE v.cell >= k.cell), (SELECT arg_min(shard, v.cell) FROM v)) AS own FROM k),
+r AS (SELECT s.range AS shard, (SELECT count(*) FROM d) // {SHARDS} + (s.range < (SELECT count(*) FROM d) % {SHARDS})::BIGINT AS room FROM range({SHARDS}) s),
+h AS (SELECT o.*, room, row_number() OVER (PARTITION BY own ORDER BY clock) AS nth FROM o JOIN r ON r.shard = own),
+over_ AS (SELECT clock, cell, row_number() OVER (ORDER BY clock) AS j FROM h WHERE nth > room),
+left_ AS (SELECT list(room - taken ORDER BY shard) AS room FROM (SELECT r.shard, room, least(room, count(own)) AS taken FROM r LEFT JOIN o ON own = r.shard GROUP BY r.shard, room)),
+walk(j, room, clock, shard) AS (
+  SELECT 0::BIGINT, room, 0::BIGINT, 0::BIGINT FROM left_
+  UNION ALL
+  SELECT j, list_transform(room, lambda x, i: CASE WHEN i = shard + 1 THEN x - 1 ELSE x END), clock, shard FROM (
+    SELECT over_.j, any_value(walk.room) AS room, over_.clock, arg_min(v.shard, (v.cell - over_.cell + {1 << CELL_BITS}) % {1 << CELL_BITS}) AS shard
+    FROM walk JOIN over_ ON over_.j = walk.j + 1, v WHERE walk.room[v.shard + 1] > 0 GROUP BY over_.j, over_.clock)),
+p AS (SELECT h.*, CASE WHEN nth <= h.room THEN own ELSE w.shard END AS shard, nth > h.room AS moved FROM h LEFT JOIN walk w ON w.clock = h.clock AND w.j > 0)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY moved, clock) - 1 AS slot, NULL::INTEGER AS grown_shard FROM p
+"""

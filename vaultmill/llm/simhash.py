@@ -230,3 +230,50 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def xxh64_sql(texts: str, seed: int = SEED) -> str:
+    """CTEs that end in x(t, h), the XXH64 of every string t of the table ``texts``. SQL has no
+    wrapping 64-bit product, so numbers are 128 bits wide and cut after each step."""
+    full = 1 << 64
+    primes = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)  # fixed values
+    num = lambda x: f"{x % full}::UHUGEINT"
+    mul = lambda a, k: f"(({a}) * {num(primes[k - 1])} % {full}::UHUGEINT)"
+    rot = lambda a, r: f"(({a}) * {num(1 << r)} % {full}::UHUGEINT + ({a}) // {num(1 << (64 - r))})"
+    lane = lambda x: mul(rot(mul(x, 2), 31), 1)
+    plus = lambda a, b: f"(({a} + {b}) % {full}::UHUGEINT)"
+    hexed = lambda pos, n: f"('0x' || substr(x, {pos}, {n}))::UBIGINT::UHUGEINT"
+    starts = ", ".join(num(seed + s) for s in (primes[0] + primes[1], primes[1], 0, -primes[0]))
+    tops = plus(plus(plus(rot("v[1]", 1), rot("v[2]", 7)), rot("v[3]", 12)), rot("v[4]", 18))
+    return f"""
+b AS (SELECT t, strlen(t)::BIGINT AS n, hex(encode(t)) AS h FROM {texts}),
+r AS (SELECT t, n, array_to_string(list_reverse(list_transform(range(n), lambda i: substr(h, 2 * i + 1, 2))), '') AS x FROM b),
+l AS (SELECT t, n, list_transform(range(n // 8), lambda i: {hexed("2 * (n - 8 * i - 8) + 1", 16)}) AS q,
+  CASE WHEN n % 8 >= 4 THEN [{hexed("2 * (n - n // 8 * 8 - 4) + 1", 8)}] ELSE []::UHUGEINT[] END AS f,
+  list_transform(range(n % 4), lambda i: {hexed("2 * (n % 4 - 1 - i) + 1", 2)}) AS o FROM r),
+v AS (SELECT t, n, q, f, o, CASE WHEN n < 32 THEN []::UHUGEINT[] ELSE list_transform([{starts}], lambda s, j:
+  list_reduce(list_transform(range(n // 32), lambda k: q[4 * k + j]), lambda a, y: {mul(rot(plus("a", mul("y", 2)), 31), 1)}, s)) END AS v FROM l),
+h0 AS (SELECT t, q, f, o, n, CASE WHEN n < 32 THEN {num(seed + primes[4])} ELSE list_reduce(v, lambda a, y: {plus(mul(f"xor(a, {lane('y')})", 1), num(primes[3]))}, {tops}) END AS h FROM v),
+h1 AS (SELECT t, f, o, list_reduce(q[n // 32 * 4 + 1 :], lambda a, y: {plus(mul(rot(f"xor(a, {lane('y')})", 27), 1), num(primes[3]))}, {plus("h", "n::UHUGEINT")}) AS h FROM h0),
+h2 AS (SELECT t, o, list_reduce(f, lambda a, y: {plus(mul(rot(f"xor(a, {mul('y', 1)})", 23), 2), num(primes[2]))}, h) AS h FROM h1),
+h3 AS (SELECT t, list_reduce(o, lambda a, y: {mul(rot(f"xor(a, {mul('y', 5)})", 11), 1)}, h) AS h FROM h2),
+h4 AS (SELECT t, {mul(f"xor(h, h // {num(1 << 33)})", 2)} AS h FROM h3),
+h5 AS (SELECT t, {mul(f"xor(h, h // {num(1 << 29)})", 3)} AS h FROM h4),
+x AS (SELECT t, xor(h, h // {num(1 << 32)})::UBIGINT AS h FROM h5)"""
+
+
+OP6_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, total, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS t
+  FROM (SELECT doc_id, w, greatest(1, len(w) - {SHINGLE - 1}) AS total, unnest(range(greatest(1, len(w) - {SHINGLE - 1}))) AS i FROM d WHERE len(w) > 0)),
+texts AS (SELECT DISTINCT t FROM s), {xxh64_sql("texts")},
+k AS (SELECT doc_id, p, 2 * count(*) FILTER ((h >> p) & 1 = 1) > any_value(total) AS one FROM s JOIN x USING (t), range(64) z(p) GROUP BY doc_id, p),
+fp AS (SELECT documents.doc_id, coalesce(f, 0::UBIGINT) AS f FROM documents
+  LEFT JOIN (SELECT doc_id, sum(CASE WHEN one THEN (1::UBIGINT << p) ELSE 0 END)::UBIGINT AS f FROM k GROUP BY doc_id) USING (doc_id)),
+n AS (SELECT f, min(doc_id) AS least FROM fp GROUP BY f),
+e AS (SELECT a.f AS a, b.f AS b FROM n a JOIN n b ON bit_count(xor(a.f, b.f)) <= {RADIUS}),
+c(f, seen) AS (SELECT f, f FROM n UNION SELECT c.f, e.b FROM c JOIN e ON e.a = c.seen),
+m AS (SELECT c.f, min(least) AS root FROM c JOIN n ON n.f = c.seen GROUP BY c.f)
+SELECT doc_id, lower(lpad(hex(f), 16, '0')) AS fingerprint, root AS component_id FROM fp JOIN m USING (f)
+"""
