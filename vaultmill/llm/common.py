@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read on from there."""
     shared_dir(df.sparkSession)

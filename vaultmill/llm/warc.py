@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultmill.llm.common import HUBS, LEAF, cut, integer_id, row_id, shared_dir, star, table
+from vaultmill.llm.common import HUBS, LEAF, cut, forget, integer_id, row_id, shared_dir, star, table
 
 LEAST = 100
 ROOM, FEW = 32 << 20, 200_000  # bytes of an archive; revisits that are broadcast, of about 100 bytes
@@ -174,7 +174,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    return read_archives(spark, path)
+    out = read_archives(spark, path)  # the records' headers are written out by now
+    forget(spark, path)
+    return out
 
 
 OP5_SQL = """
