@@ -8,26 +8,23 @@ Suffixes of the whole corpus are not sorted in one place. Equal strings of 100 b
 anchor - the leftmost smallest hash among their 32-byte pieces - at the same offset, so strings can
 only match within the group of one anchor hash, and groups are independent:
 
-1. Each document yields its anchors, each with the run of window starts it governs and a digest of
-   the bytes those windows cover (the context). Per batch and again per group, equal contexts
-   after the earliest are one text with several owners: the earliest stands for all in what
-   follows, and the others' windows repeat it. This collapses copies before anything is shuffled.
-   Groups with one context left have no more repeats: two windows of one context are never equal.
-2. For groups with several contexts the bytes are fetched. Windows whose hash no other window of
-   the group has are set aside, and all other regions go to the suffix sorter (``lyndon``). Windows
-   equal in 100 bytes are neighbours in its order; all but the earliest of each such run go.
-   Groups with more than ``HOT`` contexts are split first: their windows are dealt singly, by their
-   own hash, after equal ones of a batch are collapsed, so a passage that a third of all documents
-   share does not meet in one task. An anchor with ``CROWD`` contexts in one batch (a passage in many
-   different surroundings) is dealt so from the start: the batch sends its windows singly and a note
-   that the anchor's group is split, so no group gets more than CROWD contexts from a batch.
+1. Each document yields its anchors, each with the run of window starts it governs; the bytes that
+   those windows cover are the context. Equal contexts are one text with several owners: the earliest
+   goes on, the others repeat it. This collapses copies before their bytes are shuffled, within a batch
+   by comparing the bytes, then in the group by a digest of them (BLAKE2b, 128 bits). Anchors that only
+   one context has are done, since two windows of one context are never equal.
+2. The bytes of all other contexts are fetched and meet in their group. Windows whose hash no other
+   window of the group has are set aside, and all other regions go to the suffix sorter (``lyndon``).
+   Windows equal in 100 bytes are neighbours in its order; all but the earliest of each such run go.
+   Groups with more than ``HOT`` different contexts are split first: their windows are dealt singly,
+   by their own hash, after equal ones of a batch are collapsed, so a passage that a third of all
+   documents share does not meet in one task. An anchor with ``CROWD`` contexts in one batch (a passage
+   in many different surroundings) is dealt so from the start: the batch sends its windows singly and
+   a note that the anchor's group is split, so no group gets more than CROWD contexts from a batch.
 3. Removed runs are merged per document and cut out of the text.
 
-What decides equality: anchors and window hashes are 64-bit numbers that only group and set aside;
-if two of them collide, more is compared and nothing else happens. Contexts are equal if length,
-anchor offset and the 128-bit BLAKE2b digest of their bytes are, the standard by which archives
-identify payloads. Windows are equal if their bytes are, by the suffix order or, where single windows of
-a batch are collapsed, by direct comparison.
+The 64-bit hashes decide what is compared, never what is removed: that takes equal bytes, equal digests
+or neighbours in the suffix order. Should two hashes collide, more is compared and nothing else happens.
 
 Anchors travel as packed columns, one row for each batch and partition, not as rows.
 
@@ -53,9 +50,9 @@ LEAST, PIECE, HOT = 100, 32, 4096
 CROWD, SINGLE = 64, 128  # contexts of one anchor in a batch that make it a crowd; mark of a single window
 SPAN = LEAST - PIECE + 1  # pieces of one window
 CHUNK, POS = 1 << 19, 20  # window starts handled at once; bits for a position in a chunk
+SEND = 1 << 25  # bytes of texts and contexts that are fetched at once, if a text allows
 SORT = 1 << 18  # letters for one run of the sorter, if its groups allow
 U = np.uint64
-DIGEST = np.dtype([("high", "<u8"), ("low", "<u8")])
 _rng = np.random.Generator(np.random.PCG64(7))
 LETTER = _rng.integers(0, 2**64, 256, dtype=U)
 BASE = U(0x9E3779B97F4A7C15)
@@ -88,17 +85,6 @@ def prefix(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h, q[: len(buf) + 1]
 
 
-def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray, offset: np.ndarray | None = None) -> np.ndarray:
-    """BLAKE2b of each stretch of bytes (and its anchor's offset), 128 bits."""
-    data, make = memoryview(buf).cast("B"), hashlib.blake2b
-    if offset is None:
-        out = [make(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]
-    else:
-        salt = [bytes([k]) for k in range(256)]
-        out = [make(data[a:b], digest_size=16, salt=salt[k]).digest() for a, b, k in zip(start.tolist(), end.tolist(), offset.tolist())]
-    return np.frombuffer(b"".join(out), DIGEST)
-
-
 def pieces_of(lengths: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
     """Chunks of (document, first start, end of bytes): whole documents, or one part of a long one."""
     chunk, size = [], 0
@@ -118,7 +104,7 @@ def pieces_of(lengths: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, chunk: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
-    """(document, first start, further starts, anchor hash, context digest) of each governed run."""
+    """(document, first start, further starts, anchor hash, context hash) of each governed run."""
     lens = np.array([b - a for _, a, b in chunk])
     buf = np.concatenate([data[starts[k] + a : starts[k] + b] for k, a, b in chunk]) if len(chunk) > 1 else data[starts[chunk[0][0]] + chunk[0][1] : starts[chunk[0][0]] + chunk[0][2]]
     ends = np.cumsum(lens)
@@ -140,14 +126,15 @@ def anchors(data: np.ndarray, starts: np.ndarray, chunk: list[tuple[int, int, in
     lo = ok[head]
     hi = ok[np.append(head[1:], len(ok)) - 1]
     at, pid = pos[head], pid[head]
-    context = digests(buf, lo, hi + LEAST, at - lo)
+    with np.errstate(over="ignore"):
+        context = stir((h[hi + LEAST] - h[lo]) * q[lo] + stir((hi - lo).astype(U)))
     base = (ends - lens)[pid]
     first = np.array([a for _, a, _ in chunk])[pid]
     return np.array([k for k, _, _ in chunk])[pid], lo - base + first, hi - lo, piece[at], context
 
 
-# packed columns: anchors (hash, context digest, id, tie, start, further starts) and runs (id, tie, from, to)
-ANCHOR = (U, DIGEST, np.int64, np.int64, np.int32, np.uint8)
+# packed columns: anchors (hash, context digest in two, id, tie, start, further starts) and runs (id, tie, from, to)
+ANCHOR = (U, U, U, np.int64, np.int64, np.int32, np.uint8)
 RUN = (np.int64, np.int64, np.int32, np.int32)
 OPEN = (np.int64, np.int64, np.int32, np.uint8, U, np.uint8)  # id, tie, start, further, hash, hot
 
@@ -209,16 +196,34 @@ def shared(x: np.ndarray) -> np.ndarray:
     return twice[at] == x
 
 
-def settle(a: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Anchor columns -> which rows are the earliest of their context, and the runs of all others."""
+def equal(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes at each pair of places are equal."""
+    same = np.zeros(len(one), bool)
+    for n in np.unique(size).tolist():
+        of = np.flatnonzero(size == n)
+        for i in range(0, len(of), step := max(1, CHUNK // (4 * n))):
+            part, span = of[i : i + step], np.arange(n)[None, :]
+            same[part] = (data[one[part][:, None] + span] == data[two[part][:, None] + span]).all(axis=1)
+    return same
+
+
+def settle(a: list[np.ndarray], data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Anchor columns and where their contexts stand in the bytes -> which rows go on (the earliest of
+    equal contexts), and the runs of all that repeat one of them."""
     mh, ch, did, tie, lo, more = a
+    size = (more & (SINGLE - 1)).astype(np.int64) + LEAST
     many = np.flatnonzero(shared(mh))
-    s, new, past = later([mh[many], ch["high"][many], ch["low"][many]], [did[many], tie[many], lo[many]])
+    s, new, past = later([mh[many], ch[many]], [did[many], tie[many], lo[many]])
     s = many[s]
     keep = np.ones(len(mh), bool)
-    keep[s[~new]] = False
-    gone = s[past]
-    return keep, [did[gone], tie[gone], lo[gone], (lo[gone] + (more[gone] & (SINGLE - 1)) + LEAST).astype(np.int32)]
+    if not len(s):
+        return keep, [np.zeros(0, k) for k in RUN]
+    first = s[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    again = np.flatnonzero(~new & (size[s] == size[first]))
+    again = again[equal(data, place[s[again]], place[first[again]], size[s[again]])]
+    keep[s[again]] = False
+    gone = s[again[past[again]]]
+    return keep, [did[gone], tie[gone], lo[gone], (lo[gone] + size[gone]).astype(np.int32)]
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -270,17 +275,52 @@ def window_hashes(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return value
 
 
-def singles(data: np.ndarray, place: np.ndarray, a: list[np.ndarray]) -> list[np.ndarray]:
-    """Anchor columns, with the anchors' places in the bytes -> one row per window, keyed by its hash."""
+def gathered(data: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of bytes one after the other."""
+    out = np.empty(int(size.sum()), np.uint8)
+    at, i = 0, 0
+    ends = np.cumsum(size)
+    while i < len(place):
+        j = max(i + 1, int(np.searchsorted(ends, at + CHUNK, side="right")))
+        n = int(ends[j - 1]) - at
+        out[at : at + n] = data[np.repeat(place[i:j] - (ends[i:j] - size[i:j] - at), size[i:j]) + np.arange(n)]
+        at, i = at + n, j
+    return out
+
+
+def digests(data: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of each stretch of bytes, as two numbers."""
+    view, make = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    out = np.frombuffer(b"".join([make(view[a:b], digest_size=16).digest() for a, b in zip(place.tolist(), (place + size).tolist())]), U)
+    return out[::2], out[1::2]
+
+
+def context_hashes(buf: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of stretches that stand one after the other."""
+    value = np.empty(len(size), U)
+    ends = np.cumsum(size)
+    i, at = 0, 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, at + CHUNK, side="right")))
+        h, q = prefix(buf[at : int(ends[j - 1])])
+        to = ends[i:j] - at
+        x = to - size[i:j]
+        with np.errstate(over="ignore"):
+            value[i:j] = stir((h[to] - h[x]) * q[x])
+        at, i = int(ends[j - 1]), j
+    return value
+
+
+def singles(data: np.ndarray, place: np.ndarray, a: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Anchor columns, with the anchors' places in the bytes -> one row per window, keyed by its hash, and its place."""
     mh, ch, did, tie, lo, more = a
     n = more.astype(np.int64) + 1
-    buf = np.concatenate([data[p : p + k + LEAST - 1] for p, k in zip(place.tolist(), n.tolist())])
     size = n + LEAST - 1
+    buf = gathered(data, place, size)
     off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = np.repeat(np.cumsum(size) - size, n) + off
-    value = window_hashes(buf, at)
+    value = window_hashes(buf, np.repeat(np.cumsum(size) - size, n) + off)
     r = lambda c: np.repeat(c, n)
-    return [value, digests(buf, at, at + LEAST), r(did), r(tie), (r(lo) + off).astype(np.int32), np.full(len(value), SINGLE, np.uint8)]
+    return [value, value, r(did), r(tie), (r(lo) + off).astype(np.int32), np.full(len(value), SINGLE, np.uint8)], r(place) + off
 
 
 def spread(x: np.ndarray, n: int) -> np.ndarray:
@@ -297,11 +337,10 @@ def columns(batches: Iterator[pa.RecordBatch]) -> list[list[bytes]]:
     return got or [[], [], []]
 
 
-def repeated_windows(meta: list[np.ndarray], blob: bytes) -> list[np.ndarray]:
+def repeated_windows(meta: list[np.ndarray], buf: np.ndarray) -> list[np.ndarray]:
     """Contexts (group, id, tie, start, further starts) and their bytes -> runs of repeated windows."""
     grp, did, tie, lo, more = meta
     more = more.astype(np.int64)
-    buf = np.frombuffer(blob, np.uint8)
     size = more + LEAST
     base = np.cumsum(size) - size
     win = np.repeat(np.arange(len(grp)), more + 1)  # the context of each window
@@ -386,16 +425,19 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             a = [mh, ch, did[k], tie[k], lo.astype(np.int32), more.astype(np.uint8)]
             place = at[k] + lo
             del found
-            keep, gone = settle(a)
+            keep, gone = settle(a, data, place)
             a, place = [c[keep] for c in a], place[keep]
             _, where, count = np.unique(a[0], return_inverse=True, return_counts=True)
             crowd = count[where] >= CROWD
             notes = np.unique(a[0][crowd])
-            if len(notes):
-                one = singles(data, place[crowd], [c[crowd] for c in a])
-                keep, more_gone = settle(one)
-                a = [np.concatenate([x[~crowd], y[keep]]) for x, y in zip(a, one)]
-                gone = [np.concatenate(c) for c in zip(gone, more_gone)]
+            one, at_one = singles(data, place[crowd], [c[crowd] for c in a])
+            keep, more_gone = settle(one, data, at_one)
+            gone = [np.concatenate(c) for c in zip(gone, more_gone)]
+            # windows that go singly meet by their bytes later on, and need no digest
+            whole = [c[~crowd] for c in a]
+            marks = digests(data, place[~crowd], whole[5].astype(np.int64) + LEAST)
+            none = np.zeros(keep.sum(), U)
+            a = [np.concatenate([x, y]) for x, y in zip([whole[0], *marks, *whole[2:]], [one[0][keep], none, none, *(c[keep] for c in one[2:])])]
             gone = merged_all(gone)
             yield rows_of(dealt(a, ANCHOR, spread(a[0], buckets)), dealt(gone, RUN, spread(gone[0], buckets)), dealt([notes], (U,), spread(notes, buckets)))
 
@@ -403,23 +445,29 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         got = columns(batches)
         a, gone = unpack(got[0], ANCHOR), unpack(got[1], RUN)
         notes = unpack(got[2] if len(got) > 2 else [], (U,))[0]
-        keep, more = settle(a)
-        a = [c[keep] for c in a]
-        gone = merged_all([np.concatenate(c) for c in zip(gone, more)])
-        single, split = a[5] == SINGLE, np.isin(a[0], notes)
-        several = np.flatnonzero(shared(a[0]) | single | split)
-        mh, _, did, tie, lo, n = (c[several] for c in a)
-        _, where, count = np.unique(mh, return_inverse=True, return_counts=True)
-        hot = ((count[where] > HOT) | single[several] | split[several]).astype(np.uint8) if len(mh) else np.zeros(0, np.uint8)
-        n = n & (SINGLE - 1)
-        o = [did, tie, lo, n, mh, hot]
-        yield rows_of(dealt(gone, RUN, spread(gone[0], buckets)), dealt(o, OPEN, spread(did, buckets)))
+        whole = np.flatnonzero((a[6] != SINGLE) & shared(a[0]))
+        s, new, past = later([c[whole] for c in a[:3]], [c[whole] for c in a[3:6]])
+        s = whole[s]
+        again, keep = s[past], np.ones(len(a[0]), bool)
+        keep[s[~new]] = False
+        runs = [a[3][again], a[4][again], a[5][again], a[5][again] + a[6][again] + np.int32(LEAST)]
+        gone = merged_all([np.concatenate(c) for c in zip(gone, runs)])
+        mh, _, _, did, tie, lo, n = (c[keep] for c in a)
+        single, split = n == SINGLE, np.isin(mh, notes)
+        several = np.flatnonzero(shared(mh) | single | split)
+        _, where, count = np.unique(mh[several], return_inverse=True, return_counts=True)
+        hot = (count[where] > HOT) | (single | split)[several]
+        o = [did[several], tie[several], lo[several], (n & (SINGLE - 1))[several], mh[several], hot.astype(np.uint8)]
+        yield rows_of(dealt(gone, RUN, spread(gone[0], buckets)), dealt(o, OPEN, spread(o[0], buckets)))
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = columns(batches)
         gone, o = merged_all(unpack(got[0], RUN)), unpack(got[1] if len(got) > 1 else [], OPEN)
-        s = np.lexsort((o[2], o[1], o[0]))
+        s = np.lexsort((o[4], o[2], o[1], o[0]))
         o = [c[s] for c in o]
+        new = np.ones(len(s), bool)  # rows that repeat id and text tell the same
+        new[1:] = np.logical_or.reduce([o[c][1:] != o[c][:-1] for c in (0, 1, 2, 4)])
+        o = [c[new] for c in o]
         rows: dict[tuple[int, int], list[bytes]] = {}
         for d, t, w in by_document(gone):
             rows.setdefault((d, t), [b"", b""])[0] = pack([c[w] for c in gone[2:]], RUN[2:])
@@ -432,51 +480,50 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            meta: list[list[np.ndarray]] = []
-            bits: list[np.ndarray] = []
-            for did, tie, data, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+            size, last = 0, None
+            for k, (did, tie, blob) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
+                if (did, tie) == last:  # a row that repeats id and text
+                    continue
+                last = did, tie
                 lo, n, mh, hot = unpack([blob], OPEN[2:])
-                buf = np.frombuffer(data.as_buffer(), np.uint8)
-                h = hot.astype(bool)
-                for a, m, g in zip(lo[~h].tolist(), n[~h].tolist(), mh[~h].tolist()):
-                    meta.append((g, did, tie, a, m))
-                    bits.append(buf[a : a + m + LEAST])
-                if h.any():  # windows of hot groups go on their own
-                    for a, m in zip(lo[h].tolist(), n[h].tolist()):
-                        x = np.arange(a, a + m + 1)
-                        for s, g in zip(x.tolist(), window_hashes(buf, x).tolist()):
-                            meta.append((g, did, tie, s, 0))
-                            bits.append(buf[s : s + LEAST])
-            if not meta:
-                continue
-            g = np.array([m[0] for m in meta], U)
-            cols = [g, *(np.array([m[i] for m in meta], k) for i, k in zip(range(1, 5), (np.int64, np.int64, np.int32, np.uint8)))]
-            # equal single windows: the earliest of the batch goes on, the others are settled here
-            single = np.flatnonzero(cols[4] == 0)
-            known: dict[bytes, int] = {}
-            text = np.array([known.setdefault(bits[i].tobytes(), len(known)) for i in single], np.int64)
-            s, new, past = later([cols[0][single], text], [c[single] for c in cols[1:4]])
-            drop = np.zeros(len(g), bool)
-            drop[single[s[~new]]] = True
-            gone = single[s[past]]
-            runs = merged_all([cols[1][gone], cols[2][gone], cols[3][gone], cols[3][gone] + np.int32(LEAST)])
-            keep = np.flatnonzero(~drop)
-            bucket = spread(cols[0], buckets)
-            keep = keep[np.argsort(bucket[keep], kind="stable")]
-            k = bucket[keep]
-            cuts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-            one: dict[int, bytes] = {}
-            two: dict[int, bytes] = {}
-            for x, y in zip(cuts.tolist(), np.append(cuts[1:], len(k)).tolist()):
-                one[int(k[x])] = pack([c[keep[x:y]] for c in cols], CONTEXT)
-                two[int(k[x])] = b"".join(bits[i].tobytes() for i in keep[x:y])
-            yield rows_of(one, two, dealt(runs, RUN, spread(runs[0], buckets)))
+                held.append((np.frombuffer(b.column(2)[k].as_buffer(), np.uint8), [np.full(len(lo), did, np.int64), np.full(len(lo), tie, np.int64), lo, n, mh, hot]))
+                length = n.astype(np.int64)
+                size += len(held[-1][0]) + int((length + LEAST).sum()) + int(length[hot > 0].sum()) * LEAST
+                if size > SEND:
+                    yield sent(held)
+                    held, size = [], 0
+            if held:
+                yield sent(held)
+
+    def sent(held: list[tuple[np.ndarray, list[np.ndarray]]]) -> pa.RecordBatch:
+        data = np.concatenate([d for d, _ in held])
+        start = np.cumsum([len(d) for d, _ in held]) - [len(d) for d, _ in held]
+        did, tie, lo, n, mh, hot = (np.concatenate(c) for c in zip(*(c for _, c in held)))
+        place = np.repeat(start, [len(c[0]) for _, c in held]) + lo
+        h, w = hot > 0, hot == 0
+        # windows of hot groups go on their own; equal ones of the batch are settled here
+        one, at = singles(data, place[h], [mh[h], mh[h], did[h], tie[h], lo[h], n[h]])
+        keep, gone = settle(one, data, at)
+        runs = merged_all(gone)
+        cols = [np.concatenate(x) for x in zip([mh[w], did[w], tie[w], lo[w], n[w]], [one[0][keep], one[2][keep], one[3][keep], one[4][keep], np.zeros(keep.sum(), np.uint8)])]
+        place = np.concatenate([place[w], at[keep]])
+        bucket = spread(cols[0], buckets)
+        order = np.argsort(bucket, kind="stable")
+        cols, place, bucket = [x[order] for x in cols], place[order], bucket[order]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        bits = {int(bucket[x]): gathered(data, place[x:y], cols[4][x:y].astype(np.int64) + LEAST).tobytes() for x, y in zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist())}
+        return rows_of(dealt(cols, CONTEXT, bucket), bits, dealt(runs, RUN, spread(runs[0], buckets)))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = columns(batches)
         gone = unpack(got[2] if len(got) > 2 else [], RUN)
-        runs = repeated_windows(unpack(got[0], CONTEXT), b"".join(got[1]))
-        both = merged_all([np.concatenate(c) for c in zip(gone, runs)])
+        meta, buf = unpack(got[0], CONTEXT), np.frombuffer(b"".join(got[1]), np.uint8)
+        grp, did, tie, lo, more = meta
+        size = more.astype(np.int64) + LEAST
+        keep, same = settle([grp, context_hashes(buf, size), did, tie, lo, more], buf, np.cumsum(size) - size)
+        runs = repeated_windows([c[keep] for c in meta], buf[np.repeat(keep, size)])
+        both = merged_all([np.concatenate(c) for c in zip(gone, same, runs)])
         none: dict[int, bytes] = {}
         yield rows_of(dealt(both, RUN, spread(both[0], buckets)), none)
 
@@ -509,3 +556,20 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def op4_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
+# for tables in which ids do not repeat with different texts
+OP4_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, text, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(n - 99)) AS i FROM d WHERE n >= 100)),
+r AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r)),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run),
+p AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM s
+  UNION ALL SELECT d.doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
+o AS (SELECT doc_id, sha256(unhex(string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x))) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(b - a)::BIGINT AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, strlen(coalesce(documents.text, ''))::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, kept AS kept_sha256
+FROM documents JOIN o USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
