@@ -91,13 +91,13 @@ def salted(many: DataFrame, few: DataFrame, keys: list[str], spread: list[str],
     """Inner join on keys of which some may have very many rows on the left.
 
     The rows of each key are counted first; a sketch of ``SKETCH`` maxima (keys share one by hash) says
-    into how many parts of about ``crowd`` rows a key is cut. Left rows take a part by the hash of the
+    into how many parts of about ``crowd`` rows a key is cut, four for a task at most. Left rows take a part by the hash of the
     columns ``spread``; right rows are repeated for each part of their key.
     """
     n = unused(("slot", "parts", "part"), many, few)
     slot = F.pmod(F.xxhash64(*keys), F.lit(SKETCH)).alias(n["slot"])
     counts = many.groupBy(*keys).agg(F.count("*").alias(n["parts"]))
-    sketch = counts.groupBy(slot).agg(F.ceil(F.max(n["parts"]) / (crowd or CROWD)).cast("int").alias(n["parts"]))
+    sketch = counts.groupBy(slot).agg(F.least(F.ceil(F.max(n["parts"]) / (crowd or CROWD)), F.lit(4 * shuffle_width(many.sparkSession))).cast("int").alias(n["parts"]))
     sketch = F.broadcast(cut(sketch))  # SKETCH rows at most
     left = many.select("*", slot).join(sketch, n["slot"]).withColumn(n["part"], F.pmod(F.xxhash64(*spread), F.col(n["parts"])).cast("int"))
     right = few.select("*", slot).join(sketch, n["slot"]).withColumn(n["part"], F.explode(F.sequence(F.lit(0), F.col(n["parts"]) - 1)))
@@ -122,6 +122,13 @@ def star(pairs: DataFrame, most: int) -> DataFrame:
     return met.where("hub is not null").select("u", "v", F.col("hub").alias("m")).unionByName(rest)
 
 
+def smallest(named: DataFrame) -> DataFrame:
+    """(node, root, rep) -> (node, best): the smallest rep of each root, for all its nodes."""
+    named = cut(named.select(F.col("root").alias("u"), F.struct("rep", "node").alias("v")))
+    met = star(named, max(LEAF, named.count() // HUBS))
+    return met.select(F.col("v.node").alias("node"), F.col("m.rep").alias("best"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vaultmill.llm.common import LAST_ID, components, cut, integer_id, row_id, salted, shuffle_width, table
+from vaultmill.llm.common import LAST_ID, components, cut, integer_id, row_id, salted, shuffle_width, smallest, table
 from vaultmill.llm.simhash import forest
 
 LEAST = 0.98
@@ -257,8 +257,7 @@ def near_vectors(rows: DataFrame, *, id_col: str = "vec_id", vec_col: str = "emb
     items = cut(classes.withColumn("dim", (F.octet_length("vec") / 8).cast("int")).withColumn("id", F.monotonically_increasing_id()))
     counted, edges = links(items, least=least)
     comp = components(edges)
-    best = comp.join(items, comp.node == items.id).groupBy("root").agg(F.min("rid").alias("best"))
-    member = comp.join(best, "root").select(F.col("node").alias("id"), "best")
+    member = smallest(comp.join(items, comp.node == items.id).select("node", "root", F.col("rid").alias("rep"))).withColumnRenamed("node", "id")
     done = items.join(counted, "id", "left").join(member, "id", "left").select("label", "h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("best", "rid").alias("best"))
     # rows that link with nothing have no class; they stay out of the join, where they would be one key
     alone = r.where("vec is null").select("vec_id", "rid", F.lit(0).cast("long").alias("links"), F.col("rid").alias("best"))
