@@ -64,8 +64,11 @@ def test_ball_hashing_finds_all_links(spark, monkeypatch, room, slices):
             prints.add(p)
     prints = sorted(prints)
     signed = [p - 2**64 if p >= 2**63 else p for p in prints]
-    df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    comp = {r.node: r.root for r in common.components(simhash.links(df, len(signed))).collect()}
+    df = spark.createDataFrame([(p, k) for p in signed for k in (0, 3) if k == 0 or p % 2], "fp long, tab int")
+    found = simhash.links(df, len(signed)).where("tab = 0")
+    odd = {x for r in simhash.links(df, len(signed)).where("tab = 3").collect() for x in r[1:]}
+    assert odd and all(x % 2 for x in odd)  # tables do not meet
+    comp = {r.node: r.root for r in common.components(found).collect()}
     want = roots(len(prints), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
     groups = {}
     for p, r in zip(signed, want):
@@ -92,8 +95,31 @@ def test_near_duplicates(spark):
         if i is not None:
             least[r] = min(i, least.get(r, i))
     assert sorted(map(str, [(i, f - 2**64 if f >= 2**63 else f, least.get(r)) for (i, _), f, r in zip(rows, fp, want)])) == sorted(map(str, map(tuple, got)))
+    # the stage links by the shingles of five words; a few edits leave enough of them, empty texts are one
     kept = simhash.one_of_each(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, fp string")).collect()
-    assert len(kept) == len(set(want)) and {r.doc_id for r in kept if r.doc_id is not None} == set(least.values())
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["0", "1", "2", "3", "4", "5", "100", "103", "None"])
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_stage_finds_similar_texts(spark, monkeypatch, few):
+    """Pairs of similarity 0.8 and more are found (most of them), pairs below are left alone (all of them)."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = random.Random(4)
+    rows, close = [], {}
+    for i in range(120):
+        w = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(w)
+        for k in rng.sample(range(200), 2 + i % 8):
+            other[k] = "edit"
+        a, b = ({tuple(x[k : k + 5]) for k in range(196)} for x in (w, other))
+        close[i] = len(a & b) / len(a | b)
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(other))]
+    rows += [(3000 + i, " ".join(f"c{k}" for k in range(60 + i // 20))) for i in range(100)]  # copies, and copies that go on
+    left = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert set(range(120)) <= left and {i for i in left if i >= 3000} == {3000}
+    similar = {i for i in close if close[i] >= 0.8}
+    assert not {i for i in range(120) if 1000 + i not in left} - similar
+    assert sum(1000 + i not in left for i in similar) >= 0.8 * len(similar) > 20
 
 
 def test_near_duplicates_of_nothing(spark):

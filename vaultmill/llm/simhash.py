@@ -15,6 +15,16 @@ the number of distinct fingerprints so that a slice holds about ``SLICE`` of the
 fuller is split again by its next bits, in turn, so memory stays bounded. Equal fingerprints
 are one item. Components come from the links of all slices.
 
+A radius of 4 in 64 bits finds few of the texts that share 80% of their shingles: these are 10 bits
+apart on average. ``one_of_each`` therefore gives each text ``TABLES`` fingerprints, from hashes that are
+mixed anew for each, and hashes the balls of their last ``SHORT`` bits, where such texts are within the
+radius of 4 in every other table; all tables go through at once, as parts of one value space. What meets
+there are candidates, also by chance, so members of a meeting point are paired with its smallest and
+with their neighbour in order, which a stranger among them does not break. Candidates are verified:
+by all bits of all fingerprints, of which texts of similarity 0.8 differ in 58 of 384 on average, give
+or take 7. Up to ``SURE`` bits are near copies, more than ``DOUBT`` are not, and in between the Jaccard
+similarity of their shingles, which must reach ``ALIKE``, decides.
+
 Ids are whole numbers (others raise a TypeError). Null, empty and blank texts: fingerprint zero, linked like any other. Null ids: never the smallest
 of a component, unless it has no other. Repeated rows: rows of one fingerprint. Empty input: empty.
 """
@@ -27,14 +37,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vaultmill.llm.common import LAST_ID, components, cut, integer_id, row_id, table, text_hash, unused
+from vaultmill.llm.common import HUBS, LAST_ID, LEAF, components, cut, integer_id, row_id, salted, smallest, star, table, text_hash, unused
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
+TABLES, SHORT, WORDS, ALIKE, SHORT_SLICE = 6, 40, 5, 0.8, 4096  # of one_of_each
+SURE, DOUBT = 40, 76  # of 64 bits in each table
+FEW = 200_000  # keys of texts that are broadcast, of 16 bytes
+TABLE_BITS = 40  # bits of a slice's number below the table's
 SLICE = 512  # distinct fingerprints for a slice, on average
 ROOM = 1 << 21  # values generated at once
 BLOCK = 1 << 16
@@ -55,8 +69,8 @@ def shingle_hashes(data: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, len(starts))
 
 
-def fingerprint(data: bytes) -> int:
-    h = shingle_hashes(data)
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     if not len(h):
         return 0
     counts = np.zeros(64, np.int64)
@@ -66,6 +80,23 @@ def fingerprint(data: bytes) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
+def fingerprint(data: bytes) -> int:
+    return majority(shingle_hashes(data))
+
+
+def fingerprints(data: bytes, tables: int, width: int) -> list[int]:
+    """A fingerprint from the hashes as they are, then from the hashes mixed with 1, 2, .."""
+    h = shingle_hashes(data, width)
+    out = [majority(h)]
+    with np.errstate(over="ignore"):
+        for k in range(1, tables):
+            x = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out.append(majority(x ^ (x >> np.uint64(31))))
+    return out
+
+
 @F.arrow_udf(T.LongType())
 def simhash(texts: pa.Array) -> pa.Array:
     """The fingerprint as a signed 64-bit number."""
@@ -73,6 +104,17 @@ def simhash(texts: pa.Array) -> pa.Array:
     return pa.array(out.view(np.int64))
 
 
+def simhashes(tables: int, width: int):
+    """A column function: the fingerprints of a text as signed 64-bit numbers."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(texts: pa.Array) -> pa.Array:
+        flat = np.array([f for t in _bytes(texts) for f in fingerprints(b"" if t is None else t, tables, width)], np.uint64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * tables), pa.array(flat.view(np.int64)))
+
+    return run
+
+
 def _bytes(texts: pa.Array) -> Iterator[bytes | None]:
     for t in texts.cast(pa.large_binary()):
         yield t.as_py()
@@ -89,8 +131,8 @@ def flips(bits: list[int], most: int) -> list[np.ndarray]:
     return out
 
 
-def meetings(base: np.ndarray, left: np.ndarray, who: np.ndarray, bits: list[int]) -> list[np.ndarray]:
-    """Links (member, smallest member) between all that meet in a value.
+def meetings(base: np.ndarray, left: np.ndarray, who: np.ndarray, bits: list[int], chain: bool = False) -> list[np.ndarray]:
+    """Links (member, smallest member) between all that meet in a value, with chain also to the next.
 
     base: value so far, with the slice's bits set; left: flips still allowed among ``bits``.
     """
@@ -104,7 +146,7 @@ def meetings(base: np.ndarray, left: np.ndarray, who: np.ndarray, bits: list[int
         for side in (np.uint64(0), bit):
             same = (base & bit) == side
             keep = same | (left > 0)
-            out += meetings(np.where(same, base, base ^ bit)[keep], np.where(same, left, left - 1)[keep], who[keep], rest)
+            out += meetings(np.where(same, base, base ^ bit)[keep], np.where(same, left, left - 1)[keep], who[keep], rest, chain)
         return out
     masks = flips(bits, half)
     values, owner = [], []
@@ -127,7 +169,11 @@ def meetings(base: np.ndarray, left: np.ndarray, who: np.ndarray, bits: list[int
     at, w = at[order], w[order]
     head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     root = np.repeat(w[head], np.diff(np.append(head, len(w))))
-    pairs = np.unique(np.stack([w, root], 1)[w != root], axis=0)
+    pairs = np.stack([w, root], 1)
+    if chain:
+        next_ = np.stack([w[1:], w[:-1]], 1)[at[1:] == at[:-1]]
+        pairs = np.concatenate([pairs, next_])
+    pairs = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
     return [pairs] if len(pairs) else []
 
 
@@ -151,21 +197,26 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([nodes[off], nodes[label[off]]], 1)
 
 
-def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """prints(fp): distinct fingerprints, about n of them -> links (a, b) that connect every component."""
-    half = radius // 2
+def links(prints: DataFrame, n: int, radius: int = RADIUS, bits: int = 64, slice_: int | None = None) -> DataFrame:
+    """prints(fp, tab): distinct fingerprints, about n of them in each table -> links (tab, a, b).
+
+    Of 64 bits, links connect every component of a table; of fewer, they are all candidates.
+    """
+    half, whole = radius // 2, bits == 64
     if radius % 2:
         raise ValueError("the radius must be even")
-    p = min(40, max(0, math.ceil(math.log2(max(1, n) / SLICE))))
-    top = [63 - i for i in range(p)]
+    p = min(TABLE_BITS, max(0, math.ceil(math.log2(max(1, n) / (slice_ or SLICE)))))
+    top = [bits - 1 - i for i in range(p)]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = np.concatenate(flips(top, half))
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            tab = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(TABLE_BITS)
             for i in range(0, len(fp), max(1, ROOM // len(masks))):
                 part = fp[i : i + max(1, ROOM // len(masks))]
-                key = ((part[:, None] ^ masks[None, :]) >> np.uint64(64 - p) if p else np.zeros((len(part), 1), np.uint64)).ravel()
+                key = (part[:, None] ^ masks[None, :]) >> np.uint64(bits - p) if p else np.zeros((len(part), 1), np.uint64)
+                key = (key | tab[i : i + len(part), None]).ravel()
                 order = np.argsort(key, kind="stable")
                 key, who = key[order], np.repeat(part, len(masks))[order]
                 cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -173,35 +224,34 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
                 yield pa.record_batch([pa.array(key[cuts].astype(np.int64)), pa.array(packed, pa.binary())], ["slice", "prints"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = (1 << (64 - p)) - 1
+        low = (1 << (bits - p)) - 1
         held: dict[int, list[bytes]] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 held.setdefault(k, []).append(x)
         for k in list(held):
             who = np.unique(np.frombuffer(b"".join(held.pop(k)), np.uint64))
-            base = (who & np.uint64(low)) | np.uint64(k << (64 - p) if p else 0)
+            top_bits = k & ((1 << TABLE_BITS) - 1)
+            base = (who & np.uint64(low)) | np.uint64(top_bits << (bits - p) if p else 0)
             left = half - np.bitwise_count(base ^ who).astype(np.int64)
-            found = meetings(base, left, who, list(range(63 - p, -1, -1)))
+            found = meetings(base, left, who, list(range(bits - 1 - p, -1, -1)), not whole)
             if found:
                 pairs = np.concatenate(found)
                 pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius]
-                out = forest(pairs).view(np.int64)
-                yield pa.record_batch([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+                out = (forest(pairs) if whole else np.unique(pairs, axis=0)).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(out), k >> TABLE_BITS, np.int32)), pa.array(out[:, 0]), pa.array(out[:, 1])], ["tab", "a", "b"])
 
     spark = prints.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = prints.select("fp").mapInArrow(emit, "slice long, prints binary")
-    return slices.repartition(width, "slice").mapInArrow(meet, "a long, b long")
+    slices = prints.select("fp", "tab").mapInArrow(emit, "slice long, prints binary")
+    return slices.repartition(width, "slice").mapInArrow(meet, "tab int, a long, b long")
 
 
 def classes(prints: DataFrame) -> DataFrame:
     """prints(fp, rep): one row per fingerprint with its smallest key -> (fp, best), the component's smallest key."""
     prints = cut(prints)
-    comp = components(links(prints, prints.count()))
-    named = comp.join(prints, comp.node == prints.fp)
-    best = named.groupBy("root").agg(F.min("rep").alias("best"))
-    member = comp.join(best, "root").select(F.col("node").alias("fp"), "best")
+    comp = components(links(prints.select("fp", F.lit(0).alias("tab")), prints.count()))
+    member = smallest(comp.join(prints, comp.node == prints.fp)).withColumnRenamed("node", "fp")
     return prints.join(member, "fp", "left").select("fp", F.coalesce("best", "rep").alias("best"))
 
 
@@ -213,13 +263,56 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(best, "fp").select("doc_id", "fp", F.when(F.col("best") < LAST_ID, F.col("best")).alias("component_id"))
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def shingle_sets(texts: pa.Array) -> pa.Array:
+    """The distinct shingles of WORDS words of a text, as hashes."""
+    sets = [np.unique(shingle_hashes(b"" if t is None else t, WORDS)).view(np.int64) for t in _bytes(texts)]
+    return pa.array(sets, pa.list_(pa.int64()))
+
+
+def bits_apart(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def alike(docs: DataFrame, key: tuple[Column, Column], nodes: DataFrame) -> DataFrame:
+    """nodes(node, rep, prints) -> pairs (x, y) of nodes that are near copies."""
+    short = (1 << SHORT) - 1
+    named = cut(nodes.select("node", F.posexplode("prints").alias("tab", "p")).select("node", "tab", F.col("p").bitwiseAND(F.lit(short)).alias("fp")))
+    same = star(named.select(F.struct("tab", "fp").alias("u"), F.col("node").alias("v")), max(LEAF, named.count() // HUBS))
+    first = named.groupBy("tab", "fp").agg(F.min("node").alias("first"))  # a node for each fingerprint
+    met = cut(links(first.select("fp", "tab"), nodes.count(), bits=SHORT, slice_=SHORT_SLICE))
+    end = lambda fp, name: first.select("tab", F.col("fp").alias(fp), F.col("first").alias(name))
+    met = salted(salted(met, end("b", "y"), ["tab", "b"], ["a"]), end("a", "x"), ["tab", "a"], ["y"]).select("x", "y")
+    pairs = met.unionByName(same.where("m < v").select(F.col("m").alias("x"), F.col("v").alias("y")))
+    pairs = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    sign = lambda node, name: nodes.select(F.col("node").alias(node), F.col("prints").alias(name))
+    signed = salted(salted(pairs, sign("x", "px"), ["x"], ["y"]), sign("y", "py"), ["y"], ["x"])
+    judged = cut(signed.select("x", "y", bits_apart("px", "py").alias("bits")).where(F.col("bits") <= DOUBT))
+    doubt = judged.where(F.col("bits") > SURE).select("x", "y")
+    # the texts of pairs in doubt alone are read again
+    asked = cut(doubt.select(F.col("x").alias("node")).unionByName(doubt.select(F.col("y").alias("node"))).distinct().join(nodes.select("node", F.col("rep.i").alias("i"), F.col("rep.t").alias("t")), "node"))
+    texts = docs.select(key[0].alias("i"), key[1].alias("t"), docs["text"].cast("string").alias("text"))
+    found = texts.join(F.broadcast(asked) if asked.count() <= FEW else asked, ["i", "t"]).dropDuplicates(["node"])
+    sets = cut(found.select("node", shingle_sets("text").alias("set")))
+    part = lambda node, name: sets.select(F.col("node").alias(node), F.col("set").alias(name))
+    both = salted(salted(doubt, part("x", "sx"), ["x"], ["y"]), part("y", "sy"), ["y"], ["x"])
+    shared = F.size(F.array_intersect("sx", "sy"))
+    close = both.where(shared >= F.lit(ALIKE) * (F.size("sx") + F.size("sy") - shared)).select("x", "y")
+    return judged.where(F.col("bits") <= SURE).select("x", "y").unionByName(close)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest id (null ids last)."""
+    """The rows of docs that stay: of each group of near copies the one with the smallest id (null ids last)."""
     key = lambda d: (row_id(integer_id(d, "doc_id")), text_hash(d["text"]))
     n = unused(("i", "t", "row"), docs)
     i, t = key(docs)
-    rows = cut(docs.select(F.struct(i.alias("i"), t.alias("t")).alias("rep"), simhash(docs["text"].cast("string")).alias("fp")))
-    best = classes(rows.groupBy("fp").agg(F.min("rep").alias("rep"))).select(F.col("best.i").alias(n["i"]), F.col("best.t").alias(n["t"])).distinct()
+    rows = cut(docs.select(F.struct(i.alias("i"), t.alias("t")).alias("rep"), simhashes(TABLES, WORDS)(docs["text"].cast("string")).alias("prints")))
+    # texts alike in all fingerprints are one node
+    nodes = cut(rows.groupBy("prints").agg(F.min("rep").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    edges = alike(docs, (i, t), nodes).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    member = smallest(components(edges).join(nodes.select("node", "rep"), "node"))
+    best = nodes.join(member, "node", "left").select(F.coalesce("best", "rep").alias("best"))
+    best = best.select(F.col("best.i").alias(n["i"]), F.col("best.t").alias(n["t"])).distinct()
     kept = docs.join(best, (i == best[n["i"]]) & (t == best[n["t"]]), "left_semi")
     i, t = key(kept)
     # rows that repeat both id and text are one document
