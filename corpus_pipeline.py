@@ -1,7 +1,7 @@
 """A training corpus in five stages: quality, near copies, benchmark leaks, source mix, shards.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages rows are written as
-Parquet to the shared folder and read again. All stages but the last return the columns of
+Parquet to the shared folder and read again; what a stage has read is deleted. All stages but the last return the columns of
 documents. Rows of empty tables, null texts and repeated rows fare as each operator defines.
 """
 
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from vaultmill.llm import leaks, mix, quality, shard, simhash
-from vaultmill.llm.common import shared_dir, table
+from vaultmill.llm.common import forget, shared_dir, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -57,8 +57,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    last = ""
     for k, (name, stage) in enumerate(STAGES):
         at = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if k:
+            forget(spark, last)
+        last = at
     return docs
