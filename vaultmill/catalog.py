@@ -560,6 +560,8 @@ QUERIES = {
     "rendered_results": rendered_results, "guards": guards, "errors": errors, "scan_files": scan_files, "command_line": command_line,
 }
 
+# fixed values in the SQL, equal to those of the operators: what a link looks like, the operator characters and
+# keywords of the query language, the rule and heading before a timeline, and the numbers of BM25 and RRF
 SQL = {
     "bm25_topk": f"WITH {_LEX} SELECT doc_id, lexical_rank, round(score, 9) AS score FROM lex",
     "bm25_all": f"WITH {_BM25} SELECT doc_id, round(score, 9) AS score FROM b",
