@@ -190,3 +190,19 @@ def test_unsettled_components_raise(spark):
     with pytest.raises(RuntimeError):
         common.components(path, max_rounds=2)
     assert {r.root for r in common.components(path).collect()} == {0}
+
+
+def test_groups_yield_few_pairs(spark):
+    """A group of many near copies makes as many candidate pairs as members, not all of them."""
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    group = {base}
+    while len(group) < 600:
+        group.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))))
+    far = {rng.getrandbits(64) for _ in range(200)}
+    signed = [p - 2**64 if p >= 2**63 else p for p in group | far]
+    found = simhash.links(spark.createDataFrame([(p, 0) for p in signed], "fp long, tab int"), len(signed), bits=40, slice_=4096)
+    got = found.distinct().select("a", "b").collect()
+    assert len(got) < 2 * len(group)
+    comp = {r.node: r.root for r in common.components(spark.createDataFrame(got)).collect()}
+    assert len({comp.get(p, p) for p in signed if p % 2**64 in group}) == 1 and not {p % 2**64 for p in comp} & far

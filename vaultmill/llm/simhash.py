@@ -20,9 +20,11 @@ apart on average. ``one_of_each`` therefore gives each text ``TABLES`` fingerpri
 mixed anew for each, and hashes the balls of their last ``SHORT`` bits, where such texts are within the
 radius of 4 in every other table; all tables go through at once, as parts of one value space. What meets
 there are candidates, also by chance, so members of a meeting point are paired with its smallest and
-with their neighbour in order, which a stranger among them does not break. Candidates are verified:
-by all bits of all fingerprints, of which texts of similarity 0.8 differ in 58 of 384 on average, give
-or take 7. Up to ``SURE`` bits are near copies, more than ``DOUBT`` are not, and in between the Jaccard
+with their neighbour in order, which a stranger among them does not break. Pairs with more than ``LOOSE``
+differences in the other bits are strangers. Of the rest each slice keeps the shortest spanning forest,
+so a group of near copies of any size yields as many pairs as it has members. These are verified: by
+all bits of all fingerprints, of which texts of similarity 0.8 differ in 58 of 384 on average, give or
+take 7. Up to ``SURE`` bits are near copies, more than ``DOUBT`` are not, and in between the Jaccard
 similarity of their shingles, which must reach ``ALIKE``, decides.
 
 Ids are whole numbers (others raise a TypeError). Null, empty and blank texts: fingerprint zero, linked like any other. Null ids: never the smallest
@@ -46,7 +48,7 @@ from vaultmill.llm.common import HUBS, LAST_ID, LEAF, components, cut, integer_i
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 TABLES, SHORT, WORDS, ALIKE, SHORT_SLICE = 6, 40, 5, 0.8, 4096  # of one_of_each
-SURE, DOUBT = 40, 76  # of 64 bits in each table
+LOOSE, SURE, DOUBT = 8, 40, 76  # of the 24 bits beyond SHORT; of 64 bits in each table
 FEW = 200_000  # keys of texts that are broadcast, of 16 bytes
 TABLE_BITS = 40  # bits of a slice's number below the table's
 SLICE = 512  # distinct fingerprints for a slice, on average
@@ -197,12 +199,35 @@ def forest(pairs: np.ndarray) -> np.ndarray:
     return np.stack([nodes[off], nodes[label[off]]], 1)
 
 
+def shortest(pairs: np.ndarray) -> np.ndarray:
+    """The pairs that connect what all pairs connect, those with the fewest bits first."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent.get(x, x)
+        return top
+
+    keep = []
+    order = np.lexsort((pairs[:, 1], pairs[:, 0], np.bitwise_count(pairs[:, 0] ^ pairs[:, 1])))
+    for k, (a, b) in zip(order.tolist(), pairs[order].tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            keep.append(k)
+    return pairs[np.sort(np.array(keep, np.int64))]
+
+
 def links(prints: DataFrame, n: int, radius: int = RADIUS, bits: int = 64, slice_: int | None = None) -> DataFrame:
     """prints(fp, tab): distinct fingerprints, about n of them in each table -> links (tab, a, b).
 
-    Of 64 bits, links connect every component of a table; of fewer, they are all candidates.
+    With all 64 bits, links connect every component of a table. With fewer, the balls are those of the
+    last ``bits``; links are candidates whose other bits do not speak against them, a forest of each slice.
     """
-    half, whole = radius // 2, bits == 64
+    half, whole, mask = radius // 2, bits == 64, np.uint64((1 << bits) - 1)
     if radius % 2:
         raise ValueError("the radius must be even")
     p = min(TABLE_BITS, max(0, math.ceil(math.log2(max(1, n) / (slice_ or SLICE)))))
@@ -215,7 +240,7 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, bits: int = 64, slice
             tab = b.column(1).to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(TABLE_BITS)
             for i in range(0, len(fp), max(1, ROOM // len(masks))):
                 part = fp[i : i + max(1, ROOM // len(masks))]
-                key = (part[:, None] ^ masks[None, :]) >> np.uint64(bits - p) if p else np.zeros((len(part), 1), np.uint64)
+                key = ((part & mask)[:, None] ^ masks[None, :]) >> np.uint64(bits - p) if p else np.zeros((len(part), 1), np.uint64)
                 key = (key | tab[i : i + len(part), None]).ravel()
                 order = np.argsort(key, kind="stable")
                 key, who = key[order], np.repeat(part, len(masks))[order]
@@ -233,12 +258,13 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, bits: int = 64, slice
             who = np.unique(np.frombuffer(b"".join(held.pop(k)), np.uint64))
             top_bits = k & ((1 << TABLE_BITS) - 1)
             base = (who & np.uint64(low)) | np.uint64(top_bits << (bits - p) if p else 0)
-            left = half - np.bitwise_count(base ^ who).astype(np.int64)
+            left = half - np.bitwise_count(base ^ (who & mask)).astype(np.int64)
             found = meetings(base, left, who, list(range(bits - 1 - p, -1, -1)), not whole)
             if found:
                 pairs = np.concatenate(found)
-                pairs = pairs[np.bitwise_count(pairs[:, 0] ^ pairs[:, 1]) <= radius]
-                out = (forest(pairs) if whole else np.unique(pairs, axis=0)).view(np.int64)
+                apart = pairs[:, 0] ^ pairs[:, 1]
+                pairs = pairs[(np.bitwise_count(apart & mask) <= radius) & (whole or np.bitwise_count(apart >> np.uint64(bits % 64)) <= LOOSE)]
+                out = (forest(pairs) if whole else shortest(np.unique(pairs, axis=0))).view(np.int64)
                 yield pa.record_batch([pa.array(np.full(len(out), k >> TABLE_BITS, np.int32)), pa.array(out[:, 0]), pa.array(out[:, 1])], ["tab", "a", "b"])
 
     spark = prints.sparkSession
@@ -276,26 +302,24 @@ def bits_apart(a: str, b: str) -> Column:
 
 def alike(docs: DataFrame, key: tuple[Column, Column], nodes: DataFrame) -> DataFrame:
     """nodes(node, rep, prints) -> pairs (x, y) of nodes that are near copies."""
-    short = (1 << SHORT) - 1
-    named = cut(nodes.select("node", F.posexplode("prints").alias("tab", "p")).select("node", "tab", F.col("p").bitwiseAND(F.lit(short)).alias("fp")))
-    same = star(named.select(F.struct("tab", "fp").alias("u"), F.col("node").alias("v")), max(LEAF, named.count() // HUBS))
-    first = named.groupBy("tab", "fp").agg(F.min("node").alias("first"))  # a node for each fingerprint
-    met = cut(links(first.select("fp", "tab"), nodes.count(), bits=SHORT, slice_=SHORT_SLICE))
-    end = lambda fp, name: first.select("tab", F.col("fp").alias(fp), F.col("first").alias(name))
-    met = salted(salted(met, end("b", "y"), ["tab", "b"], ["a"]), end("a", "x"), ["tab", "a"], ["y"]).select("x", "y")
-    pairs = met.unionByName(same.where("m < v").select(F.col("m").alias("x"), F.col("v").alias("y")))
-    pairs = cut(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
-    sign = lambda node, name: nodes.select(F.col("node").alias(node), F.col("prints").alias(name))
-    signed = salted(salted(pairs, sign("x", "px"), ["x"], ["y"]), sign("y", "py"), ["y"], ["x"])
-    judged = cut(signed.select("x", "y", bits_apart("px", "py").alias("bits")).where(F.col("bits") <= DOUBT))
+    named = cut(nodes.select(F.struct("node", "prints").alias("v"), F.posexplode("prints").alias("tab", "fp")))
+    same = star(named.select(F.struct("tab", "fp").alias("u"), "v"), max(LEAF, named.count() // HUBS)).where("m.node < v.node")
+    first = named.groupBy("tab", "fp").agg(F.min("v").alias("v"))  # a node for each fingerprint
+    met = cut(links(first.select("fp", "tab"), nodes.count(), bits=SHORT, slice_=SHORT_SLICE).distinct())
+    end = lambda fp, name: first.select("tab", F.col("fp").alias(fp), F.col("v").alias(name))
+    met = salted(salted(met, end("b", "m"), ["tab", "b"], ["a"]), end("a", "v"), ["tab", "a"], ["b"])
+    pairs = met.select("m", "v").unionByName(same.select("m", "v"))
+    pairs = pairs.select(F.least("m.node", "v.node").alias("x"), F.greatest("m.node", "v.node").alias("y"), bits_apart("m.prints", "v.prints").alias("bits"))
+    judged = cut(pairs.where(F.col("bits") <= DOUBT).distinct())
     doubt = judged.where(F.col("bits") > SURE).select("x", "y")
     # the texts of pairs in doubt alone are read again
-    asked = cut(doubt.select(F.col("x").alias("node")).unionByName(doubt.select(F.col("y").alias("node"))).distinct().join(nodes.select("node", F.col("rep.i").alias("i"), F.col("rep.t").alias("t")), "node"))
+    asked = doubt.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    asked = cut(nodes.select("node", F.col("rep.i").alias("i"), F.col("rep.t").alias("t")).join(asked, "node", "left_semi"))
     texts = docs.select(key[0].alias("i"), key[1].alias("t"), docs["text"].cast("string").alias("text"))
     found = texts.join(F.broadcast(asked) if asked.count() <= FEW else asked, ["i", "t"]).dropDuplicates(["node"])
     sets = cut(found.select("node", shingle_sets("text").alias("set")))
     part = lambda node, name: sets.select(F.col("node").alias(node), F.col("set").alias(name))
-    both = salted(salted(doubt, part("x", "sx"), ["x"], ["y"]), part("y", "sy"), ["y"], ["x"])
+    both = doubt.join(part("x", "sx"), "x").join(part("y", "sy"), "y")
     shared = F.size(F.array_intersect("sx", "sy"))
     close = both.where(shared >= F.lit(ALIKE) * (F.size("sx") + F.size("sy") - shared)).select("x", "y")
     return judged.where(F.col("bits") <= SURE).select("x", "y").unionByName(close)
