@@ -79,9 +79,9 @@ FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x20000)) if not 0xD800
 def fold(text: Column) -> Column:
     """Key for names: stripped, without case. Letters that lower() leaves are looked up singly, in texts that have any."""
     low = F.lower(strip(text))
-    table = F.create_map(*[F.lit(x) for pair in FOLDED.items() for x in pair])
+    table = F.str_to_map(F.lit(",".join(f"{c}:{to}" for c, to in FOLDED.items())), F.lit(","), F.lit(":"))  # a constant
     full = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
-    return F.when(low.rlike(f"[{''.join(FOLDED)}]"), full).otherwise(low)
+    return F.when((F.octet_length(low) > F.length(low)) & low.rlike(f"[{''.join(FOLDED)}]"), full).otherwise(low)
 
 
 # fixed values: characters and words of the query language that free text is freed of, and the marks
