@@ -1,6 +1,6 @@
 """The corpus queries and their SQL, for the repository's entry module."""
 
-from vaultmill.llm import chat, grid, hosts, leaks, mix, quality, repeats, shard, simhash, warc
+from vaultmill.llm import chat, grid, hosts, leaks, mix, pieces, quality, repeats, shard, simhash, warc
 
 QUERIES = {
     "op1_source_mix": mix.op1_source_mix,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_benchmark_leaks": leaks.op8_benchmark_leaks,
     "op9_quality_posterior": quality.op9_quality_posterior,
     "op10_grid_order_join": grid.op10_grid_order_join,
+    "op12_sentencepiece_ids": pieces.op12_sentencepiece_ids,
 }
 SQL = {
     "op1_source_mix": mix.OP1_SQL,
