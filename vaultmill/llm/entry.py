@@ -1,6 +1,6 @@
 """The corpus queries and their SQL, for the repository's entry module."""
 
-from vaultmill.llm import chat, grid, hosts, leaks, mix, pieces, quality, repeats, shard, simhash, warc
+from vaultmill.llm import chat, grid, hosts, leaks, mix, pieces, quality, repeats, resample, shard, simhash, spelling, warc
 
 QUERIES = {
     "op1_source_mix": mix.op1_source_mix,
@@ -13,7 +13,9 @@ QUERIES = {
     "op8_benchmark_leaks": leaks.op8_benchmark_leaks,
     "op9_quality_posterior": quality.op9_quality_posterior,
     "op10_grid_order_join": grid.op10_grid_order_join,
+    "op11_target_resample": resample.op11_target_resample,
     "op12_sentencepiece_ids": pieces.op12_sentencepiece_ids,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 SQL = {
     "op1_source_mix": mix.OP1_SQL,
@@ -24,4 +26,6 @@ SQL = {
     "op6_simhash_components": simhash.OP6_SQL,
     "op7_ring_shards": shard.OP7_SQL,
     "op10_grid_order_join": grid.OP10_SQL,
+    "op11_target_resample": resample.OP11_SQL,
+    "op13_spelling_variants": spelling.OP13_SQL,
 }
