@@ -8,7 +8,7 @@ following forms to the end gives its root, so the words with one root are the va
 its first half and one for its last half. An edit lies in one half only, so near words share a block, and
 the pair counts in the block in whose open middle the first difference lies, so it counts once. Blocks of
 more than ``CROWD`` words are cut again by the halves of their open middle, down to one open character,
-where a block holds no more words than there are letters. Which to cut follows from counts of blocks by
+where a block holds no more words than there are letters and is one list. Which to cut follows from counts of blocks by
 hash, ``SLOTS`` of them at most, so all words of a block agree on it.
 
 **Index.** Within a block the open middles, between two border marks, are cut into 2-grams, and each 2-gram
@@ -106,7 +106,8 @@ class Block:
         code = np.append(self.code, 0)
         second = np.where(place < count[owner] - 1, code[at], 0)
         one = np.where(place > 0, code[at - 1], 0)
-        gram = np.unique(one << 21 | second, return_inverse=True)[1]
+        # with one open character an edit spoils all there is: these blocks are one list each
+        gram = np.unique(np.where((m - a - b == 1)[owner], 0, one << 21 | second), return_inverse=True)[1]
         self.gram, self.count, self.owner, self.place = gram, count, owner, place
         self.short = (self.size < m).astype(np.int64)
         # a list is a block, whether its words are the shorter ones, a 2-gram and a place
