@@ -40,8 +40,8 @@ from pyspark.sql import types as T
 from vaultmill.llm.common import table
 
 SPACE = "▁"  # fixed value: how models write a space
-BLOCK = 1 << 20  # characters worked on at once
-KEPT, SHORT = 200_000, 32  # words kept from batch to batch; characters of such a word
+BLOCK = 1 << 18  # characters, or ids, worked on at once
+KEPT, SHORT = 100_000, 32  # words kept from batch to batch; characters of such a word
 NEVER = np.iinfo(np.int32).max  # rank of two neighbours that form no piece
 CODES = 0x110000
 
