@@ -18,14 +18,15 @@ are one item. Components come from the links of all slices.
 A radius of 4 in 64 bits finds few of the texts that share 80% of their shingles: these are 10 bits
 apart on average. ``one_of_each`` therefore gives each text ``TABLES`` fingerprints, from hashes that are
 mixed anew for each, and hashes the balls of their last ``SHORT`` bits, where such texts are within the
-radius of 4 in every other table; all tables go through at once, as parts of one value space. What meets
+radius of 4 in every fourth table or more; all tables go through at once, as parts of one value space. These
+fingerprints are of the *set* of a text's shingles, so a line that a text repeats counts once. What meets
 there are candidates, also by chance, so members of a meeting point are paired with its smallest and
 with their neighbour in order, which a stranger among them does not break. Pairs with more than ``LOOSE``
-differences in the other bits are strangers. Of the rest each slice keeps the shortest spanning forest,
-so a group of near copies of any size yields as many pairs as it has members. These are verified: by
-all bits of all fingerprints, of which texts of similarity 0.8 differ in 58 of 384 on average, give or
-take 7. Up to ``SURE`` bits are near copies, more than ``DOUBT`` are not, and in between the Jaccard
-similarity of their shingles, which must reach ``ALIKE``, decides.
+differences in the other bits of the table, or ``DOUBT`` in all bits of all tables, are strangers: texts of
+similarity 0.8 differ in 87 of 576 on average, give or take 9. Of the rest each slice keeps the shortest
+spanning forest, so a group of near copies of any size yields as many pairs as it has members. No pair is
+a near copy by its fingerprints, equal ones included: the texts of every pair are read again, and the Jaccard
+similarity of their sets of shingles must reach ``ALIKE``. Only texts equal byte for byte are one without that.
 
 Ids are whole numbers (others raise a TypeError). Null, empty and blank texts: fingerprint zero, linked like any other. Null ids: never the smallest
 of a component, unless it has no other. Repeated rows: rows of one fingerprint. Empty input: empty.
@@ -40,16 +41,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaultmill.llm.common import HUBS, LAST_ID, LEAF, components, cut, integer_id, row_id, salted, smallest, star, table, text_hash, unused
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-TABLES, SHORT, WORDS, ALIKE, SHORT_SLICE = 6, 40, 5, 0.8, 4096  # of one_of_each
-LOOSE, SURE, DOUBT = 8, 40, 76  # of the 24 bits beyond SHORT; of 64 bits in each table
-FEW = 200_000  # keys of texts that are broadcast, of 16 bytes
+TABLES, SHORT, WORDS, ALIKE, SHORT_SLICE = 9, 40, 5, 0.8, 4096  # of one_of_each
+LOOSE, DOUBT = 8, 160  # of the 24 bits beyond SHORT; of 64 bits in each table
+FEW, FAN = 200_000, 256  # keys of texts that are broadcast, of 32 bytes; pairs of a text for one task
 TABLE_BITS = 40  # bits of a slice's number below the table's
 SLICE = 512  # distinct fingerprints for a slice, on average
 ROOM = 1 << 21  # values generated at once
@@ -87,8 +87,8 @@ def fingerprint(data: bytes) -> int:
 
 
 def fingerprints(data: bytes, tables: int, width: int) -> list[int]:
-    """A fingerprint from the hashes as they are, then from the hashes mixed with 1, 2, .."""
-    h = shingle_hashes(data, width)
+    """Of the set of shingles: a fingerprint from the hashes as they are, then from the hashes mixed with 1, 2, .."""
+    h = np.unique(shingle_hashes(data, width))
     out = [majority(h)]
     with np.errstate(over="ignore"):
         for k in range(1, tables):
@@ -289,59 +289,70 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(best, "fp").select("doc_id", "fp", F.when(F.col("best") < LAST_ID, F.col("best")).alias("component_id"))
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def shingle_sets(texts: pa.Array) -> pa.Array:
-    """The distinct shingles of WORDS words of a text, as hashes."""
-    sets = [np.unique(shingle_hashes(b"" if t is None else t, WORDS)).view(np.int64) for t in _bytes(texts)]
-    return pa.array(sets, pa.list_(pa.int64()))
+def shingle_set(text: bytes | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text or b"", WORDS))
+
+
+@F.arrow_udf(T.BooleanType())
+def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Whether the sets of shingles of two texts have a Jaccard similarity of ``ALIKE``; texts without words are alike."""
+    out = []
+    for a, b in zip(_bytes(left), _bytes(right)):
+        a, b = shingle_set(a), shingle_set(b)
+        shared = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= ALIKE * max(len(a), len(b)) else 0
+        out.append(shared >= ALIKE * (len(a) + len(b) - shared))
+    return pa.array(out, pa.bool_())
 
 
 def bits_apart(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def alike(docs: DataFrame, key: tuple[Column, Column], nodes: DataFrame) -> DataFrame:
-    """nodes(node, rep, prints) -> pairs (x, y) of nodes that are near copies."""
+def text_key(c: Column) -> Column:
+    """A text's 128 bits, of two hashes."""
+    return F.struct(text_hash(c).alias("one"), F.xxhash64(F.lit(WORDS), c.isNull(), F.coalesce(c, F.lit(""))).alias("two"))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """nodes(node, prints) -> pairs x < y of nodes that may be near copies: as many as nodes in each table at most."""
     named = cut(nodes.select(F.struct("node", "prints").alias("v"), F.posexplode("prints").alias("tab", "fp")))
     same = star(named.select(F.struct("tab", "fp").alias("u"), "v"), max(LEAF, named.count() // HUBS)).where("m.node < v.node")
     first = named.groupBy("tab", "fp").agg(F.min("v").alias("v"))  # a node for each fingerprint
     met = cut(links(first.select("fp", "tab"), nodes.count(), bits=SHORT, slice_=SHORT_SLICE).distinct())
     end = lambda fp, name: first.select("tab", F.col("fp").alias(fp), F.col("v").alias(name))
     met = salted(salted(met, end("b", "m"), ["tab", "b"], ["a"]), end("a", "v"), ["tab", "a"], ["b"])
-    pairs = met.select("m", "v").unionByName(same.select("m", "v"))
-    pairs = pairs.select(F.least("m.node", "v.node").alias("x"), F.greatest("m.node", "v.node").alias("y"), bits_apart("m.prints", "v.prints").alias("bits"))
-    judged = cut(pairs.where(F.col("bits") <= DOUBT).distinct())
-    doubt = judged.where(F.col("bits") > SURE).select("x", "y")
-    # the texts of pairs in doubt alone are read again
-    asked = doubt.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    asked = cut(nodes.select("node", F.col("rep.i").alias("i"), F.col("rep.t").alias("t")).join(asked, "node", "left_semi"))
+    pairs = met.select("m", "v").unionByName(same.select("m", "v")).where(bits_apart("m.prints", "v.prints") <= DOUBT)
+    return cut(pairs.select(F.least("m.node", "v.node").alias("x"), F.greatest("m.node", "v.node").alias("y")).distinct())
+
+
+def alike(docs: DataFrame, key: tuple[Column, Column], nodes: DataFrame) -> DataFrame:
+    """nodes(node, i, t, prints), a row for each text -> pairs (x, y) of nodes whose texts are near copies."""
+    pairs = candidates(nodes.select("node", "prints"))
+    asked = cut(nodes.select("node", "i", "t").join(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "node", "left_semi"))
     texts = docs.select(key[0].alias("i"), key[1].alias("t"), docs["text"].cast("string").alias("text"))
-    found = texts.join(F.broadcast(asked) if asked.count() <= FEW else asked, ["i", "t"]).dropDuplicates(["node"])
-    sets = cut(found.select("node", shingle_sets("text").alias("set")))
-    part = lambda node, name: sets.select(F.col("node").alias(node), F.col("set").alias(name))
-    both = doubt.join(part("x", "sx"), "x").join(part("y", "sy"), "y")
-    shared = F.size(F.array_intersect("sx", "sy"))
-    close = both.where(shared >= F.lit(ALIKE) * (F.size("sx") + F.size("sy") - shared)).select("x", "y")
-    return judged.where(F.col("bits") <= SURE).select("x", "y").unionByName(close)
+    # a text is named by its smallest id; rows that repeat id and text are one
+    texts = texts.join(F.broadcast(asked) if asked.count() <= FEW else asked, ["i", "t"]).dropDuplicates(["node"]).select("node", "text")
+    ends = pairs.select("x", "y", F.explode(F.array("x", "y")).alias("node"))
+    both = salted(ends, texts, ["node"], ["x", "y"], FAN).groupBy("x", "y").agg(F.min(F.struct("node", "text")).alias("a"), F.max(F.struct("node", "text")).alias("b"))
+    return cut(both.where(similar("a.text", "b.text")).select("x", "y"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: of each group of near copies the one with the smallest id (null ids last)."""
-    key = lambda d: (row_id(integer_id(d, "doc_id")), text_hash(d["text"]))
-    n = unused(("i", "t", "row"), docs)
+    """The rows of docs that stay: of each group of near copies the one with the smallest id (null ids last).
+    Rows that repeat both id and text are one document."""
+    key = lambda d: (row_id(integer_id(d, "doc_id")), text_key(d["text"].cast("string")))
+    n = unused(("i", "t"), docs)
     i, t = key(docs)
-    rows = cut(docs.select(F.struct(i.alias("i"), t.alias("t")).alias("rep"), simhashes(TABLES, WORDS)(docs["text"].cast("string")).alias("prints")))
-    # texts alike in all fingerprints are one node
-    nodes = cut(rows.groupBy("prints").agg(F.min("rep").alias("rep")).withColumn("node", F.monotonically_increasing_id()))
+    rows = cut(docs.select(i.alias("i"), t.alias("t"), simhashes(TABLES, WORDS)(docs["text"].cast("string")).alias("prints")))
+    nodes = cut(rows.groupBy("t").agg(F.min("i").alias("i"), F.first("prints").alias("prints")).withColumn("node", F.monotonically_increasing_id()))
     edges = alike(docs, (i, t), nodes).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    member = smallest(components(edges).join(nodes.select("node", "rep"), "node"))
-    best = nodes.join(member, "node", "left").select(F.coalesce("best", "rep").alias("best"))
+    reps = nodes.select("node", F.struct("i", "t").alias("rep"))
+    member = smallest(components(edges).join(reps, "node"))
+    best = reps.join(member, "node", "left").select(F.coalesce("best", "rep").alias("best"))
     best = best.select(F.col("best.i").alias(n["i"]), F.col("best.t").alias(n["t"])).distinct()
     kept = docs.join(best, (i == best[n["i"]]) & (t == best[n["t"]]), "left_semi")
     i, t = key(kept)
-    # rows that repeat both id and text are one document
-    w = W.partitionBy(i, t).orderBy(F.lit(0))
-    return kept.select("*", F.row_number().over(w).alias(n["row"])).where(F.col(n["row"]) == 1).drop(n["row"])
+    return kept.withColumns({n["i"]: i, n["t"]: t}).dropDuplicates([n["i"], n["t"]]).drop(n["i"], n["t"])
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
