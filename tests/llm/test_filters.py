@@ -406,6 +406,18 @@ def test_random_host_graph(spark):
     assert all(got[f"h{i}"] == pytest.approx(want[i], rel=1e-5, abs=1e-12) for i in range(n))
 
 
+def test_sample_has_one_row_an_id(spark):
+    """Rows that repeat a labelled id do not come to the driver; labels that repeat are averaged."""
+    d = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    d = d.unionByName(spark.createDataFrame([(2, "two"), (3, None), (None, "x")], "doc_id long, text string"))
+    lab = spark.createDataFrame([(1, 1, 0), (1, 1, 1), (1, 0, 1), (2, 0, None), (3, None, 1), (4, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    rows, q, t = quality.sampled(d, lab)
+    assert rows.n == 3 and sorted(map(str, zip(q, t))) == sorted(["(np.float64(1.0), np.float64(1.0))", "(np.float64(0.0), np.float64(nan))", "(np.float64(nan), np.float64(1.0))"])
+    assert quality.sampled(d, lab, sample=1)[0].n == 1
+    one = [sorted(b[1].tolist()) for b in (quality.sampled(x, lab.where("doc_id = 1"))[0].blocks[0] for x in (d, d.repartition(7)))]
+    assert one[0] == one[1]
+
+
 def test_names_of_the_table_stay(spark):
     more = {c: F.lit(c) for c in ("__h", "__p", "__n", "__s", "__i", "i", "t", "rank", "site_host", "fp", "cell", "first", "size")}
     p = pages(spark, [("http://com/en/", "<a href='//x.org/'>"), (None, None)]).withColumns(more)

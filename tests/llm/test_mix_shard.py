@@ -48,6 +48,25 @@ def rates(sizes, target, base, cap=3.0):
     return {s: rate(hi, s) for s in set(sizes)}
 
 
+def test_null_ids_are_spread(spark):
+    """Rows of one source and size without ids: no cell has more than a few of them, and reruns agree."""
+    rows = [(None, "s", f"a{i} b{i} c") for i in range(3000)] + [(i, "t", words(9)) for i in range(300)]
+    df = docs(spark, rows)
+    n = mix.unused(("size",), df)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one, two = (mix.mix(df.repartition(k)) for k in (3, 5))
+        n = one[1]
+        get = lambda out, n: sorted((r.text, r[n["copies"]]) for r in out.where("source = 's'").collect())
+        assert get(*one) == get(*two) and len({c for _, c in get(*one)}) == 2
+        text = one[0].where("source = 's'").withColumn("p", F.spark_partition_id())
+        sizes = [r["count"] for r in text.groupBy("p").count().collect()]
+        assert len(sizes) == 4 and max(sizes) < 2 * 3000 / 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert n["size"] == "_size"
+
+
 @pytest.mark.parametrize("base", ["tokens", "documents"])
 def test_mix_meets_targets(spark, base):
     rows = [(i, ["a", "b", "c", "d", None, "é"][i % 6], words(1 + i * 7919 % 97)) for i in range(600)]

@@ -20,8 +20,8 @@ closest to its target. All of that runs on the histogram. Which documents of one
 extra copy is settled by rank, built from salted counts and ranks within a salt, so a hot source or
 a hot group of copies is never in one task.
 
-Null text: size 0. Null source: a source of its own, last in order. Null or repeated ids: rows
-are dealt separately, ties are between equal keys only. Empty input: empty output.
+Null text: size 0. Null source: a source of its own, last in order. Repeated ids: rows
+are dealt separately, ties are between equal keys only. Null ids: rows are spread and ordered by their texts. Empty input: empty output.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vaultmill.llm.common import cut, fresh, table, unused
+from vaultmill.llm.common import cut, fresh, table, text_hash, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 UNIT = 1_000_000  # rates are kept in millionths, so that running sums are exact integers
@@ -138,10 +138,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         raise ValueError("base is tokens or documents")
     n = unused(("size", "source_size", "target", "rate", "copies", "key", "salt", "start", "whole", "extra", "rank", "on_key", "on_size", "on_salt"), docs)
     sid, src = docs[f"`{id_col}`"], docs[f"`{source_col}`"]
-    spread = sid if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(sid)
+    spread = sid if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.when(sid.isNotNull(), F.xxhash64(sid))
     # the words are counted once: a column used twice is not computed again above this projection
     d = docs.select("*", word_count(docs[f"`{text_col}`"]).alias(n["size"]), F.when(src.isNull(), "n").otherwise(F.concat(F.lit("s"), src.cast("string"))).alias(n["key"]))
-    d = d.withColumn(n["salt"], F.pmod(F.coalesce(F.pmod(spread, F.lit(SALTS)), F.lit(0)) + F.col(n["size"]), F.lit(SALTS)).cast("int"))
+    # rows without an id are spread by their texts
+    d = d.withColumn(n["salt"], F.pmod(F.pmod(F.coalesce(spread, text_hash(docs[f"`{text_col}`"])), F.lit(SALTS)) + F.col(n["size"]), F.lit(SALTS)).cast("int"))
     cells = cut(d.groupBy(F.col(n["key"]).alias("key"), F.col(n["size"]).alias("size"), F.col(n["salt"]).alias("salt")).agg(F.count("*").alias("n")))
     sizes = cells.groupBy("key", "size").agg(F.sum("n").alias("n"))
     totals = sizes.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("docs"))
@@ -164,7 +165,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         starts = starts.withColumnRenamed(c, n[c])
     on = [d[n[c]] == starts[n[f"on_{c}"]] for c in ("key", "size", "salt")]
     j = d.join(starts, on)
-    order = W.partitionBy(n["key"], n["size"], n["salt"]).orderBy(F.col(f"`{id_col}`").asc_nulls_last())
+    same = F.when(F.col(f"`{id_col}`").isNull(), text_hash(F.col(f"`{text_col}`")))
+    order = W.partitionBy(n["key"], n["size"], n["salt"]).orderBy(F.col(f"`{id_col}`").asc_nulls_last(), same)
     j = j.withColumn(n["rank"], F.row_number().over(order).cast("long"))
     more = F.col(n["start"]) + F.col(n["rank"]) <= F.col(n["extra"])
     j = j.withColumn(n["copies"], F.col(n["whole"]) + more.cast("long"))

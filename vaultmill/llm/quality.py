@@ -19,7 +19,8 @@ The join of documents with their site is salted on both sides, so a site with a
 is spread over many tasks.
 
 Ids are whole numbers (others raise a TypeError). Null and empty texts: the models' answer for an empty text. Null hosts and paths are sites of their
-own. Labels may repeat (they are averaged) or name unknown documents. Without labels of both classes
+own. Labels may repeat (they are averaged) or name unknown documents; of rows that repeat a labelled id, the
+one whose text has the smallest hash is learned from, all are judged. Without labels of both classes
 a model is silent and keeps everything. Empty input: empty output.
 """
 
@@ -164,7 +165,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[S
     lab = labels.where("doc_id is not null").groupBy("doc_id").agg(F.avg("quality").alias("q"), F.avg("toxic").alias("t"))
     lab = lab.where("q is not null or t is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of three numbers
-    got = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(lab), "doc_id").select(featured("text").alias("f"), "q", "t").toArrow()
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(lab), "doc_id")
+    one = rows.groupBy("doc_id", "q", "t").agg(F.min(F.struct(text_hash(F.col("text")).alias("h"), "text")).alias("x"))  # of rows that repeat an id
+    got = one.select(featured("x.text").alias("f"), "q", "t").toArrow()  # as many rows as labels at most
     parts = [c for c in got["f"].chunks if len(c)]
     flat = np.concatenate([c.flatten().to_numpy() for c in parts]) if parts else np.zeros(0, np.int32)
     sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in parts]) if parts else np.zeros(0, np.int64)
