@@ -171,8 +171,10 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[S
     parts = [c for c in got["f"].chunks if len(c)]
     flat = np.concatenate([c.flatten().to_numpy() for c in parts]) if parts else np.zeros(0, np.int32)
     sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in parts]) if parts else np.zeros(0, np.int64)
-    num = lambda c: np.array([np.nan if x is None else x >= 0.5 for x in got[c].to_pylist()], float)
-    return Sample(flat, sizes), num("q"), num("t")
+    q, t = (np.array([np.nan if x is None else x >= 0.5 for x in got[c].to_pylist()], float) for c in "qt")
+    del got, parts
+    pa.default_memory_pool().release_unused()  # the driver keeps one copy of the sample
+    return Sample(flat, sizes), q, t
 
 
 def evidence(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
