@@ -191,16 +191,201 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("neighbors", "unknown") == 0 and "(no outbound edges)" in capsys.readouterr().out
 
 
-def test_streaming_ingest(spark, tmp_path):
-    folder = vaults.write(tmp_path / "n", {"a.md": "first [[b]] (x)\n"})
+@pytest.fixture
+def stream(spark, tmp_path):
+    """(folder, store, go): go writes files, lets a streaming query catch up, and returns the store's paths."""
+    folder, store = tmp_path / "n", Store.create(spark, str(tmp_path / "s"))
+    folder.mkdir()
+
+    def go(files, most=1000):
+        vaults.write(folder, files)
+        watch(spark, str(folder), store, vaults.Concepts, str(tmp_path / "c"), once=True, most=most).awaitTermination()
+        return sorted(ids(store))
+
+    return folder, store, go
+
+
+def targets(spark, store):
+    """{(source path, target path or None, relationship)} of all edges."""
+    return sorted((r.source_path, r.target_path or "", r.relationship_type or "") for r in graph.neighbors(store.table("edges"), store.table("documents")).collect())
+
+
+def test_stream_takes_in_new_edited_and_hidden_files(spark, stream):
+    folder, store, go = stream
+    assert go({"a.md": "first [[b]] (x)\n", "bad.md": b"\xff"}) == ["a.md"]
+    segments = store.segments()
+    assert go({}) == ["a.md"] and store.segments() == segments  # nothing new, nothing written; the bad file is not read again
+    assert go({"b.md": "second [[a]]\n", ".h/c.md": "hidden\n", "_d.md": "also\n", "odd [1], {x}*.md": "odd\n"}) == [".h/c.md", "_d.md", "a.md", "b.md", "odd [1], {x}*.md"]
+    assert targets(spark, store) == [("a.md", "b.md", "x"), ("b.md", "a.md", "")]
+    assert go({"a.md": "first, edited [[_d]] (y)\n", "bad.md": "now good, and longer\n", "_d.md": "also edited\n"})[-2:] == ["bad.md", "odd [1], {x}*.md"]
+    assert {r.title: r.content for r in store.table("truths").collect()} == {"a": "first, edited [[_d]] (y)", "b": "second [[a]]", "c": "hidden", "_d": "also edited", "odd [1], {x}*": "odd", "bad": "now good, and longer"}
+    assert targets(spark, store) == [("a.md", "_d.md", "y"), ("b.md", "a.md", "")]
+    segments = store.segments()
+    assert go({}) and store.segments() == segments
+
+
+def test_repeated_batch_changes_nothing(spark, stream, monkeypatch):
+    """The stream fails after its commit; the batch that is repeated finds nothing to do."""
+    from vaultmill.streaming import ingest as module
+
+    folder, store, go = stream
+    real = module.ingest_files
+
+    def fails(*a, **k):
+        real(*a, **k)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(module, "ingest_files", fails)
+    with pytest.raises(Exception, match="lost"):
+        go({"a.md": "one [[b]]\n", "b.md": "two\n"})
+    monkeypatch.setattr(module, "ingest_files", real)
+    segments, rows = store.segments(), sorted(map(str, store.table("chunks").collect()))
+    assert len(segments) == 1 and go({}) == ["a.md", "b.md"]
+    assert store.segments() == segments and sorted(map(str, store.table("chunks").collect())) == rows
+
+
+def test_late_targets_in_a_stream(spark, stream):
+    """Stored links follow what arrives later: dangling ones, better matches, names that become ambiguous, new titles."""
+    folder, store, go = stream
+    go({"x/a.md": "[[b]] (1) [[deep/c]] (2) [[The Title]] (3)\n", "y/b.md": "only b\n"})
+    assert targets(spark, store) == [("x/a.md", "", "2"), ("x/a.md", "", "3"), ("x/a.md", "y/b.md", "1")]
+    go({"deep/c.md": "---\ntitle: The Title\n---\nc\n"})
+    assert targets(spark, store) == [("x/a.md", "deep/c.md", "2"), ("x/a.md", "deep/c.md", "3"), ("x/a.md", "y/b.md", "1")]
+    go({"z/b.md": "another b\n"})  # two of that name
+    assert ("x/a.md", "", "1") in targets(spark, store)
+    go({"x/b.md": "next to the source\n"})
+    assert ("x/a.md", "x/b.md", "1") in targets(spark, store)
+    go({"b.md": "the exact path\n", "deep/c.md": "---\ntitle: Another\n---\nc\n", "q.md": "---\ntitle: the title\n---\n"})
+    assert targets(spark, store) == [("x/a.md", "b.md", "1"), ("x/a.md", "deep/c.md", "2"), ("x/a.md", "q.md", "3")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_streamed_edges_are_those_of_one_ingest(spark, tmp_path, seed):
+    import random
+
+    rng = random.Random(seed)
+    folders, names, titles = ["", "x/", "y/", "x/z/"], ["a", "b", "c", "d"], ["One", "Two", "b", "C"]
+    paths = [f + n + ".md" for f in folders for n in names]
+
+    def text():
+        links = "".join(f"[[{rng.choice([rng.choice(names), rng.choice(titles), rng.choice(folders) + rng.choice(names), 'none'])}]]{rng.choice(['', ' (r)'])} " for _ in range(3))
+        head = f"---\ntitle: {rng.choice(titles)}\n---\n" if rng.random() < 0.5 else ""
+        return f"{head}{links}{rng.random()}\n"
+
+    files = spark.createDataFrame([], "path string, content binary")
+    streamed, whole, now = Store.create(spark, str(tmp_path / "s")), Store.create(spark, str(tmp_path / "w")), {}
+    for _ in range(4):
+        batch = {p: text() for p in rng.sample(paths, 5)}
+        now |= batch
+        frame = lambda d: files.unionByName(spark.createDataFrame([(p, bytearray(t.encode())) for p, t in d.items()], files.schema))
+        ingest_files(frame(batch), streamed, vaults.Concepts, whole_store_scope=True)
+    ingest_files(frame(now), whole, vaults.Concepts)
+    assert targets(spark, streamed) == targets(spark, whole)
+    assert sorted(map(str, streamed.table("edges").collect())) == sorted(map(str, whole.table("edges").collect()))
+    assert sorted(map(str, streamed.table("watches").collect())) == sorted(map(str, whole.table("watches").collect()))
+    assert sorted(map(str, streamed.table("digests").collect())) == sorted(map(str, whole.table("digests").collect()))
+
+
+def test_only_edges_that_differ_are_written(spark, tmp_path):
     store = Store.create(spark, str(tmp_path / "s"))
-    go = lambda: watch(spark, folder, store, vaults.Concepts, str(tmp_path / "c"), once=True).awaitTermination()
-    go()
-    vaults.write(tmp_path / "n", {"b.md": "second [[a]]\n"})
-    go()
-    by = ids(store)
-    assert sorted(by) == ["a.md", "b.md"]
-    assert Engine(spark, store, vaults.Concepts()).neighbors(by["b.md"]).first().target_path == "a.md"
+    vault = {f"d{i}.md": f"[[d{i + 1}]] (next) [[d{i + 1}]] [[d{i + 1}]] [[late]]\n" for i in range(6)}
+    rows = lambda files: spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files.items()], "path string, content binary")
+    ingest_files(rows(vault), store, vaults.Concepts)
+    last = lambda t: spark.read.parquet(f"{store.root}/{store.segments()[-1]}/{t}")
+    assert last("edges").count() == 6 * 4
+    edit = vault | {"d2.md": "now [[d5]]\n"}
+    assert ingest_files(rows(edit), store, vaults.Concepts) == Stats(6, 1, 5, 0)
+    own = {r.id for r in store.table("documents").where("path = 'd2.md'").collect()}
+    assert {r.source_id for r in last("edges").collect()} == own and last("edges").count() == 1 and {r.id for r in last("gone").collect()} == own
+    assert ingest_files(rows(edit), store, vaults.Concepts) == Stats(6, 0, 6, 0) and len(store.segments()) == 2  # nothing at all
+    assert ingest_files(rows(edit | {"late.md": "x\n"}), store, vaults.Concepts) == Stats(7, 1, 6, 0)
+    assert {r.what for r in last("gone").collect()} == {"document", "resolution"} and last("links").count() == 0
+    assert {r.source_path for r in graph.neighbors(last("edges"), store.table("documents")).collect()} == {f"d{i}.md" for i in (0, 1, 3, 4, 5)}
+    assert sum(t == "late.md" for _, t, _ in targets(spark, store)) == 5
+
+
+def test_queries_read_one_state(spark, tmp_path, monkeypatch):
+    """A commit between the halves of a query does not tear it."""
+    store = Store.create(spark, str(tmp_path / "s"))
+    make = partial(vaults.Concepts, *vaults.QUERY_CONCEPTS)
+    rows = lambda files: spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files.items()], "path string, content binary")
+    ingest_files(rows(vaults.QUERY), store, make)
+    engine = Engine(spark, store, make())
+    want = engine.query("zebra", expand=True).collect()
+    real = engine.semantic
+
+    def late(*a, **k):  # every document is replaced, and ones that would rank first are added
+        gone = store.table("documents").select("id", F.lit("document").alias("what"))
+        store.append({}, gone)
+        ingest_files(rows({f"new{i}.md": "zebra zebra zebra\n" for i in range(5)}), store, make)
+        return real(*a, **k)
+
+    monkeypatch.setattr(engine, "semantic", late)
+    assert engine.query("zebra", expand=True).collect() == want
+    monkeypatch.setattr(engine, "semantic", real)
+    assert {r.path[:3] for r in engine.query("zebra").collect()} == {"new"}
+
+
+def test_vacuum_spares_what_a_snapshot_holds(spark, tmp_path, monkeypatch):
+    store = Store.create(spark, str(tmp_path / "s"))
+    rows = lambda k: spark.createDataFrame([("a.md", bytearray(f"text {k}".encode()))], "path string, content binary")
+    ingest_files(rows(0), store, vaults.Concepts)
+    with store.snapshot() as held:
+        ingest_files(rows(1), store, vaults.Concepts)
+        store.compact()
+        assert store.vacuum(grace=0) == 1  # the second segment; the first is held
+        assert held.table("truths").first().content == "text 0" and store.table("truths").first().content == "text 1"
+    assert store.vacuum(grace=0) == 1 and not store.held()
+    lost = store.snapshot()
+    ingest_files(rows(2), store, vaults.Concepts)
+    store.compact()
+    store.vacuum(grace=0)
+    with pytest.raises(StoreError), lost:
+        pass
+    store.snapshot().__enter__()  # a reader that never lets go
+    assert store.held()
+    monkeypatch.setattr(store_module, "GRACE", 0)
+    assert not store.held() and not store.held()
+
+
+def test_statistics_need_no_lengths(spark, tmp_path, monkeypatch):
+    """The list's counts are those of the lengths, after upserts, bad files, merges and two writers at once."""
+    from vaultmill.operators import lexical
+
+    monkeypatch.setattr(store_module, "MOST", 2)
+    store = Store.create(spark, str(tmp_path / "s"))
+    rows = lambda files: spark.createDataFrame([(p, bytearray(t)) for p, t in files.items()], "path string, content binary")
+    assert tuple(store.snapshot().corpus().first()) == (0, None)
+    for batch in ({"a.md": b"one two", "b.md": b"three"}, {"a.md": b"one two three four"}, {"c.md": b"\xff", "b.md": b"---\nx: [\n---\n"}, {"c.md": b"", "d.md": b"five six"}, {"a.md": b"x"}):
+        ingest_files(rows(batch), store, vaults.Concepts, whole_store_scope=True)
+        assert tuple(store.snapshot().corpus().first()) == tuple(lexical.stats(store.table("lengths")).first())
+    one, two = Store.open(spark, store.root), Store.open(spark, store.root)
+    state = two._state
+
+    def late():
+        got = state()
+        two._state = state
+        ingest_files(rows({"a.md": b"y y y", "e.md": b"z"}), one, vaults.Concepts)
+        return got
+
+    ingest_files(rows({"f.md": b"one"}), two, vaults.Concepts)
+    two._state = late
+    ingest_files(rows({"a.md": b"both write this", "f.md": b"q r"}), two, vaults.Concepts)
+    assert tuple(store.snapshot().corpus().first()) == tuple(lexical.stats(store.table("lengths")).first())
+    assert store.compact() and tuple(store.snapshot().corpus().first()) == tuple(lexical.stats(store.table("lengths")).first())
+
+
+def test_merges_rewrite_new_segments_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST", 3)
+    store = Store.create(spark, str(tmp_path / "s"))
+    rows = lambda k, n: spark.createDataFrame([(f"{k}/{i}.md", bytearray(f"text {k} {i}".encode())) for i in range(n)], "path string, content binary")
+    ingest_files(rows("big", 60), store, vaults.Concepts)
+    first = store.segments()[0]
+    for k in range(6):
+        ingest_files(rows(k, 1).unionByName(rows("big", 1)), store, vaults.Concepts, now=str(k))
+    assert store.segments()[0] == first and len(store.segments()) <= 3
+    assert store.table("documents").count() == 66 and store.table("truths").count() == 66
+    assert store_module.newest({"segments": ["a", "b", "c", "d"], "sizes": {"a": 1000, "b": 9, "c": 2, "d": 1}}) == 3
 
 
 def test_two_writers_lose_nothing(spark, tmp_path):
@@ -208,7 +393,7 @@ def test_two_writers_lose_nothing(spark, tmp_path):
     store = Store.create(spark, str(tmp_path / "s"))
     one, two = Store.open(spark, store.root), Store.open(spark, store.root)
     row = lambda i: {"documents": spark.createDataFrame([(i, i, f"{i}.md", None, "h", None, "{}", "t", "t")], TABLES["documents"])}
-    gone = lambda i: spark.createDataFrame([(i, False)], "id string, edges_only boolean")
+    gone = lambda i: spark.createDataFrame([(i, "document")], "id string, what string")
     state = two._state
 
     def late():  # another write comes between reading the list and committing
@@ -318,7 +503,7 @@ def test_refused_query_warns(query_engine, caplog):
 
 def test_hit_without_document(spark, tmp_path_factory):
     _, store, make, _ = build(spark, tmp_path_factory, vaults.QUERY, vaults.QUERY_CONCEPTS)
-    gone = store.table("documents").select("id", F.lit(False).alias("edges_only"))
+    gone = store.table("documents").select("id", F.lit("document").alias("what"))
     store.append({t: store.table(t) for t in ("postings", "lengths", "chunks")}, gone)
     with pytest.raises(QueryError):
         Engine(spark, store, make()).query("zebra")

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vaultmill.functions.text import fold
+from vaultmill.operators import links, skew
 from vaultmill.operators.links import edges, extract, resolve, resolve_with
 
 
@@ -81,3 +82,72 @@ def test_names_fold_fully(spark):
     got = spark.createDataFrame(list(enumerate(names)), "i int, s string").select("i", fold(F.col("s")).alias("f")).collect()
     wrong = [names[r.i] for r in got if r.f != names[r.i].strip().casefold()]
     assert not [w for w in wrong if names.index(w) < 17] and len(wrong) < 5, wrong[:20]
+
+
+def spread(df):
+    """Rows of each task after the last shuffle, the largest and the median."""
+    sizes = sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    return sizes[-1], sizes[len(sizes) // 2], len(sizes)
+
+
+def test_joins_spread_null_and_crowded_keys(spark, monkeypatch):
+    """Most labels have a folder, so two keys are null, and one label is a third of all: no task gets twice the median."""
+    n, scope = 6000, spark.createDataFrame([(f"f{i}/x{i}.md", f"T{i}") for i in range(300)] + [("hub/page.md", "Hub")], "path string, title string")
+    label = F.when(F.col("id") % 3 == 0, "hub/page").when(F.col("id") % 10 == 1, F.concat(F.lit("x"), F.col("id") % 300)).otherwise(F.concat(F.lit("f/"), F.col("id")))
+    rows = spark.range(n).select(F.concat(F.lit("s"), F.col("id") % 500).alias("source_id"), F.lit("a/s.md").alias("source_path"), F.col("id").cast("int").alias("n"), label.alias("label"))
+    monkeypatch.setattr(skew, "CROWD", 100)
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        have = links.keyed(rows)
+        slots = skew.crowded(have, {k: F.col(k) for k in links.KEYS})
+        assert slots["name_key"] and slots["title_key"] and not slots["next_key"] and not slots["stem_key"]
+        for k in links.KEYS:
+            right = scope.select(F.col("path").alias(k), F.lit(1).alias("found")) if k in ("name_key", "next_key") else scope.select(F.lower("title").alias(k), F.lit(1).alias("found"))
+            out = skew.left_join(have, right, k, slots[k], ["source_id", "source_path", "n"])
+            largest, middle, tasks = spread(out)
+            assert largest <= 2 * middle and tasks == 8, k
+            assert out.columns[:-1] == [c for c in out.columns if c != "found"] and set(out.columns) == {*have.columns, "found"} and out.count() == n
+        plain = spread(have.join(scope.select(F.col("path").alias("next_key"), F.lit(1)), "next_key", "left"))
+        assert plain[0] > 2 * plain[1]  # what an ordinary join does
+        got = resolve(rows, scope).groupBy("target_path").count().collect()
+        assert {r.target_path: r["count"] for r in got}["hub/page.md"] == n // 3
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 10**6])
+def test_crowds_change_no_result(spark, monkeypatch, crowd):
+    monkeypatch.setattr(skew, "CROWD", crowd)
+    labels = ["x/one", "one", "three", "Drei", "same", "nope", "x/none", "five.md", "STRASSE"]
+    rows = spark.createDataFrame([("s", "x/two.md", i, labels[i % len(labels)], None) for i in range(40)], "source_id string, source_path string, n int, label string, relationship_type string")
+    scope = spark.createDataFrame(SCOPE, "path string, title string")
+    got = {r.n: (r.target_path, r.how) for r in links.resolve_keyed(links.keyed(rows), scope).collect()}
+    want = {"x/one": ("x/one.md", "exact"), "one": ("x/one.md", "sibling"), "three": ("y/three.md", "stem"), "Drei": ("y/three.md", "title"), "five.md": ("five.md", "exact"), "STRASSE": ("w/straße.md", "stem")}
+    assert len(got) == 40 and all(got[i] == want.get(labels[i % len(labels)], (None, "none")) for i in range(40))
+
+
+def test_watches_and_announced_keys(spark):
+    rows = spark.createDataFrame([("s", "x/two.md", i, t, None) for i, t in enumerate(["x/one", "one", "three", "Drei", "nope", "x/none"])], "source_id string, source_path string, n int, label string, relationship_type string")
+    r = links.resolve_keyed(links.keyed(rows), spark.createDataFrame(SCOPE, "path string, title string"))
+    watched = {}
+    for x in links.watches(r.withColumn("source_id", F.col("label"))).collect():
+        watched.setdefault(x.source_id, set()).add((x.kind, x.key))
+    assert watched == {
+        "one": {("path", "one.md")}, "three": {("path", "three.md"), ("path", "x/three.md"), ("stem", "three")}, "x/none": {("path", "x/none.md"), ("title", "x/none")},
+        **{t: {("path", f"{t}.md"), ("path", f"x/{t}.md"), ("stem", t.lower()), ("title", t.lower())} for t in ("Drei", "nope")},
+    }
+    new = spark.createDataFrame([("a/Nope.md", "New", None), ("b/c.md", "To", "From")], "path string, title string, old_title string")
+    assert {tuple(k) for k in links.announced(new).collect()} == {("path", "a/Nope.md"), ("stem", "nope"), ("title", "new"), ("path", "b/c.md"), ("stem", "c"), ("title", "to"), ("title", "from")}
+
+
+def test_digests_tell_edges_apart(spark):
+    schema = "source_id string, target_id string, relationship_type string, how string"
+    of = lambda *rows: {r.digest for r in links.digests(spark.createDataFrame([("s", *r) for r in rows], schema)).collect()}
+    base = of(("a", None, "stem"), ("b", "x", "stem"))
+    assert base == of(("b", "x", "stem"), ("a", None, "stem"))
+    for other in (of(("a", "", "stem"), ("b", "x", "stem")), of(("a", None, "title"), ("b", "x", "stem")), of(("a", None, "stem"), ("a", None, "stem"), ("b", "x", "stem")), of(("a", "x", "stem"), ("b", None, "stem"))):
+        assert base != other

@@ -10,8 +10,11 @@ import contextlib
 import io
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +28,9 @@ from vaultmill.plans.ingest import Stats, detect_changes, ingest_files
 from vaultmill.plans.query import Engine
 from vaultmill.plans.store import Store
 from vaultmill.plans.tools import Tools
-from vaultmill.schema import DOCUMENTS, RESULT
+from vaultmill.schema import DOCUMENT, DOCUMENTS, RESULT
 from vaultmill.sources.vault import scan
+from vaultmill.streaming.ingest import watch
 
 TEXT = "the nicht pour ciónes"
 TOP = 20
@@ -221,7 +225,7 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = fresh_store(spark)
     for rows in changed(spark, sf_dir):
         rows = rows.select(F.col("id").cast("string").alias("id"), "content_hash")
-        gone = rows.select("id", F.lit(False).alias("edges_only"))
+        gone = rows.select("id", F.lit("document").alias("what"))
         store.append({"documents": rows.select("*", *[F.lit("").alias(f.name) for f in DOCUMENTS if f.name not in rows.columns])}, gone)
     return store.table("documents").select("id", "content_hash")
 
@@ -453,12 +457,13 @@ def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "operators only": lambda: engine.lexical("AND OR NOT"), "blank": lambda: engine.lexical("  "), "refused": lambda: engine.lexical("it's"), "lexical 0": lambda: engine.lexical(QUESTION, 0),
         "semantic 0": lambda: engine.semantic(QUESTION, 0), "final 0": lambda: engine.query(QUESTION, final_top_k=0), "depth 0": lambda: engine.query(QUESTION, expand=True, expand_depth=0),
         "expanded 0": lambda: engine.query(QUESTION, expand=True, expand_top_k=0), "unknown id": lambda: engine.neighbors("none"),
+        "lexical all": lambda: engine.lexical(QUESTION, 1_000_000), "semantic all": lambda: engine.semantic(QUESTION, 1_000_000), "depth 3": lambda: engine.query(QUESTION, expand=True, expand_depth=3, expand_top_k=1_000_000),
     }
     return spark.createDataFrame([(k, r().count()) for k, r in runs.items()], "asked string, n long")
 
 
 def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which error each wrong use gives."""
+    """Which error each wrong use gives, and how many documents the store has after it."""
     store, nowhere = ingested(spark, sf_dir), shared_folder(spark, "none")
     engine = Engine(spark, store, vocabulary())
     bad = spark.createDataFrame([("x.md", bytearray(b"---\na: [\n---\n"))], "path string, content binary")
@@ -470,46 +475,58 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, run in wrong.items():
         try:
             run()
-            rows.append((name, "none"))
+            rows.append((name, "none", store.table("documents").count()))
         except VaultError as e:
-            rows.append((name, type(e).__name__))
-    return spark.createDataFrame(rows, "used string, error string")
+            rows.append((name, type(e).__name__, store.table("documents").count()))
+    return spark.createDataFrame(rows, "used string, error string, documents long")
 
 
 def lose(store: Store, engine: Engine) -> None:
     """A hit whose document is gone."""
-    gone = store.table("documents").select("id", F.lit(False).alias("edges_only"))
+    gone = store.table("documents").select("id", F.lit("document").alias("what"))
     kept = {t: store.table(t) for t in ("postings", "lengths", "chunks")}
     store.append(kept, gone)
     engine.query(QUESTION)
 
 
-def written(spark: SparkSession, rows: DataFrame) -> str:
-    """A folder with the notes as files."""
-    folder = shared_folder(spark, "notes")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for r in rows.collect():  # regions and nations
-        path = hadoop.Path(f"{folder}/{r['path']}")
-        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(r["truth"].encode()))
-        out.close()
-    return folder
+def write_files(rows: DataFrame, folder: str) -> int:
+    """rows(path, truth) as files below a folder, written by tasks. Returns how many."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        for b in batches:
+            for path, text in zip(*(c.to_pylist() for c in b.columns)):
+                at = f"{base}/{path}"
+                fs.create_dir(at.rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(at) as out:
+                    out.write(text.encode())
+            yield pa.record_batch([pa.array([b.num_rows])], ["n"])
 
+    return rows.select("path", "truth").mapInArrow(put, "n long").agg(F.sum("n")).first()[0]
 
-def few_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes(spark, sf_dir).where(F.col("path").startswith("nation/") | F.col("path").startswith("region/"))
+
+def written(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with all notes as files."""
+    folder = shared_folder(spark, "notes")
+    write_files(notes(spark, sf_dir), folder)
+    return folder
 
 
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(spark, written(spark, few_notes(spark, sf_dir)))
+    found = scan(spark, written(spark, sf_dir))
     return found.select("path", F.sha2("content", 256).alias("content_hash"), doc_id(F.col("path")).alias("id"))
 
 
 def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the commands return and print."""
-    folder, root = written(spark, few_notes(spark, sf_dir)), shared_folder(spark, "store")
+    """What the commands return and print, over all notes."""
+    folder, root = written(spark, sf_dir), shared_folder(spark, "store")
+    known = spark.range(1).select(doc_id(F.lit(SOME_NOTE))).first()[0]
+    runs = [
+        ("early", ["query", "x"]), ("init", ["init"]), ("ingest", ["ingest", folder]), ("again", ["ingest", folder]), ("hits", ["query", QUESTION, "--top-k", "3", "--expand", "--expand-top-k", "2"]),
+        ("nothing", ["query", "x", "--semantic-top-k", "0"]), ("neighbors", ["neighbors", known]), ("unknown", ["neighbors", "none"]), ("json", ["neighbors", "none", "--json"]),
+    ]
     rows = []
-    for name, args in [("early", ["query", "x"]), ("init", ["init"]), ("ingest", ["ingest", folder]), ("again", ["ingest", folder]), ("nothing", ["query", "x", "--semantic-top-k", "0"]), ("unknown", ["neighbors", "none"]), ("json", ["neighbors", "none", "--json"])]:
+    for name, args in runs:
         said = io.StringIO()
         with contextlib.redirect_stdout(said), contextlib.redirect_stderr(io.StringIO()):
             code = cli.main([*args, "--store", root], spark, vocabulary)
@@ -517,6 +534,75 @@ def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "command string, code int, said string")
 
 
+def snapshot_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query on a state of the store that later writes have left behind: notes edited, and the regions gone."""
+    store = ingested(spark, sf_dir)
+    with store.snapshot() as held:
+        ingest_files(as_files(edited(spark, sf_dir)), store, vocabulary)
+        store.append({}, notes(spark, sf_dir).where(F.col("path").startswith("region/")).select("id", F.lit(DOCUMENT).alias("what")))
+        store.compact()
+        store.vacuum(grace=0)
+        return Engine(spark, store, vocabulary()).query(QUESTION, expand=True, expand_depth=2, at=held)
+
+
+def streamed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over a folder: first customers and nations, then the rest, and the nations edited. Documents with their edges."""
+    folder, all_notes, store = shared_folder(spark, "notes"), notes(spark, sf_dir), fresh_store(spark)
+    first = F.col("path").startswith("customer/") | F.col("path").startswith("nation/")
+    for rows in (all_notes.where(first), all_notes.where(~first).unionByName(edited(spark, sf_dir))):
+        write_files(rows, folder)
+        watch(spark, folder, store, vocabulary, shared_folder(spark, "stream"), once=True, most=1_000_000).awaitTermination()
+    edges = store.table("edges").withColumnRenamed("source_id", "id")
+    return store.table("documents").select("id", "path", "content_hash").join(edges, "id", "left")
+
+
+def edge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second ingest of all notes writes, a few of them edited and a link target new: rows of each table."""
+    store, all_notes = fresh_store(spark), notes(spark, sf_dir)
+    late = F.col("path") == "region/ASIA.md"
+    ingest_files(as_files(all_notes.where(~late)), store, vocabulary)
+    after = all_notes.where(~F.col("path").startswith("supplier/")).unionByName(all_notes.where(F.col("path").startswith("supplier/")).withColumn("truth", F.concat("truth", F.lit(" Edited."))))
+    ingest_files(as_files(after), store, vocabulary)
+    last = f"{store.root}/{store.segments()[-1]}"
+    counts = [spark.read.parquet(f"{last}/{t}").select(F.lit(t).alias("written")) for t in ("documents", "chunks", "links", "edges", "digests")]
+    gone = spark.read.parquet(f"{last}/gone").select(F.concat(F.lit("gone "), "what").alias("written"))
+    return reduce(DataFrame.unionByName, counts, gone).groupBy("written").agg(F.count("*").alias("n"))
+
+
+def corpus_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus statistics that the list of a store carries, after an upsert and a merge."""
+    store = ingested(spark, sf_dir)
+    ingest_files(as_files(edited(spark, sf_dir)), store, vocabulary)
+    ingest_files(as_files(edited(spark, sf_dir).withColumn("truth", F.concat("truth", F.lit(" Again.")))), store, vocabulary)
+    store.compact(2)
+    return store.snapshot().corpus().select("n_docs", F.round("avgdl", 9).alias("avgdl"))
+
+
+def rendered_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of all neighbours of the first note in each folder."""
+    engine = Engine(spark, ingested(spark, sf_dir), vocabulary())
+    first = engine.store.table("documents").groupBy(F.substring_index("path", "/", 1).alias("folder")).agg(F.min_by("id", "path").alias("id")).orderBy("folder").collect()
+    return spark.createDataFrame([(r["folder"], render.neighbors_text(engine.neighbors(r["id"]))) for r in first], "folder string, said string")
+
+
+def tool_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tools answer to each nation's id, as it is and reversed: neighbours, or an error that names the id."""
+    store = ingested(spark, sf_dir)
+    tools, ids = Tools(spark, store.root, vocabulary()), store.table("documents").where(F.col("path").startswith("nation/")).orderBy("path").select("id").collect()
+    asked = [i for r in ids for i in (r["id"], r["id"][::-1])]
+    got = [(i, tools.graph_neighbors(i)) for i in asked]
+    return spark.createDataFrame([(i, r.is_error, r.text if r.is_error else str(len(r.rows))) for i, r in got], "id string, is_error boolean, said string")
+
+
+def stored_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates that a store keeps: made by the first ingest, changed by the second, for the notes that were edited."""
+    store = fresh_store(spark)
+    ingest_files(as_files(notes(spark, sf_dir)), store, vocabulary, now="2020-01-01T00:00:00+00:00")
+    ingest_files(as_files(edited(spark, sf_dir)), store, vocabulary)
+    form = r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?\+00:00"
+    return store.table("documents").select("path", "created_at", (F.col("updated_at") > F.col("created_at")).alias("updated"), F.col("updated_at").rlike(f"^{form}$").alias("dated"))
+
+
 # the notes as a store has them: titles are file names, and every note is one chunk
 _STORED = _RESOLVE.replace("lower(title)", "lower(regexp_extract(path, '([^/]*)\\.[^./]*$', 1))") + r""",
 sd AS (SELECT left(sha256(path), 16) AS id, path, regexp_extract(path, '([^/]*)\.[^./]*$', 1) AS title, truth, sha256(truth) AS content_hash FROM notes),
@@ -543,6 +629,13 @@ result AS (
   UNION ALL SELECT id, 0, path, title, 'expanded', 0.0::DOUBLE, NULL, NULL, truth, depth::INTEGER FROM sx JOIN sd USING (id))
 """.replace("{VOCABULARY}", str(list(VOCABULARY))).replace("{QUERY}", str([int(v in ("lies", "in", "region", "asia")) for v in VOCABULARY]))
 _ENGINE = f"WITH RECURSIVE {_STORED} SELECT * FROM result"
+_BLOCKS = """o AS (SELECT *, row_number() OVER (ORDER BY expansion_depth, rrf_score DESC, doc_id)::INTEGER AS position, replace(regexp_replace(chunk_text, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS x FROM result),
+blocks AS (SELECT position, '#' || position || '  signal=' || signal || '  rrf_score=' || printf('%.6f', rrf_score) || '  lex_rank=' || coalesce(lexical_rank::VARCHAR, '-') || '  sem_rank=' || coalesce(semantic_rank::VARCHAR, '-')
+  || CASE WHEN expansion_depth > 0 THEN '  depth=' || expansion_depth ELSE '' END || chr(10) || '    path: ' || path || chr(10) || '    title: ' || title || chr(10) || '    chunk_index: ' || chunk_index
+  || chr(10) || '    excerpt: ' || CASE WHEN length(x) > 280 THEN left(x, 277) || '...' ELSE x END AS block FROM o)"""
+_NEAR = """near AS (SELECT path, position, '#' || position || '  -> ' || target_id || '  rel=' || coalesce(relationship_type, '(no relationship)') || chr(10) || '    target_path: ' || coalesce(target_path, '(dangling)') AS block
+  FROM (SELECT s.path, e.*, t.path AS target_path, row_number() OVER (PARTITION BY s.path ORDER BY target_id, relationship_type NULLS FIRST) AS position
+    FROM edges e JOIN sd s ON s.id = e.source_id LEFT JOIN sd t ON t.id = e.target_id))"""
 _VECTOR = "array_to_string(vector, ',')"
 
 QUERIES = {
@@ -558,6 +651,8 @@ QUERIES = {
     "engine_query": engine_query, "engine_neighbors": engine_neighbors, "stored_bm25": stored_bm25, "stored_documents": stored_documents, "stored_chunks": stored_chunks,
     "stored_upsert": stored_upsert, "late_targets": late_targets, "ingest_counts": ingest_counts, "tool_query": tool_query, "tool_neighbors": tool_neighbors,
     "rendered_results": rendered_results, "guards": guards, "errors": errors, "scan_files": scan_files, "command_line": command_line,
+    "snapshot_query": snapshot_query, "streamed_notes": streamed_notes, "edge_changes": edge_changes, "corpus_totals": corpus_totals,
+    "rendered_neighbors": rendered_neighbors, "tool_errors": tool_errors, "stored_dates": stored_dates,
 }
 
 # fixed values in the SQL, equal to those of the operators: what a link looks like, the operator characters and
@@ -616,18 +711,35 @@ SELECT 0 AS run, n AS total, n AS ingested, 0::BIGINT AS skipped, 0::BIGINT AS f
 FROM (SELECT *, source || '/' || doc_id || '.md' AS path,
   '---' || chr(10) || 'title: Note ' || doc_id || chr(10) || 'domain: ' || lang || chr(10) || '---' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Timeline' || chr(10) || chr(10) || '- from ' || source || chr(10) AS body
   FROM documents)""",
-    "rendered_results": f"""WITH RECURSIVE {_STORED},
-o AS (SELECT *, row_number() OVER (ORDER BY expansion_depth, rrf_score DESC, doc_id)::INTEGER AS position, replace(regexp_replace(chunk_text, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS x FROM result)
-SELECT position, '#' || position || '  signal=' || signal || '  rrf_score=' || printf('%.6f', rrf_score) || '  lex_rank=' || coalesce(lexical_rank::VARCHAR, '-') || '  sem_rank=' || coalesce(semantic_rank::VARCHAR, '-')
-  || CASE WHEN expansion_depth > 0 THEN '  depth=' || expansion_depth ELSE '' END || chr(10) || '    path: ' || path || chr(10) || '    title: ' || title || chr(10) || '    chunk_index: ' || chunk_index
-  || chr(10) || '    excerpt: ' || CASE WHEN length(x) > 280 THEN left(x, 277) || '...' ELSE x END AS block FROM o""",
-    "guards": "SELECT * FROM (VALUES ('operators only', 0::BIGINT), ('blank', 0), ('refused', 0), ('lexical 0', 0), ('semantic 0', 0), ('final 0', 0), ('depth 0', 10), ('expanded 0', 10), ('unknown id', 0)) v(asked, n)",
-    "errors": "SELECT * FROM (VALUES ('open', 'StoreError'), ('tools', 'ToolStartError'), ('unknown', 'QueryError'), ('depth', 'QueryError'), ('negative', 'QueryError'), ('strict', 'ParseError'), ('lost', 'QueryError')) v(used, error)",
-    "scan_files": f"WITH {_NOTES} SELECT path, sha256(truth) AS content_hash, left(sha256(path), 16) AS id FROM notes WHERE path LIKE 'nation/%' OR path LIKE 'region/%'",
-    "command_line": """WITH n AS (SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS n)
+    "rendered_results": f"WITH RECURSIVE {_STORED}, {_BLOCKS} SELECT position, block FROM blocks",
+    "guards": f"""WITH RECURSIVE {_STORED.replace("depth < 2", "depth < 3").replace("ORDER BY depth, id LIMIT 20", "")}, c AS (SELECT (SELECT count(*) FROM sf) AS f, (SELECT count(*) FROM sx) AS x, (SELECT count(*) FROM sb) AS b, (SELECT count(*) FROM sd) AS d, (SELECT count(*) FROM edges WHERE source_id = 'none') AS u)
+SELECT unnest(['operators only', 'blank', 'refused', 'lexical 0', 'semantic 0', 'final 0', 'depth 0', 'expanded 0', 'unknown id', 'lexical all', 'semantic all', 'depth 3']) AS asked, unnest([0, 0, 0, 0, 0, 0, f, f, u, b, d, f + x]) AS n FROM c""",
+    "errors": f"""WITH {_NOTES}, n AS (SELECT count(*) AS n FROM notes)
+SELECT unnest(['open', 'tools', 'unknown', 'depth', 'negative', 'strict', 'lost']) AS used, unnest(['StoreError', 'ToolStartError', 'QueryError', 'QueryError', 'QueryError', 'ParseError', 'QueryError']) AS error, unnest([n, n, n, n, n, n, 0]) AS documents FROM n""",
+    "scan_files": f"WITH {_NOTES} SELECT path, sha256(truth) AS content_hash, left(sha256(path), 16) AS id FROM notes",
+    "command_line": f"""WITH RECURSIVE {_STORED.replace("LIMIT 10", "LIMIT 3").replace("depth < 2", "depth < 1").replace("LIMIT 20),\nresult", "LIMIT 2),\nresult")}, {_BLOCKS}, {_NEAR}, n AS (SELECT count(*) AS n FROM sd)
 SELECT 'early' AS command, 1 AS code, '' AS said UNION ALL SELECT 'init', 0, 'store ready at STORE' UNION ALL SELECT 'ingest', 0, 'total=' || n || ' ingested=' || n || ' skipped=0 failed=0' FROM n
-UNION ALL SELECT 'again', 0, 'total=' || n || ' ingested=0 skipped=' || n || ' failed=0' FROM n UNION ALL SELECT 'nothing', 0, '(no candidate found)'
+UNION ALL SELECT 'again', 0, 'total=' || n || ' ingested=0 skipped=' || n || ' failed=0' FROM n UNION ALL SELECT 'hits', 0, string_agg(block, chr(10) ORDER BY position) FROM blocks
+UNION ALL SELECT 'nothing', 0, '(no candidate found)' UNION ALL SELECT 'neighbors', 0, string_agg(block, chr(10) ORDER BY position) FROM near WHERE path = '{SOME_NOTE}'
 UNION ALL SELECT 'unknown', 0, '(no outbound edges)' UNION ALL SELECT 'json', 0, '[]'""",
+    "snapshot_query": _ENGINE,
+    "streamed_notes": f"""WITH RECURSIVE {_STORED}
+SELECT sd.id, path, CASE WHEN path LIKE 'nation/%' THEN sha256(truth || ' Edited.') ELSE content_hash END AS content_hash, target_id, relationship_type FROM sd LEFT JOIN edges ON source_id = sd.id""",
+    "edge_changes": f"""WITH RECURSIVE {_STORED},
+new AS (SELECT id, truth FROM sd WHERE path LIKE 'supplier/%' OR path = 'region/ASIA.md'),
+-- links that dangled until the region came, by its path; nations and customers of other sources stay as they are
+moved AS (SELECT DISTINCT source_id AS id FROM x WHERE target_path = 'region/ASIA.md' AND source_id NOT IN (SELECT id FROM new)),
+fresh AS (SELECT id FROM new UNION ALL SELECT id FROM moved)
+SELECT 'documents' AS written, count(*) AS n FROM new UNION ALL SELECT 'chunks', count(*) FROM new UNION ALL SELECT 'gone document', count(*) FROM new
+UNION ALL SELECT 'gone resolution', count(*) FROM moved UNION ALL SELECT 'links', count(*) FROM x WHERE source_id IN (SELECT id FROM new)
+UNION ALL SELECT 'edges', count(*) FROM edges WHERE source_id IN (SELECT id FROM fresh)
+UNION ALL SELECT 'digests', count(DISTINCT source_id) FROM edges WHERE source_id IN (SELECT id FROM fresh)""",
+    "corpus_totals": f"WITH RECURSIVE {_STORED} SELECT count(*) AS n_docs, round(avg(n + CASE WHEN path LIKE 'nation/%' THEN 2 ELSE 0 END), 9) AS avgdl FROM sl JOIN sd USING (id)",
+    "rendered_neighbors": f"""WITH RECURSIVE {_STORED}, {_NEAR}, f AS (SELECT split_part(path, '/', 1) AS folder, min(path) AS path FROM sd GROUP BY 1)
+SELECT folder, coalesce(string_agg(block, chr(10) ORDER BY position), '(no outbound edges)') AS said FROM f LEFT JOIN near USING (path) GROUP BY folder""",
+    "tool_errors": f"""WITH RECURSIVE {_STORED}, a AS (SELECT id FROM sd WHERE path LIKE 'nation/%'), b AS (SELECT id FROM a UNION ALL SELECT reverse(id) FROM a)
+SELECT b.id, sd.id IS NULL AS is_error, CASE WHEN sd.id IS NULL THEN 'unknown document ' || b.id ELSE (SELECT count(*) FROM edges WHERE source_id = b.id)::VARCHAR END AS said FROM b LEFT JOIN sd ON sd.id = b.id""",
+    "stored_dates": f"WITH {_NOTES} SELECT path, '2020-01-01T00:00:00+00:00' AS created_at, path LIKE 'nation/%' AS updated, true AS dated FROM notes",
     "resolve_function": f"""WITH {_NOTES}, p AS (SELECT *, CASE WHEN label = upper(label) AND label <> lower(label) AND NOT starts_with(source_path, 'region/') THEN 'nation/' || label || '.md' END AS target_path FROM m)
 SELECT source_path, n::INTEGER AS n, target_path, left(sha256(coalesce(target_path, CASE WHEN ends_with(label, '.md') THEN label ELSE label || '.md' END)), 16) AS target_id FROM p""",
     "link_cases": "WITH c AS (SELECT unnest(range({n})) AS k, unnest([{forms}]) AS form), d AS (SELECT k || r_name AS path, replace(form, '%', r_name) AS t FROM c, region), "

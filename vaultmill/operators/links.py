@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaultmill.functions.text import BLANK, doc_id, fold, parent, stem, strip
+from vaultmill.operators import skew
 
 # fixed value: what a link looks like
 LINK = rf"\[\[([^\[\]]+?)\]\](?:{BLANK}*\(([^)]+)\))?"
@@ -34,28 +35,78 @@ def _unique(scope: DataFrame, key: Column, name: str) -> DataFrame:
     return scope.select(key.alias(name), "path").groupBy(name).agg(F.min("path").alias(f"{name}_path"), F.max("path").alias("__most")).where(F.col(f"{name}_path") == F.col("__most")).drop("__most")
 
 
+# how a link was resolved, and the keys under which it is found again when documents arrive that may change
+# that: nothing precedes an exact path, only that precedes a sibling, and so on
+PATH, STEM, TITLE = "path", "stem", "title"
+EXACT, SIBLING, BY_STEM, BY_TITLE, DANGLING = "exact", "sibling", "stem", "title", "none"
+KEYS = ("name_key", "next_key", "stem_key", "title_key")
+
+
+def keyed(links: DataFrame) -> DataFrame:
+    """Adds the four keys of a label, in the order in which they are tried; a label with a folder has only two."""
+    name = file_name(F.col("label"))
+    bare = ~F.contains(name, F.lit("/"))
+    return links.withColumns({
+        "name_key": name,
+        "next_key": F.when(bare, F.concat(parent(F.col("source_path")), name)),
+        "stem_key": F.when(bare, fold(stem(name))),
+        "title_key": fold(F.col("label")),
+    })
+
+
+def resolve_keyed(links: DataFrame, scope: DataFrame) -> DataFrame:
+    """links with their keys -> the same with target_path (null if dangling), target_id and how."""
+    paths = scope.select("path").distinct()
+    sides = {
+        "name_key": paths.select(F.col("path").alias("name_key"), F.col("path").alias("__exact")),
+        "next_key": paths.select(F.col("path").alias("next_key"), F.col("path").alias("__sibling")),
+        "stem_key": _unique(scope, fold(stem(F.col("path"))), "stem_key").withColumnRenamed("stem_key_path", "__stem"),
+        "title_key": _unique(scope, fold(F.col("title")), "title_key").withColumnRenamed("title_key_path", "__title"),
+    }
+    slots = skew.crowded(links, {k: F.col(k) for k in KEYS})
+    rows = links
+    for k in KEYS:
+        rows = skew.left_join(rows, sides[k], k, slots[k], ["source_id", "source_path", "n"])
+    how = F.when(F.col("__exact").isNotNull(), EXACT).when(F.col("__sibling").isNotNull(), SIBLING).when(F.col("__stem").isNotNull(), BY_STEM).when(F.col("__title").isNotNull(), BY_TITLE).otherwise(DANGLING)
+    target = F.coalesce("__exact", "__sibling", "__stem", "__title")
+    rows = rows.withColumn("target_path", target).withColumn("target_id", doc_id(F.coalesce("target_path", "name_key"))).withColumn("how", how)
+    return rows.select(*links.columns, "target_path", "target_id", "how")
+
+
 def resolve(links: DataFrame, scope: DataFrame) -> DataFrame:
     """Adds target_path (null if dangling) and target_id. scope(path, title) names all documents.
 
     Order: the exact path; a file next to the source; the only file of that name; the only document
-    of that title. Ambiguous names fall through. Small scopes are broadcast by the optimizer from
-    their statistics; large ones are shuffled.
+    of that title. Ambiguous names fall through. Links without a key and links that share a label are spread
+    over tasks; small scopes are broadcast by the optimizer from their statistics, large ones shuffled.
     """
-    paths = scope.select("path").distinct()
-    name = file_name(F.col("label"))
-    bare = ~F.contains(name, F.lit("/"))
-    rows = links.withColumns({
-        "__name": name,
-        "__next": F.when(bare, F.concat(parent(F.col("source_path")), name)),
-        "__stem": F.when(bare, fold(stem(name))),
-        "__title": fold(F.col("label")),
-    })
-    rows = rows.join(paths.select(F.col("path").alias("__name"), F.col("path").alias("__exact")), "__name", "left")
-    rows = rows.join(paths.select(F.col("path").alias("__next"), F.col("path").alias("__sibling")), "__next", "left")
-    rows = rows.join(_unique(scope, fold(stem(F.col("path"))), "__stem"), "__stem", "left")
-    rows = rows.join(_unique(scope, fold(F.col("title")), "__title"), "__title", "left")
-    target = F.coalesce("__exact", "__sibling", "__stem_path", "__title_path")
-    return rows.withColumn("target_path", target).withColumn("target_id", doc_id(F.coalesce("target_path", "__name"))).select(*links.columns, "target_path", "target_id")
+    return resolve_keyed(keyed(links), scope).select(*links.columns, "target_path", "target_id")
+
+
+def watches(resolved: DataFrame) -> DataFrame:
+    """(source_id, kind, key): the keys that a new document or title must have to change how a link resolves."""
+    key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key"))
+    name, near, by_stem, by_title = key(PATH, "name_key"), key(PATH, "next_key"), key(STEM, "stem_key"), key(TITLE, "title_key")
+    none = F.array().cast("array<struct<kind:string,key:string>>")
+    how = F.col("how")
+    kept = F.when(how == EXACT, none).when(how == SIBLING, F.array(name)).when(how == BY_STEM, F.array(name, near, by_stem)).otherwise(F.array(name, near, by_stem, by_title))
+    return resolved.select("source_id", F.explode(kept).alias("k")).where("k.key is not null").select("source_id", "k.kind", "k.key").distinct()
+
+
+def announced(docs: DataFrame) -> DataFrame:
+    """docs(path, title, old_title) that are new or have another title -> (kind, key), what links they may change."""
+    old = F.when(F.col("old_title").isNotNull(), fold(F.col("old_title")))
+    each = [(PATH, F.col("path")), (STEM, fold(stem(F.col("path")))), (TITLE, fold(F.col("title"))), (TITLE, old)]
+    keys = F.array(*[F.struct(F.lit(kind).alias("kind"), c.alias("key")) for kind, c in each])
+    return docs.select(F.explode(keys).alias("k")).where("k.key is not null").select("k.kind", "k.key").distinct()
+
+
+def digests(resolved: DataFrame) -> DataFrame:
+    """(source_id, digest): of a source's resolved links, in any order, repeats included."""
+    one = F.xxhash64("target_id", "relationship_type", F.col("relationship_type").isNull(), "how")
+    two = F.xxhash64(F.lit(1), F.col("relationship_type").isNull(), "how", "relationship_type", "target_id")
+    total = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
+    return resolved.groupBy("source_id").agg(F.concat_ws(" ", F.count("*").cast("string"), total(one), total(two)).alias("digest"))
 
 
 def edges(docs: DataFrame, scope: DataFrame, text: str = "truth") -> DataFrame:

@@ -1,4 +1,13 @@
-"""Incremental ingest: parse all, replace what changed, refresh all edges."""
+"""Incremental ingest: parse all, replace what changed, write the edges that differ.
+
+Links resolve among the documents of a run. With ``whole_store_scope`` (micro-batches, which see a few files
+at a time) they resolve among all stored documents as well, and stored links are taken up again if a
+document of the batch may change where they lead: every link is watched under the keys that could do
+that, and a batch looks up the keys of its new documents and of titles that changed.
+
+Of a document whose text is as before nothing is written, unless one of its links leads elsewhere: a digest
+of each source's resolved links is kept and compared.
+"""
 
 from __future__ import annotations
 
@@ -11,9 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from vaultmill.functions.text import doc_id
 from vaultmill.operators import chunk, embed, lexical, links
 from vaultmill.operators.parse import parse, refuse_bad
-from vaultmill.plans.store import Store
+from vaultmill.plans.store import Snapshot, Store
+from vaultmill.schema import DOCUMENT, RESOLUTION, VERSION
 from vaultmill.sources.vault import scan
 
 log = logging.getLogger(__name__)
@@ -29,53 +40,83 @@ class Stats:
 
 def detect_changes(parsed: DataFrame, stored: DataFrame) -> DataFrame:
     """Adds status (new, changed or same) and the created_at to keep, by content hash."""
-    old = stored.select("id", F.col("content_hash").alias("__hash"), F.col("created_at").alias("__created"))
+    titled = [F.col("title").alias("old_title")] if "title" in stored.columns else []
+    old = stored.select("id", F.col("content_hash").alias("__hash"), F.col("created_at").alias("__created"), *titled)
     j = parsed.join(old, "id", "left")
     status = F.when(F.col("__hash").isNull(), "new").when(F.col("__hash") == F.col("content_hash"), "same").otherwise("changed")
     return j.withColumn("status", status).withColumnRenamed("__created", "kept_created_at").drop("__hash")
 
 
+def touched(fresh: DataFrame, snap: Snapshot) -> DataFrame:
+    """The stored links (with the columns of the table links) of sources that fresh documents may concern."""
+    moved = fresh.where(F.col("old_title").isNull() | (F.col("old_title") != F.col("title")))
+    keys = links.announced(moved.select("path", "title", "old_title"))
+    sources = snap.table("watches").join(keys, ["kind", "key"], "left_semi").select("source_id").distinct()
+    sources = sources.join(fresh.select(F.col("id").alias("source_id")), "source_id", "left_anti")
+    return snap.table("links").join(sources, "source_id", "left_semi")
+
+
 def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], embed.Embedder], *, now: str | None = None, whole_store_scope: bool = False, strict: bool = False) -> Stats:
     """files(path, content) into the store. A bad document is counted and keeps its stored version;
-    with strict it is a ParseError, raised before anything is written.
-
-    Links resolve among the documents of this run; with whole_store_scope also among stored ones
-    (for micro-batches, which see a few files at a time).
+    with strict it is a ParseError, raised before anything is written. Files with modified and size have these
+    recorded, the bad ones too, so that a stream need not read them again.
     """
     now = now or datetime.now(UTC).isoformat()
-    parsed = detect_changes(parse(files), store.table("documents")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        bad = F.col("error").isNotNull()
-        counts = {r["s"]: r["count"] for r in parsed.groupBy(F.when(bad, "failed").when(F.col("status") == "same", "same").otherwise("fresh").alias("s")).count().collect()}
-        stats = Stats(sum(counts.values()), counts.get("fresh", 0), counts.get("same", 0), counts.get("failed", 0))
-        if stats.failed:
-            if strict:
-                refuse_bad(parsed)
-            for r in parsed.where(bad).select("path", "error").toLocalIterator():  # a line for each
-                log.error("failed: %s: %s", r["path"], r["error"])
-        if not stats.total:
-            log.warning("no documents found")
-        if stats.total == stats.failed:
+    with store.snapshot() as snap:
+        parsed = detect_changes(parse(files), snap.table("documents")).persist(StorageLevel.MEMORY_AND_DISK)
+        resolved = None
+        try:
+            bad = F.col("error").isNotNull()
+            counts = {r["s"]: r["count"] for r in parsed.groupBy(F.when(bad, "failed").when(F.col("status") == "same", "same").otherwise("fresh").alias("s")).count().collect()}
+            stats = Stats(sum(counts.values()), counts.get("fresh", 0), counts.get("same", 0), counts.get("failed", 0))
+            if stats.failed:
+                if strict:
+                    refuse_bad(parsed)
+                for r in parsed.where(bad).select("path", "error").toLocalIterator():  # a line for each
+                    log.error("failed: %s: %s", r["path"], r["error"])
+            if not stats.total:
+                log.warning("no documents found")
+                return stats
+            good = parsed.where(~bad)
+            fresh = good.where("status <> 'same'")
+            scope = good.select("path", "title")
+            if whole_store_scope:
+                stored = snap.table("documents").select("id", "path", "title").join(good.select("id"), "id", "left_anti")
+                scope = scope.unionByName(stored.select("path", "title"))
+                found = links.extract(fresh).unionByName(touched(fresh, snap))
+            else:
+                found = links.extract(good)
+            resolved = links.resolve_keyed(links.keyed(found), scope).persist(StorageLevel.MEMORY_AND_DISK)
+            digests = links.digests(resolved)
+            own = fresh.select(F.col("id").alias("source_id"))
+            old = snap.table("digests").withColumnRenamed("digest", "__old")
+            differ = digests.join(own, "source_id", "left_anti").join(old, "source_id", "left").where(~F.col("digest").eqNullSafe(F.col("__old"))).select("source_id")
+            gone = fresh.select("id", F.lit(DOCUMENT).alias("what")).unionByName(differ.select(F.col("source_id").alias("id"), F.lit(RESOLUTION).alias("what")))
+            versions = None
+            if {"modified", "size"} <= set(files.columns):
+                seen = files.select(doc_id(F.col("path")).alias("id"), "path", "modified", "size")
+                versions = seen.join(snap.table("versions").select("id", "modified", "size"), ["id", "modified", "size"], "left_anti").select("id", "path", "modified", "size")
+                gone = gone.unionByName(versions.select("id", F.lit(VERSION).alias("what")))
+            if gone.limit(1).isEmpty():
+                log.info("nothing has changed: %s", asdict(stats))
+                return stats
+            written = own.unionByName(differ)
+            mine = lambda rows: rows.join(written, "source_id", "left_semi")
+            # chunks that need no vector are never sent to the model: unchanged documents are filtered before it
+            chunks = embed.embedded(chunk.chunk_rows(fresh), make_embedder)
+            documents = fresh.select("*", F.coalesce("kept_created_at", F.lit(now)).alias("created_at"), F.lit(now).alias("updated_at"))
+            truths = fresh.select("id", "title", F.col("truth").alias("content"))
+            tables = {
+                "documents": documents, "truths": truths, "chunks": chunks, "postings": lexical.postings(truths, "title", "content"), "lengths": lexical.lengths(truths, "title", "content"),
+                "links": links.extract(fresh), "edges": links.once(mine(resolved).select("source_id", "target_id", "relationship_type")), "watches": mine(links.watches(resolved)), "digests": mine(digests),
+            }
+            store.append(tables | ({"versions": versions} if versions is not None else {}), gone)
+            log.info("ingested %s", asdict(stats))
             return stats
-        good = parsed.where(~bad)
-        fresh = good.where("status <> 'same'")
-        scope = good.select("path", "title")
-        if whole_store_scope:
-            stored = store.table("documents").select("id", "path", "title").join(good.select("id"), "id", "left_anti")
-            scope = scope.unionByName(stored.select("path", "title"))
-        # chunks that need no vector are never sent to the model: unchanged documents are filtered before it
-        chunks = embed.embedded(chunk.chunk_rows(fresh), make_embedder)
-        documents = fresh.select("*", F.coalesce("kept_created_at", F.lit(now)).alias("created_at"), F.lit(now).alias("updated_at"))
-        truths = fresh.select("id", "title", F.col("truth").alias("content"))
-        gone = good.select("id", (F.col("status") == "same").alias("edges_only"))
-        store.append(
-            {"documents": documents, "truths": truths, "chunks": chunks, "postings": lexical.postings(truths, "title", "content"), "lengths": lexical.lengths(truths, "title", "content"), "edges": links.edges(good, scope)},
-            gone,
-        )
-        log.info("ingested %s", asdict(stats))
-        return stats
-    finally:
-        parsed.unpersist()
+        finally:
+            parsed.unpersist()
+            if resolved is not None:
+                resolved.unpersist()
 
 
 def ingest(spark: SparkSession, folder: str, store: Store, make_embedder: Callable[[], embed.Embedder] = embed.HashingEmbedder, **options) -> Stats:

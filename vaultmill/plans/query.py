@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vaultmill.errors import QueryError
 from vaultmill.operators import fuse, graph, lexical, semantic
 from vaultmill.operators.embed import Embedder, encoder
-from vaultmill.plans.store import Store
+from vaultmill.plans.store import Snapshot, Store
 from vaultmill.schema import NEIGHBOR, RESULT
 
 log = logging.getLogger(__name__)
@@ -22,40 +22,40 @@ class Engine:
     def __init__(self, spark: SparkSession, store: Store, embedder: Embedder, *, metric: str = "l2", strict_lexical: bool = True):
         self.spark, self.store, self.embedder = spark, store, embedder
         self.metric, self.strict, self.encode = metric, strict_lexical, encoder(embedder)
-        self._stats: tuple[list[str], DataFrame] | None = None
 
-    def stats(self) -> DataFrame:
-        """Corpus statistics, computed once for each state of the store."""
-        segments = self.store.segments()
-        if self._stats is None or self._stats[0] != segments:
-            s = lexical.stats(self.store.table("lengths"))
-            self._stats = segments, self.spark.createDataFrame([s.first()], s.schema)
-        return self._stats[1]
+    def stats(self, snap: Snapshot | None = None) -> DataFrame:
+        """Corpus statistics; the store's list carries them."""
+        return (snap or self.store.snapshot()).corpus()
 
-    def lexical(self, text: str, top_k: int = 20) -> DataFrame:
+    def lexical(self, text: str, top_k: int = 20, snap: Snapshot | None = None) -> DataFrame:
         if top_k > 0 and lexical.refused(text, self.strict):
             log.warning("the lexical query was refused, so only the semantic list counts: %r", text)
-        return lexical.search(self.store.table("postings"), self.stats(), text, top_k, self.strict)
+        snap = snap or self.store.snapshot()
+        return lexical.search(snap.table("postings"), snap.corpus(), text, top_k, self.strict)
 
-    def semantic(self, text: str, top_k: int = 20) -> DataFrame:
+    def semantic(self, text: str, top_k: int = 20, snap: Snapshot | None = None) -> DataFrame:
         if top_k <= 0:
             return self.spark.createDataFrame([], "doc_id string, chunk_index int, semantic_rank int")
         vector = [float(x) for x in self.encode([text])[0]]
-        return semantic.search(self.store.table("chunks"), vector, top_k, self.metric)
+        return semantic.search((snap or self.store.snapshot()).table("chunks"), vector, top_k, self.metric)
 
-    def query(self, text: str, *, lexical_top_k: int = 20, semantic_top_k: int = 20, final_top_k: int = 10, expand: bool = False, expand_depth: int = 1, expand_top_k: int = 20, lift_cap: bool = False) -> DataFrame:
+    def query(self, text: str, *, lexical_top_k: int = 20, semantic_top_k: int = 20, final_top_k: int = 10, expand: bool = False, expand_depth: int = 1, expand_top_k: int = 20, lift_cap: bool = False, at: Snapshot | None = None) -> DataFrame:
         """Fused results, best first, then expanded documents by depth and id.
 
         What is ranked is bounded by the three numbers of rows, so it comes to the driver, and documents,
-        edges and chunks are looked up by id from there: no table is shuffled.
+        edges and chunks are looked up by id from there: no table is shuffled. All tables are read from one
+        state of the store (``at``, or the newest one), whatever is written meanwhile.
         """
         if expand:
             graph.check(expand_depth, expand_top_k, lift_cap)
-        documents, chunks = self.store.table("documents"), self.store.table("chunks")
-        top = fuse.fuse(self.lexical(text, lexical_top_k), self.semantic(text, semantic_top_k), final_top_k).collect()
+        if at is None:
+            with self.store.snapshot() as snap:
+                return self.query(text, lexical_top_k=lexical_top_k, semantic_top_k=semantic_top_k, final_top_k=final_top_k, expand=expand, expand_depth=expand_depth, expand_top_k=expand_top_k, lift_cap=lift_cap, at=snap)
+        documents, chunks = at.table("documents"), at.table("chunks")
+        top = fuse.fuse(self.lexical(text, lexical_top_k, at), self.semantic(text, semantic_top_k, at), final_top_k).collect()
         rows = [(r["doc_id"], r["chunk_index"] or 0, r["signal"], round(r["rrf_score"], 6), r["lexical_rank"], r["semantic_rank"], 0) for r in top]
         if expand and expand_depth > 0 and rows:
-            more = graph.expand_from([r[0] for r in rows], self.store.table("edges"), documents, expand_depth, expand_top_k, lift_cap)
+            more = graph.expand_from([r[0] for r in rows], at.table("edges"), documents, expand_depth, expand_top_k, lift_cap)
             rows += [(i, 0, "expanded", 0.0, None, None, d) for i, d in more]
         found = {r["id"]: r for r in self.lookup(documents.select("id", "path", "title"), "id", [r[0] for r in rows])}
         lost = [r[0] for r in rows if r[0] not in found]
@@ -78,12 +78,13 @@ class Engine:
 
     def neighbors(self, doc_id: str) -> DataFrame:
         """Outbound edges; an unknown id has none."""
-        return graph.neighbors(self.store.table("edges"), self.store.table("documents"), doc_id).select(*NEIGHBOR.names)
+        snap = self.store.snapshot()
+        return graph.neighbors(snap.table("edges"), snap.table("documents"), doc_id).select(*NEIGHBOR.names)
 
     def backlinks(self, doc_id: str) -> DataFrame:
-        return graph.backlinks(self.store.table("edges"), self.store.table("documents"), doc_id)
+        snap = self.store.snapshot()
+        return graph.backlinks(snap.table("edges"), snap.table("documents"), doc_id)
 
     def require(self, doc_id: str) -> None:
         if self.store.table("documents").where(F.col("id") == doc_id).limit(1).isEmpty():
             raise QueryError(f"unknown document {doc_id}")
-

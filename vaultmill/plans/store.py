@@ -1,14 +1,21 @@
 """A store of Parquet segments with a numbered list of what is current.
 
-Each write adds a segment: new rows of every table, and the ids whose older rows they replace. The
+Each write adds a segment: new rows of every table, and what of which ids they replace. The
 list of segments is a small file, ``list-<number>``; a commit writes the next number, which fails if
-another writer was there first - then the change is made anew on top of that one's list. So readers
-see all of a write or nothing, no writer loses another's rows, and a failed write leaves only files
-that nobody reads. A write costs what the batch costs, not what the store holds.
+another writer was there first - then the change is made anew on top of that one's list. So
+no writer loses another's rows, and a failed write leaves only files that nobody reads. A write costs
+what the batch costs, not what the store holds.
 
-With more than ``MOST`` segments an append also compacts: the segments are rewritten as one, those
-added meanwhile stay behind it. Segments that are no longer listed are kept for readers that opened
-the store before, and are deleted by ``vacuum`` once they have been out of use for a time.
+Readers take a ``snapshot``: one list, read once, from which all tables of a query come, so they see all
+of a write or nothing. While it is held, vacuum keeps its segments.
+
+A list also carries the number of documents and terms. A write adds its own and takes off those of the
+documents that it replaces, found by their ids, so that nobody reads the lengths of the whole corpus.
+
+With more than ``MOST`` segments an append also merges the newest ones, up to one that is over ``FAR``
+times as large as all behind it, so rows are rewritten a few times and not with every merge. Segments that
+are no longer listed are kept for readers of older lists, and are deleted by ``vacuum`` once they
+have been out of use for a time and no snapshot holds them.
 """
 
 from __future__ import annotations
@@ -17,31 +24,72 @@ import json
 import time
 import uuid
 from collections.abc import Callable
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
 
 from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaultmill.errors import StoreError
-from vaultmill.schema import OWNER, TABLES
+from vaultmill.schema import DOCUMENT, GONE, OWNER, REPLACED_BY, TABLES
 
 MOST, RETRIES, KEPT = 16, 50, 20  # segments; attempts at a commit; old lists that stay
-GRACE = 24 * 3600.0  # seconds for which segments out of use are kept
-GONE = T.StructType([T.StructField("id", T.StringType()), T.StructField("edges_only", T.BooleanType())])
+WRITERS = 4  # tables of a segment written at a time
+FAR = 4  # times the size of newer segments that an older one may have to be merged with them
+GRACE = 24 * 3600.0  # seconds for which segments out of use are kept, and holds of readers that never let go
+EMPTY = {"segments": [], "sizes": {}, "retired": [], "documents": 0, "terms": 0}
 
 
 def laid_out(name: str, df: DataFrame) -> DataFrame:
-    """Rows in the order that lookups need: postings in files by term range, others by owner in each
-    file, so filters skip files and row groups by their statistics."""
+    """Rows in the order that lookups need: postings and watched keys in files by range, others by owner in
+    each file, so filters skip files and row groups by their statistics."""
     if name == "postings":
         return df.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
-    return df.sortWithinPartitions(OWNER[name])
+    if name == "watches":
+        return df.repartitionByRange("key").sortWithinPartitions("key", "source_id")
+    return df.sortWithinPartitions(OWNER[name]) if name in OWNER else df
+
+
+class Snapshot:
+    """One state of a store. As a context manager it keeps vacuum from the files until it ends."""
+
+    def __init__(self, store: Store, number: int, state: dict):
+        self.store, self.spark, self.number, self.state = store, store.spark, number, state
+        self._hold: str | None = None
+
+    @property
+    def segments(self) -> list[str]:
+        return self.state["segments"]
+
+    def __enter__(self) -> Snapshot:
+        self._hold = f"holds/hold-{uuid.uuid4().hex}"
+        self.store._write(self._hold, {"segments": self.segments, "since": time.time()})
+        missing = [s for s in self.segments if not self.store._fs().exists(self.store._path(s))]
+        if missing:  # a vacuum came between the list and the hold
+            self.__exit__()
+            raise StoreError(f"{missing[0]} of {self.store.root} is no longer there")
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self._hold:
+            self.store._fs().delete(self.store._path(self._hold), False)
+            self._hold = None
+
+    def corpus(self) -> DataFrame:
+        """One row: n_docs, avgdl."""
+        n = self.state["documents"]
+        return self.spark.createDataFrame([(n, self.state["terms"] / n if n else None)], "n_docs long, avgdl double")
+
+    def table(self, name: str) -> DataFrame:
+        """The rows of a table: of each id those of the last segment that replaced them."""
+        return self.store._rows(name, self.segments)
 
 
 class Store:
-    """Tables documents, truths, chunks, postings, lengths and edges below one folder."""
+    """The tables of ``schema.TABLES`` below one folder."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -53,13 +101,16 @@ class Store:
     def _fs(self):
         return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def numbers(self) -> list[int]:
-        """The numbers of the lists that are there, ascending."""
-        fs, at = self._fs(), self._path("lists")
+    def _names(self, folder: str, prefix: str) -> list[str]:
+        fs, at = self._fs(), self._path(folder)
         if not fs.exists(at):
             return []
         names = [f.getPath().getName() for f in fs.listStatus(at)]
-        return sorted(int(n.removeprefix("list-")) for n in names if n.startswith("list-"))
+        return [n for n in names if n.startswith(prefix)]
+
+    def numbers(self) -> list[int]:
+        """The numbers of the lists that are there, ascending."""
+        return sorted(int(n.removeprefix("list-")) for n in self._names("lists", "list-"))
 
     def exists(self) -> bool:
         return bool(self.numbers())
@@ -69,7 +120,7 @@ class Store:
         """Makes an empty store; an existing one is left as it is."""
         store = cls(spark, root)
         if not store.exists():
-            store._commit(lambda state: state or {"segments": [], "retired": []})
+            store._commit(lambda state: state or EMPTY)
         return store
 
     @classmethod
@@ -86,20 +137,33 @@ class Store:
     def segments(self) -> list[str]:
         return self._state()[1]["segments"]
 
+    def snapshot(self) -> Snapshot:
+        """The newest state. ``with store.snapshot() as s`` holds its files."""
+        return Snapshot(self, *self._state())
+
+    def table(self, name: str) -> DataFrame:
+        """The current rows of one table."""
+        return self.snapshot().table(name)
+
     def _state(self) -> tuple[int, dict]:
         """The last number and its list."""
         numbers = self.numbers()
         if not numbers:
             raise StoreError(f"no store at {self.root}")
-        stream = self._fs().open(self._path(f"lists/list-{numbers[-1]}"))
+        return numbers[-1], self._read(f"lists/list-{numbers[-1]}")
+
+    def _read(self, name: str) -> dict:
+        stream = self._fs().open(self._path(name))
         try:
-            return numbers[-1], json.loads(self._jvm_text(stream))
+            scanner = self.spark._jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A")
+            return json.loads(scanner.next() if scanner.hasNext() else "{}")
         finally:
             stream.close()
 
-    def _jvm_text(self, stream) -> str:
-        scanner = self.spark._jvm.java.util.Scanner(stream, "UTF-8").useDelimiter("\\A")
-        return scanner.next() if scanner.hasNext() else "[]"
+    def _write(self, name: str, value: dict) -> None:
+        out = self._fs().create(self._path(name), False)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
 
     def _commit(self, change: Callable[[dict | None], dict | None]) -> bool:
         """Writes the changed list under the next number. ``change`` is applied again if another
@@ -114,14 +178,12 @@ class Store:
             new = change(state)
             if new is None:
                 return False
-            tmp = self._path(f"lists/tmp-{uuid.uuid4().hex}")
-            out = fs.create(tmp, False)
-            out.write(bytearray(json.dumps(new).encode()))
-            out.close()
+            tmp = f"lists/tmp-{uuid.uuid4().hex}"
+            self._write(tmp, new)
             try:
-                context.rename(fs.makeQualified(tmp), fs.makeQualified(self._path(f"lists/list-{number + 1}")), options)
+                context.rename(fs.makeQualified(self._path(tmp)), fs.makeQualified(self._path(f"lists/list-{number + 1}")), options)
             except Py4JJavaError as e:
-                fs.delete(tmp, False)
+                fs.delete(self._path(tmp), False)
                 if "FileAlreadyExists" not in str(e.java_exception):
                     raise StoreError(f"cannot write to {self.root}: {e.java_exception}") from e
                 continue
@@ -130,64 +192,119 @@ class Store:
             return True
         raise StoreError(f"other writers came first {RETRIES} times at {self.root}")
 
-    def table(self, name: str, segments: list[str] | None = None) -> DataFrame:
-        """The current rows of a table: of each id those of the last segment that replaced it."""
+    def _file(self, segment: str, name: str, schema: T.StructType) -> DataFrame:
+        nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+        return self.spark.read.schema(nullable).parquet(f"{self.root}/{segment}/{name}")
+
+    def _rows(self, name: str, segments: list[str]) -> DataFrame:
         schema, own = TABLES[name], OWNER[name]
-        segments = self.segments() if segments is None else segments
         if not segments:
             return self.spark.createDataFrame([], schema)
-        nullable = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
-        rows = [self.spark.read.schema(nullable).parquet(f"{self.root}/{s}/{name}").withColumn("__seq", F.lit(k)) for k, s in enumerate(segments)]
+        rows = [self._file(s, name, schema).withColumn("__seq", F.lit(k)) for k, s in enumerate(segments)]
         if len(rows) == 1:
             return rows[0].drop("__seq")
-        gone = [self.spark.read.schema(GONE).parquet(f"{self.root}/{s}/gone").withColumn("__last", F.lit(k)) for k, s in enumerate(segments) if k]
-        g = reduce(DataFrame.unionByName, gone)
-        if name != "edges":
-            g = g.where("not edges_only")
-        last = g.groupBy("id").agg(F.max("__last").alias("__last"))
+        gone = [self._file(s, "gone", GONE).where(F.col("what").isin(*REPLACED_BY[name])).withColumn("__last", F.lit(k)) for k, s in enumerate(segments) if k]
+        last = reduce(DataFrame.unionByName, gone).groupBy("id").agg(F.max("__last").alias("__last"))
         all_rows = reduce(DataFrame.unionByName, rows)
         return all_rows.join(last, (all_rows[own] == last["id"]) & (all_rows["__seq"] < last["__last"]), "left_anti").drop("__seq")
 
+    def _put(self, segment: str, tables: dict[str, DataFrame]) -> None:
+        """Writes a segment's tables, several at a time, so that small ones do not wait for each other."""
+
+        def write(t: str) -> None:
+            laid_out(t, tables[t]).write.parquet(f"{self.root}/{segment}/{t}")
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(partial(write, t))) for t in tables]:
+                done.result()
+
+    @staticmethod
+    def _lengths(rows: DataFrame) -> tuple[int, int]:
+        r = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
+        return r["n"], r["t"]
+
     def append(self, tables: dict[str, DataFrame], gone: DataFrame) -> None:
-        """One atomic write: rows of all tables, and the ids whose older rows they replace."""
+        """One atomic write: rows of all tables, and gone(id, what), which older rows they replace."""
         name = f"segment-{uuid.uuid4().hex}"
+        rows = {"gone": gone.select("id", "what")}
         for t, schema in TABLES.items():
             df = tables.get(t)
-            df = self.spark.createDataFrame([], schema) if df is None else df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-            laid_out(t, df).write.parquet(f"{self.root}/{name}/{t}")
-        gone.select("id", "edges_only").write.parquet(f"{self.root}/{name}/gone")
-        self._commit(lambda state: state | {"segments": [*state["segments"], name]})
-        if len(self.segments()) > MOST:
-            self.compact()
-
-    def compact(self) -> bool:
-        """Rewrites all segments as one. Gives way (False) if another compaction was faster."""
-        old = self.segments()
+            rows[t] = self.spark.createDataFrame([], schema) if df is None else df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+        self._put(name, rows)
+        docs, terms = self._lengths(self._file(name, "lengths", TABLES["lengths"]))
+        size = self._file(name, "documents", TABLES["documents"]).count() + self._file(name, "gone", GONE).count()
+        replaced = self._file(name, "gone", GONE).where(F.col("what") == DOCUMENT).select("id").distinct()
+
+        def change(state: dict) -> dict:
+            older = self._rows("lengths", state["segments"])
+            d, t = self._lengths(older.join(replaced, older["doc_id"] == replaced["id"], "left_semi")) if state["segments"] else (0, 0)
+            return state | {
+                "segments": [*state["segments"], name], "sizes": state["sizes"] | {name: size},
+                "documents": state["documents"] + docs - d, "terms": state["terms"] + terms - t,
+            }
+
+        self._commit(change)
+        state = self._state()[1]
+        if len(state["segments"]) > MOST:
+            self.compact(newest(state))
+
+    def compact(self, count: int | None = None) -> bool:
+        """Rewrites the newest ``count`` segments (all of them by default) as one. Gives way (False) if another
+        compaction was faster."""
+        before = self.segments()
+        old = before[len(before) - count :] if count else before
         name = f"segment-{uuid.uuid4().hex}"
-        for t in TABLES:
-            laid_out(t, self.table(t, old)).write.parquet(f"{self.root}/{name}/{t}")
-        self.spark.createDataFrame([], GONE).write.parquet(f"{self.root}/{name}/gone")
+        none = self.spark.createDataFrame([], GONE)
+        gone = none if len(old) == len(before) else reduce(DataFrame.unionByName, [self._file(s, "gone", GONE) for s in old]).distinct()
+        self._put(name, {"gone": gone} | {t: self._rows(t, old) for t in TABLES})
+        size = self._file(name, "documents", TABLES["documents"]).count() + self._file(name, "gone", GONE).count()
 
         def change(state: dict) -> dict | None:
-            now = state["segments"]
-            if now[: len(old)] != old:
+            now, at = state["segments"], len(before) - len(old)
+            if now[at : len(before)] != old:
                 return None
-            return {"segments": [name, *now[len(old) :]], "retired": [*state["retired"], *([s, time.time()] for s in old)]}
+            sizes = {s: n for s, n in state["sizes"].items() if s not in old} | {name: size}
+            return state | {"segments": [*now[:at], name, *now[len(before) :]], "sizes": sizes, "retired": [*state["retired"], *([s, time.time()] for s in old)]}
 
         done = self._commit(change)
         if not done:
             self._fs().delete(self._path(name), True)
         return done
 
+    def held(self) -> set[str]:
+        """Segments that a snapshot holds. Holds older than ``GRACE`` are of readers that are gone."""
+        out: set[str] = set()
+        for n in self._names("holds", "hold-"):
+            try:
+                hold = self._read(f"holds/{n}")
+            except Py4JJavaError:  # let go meanwhile
+                continue
+            if time.time() - hold.get("since", 0) < GRACE:
+                out |= set(hold["segments"])
+            else:
+                self._fs().delete(self._path(f"holds/{n}"), False)
+        return out
+
     def vacuum(self, grace: float = GRACE) -> int:
-        """Deletes segments that have been out of use for ``grace`` seconds. Returns how many."""
+        """Deletes segments that have been out of use for ``grace`` seconds and are not held. Returns how many."""
         due: list[str] = []
 
         def change(state: dict) -> dict | None:
-            due[:] = [s for s, since in state["retired"] if time.time() - since >= grace]
+            held = self.held()
+            due[:] = [s for s, since in state["retired"] if time.time() - since >= grace and s not in held]
             return state | {"retired": [r for r in state["retired"] if r[0] not in due]} if due else None
 
         self._commit(change)
         for s in due:
             self._fs().delete(self._path(s), True)
         return len(due)
+
+
+def newest(state: dict) -> int:
+    """How many of the newest segments to merge: two at least, up to one that is far larger than all behind it."""
+    sizes = [state["sizes"].get(s, 0) for s in reversed(state["segments"])]
+    count, total = 2, sum(sizes[:2])
+    while count < len(sizes) and sizes[count] <= FAR * max(1, total):
+        total += sizes[count]
+        count += 1
+    return count

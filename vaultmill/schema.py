@@ -15,8 +15,20 @@ CHUNKS = _struct(("doc_id", _s), ("chunk_index", _i), ("text", _s), ("embedding"
 POSTINGS = _struct(("doc_id", _s), ("term", _s), ("tf", _i), ("positions", T.ArrayType(_i)), ("n_tokens", _i))
 LENGTHS = _struct(("doc_id", _s), ("n_tokens", _i))
 EDGES = _struct(("source_id", _s), ("target_id", _s), ("relationship_type", _s))
-TABLES = {"documents": DOCUMENTS, "truths": TRUTHS, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS, "edges": EDGES}
-OWNER = {"documents": "id", "truths": "id", "chunks": "doc_id", "postings": "doc_id", "lengths": "doc_id", "edges": "source_id"}
+LINKS = _struct(("source_id", _s), ("source_path", _s), ("n", _i), ("label", _s), ("relationship_type", _s))
+WATCHES = _struct(("source_id", _s), ("kind", _s), ("key", _s))
+DIGESTS = _struct(("source_id", _s), ("digest", _s))
+VERSIONS = _struct(("id", _s), ("path", _s), ("modified", T.LongType()), ("size", T.LongType()))
+TABLES = {
+    "documents": DOCUMENTS, "truths": TRUTHS, "chunks": CHUNKS, "postings": POSTINGS, "lengths": LENGTHS,
+    "links": LINKS, "edges": EDGES, "watches": WATCHES, "digests": DIGESTS, "versions": VERSIONS,
+}
+OWNER = {"documents": "id", "truths": "id", "versions": "id"} | dict.fromkeys(("chunks", "postings", "lengths"), "doc_id") | dict.fromkeys(("links", "edges", "watches", "digests"), "source_id")
+
+# what of a document a write replaces: all that its text gives, how its links resolve, or the version of its file
+DOCUMENT, RESOLUTION, VERSION = "document", "resolution", "version"
+REPLACED_BY = dict.fromkeys(TABLES, (DOCUMENT,)) | dict.fromkeys(("edges", "watches", "digests"), (DOCUMENT, RESOLUTION)) | {"versions": (VERSION,)}
+GONE = _struct(("id", _s), ("what", _s))
 
 RESULT = _struct(
     ("doc_id", _s), ("chunk_index", _i), ("path", _s), ("title", _s), ("signal", _s), ("rrf_score", T.DoubleType()),

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
-
-
-BATCH = 1000  # hidden files that are read as one set
+LISTED = "uri string, path string, modified long, size long"
+CONTENT = "uri string, content binary"
+BATCH = 1000  # hidden files that are listed or read as one set
 
 
 def root_of(spark: SparkSession, folder: str) -> str:
@@ -21,18 +22,63 @@ def root_of(spark: SparkSession, folder: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
 
 
-def hidden_files(spark: SparkSession, folder: str, suffix: str = ".md") -> Iterator[str]:
-    """Files below the folder that Spark's reader skips, as some name below it begins with "." or "_".
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
 
-    The listing is read as it comes; paths that are not hidden are never kept.
-    """
+def hidden_files(spark: SparkSession, folder: str, suffix: str = ".md") -> Iterator[tuple[str, str, int, int]]:
+    """(uri, path, modified, size) of files that Spark's reader skips, as some name below the folder begins with
+    "." or "_". The listing is read as it comes; paths that are not hidden are never kept."""
     path, root = spark._jvm.org.apache.hadoop.fs.Path(folder), root_of(spark, folder)
     found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
     while found.hasNext():
-        p = found.next().getPath()
-        names = p.toUri().getPath()[len(root) + 1 :].split("/")
+        f = found.next()
+        relative = f.getPath().toUri().getPath()[len(root) + 1 :]
+        names = relative.split("/")
         if names[-1].endswith(suffix) and any(x[:1] in "._" for x in names):
-            yield p.toString()
+            yield f.getPath().toString(), relative, f.getModificationTime(), f.getLen()
+
+
+def sets(rows: Iterator) -> Iterator[list]:
+    return iter(lambda: list(islice(rows, BATCH)), [])
+
+
+def relative(uri: str, root: str) -> Column:
+    """The path below the root of a file's full path."""
+    plain = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.substring(plain, F.lit(len(root) + 2), F.length(plain))
+
+
+def binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Spark's reader of whole files, with modified (milliseconds) and size. What is not selected is not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("ignoreMissingFiles", True).load(paths)
+    return raw.select(F.col("path").alias("uri"), F.unix_millis("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+
+
+def read_hidden(spark: SparkSession, uris: list[str]) -> DataFrame:
+    """(uri, content) of files that Spark's reader would skip, a bounded number of them.
+
+    Files in hidden folders are read by tasks. No reader takes a file whose own name is hidden, so the driver
+    reads these.
+    """
+    own = [u for u in uris if u.rsplit("/", 1)[-1][:1] in "._"]
+    inside = [literal(u) for u in uris if u.rsplit("/", 1)[-1][:1] not in "._"]
+    rows = []
+    for u in own:
+        path = spark._jvm.org.apache.hadoop.fs.Path(u)
+        stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+        rows.append((u, bytearray(stream.readAllBytes())))
+        stream.close()
+    out = spark.createDataFrame(rows, CONTENT)
+    if inside:
+        out = out.unionByName(spark.createDataFrame(spark.sparkContext.binaryFiles(",".join(inside)).map(lambda kv: (kv[0], bytes(kv[1]))), CONTENT))
+    return out
+
+
+def literal(uri: str) -> str:
+    """A path whose special characters stand for themselves where patterns are taken."""
+    return re.sub(r"([\[\]{}*?,\\])", r"\\\1", uri)
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,13 +86,33 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
     Files are listed and read by Spark's binary reader. Hidden ones, which it skips, are read apart.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, folder):
         return spark.createDataFrame([], FILES)
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder).select("path", "content")
-    sets = iter(lambda found=hidden_files(spark, folder): list(islice(found, BATCH)), [])
-    read = [spark.sparkContext.binaryFiles(",".join(s)).map(lambda kv: (kv[0], bytes(kv[1]))) for s in sets]
-    if read:
-        raw = raw.unionByName(spark.createDataFrame(spark.sparkContext.union(read), FILES))
-    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    return raw.withColumn("p", plain).select(F.expr(f"substring(p, {len(root_of(spark, folder)) + 2})").alias("path"), "content")
+    raw = binary(spark, folder).select("uri", "content")
+    for s in sets(hidden_files(spark, folder)):
+        raw = raw.unionByName(read_hidden(spark, [uri for uri, *_ in s]))
+    return raw.select(relative("uri", root_of(spark, folder)).alias("path"), "content")
+
+
+def listing(spark: SparkSession, folder: str) -> DataFrame:
+    """(uri, path, modified, size) of the same files, without reading them."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], LISTED)
+    out = binary(spark, folder).select("uri", relative("uri", root_of(spark, folder)).alias("path"), "modified", "size")
+    for s in sets(hidden_files(spark, folder)):
+        out = out.unionByName(spark.createDataFrame(s, LISTED))
+    return out
+
+
+def read_listed(spark: SparkSession, rows: list[tuple[str, str, int, int]]) -> DataFrame:
+    """(path, modified, size, content) of a bounded number of listed files. One that is gone since is left out."""
+    there = [r for r in rows if exists(spark, r[0])]
+    named = spark.createDataFrame(there, LISTED)
+    hidden = [uri for uri, *_ in there if uri.rsplit("/", 1)[-1][:1] in "._"]
+    plain = [uri for uri, *_ in there if uri.rsplit("/", 1)[-1][:1] not in "._"]
+    content = spark.createDataFrame([], CONTENT)
+    if plain:
+        content = content.unionByName(binary(spark, [literal(u) for u in plain]).select("uri", "content"))
+    if hidden:
+        content = content.unionByName(read_hidden(spark, hidden))
+    return content.join(F.broadcast(named), "uri").select("path", "modified", "size", "content")

@@ -1,13 +1,21 @@
-"""Continuous ingest (an extension): new and changed files of a folder, batch by batch.
-
-The file source remembers which files it has read; every micro-batch goes through the same
-incremental ingest, with links resolved against the whole store. Since ingest is idempotent by
-content hash, a batch that is repeated after a failure changes nothing. Each batch adds a segment to
-the store, which compacts itself when there are many.
+"""Continuous ingest (an extension): new and edited files of a folder, batch by batch.
+
+Spark's file source reads a path once, so an edit of a file would never be seen. Here each trigger lists the
+folder and joins the listing against the versions (path, time of change, size) that the store has
+recorded; what is new or differs is read and goes through the incremental ingest, ``most`` files at a
+time. A version is committed with the rows that it gave, in one list of the store, so a batch that is
+repeated after a failure finds nothing left to do, and no other state is kept. Files that cannot
+be parsed have their version recorded as well, and are tried again once they change. An edit that changes neither
+time nor size of a file is not seen; files that are deleted stay in the store, as in the batch ingest.
+
+Links resolve against the whole store, and stored links are taken up again when a batch brings what
+they were waiting for, or makes a name ambiguous, so the edges after the last batch are those of one ingest of all
+files. Each batch adds a segment to the store, which merges its newest ones when there are many.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +25,35 @@ from pyspark.sql.streaming import StreamingQuery
 from vaultmill.operators.embed import Embedder
 from vaultmill.plans.ingest import ingest_files
 from vaultmill.plans.store import Store
-from vaultmill.sources.vault import root_of
+from vaultmill.sources.vault import listing, read_listed
+
+log = logging.getLogger(__name__)
+MOST = 1000  # files of one ingest
+
+
+def due(files: DataFrame, store: Store, after: str = "", most: int = MOST) -> list[tuple[str, str, int, int]]:
+    """The listed files whose version the store has not seen, by path, ``most`` of them at most, behind a path."""
+    seen = store.table("versions").select("path", "modified", "size")
+    rows = files.where(F.col("path") > after).join(seen, ["path", "modified", "size"], "left_anti")
+    return [tuple(r) for r in rows.select("uri", "path", "modified", "size").orderBy("path").limit(most).collect()]
+
 
-BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
+def catch_up(spark: SparkSession, folder: str, store: Store, make_embedder: Callable[[], Embedder], most: int = MOST) -> int:
+    """Takes in whatever is new or edited, and returns how many files that were. Each listed file is tried
+    once; what changes meanwhile is for the next call."""
+    files, done, after = listing(spark, folder), 0, ""
+    while rows := due(files, store, after, most):
+        ingest_files(read_listed(spark, rows), store, make_embedder, whole_store_scope=True)
+        done, after = done + len(rows), rows[-1][1]
+    return done
 
 
-def watch(spark: SparkSession, folder: str, store: Store, make_embedder: Callable[[], Embedder], checkpoint: str, *, once: bool = False) -> StreamingQuery:
-    root = root_of(spark, folder)
-    files = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
-    plain = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    rows = files.withColumn("p", plain).select(F.expr(f"substring(p, {len(root) + 2})").alias("path"), "content")
+def watch(spark: SparkSession, folder: str, store: Store, make_embedder: Callable[[], Embedder], checkpoint: str, *, once: bool = False, every: str = "10 seconds", most: int = MOST) -> StreamingQuery:
+    """A streaming query that catches up at every trigger; with once it does so a single time and ends."""
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
 
-    def take(batch: DataFrame, _: int) -> None:
-        ingest_files(batch, store, make_embedder, whole_store_scope=True)
+    def take(_: DataFrame, number: int) -> None:
+        log.info("batch %d: %d files", number, catch_up(spark, folder, store, make_embedder, most))
 
-    writer = rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    writer = ticks.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
