@@ -136,13 +136,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     """
     if base not in ("tokens", "documents"):
         raise ValueError("base is tokens or documents")
-    n = unused(("size", "source_size", "target", "rate", "copies", "key", "salt", "start", "whole", "extra", "rank", "on_key", "on_size", "on_salt"), docs)
+    n = unused(("size", "source_size", "target", "rate", "copies", "key", "salt", "start", "whole", "extra", "rank", "on_key", "on_size", "on_salt", "tie"), docs)
     sid, src = docs[f"`{id_col}`"], docs[f"`{source_col}`"]
     spread = sid if dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint") else F.when(sid.isNotNull(), F.xxhash64(sid))
-    # the words are counted once: a column used twice is not computed again above this projection
-    d = docs.select("*", word_count(docs[f"`{text_col}`"]).alias(n["size"]), F.when(src.isNull(), "n").otherwise(F.concat(F.lit("s"), src.cast("string"))).alias(n["key"]))
-    # rows without an id are spread by their texts
-    d = d.withColumn(n["salt"], F.pmod(F.pmod(F.coalesce(spread, text_hash(docs[f"`{text_col}`"])), F.lit(SALTS)) + F.col(n["size"]), F.lit(SALTS)).cast("int"))
+    # the words are counted once: a column used twice is not computed again above this projection; rows without an id
+    # are spread and ordered by a hash of their texts, which stay behind
+    tie = F.when(sid.isNull(), text_hash(docs[f"`{text_col}`"])).alias(n["tie"])
+    d = docs.select("*", word_count(docs[f"`{text_col}`"]).alias(n["size"]), F.when(src.isNull(), "n").otherwise(F.concat(F.lit("s"), src.cast("string"))).alias(n["key"]), tie)
+    d = d.withColumn(n["salt"], F.pmod(F.pmod(F.coalesce(spread, F.col(n["tie"])), F.lit(SALTS)) + F.col(n["size"]), F.lit(SALTS)).cast("int"))
     cells = cut(d.groupBy(F.col(n["key"]).alias("key"), F.col(n["size"]).alias("size"), F.col(n["salt"]).alias("salt")).agg(F.count("*").alias("n")))
     sizes = cells.groupBy("key", "size").agg(F.sum("n").alias("n"))
     totals = sizes.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("docs"))
@@ -165,12 +166,11 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
         starts = starts.withColumnRenamed(c, n[c])
     on = [d[n[c]] == starts[n[f"on_{c}"]] for c in ("key", "size", "salt")]
     j = d.join(starts, on)
-    same = F.when(F.col(f"`{id_col}`").isNull(), text_hash(F.col(f"`{text_col}`")))
-    order = W.partitionBy(n["key"], n["size"], n["salt"]).orderBy(F.col(f"`{id_col}`").asc_nulls_last(), same)
+    order = W.partitionBy(n["key"], n["size"], n["salt"]).orderBy(F.col(f"`{id_col}`").asc_nulls_last(), n["tie"])
     j = j.withColumn(n["rank"], F.row_number().over(order).cast("long"))
     more = F.col(n["start"]) + F.col(n["rank"]) <= F.col(n["extra"])
     j = j.withColumn(n["copies"], F.col(n["whole"]) + more.cast("long"))
-    return j.drop(*[n[c] for c in ("key", "salt", "start", "whole", "extra", "rank", "on_key", "on_size", "on_salt")]), n
+    return j.drop(*[n[c] for c in ("key", "salt", "start", "whole", "extra", "rank", "on_key", "on_size", "on_salt", "tie")]), n
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
