@@ -375,6 +375,35 @@ def test_statistics_need_no_lengths(spark, tmp_path, monkeypatch):
     assert store.compact() and tuple(store.snapshot().corpus().first()) == tuple(lexical.stats(store.table("lengths")).first())
 
 
+def test_stored_blocks_prune_without_changing_ranks(spark, tmp_path, monkeypatch):
+    """Over several segments, with replaced documents whose bounds stay, and after merges."""
+    import random
+
+    from vaultmill.operators import lexical
+
+    monkeypatch.setattr(lexical, "FIRST", 2)
+    rng, store = random.Random(4), Store.create(spark, str(tmp_path / "s"))
+    words = [f"w{i}" for i in range(25)]
+    text = lambda: " ".join(rng.choices(words, [1 / (i + 1) for i in range(25)], k=rng.randint(1, 40)))
+    for _ in range(3):
+        batch = [(f"d{i}.md", bytearray(text().encode())) for i in rng.sample(range(120), 60)]
+        ingest_files(spark.createDataFrame(batch, "path string, content binary"), store, vaults.Concepts, whole_store_scope=True)
+
+    def same():
+        whole, pruned = Engine(spark, store, vaults.Concepts()), Engine(spark, store, vaults.Concepts(), prune_from=0)
+        for q in ("w20 w21", "w0 w24", "w1 w2 w3 w4"):
+            rows = lambda e: [(r.doc_id, r.lexical_rank, round(r.score, 9)) for r in e.lexical(q, 5).orderBy("lexical_rank").collect()]  # noqa: B023, E731
+            assert rows(whole) == rows(pruned)
+
+    same()
+    stored = store.table("blocks").groupBy("block").agg(F.max("n").alias("n"))
+    assert stored.count() > 16 and store.table("postings").select("block").distinct().join(stored, "block", "left_anti").count() == 0
+    store.compact()
+    same()
+    posts = store.table("postings")
+    assert {tuple(r) for r in lexical.blocks(posts).collect()} == {tuple(r) for r in store.table("blocks").collect()}
+
+
 def test_merges_rewrite_new_segments_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store_module, "MOST", 3)
     store = Store.create(spark, str(tmp_path / "s"))

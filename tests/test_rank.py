@@ -91,3 +91,32 @@ def test_fusion(spark, lex, sem, k, want):
 def test_published_scores():
     share = lambda *r: round(sum(1 / (fuse.RRF_K + x) for x in r), 6)
     assert [share(1, 1), share(1, 2), share(5, 3), share(2), share(3)] == [0.032787, 0.032522, 0.031258, 0.016129, 0.015873]
+
+
+def test_pruned_ranking_is_the_whole_ranking(spark, monkeypatch):
+    """Equal ranks and scores for any query, and far fewer postings where the query is selective."""
+    from hashlib import sha256
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lexical, "FIRST", 8)
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    rows = [(sha256(str(i).encode()).hexdigest()[:16], " ".join(rng.choices(vocabulary, weights, k=rng.choice([3, 8, 40, 200])))) for i in range(1500)]
+    rows += [(sha256(b"best").hexdigest()[:16], "w50 w51 w52 w50"), (sha256(b"tie").hexdigest()[:16], "w50 w51 w52 w50")]
+    posts = lexical.postings(spark.createDataFrame(rows, "id string, text string"), "text").withColumn("block", F.substring("doc_id", 1, 2)).cache()
+    stored, corpus = lexical.blocks(posts).cache(), lexical.stats(lexical.lengths(spark.createDataFrame(rows, "id string, text string"), "text")).cache()
+    for text in ("w50 w51 w52", "w0", "w0 w1 w2", "w0 w50", "w59 w59 none", "none", "w3–w4 w50", ""):
+        for k in (1, 7, 20):
+            want = [tuple(r) for r in lexical.search(posts, corpus, text, k).orderBy("lexical_rank").collect()]
+            assert [tuple(r) for r in lexical.pruned(posts, stored, corpus, text, k).orderBy("lexical_rank").collect()] == [(a, b, pytest.approx(c)) for a, b, c in want], (text, k)
+    query = lexical.phrases("w50 w51 w52")
+    found = lexical.matches(posts, query)
+    exact = lexical.score(found, lexical.weights(found, corpus)).withColumn("block", F.substring("doc_id", 1, 2))
+    bound = lexical.bounds(stored, found, corpus, query)
+    assert exact.join(bound, "block").where(F.col("score") > F.col("bound") + 1e-9).count() == 0
+    least = lexical.search(posts, corpus, "w50 w51 w52", 2).agg(F.min("score")).first()[0]
+    left = bound.where(F.col("bound") >= least - 1e-9).select("block")
+    kept = lexical.matches(posts.join(left, "block", "left_semi"), query).count()
+    assert kept < 0.35 * found.count()

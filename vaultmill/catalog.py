@@ -386,6 +386,15 @@ def stored_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("doc_id", "lexical_rank", F.round("score", 9).alias("score"))
 
 
+def pruned_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, by the blocks of postings that can still matter; some of the notes were replaced by themselves."""
+    store = ingested(spark, sf_dir)
+    ingest_files(as_files(edited(spark, sf_dir)), store, vocabulary)
+    ingest_files(as_files(notes(spark, sf_dir)), store, vocabulary)
+    top = Engine(spark, store, vocabulary(), prune_from=0).lexical(QUESTION)
+    return top.select("doc_id", "lexical_rank", F.round("score", 9).alias("score"))
+
+
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with front matter and timeline, and their chunks, as a store has them."""
     store = fresh_store(spark)
@@ -648,7 +657,7 @@ QUERIES = {
     "link_extract": link_extract, "resolve_links": resolve_links, "link_edges": link_edges, "neighbors_dangling": neighbors_dangling,
     "expand_depth1": expand_depth(1), "expand_depth2": expand_depth(2), "expand_depth3": expand_depth(3), "expand_topk": expand_topk,
     "resolve_function": resolve_function, "link_cases": link_cases,
-    "engine_query": engine_query, "engine_neighbors": engine_neighbors, "stored_bm25": stored_bm25, "stored_documents": stored_documents, "stored_chunks": stored_chunks,
+    "engine_query": engine_query, "engine_neighbors": engine_neighbors, "stored_bm25": stored_bm25, "pruned_bm25": pruned_bm25, "stored_documents": stored_documents, "stored_chunks": stored_chunks,
     "stored_upsert": stored_upsert, "late_targets": late_targets, "ingest_counts": ingest_counts, "tool_query": tool_query, "tool_neighbors": tool_neighbors,
     "rendered_results": rendered_results, "guards": guards, "errors": errors, "scan_files": scan_files, "command_line": command_line,
     "snapshot_query": snapshot_query, "streamed_notes": streamed_notes, "edge_changes": edge_changes, "corpus_totals": corpus_totals,
@@ -698,6 +707,7 @@ WHERE s.path = '{SOME_NOTE}'""",
     "tool_neighbors": f"""WITH RECURSIVE {_STORED} SELECT e.target_id, e.relationship_type, t.path AS target_path FROM edges e JOIN sd s ON s.id = e.source_id LEFT JOIN sd t ON t.id = e.target_id
 WHERE s.path = '{SOME_NOTE}'""",
     "stored_bm25": f"WITH RECURSIVE {_STORED} SELECT id AS doc_id, lexical_rank, round(score, 9) AS score FROM slex",
+    "pruned_bm25": f"WITH RECURSIVE {_STORED} SELECT id AS doc_id, lexical_rank, round(score, 9) AS score FROM slex",
     "stored_chunks": f"WITH RECURSIVE {_STORED} SELECT id AS doc_id, 0 AS chunk_index, truth AS text, {_VECTOR} AS vector FROM sd JOIN sv USING (id)",
     "stored_upsert": f"""WITH RECURSIVE {_STORED},
 d AS (SELECT id, title, CASE WHEN path LIKE 'nation/%' THEN truth || ' Edited.' ELSE truth END AS text FROM sd),

@@ -66,10 +66,6 @@ def stats(doc_lengths: DataFrame) -> DataFrame:
     return doc_lengths.agg(F.count("*").alias("n_docs"), F.avg("n_tokens").alias("avgdl"))
 
 
-def term_df(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-
-
 def phrases(text: str, strict: bool = True) -> list[list[str]]:
     """The query as a disjunction of phrases, one for each token.
 
@@ -86,14 +82,66 @@ def refused(text: str, strict: bool = True) -> bool:
     return strict and any(m in t for t in query_tokens(text) for m in REFUSED)
 
 
+# -- pruned ranking -------------------------------------------------------------------------------
+
+FIRST = 64  # blocks that set the score to beat, besides those that top_k documents need
+
+
+def blocks(posts: DataFrame) -> DataFrame:
+    """(block, term, n, most_tf, least_tokens): what bounds the scores of a block's documents, for each term."""
+    return posts.groupBy("block", "term").agg(F.count("*").alias("n"), F.max("tf").alias("most_tf"), F.min("n_tokens").alias("least_tokens"))
+
+
+def norm_of(length, avgdl):
+    return F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / avgdl)
+
+
+def bounds(stored: DataFrame, found: DataFrame, corpus: DataFrame, query: list[list[str]]) -> DataFrame:
+    """(block, n, bound): no document of a block scores higher. found gives the phrases' numbers of documents."""
+    spark = stored.sparkSession
+    wanted = spark.createDataFrame([(i, p[0]) for i, p in enumerate(query)], "q int, term string")
+    rows = stored.where(F.col("term").isin(*{p[0] for p in query})).join(F.broadcast(wanted), "term").join(weights(found, corpus), "q")
+    most = F.col("idf") * (F.col("most_tf") * (K1 + 1)) / (F.col("most_tf") + norm_of(F.col("least_tokens"), F.col("avgdl")))
+    return rows.groupBy("block").agg(F.max("n").alias("n"), F.sum(most).alias("bound"))
+
+
+def pruned(posts: DataFrame, stored: DataFrame, corpus: DataFrame, text: str, top_k: int = 20, strict: bool = True) -> DataFrame:
+    """The same as ``search``, for postings in blocks. The blocks with the highest bounds are scored first; blocks whose
+    bound is below the score of the last place then cannot change the ranks, and their postings are not
+    shuffled. Queries with phrases, and those that few documents match, are searched whole.
+    """
+    query = phrases(text, strict) if top_k > 0 else []
+    if not query or any(len(p) > 1 for p in query):
+        return search(posts, corpus, text, top_k, strict)
+    found = matches(posts, query)
+    bound = bounds(stored, found, corpus, query)
+    top = bound.orderBy(F.col("bound").desc()).limit(FIRST + top_k).collect()
+    first, n = [], 0
+    for r in top:
+        if len(first) >= FIRST and n >= top_k:
+            break
+        first.append(r["block"])
+        n += r["n"]
+    idf = weights(found, corpus)
+    scored = score(matches(posts.where(F.col("block").isin(first)), query), idf)
+    best = [r["score"] for r in ranked(scored, top_k).select("score").collect()]
+    if len(best) < top_k:
+        return search(posts, corpus, text, top_k, strict)
+    # scores that are equal to 12 digits are ties
+    left = bound.where(F.col("bound") >= min(best) - 1e-9).select("block")
+    return ranked(score(matches(posts.join(F.broadcast(left) if left.limit(SOME + 1).count() <= SOME else left, "block", "left_semi"), query), idf), top_k)
+
+
+SOME = 100_000  # names of blocks that are broadcast
+
+
 def shifted(k: int):
     return F.transform("positions", lambda x: x - k)
 
 
 def matches(posts: DataFrame, query: list[list[str]]) -> DataFrame:
-    """(q, doc_id, tf and, where the postings have it, n_tokens): how often each phrase occurs in each document."""
-    spark = posts.sparkSession
-    more = ["n_tokens"] if "n_tokens" in posts.columns else []
+    """(q, doc_id, tf, n_tokens): how often each phrase occurs in each document."""
+    spark, more = posts.sparkSession, ["n_tokens"]
     single = {t for p in query if len(p) == 1 for t in p}
     out = None
     if single:
@@ -115,16 +163,21 @@ def matches(posts: DataFrame, query: list[list[str]]) -> DataFrame:
     return out
 
 
-def bm25(found: DataFrame, corpus: DataFrame, doc_lengths: DataFrame | None = None) -> DataFrame:
-    """found(q, doc_id, tf) -> (doc_id, score). Lengths are joined only if found has none."""
-    n = found.groupBy("q").agg(F.count("*").alias("n"))  # one row for each phrase of the query
+def weights(found: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(q, avgdl, idf): one row for each phrase of the query, to be broadcast."""
+    n = found.groupBy("q").agg(F.count("*").alias("n"))
     ratio = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.broadcast(n.crossJoin(F.broadcast(corpus)).select("q", "avgdl", F.when(ratio <= 0, F.lit(LEAST_IDF)).otherwise(ratio).alias("idf")))
-    rows = found.join(idf, "q")
-    if "n_tokens" not in found.columns:
-        rows = rows.join(doc_lengths, "doc_id")
-    norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("n_tokens") / F.col("avgdl"))
-    return rows.groupBy("doc_id").agg(F.sum(F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + norm)).alias("score"))
+    return F.broadcast(n.crossJoin(F.broadcast(corpus)).select("q", "avgdl", F.when(ratio <= 0, F.lit(LEAST_IDF)).otherwise(ratio).alias("idf")))
+
+
+def score(found: DataFrame, idf: DataFrame) -> DataFrame:
+    """found(q, doc_id, tf, n_tokens) -> (doc_id, score)."""
+    norm = norm_of(F.col("n_tokens"), F.col("avgdl"))
+    return found.join(idf, "q").groupBy("doc_id").agg(F.sum(F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + norm)).alias("score"))
+
+
+def bm25(found: DataFrame, corpus: DataFrame) -> DataFrame:
+    return score(found, weights(found, corpus))
 
 
 def ranked(scores: DataFrame, top_k: int) -> DataFrame:

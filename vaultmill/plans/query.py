@@ -14,13 +14,14 @@ from vaultmill.plans.store import Snapshot, Store
 from vaultmill.schema import NEIGHBOR, RESULT
 
 log = logging.getLogger(__name__)
+PRUNE_FROM = 20_000_000  # terms of a corpus from which a query's postings are pruned by their blocks
 
 
 class Engine:
     """Ranked retrieval with graph expansion, and neighbour lookup. Results are ordered DataFrames."""
 
-    def __init__(self, spark: SparkSession, store: Store, embedder: Embedder, *, metric: str = "l2", strict_lexical: bool = True):
-        self.spark, self.store, self.embedder = spark, store, embedder
+    def __init__(self, spark: SparkSession, store: Store, embedder: Embedder, *, metric: str = "l2", strict_lexical: bool = True, prune_from: int = PRUNE_FROM):
+        self.spark, self.store, self.embedder, self.prune_from = spark, store, embedder, prune_from
         self.metric, self.strict, self.encode = metric, strict_lexical, encoder(embedder)
 
     def stats(self, snap: Snapshot | None = None) -> DataFrame:
@@ -31,7 +32,9 @@ class Engine:
         if top_k > 0 and lexical.refused(text, self.strict):
             log.warning("the lexical query was refused, so only the semantic list counts: %r", text)
         snap = snap or self.store.snapshot()
-        return lexical.search(snap.table("postings"), snap.corpus(), text, top_k, self.strict)
+        if snap.state["terms"] < self.prune_from:  # too small for three steps to pay
+            return lexical.search(snap.table("postings"), snap.corpus(), text, top_k, self.strict)
+        return lexical.pruned(snap.table("postings"), snap.table("blocks"), snap.corpus(), text, top_k, self.strict)
 
     def semantic(self, text: str, top_k: int = 20, snap: Snapshot | None = None) -> DataFrame:
         if top_k <= 0:

@@ -21,6 +21,7 @@ have been out of use for a time and no snapshot holds them.
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
 from collections.abc import Callable
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaultmill.errors import StoreError
+from vaultmill.operators import lexical
 from vaultmill.schema import DOCUMENT, GONE, OWNER, REPLACED_BY, TABLES
 
 MOST, RETRIES, KEPT = 16, 50, 20  # segments; attempts at a commit; old lists that stay
+BLOCK = 16  # documents of a block of postings, on average, at least one digit's worth
 WRITERS = 4  # tables of a segment written at a time
 FAR = 4  # times the size of newer segments that an older one may have to be merged with them
 GRACE = 24 * 3600.0  # seconds for which segments out of use are kept, and holds of readers that never let go
@@ -46,8 +49,8 @@ EMPTY = {"segments": [], "sizes": {}, "retired": [], "documents": 0, "terms": 0}
 def laid_out(name: str, df: DataFrame) -> DataFrame:
     """Rows in the order that lookups need: postings and watched keys in files by range, others by owner in
     each file, so filters skip files and row groups by their statistics."""
-    if name == "postings":
-        return df.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    if name in ("postings", "blocks"):
+        return df.repartitionByRange("term").sortWithinPartitions("term", "block")
     if name == "watches":
         return df.repartitionByRange("key").sortWithinPartitions("key", "source_id")
     return df.sortWithinPartitions(OWNER[name]) if name in OWNER else df
@@ -203,20 +206,30 @@ class Store:
         rows = [self._file(s, name, schema).withColumn("__seq", F.lit(k)) for k, s in enumerate(segments)]
         if len(rows) == 1:
             return rows[0].drop("__seq")
+        if not REPLACED_BY[name]:
+            return reduce(DataFrame.unionByName, rows).drop("__seq")
         gone = [self._file(s, "gone", GONE).where(F.col("what").isin(*REPLACED_BY[name])).withColumn("__last", F.lit(k)) for k, s in enumerate(segments) if k]
         last = reduce(DataFrame.unionByName, gone).groupBy("id").agg(F.max("__last").alias("__last"))
         all_rows = reduce(DataFrame.unionByName, rows)
         return all_rows.join(last, (all_rows[own] == last["id"]) & (all_rows["__seq"] < last["__last"]), "left_anti").drop("__seq")
 
     def _put(self, segment: str, tables: dict[str, DataFrame]) -> None:
-        """Writes a segment's tables, several at a time, so that small ones do not wait for each other."""
+        """Writes a segment's tables, several at a time, so that small ones do not wait for each other.
+
+        Postings are dealt into blocks of a few documents by the first digits of their ids, which are hashes.
+        """
+        digits = max(1, math.ceil(math.log(max(1, tables["documents"].count()) / BLOCK, 16)))
+        name = F.concat(F.lit(f"{segment.removeprefix('segment-')[:8]}-"), F.substring("doc_id", 1, digits))
+        tables = tables | {"postings": tables["postings"].withColumn("block", name)}
 
         def write(t: str) -> None:
             laid_out(t, tables[t]).write.parquet(f"{self.root}/{segment}/{t}")
 
         with ThreadPoolExecutor(WRITERS) as pool:
-            for done in [pool.submit(inheritable_thread_target(self.spark)(partial(write, t))) for t in tables]:
+            for done in [pool.submit(inheritable_thread_target(self.spark)(partial(write, t))) for t in tables if t != "blocks"]:
                 done.result()
+        tables["blocks"] = lexical.blocks(self._file(segment, "postings", TABLES["postings"]))
+        write("blocks")
 
     @staticmethod
     def _lengths(rows: DataFrame) -> tuple[int, int]:
@@ -229,7 +242,7 @@ class Store:
         rows = {"gone": gone.select("id", "what")}
         for t, schema in TABLES.items():
             df = tables.get(t)
-            rows[t] = self.spark.createDataFrame([], schema) if df is None else df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+            rows[t] = self.spark.createDataFrame([], schema) if df is None else df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name in df.columns])
         self._put(name, rows)
         docs, terms = self._lengths(self._file(name, "lengths", TABLES["lengths"]))
         size = self._file(name, "documents", TABLES["documents"]).count() + self._file(name, "gone", GONE).count()
