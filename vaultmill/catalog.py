@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from vaultmill import cli
 from vaultmill.errors import VaultError
 from vaultmill.functions.text import content_hash, doc_id, excerpt, sanitized
-from vaultmill.operators import chunk, embed, fuse, graph, lexical, links, semantic
+from vaultmill.operators import cells, chunk, embed, fuse, graph, lexical, links, semantic
 from vaultmill.operators.parse import parse, split_page
 from vaultmill.plans import render
 from vaultmill.plans.ingest import Stats, detect_changes, ingest_files
@@ -118,6 +118,15 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", "chunk_index", "rank", F.round("distance", 9).alias("distance"))
 
 
+def knn_cells(metric: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The same by an index of cells over all vectors, of which a search skips those that are too far."""
+        index = cells.CellIndex.build(chunk_vectors(spark, sf_dir), shared_folder(spark, "cells"), metric)
+        return index.nearest(probe(spark, sf_dir), TOP).select("doc_id", "chunk_index", "rank", F.round("distance", 9).alias("distance"))
+
+    return run
+
+
 def knn_best_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.search(chunk_vectors(spark, sf_dir), probe(spark, sf_dir), TOP)
 
@@ -649,7 +658,7 @@ _VECTOR = "array_to_string(vector, ',')"
 
 QUERIES = {
     "bm25_topk": bm25_topk, "bm25_all": bm25_all, "bm25_stats": bm25_stats, "doc_lengths": doc_lengths, "term_df": term_df, "phrase_topk": phrase_topk,
-    "knn_topk_chunks": knn_topk_chunks, "knn_cosine": knn_cosine, "knn_best_per_doc": knn_best_per_doc,
+    "knn_topk_chunks": knn_topk_chunks, "knn_cosine": knn_cosine, "knn_cells": knn_cells("l2"), "knn_cells_cosine": knn_cells("cosine"), "knn_best_per_doc": knn_best_per_doc,
     "rrf_fused": rrf_fused, "signal_attribution": signal_attribution,
     "doc_id_hash": doc_id_hash, "content_hash": content_hashes, "parse_documents": parse_documents, "page_split": page_split,
     "chunk_pack": chunk_pack, "embed_chunks": embed_chunks, "sanitize_query": sanitize_query, "excerpt": excerpts,
@@ -679,6 +688,8 @@ b AS (SELECT h.doc_id, CASE WHEN ln((n_docs - df + 0.5) / (df + 0.5)) <= 0 THEN
 SELECT doc_id, row_number() OVER (ORDER BY round(score, 12) DESC, doc_id)::INTEGER AS lexical_rank, round(score, 9) AS score FROM b QUALIFY lexical_rank <= 20""",
     "knn_topk_chunks": f"WITH {_KNN} SELECT doc_id, chunk_index, rank, round(distance, 9) AS distance FROM k",
     "knn_cosine": f"WITH {_KNN.replace('list_distance(', '1 - list_cosine_similarity(')} SELECT doc_id, chunk_index, rank, round(distance, 9) AS distance FROM k",
+    "knn_cells": f"WITH {_KNN} SELECT doc_id, chunk_index, rank, round(distance, 9) AS distance FROM k",
+    "knn_cells_cosine": f"WITH {_KNN.replace('list_distance(', '1 - list_cosine_similarity(')} SELECT doc_id, chunk_index, rank, round(distance, 9) AS distance FROM k",
     "knn_best_per_doc": f"WITH {_KNN} SELECT doc_id, arg_min(chunk_index, rank) AS chunk_index, min(rank) AS semantic_rank FROM k GROUP BY doc_id",
     "rrf_fused": f"{_FUSE} SELECT doc_id, chunk_index, round(rrf_score, 9) AS rrf_score, lexical_rank, semantic_rank, signal FROM f ORDER BY f.rrf_score DESC, doc_id LIMIT 30",
     "signal_attribution": f"{_FUSE} SELECT signal, count(*) AS n FROM f GROUP BY signal",
