@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vaultmill.functions.text import doc_id, excerpt, query_tokens, sanitize, sanitized, stem, terms, terms_of
 from vaultmill.operators.chunk import chunks
-from vaultmill.operators.parse import parse, split_page
+from vaultmill.operators.parse import parse, split_page, typed
 
 
 def one(spark, column, **values):
@@ -90,3 +90,14 @@ def test_sanitize(spark, text, want):
 def test_excerpt(spark):
     assert one(spark, excerpt(F.col("t")), t=" a\nb ") == "a b"
     assert one(spark, excerpt(F.col("t")), t="x" * 281) == "x" * 277 + "..."
+
+
+def test_metadata_by_path_and_type(spark):
+    notes = {"a": "n: 3\nd: 2020-01-05\nt: [x, 7]", "b": "n: three\nd: 2020-01-04T10:00:00\no:\n  k: true", "c": "", "d": "n: 4.5"}
+    files = spark.createDataFrame([(f"{k}.md", bytearray(f"---\n{v}\n---\nbody\n".encode())) for k, v in notes.items()], "path string, content binary")
+    kept, refused = parse(files, keep_dates=True), parse(files)
+    assert {r.path for r in refused.where("error is not null").collect()} == {"a.md", "b.md"} and kept.where("error is not null").count() == 0
+    get = lambda path, kind: {r.path[0]: r.v for r in kept.select("path", typed(kept, path, kind).alias("v")).collect()}
+    assert get("$.n", "int") == {"a": 3, "b": None, "c": None, "d": 5} or get("$.n", "int") == {"a": 3, "b": None, "c": None, "d": 4}
+    assert get("$.d", "string") == {"a": "2020-01-05", "b": "2020-01-04T10:00:00", "c": None, "d": None}
+    assert get("$.t[1]", "int")["a"] == 7 and get("$.o.k", "boolean")["b"] is True and str(get("$.d", "date")["a"]) == "2020-01-05"

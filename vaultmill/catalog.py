@@ -411,6 +411,20 @@ def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.table("documents").select("id", "path", "title", "domain", "content_hash", "timeline_text", "metadata_json")
 
 
+def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents chosen by a number and a date of their front matter, read by path and type."""
+    day = F.concat(F.lit("2020-01-0"), (F.col("doc_id") % 9 + 1).cast("string"))
+    head = F.concat(F.lit("---\nsize:\n  chars: "), F.coalesce(F.col("n_chars").cast("string"), F.lit("none")), F.lit("\nmade: "), day, F.lit("\nlangs: ["), F.col("lang"), F.lit("]\n---\n"))
+    rows = read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(head, "text").cast("binary").alias("content"))
+    store = fresh_store(spark)
+    ingest_files(rows, store, vocabulary, keep_dates=True)
+    engine = Engine(spark, store, vocabulary())
+    long, late = engine.having("$.size.chars", "int", lambda v: v > 2000), engine.having("$.made", "date", lambda v: v >= F.lit("2020-01-04").cast("date"))
+    lang = engine.having("$.langs[0]", "string", lambda v: v.isin("de", "en"))
+    j = long.select("path", F.col("value").alias("chars")).join(late.select("path", F.col("value").cast("string").alias("made")), "path")
+    return j.join(lang.select("path", F.col("value").alias("lang")), "path")
+
+
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingested(spark, sf_dir).table("chunks").select("doc_id", "chunk_index", "text", shown("embedding").alias("vector"))
 
@@ -666,7 +680,7 @@ QUERIES = {
     "link_extract": link_extract, "resolve_links": resolve_links, "link_edges": link_edges, "neighbors_dangling": neighbors_dangling,
     "expand_depth1": expand_depth(1), "expand_depth2": expand_depth(2), "expand_depth3": expand_depth(3), "expand_topk": expand_topk,
     "resolve_function": resolve_function, "link_cases": link_cases,
-    "engine_query": engine_query, "engine_neighbors": engine_neighbors, "stored_bm25": stored_bm25, "pruned_bm25": pruned_bm25, "stored_documents": stored_documents, "stored_chunks": stored_chunks,
+    "engine_query": engine_query, "engine_neighbors": engine_neighbors, "stored_bm25": stored_bm25, "pruned_bm25": pruned_bm25, "stored_documents": stored_documents, "metadata_filter": metadata_filter, "stored_chunks": stored_chunks,
     "stored_upsert": stored_upsert, "late_targets": late_targets, "ingest_counts": ingest_counts, "tool_query": tool_query, "tool_neighbors": tool_neighbors,
     "rendered_results": rendered_results, "guards": guards, "errors": errors, "scan_files": scan_files, "command_line": command_line,
     "snapshot_query": snapshot_query, "streamed_notes": streamed_notes, "edge_changes": edge_changes, "corpus_totals": corpus_totals,
@@ -732,6 +746,8 @@ SELECT 0 AS run, n AS total, n AS ingested, 0::BIGINT AS skipped, 0::BIGINT AS f
 FROM (SELECT *, source || '/' || doc_id || '.md' AS path,
   '---' || chr(10) || 'title: Note ' || doc_id || chr(10) || 'domain: ' || lang || chr(10) || '---' || chr(10) || chr(10) || text || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Timeline' || chr(10) || chr(10) || '- from ' || source || chr(10) AS body
   FROM documents)""",
+    "metadata_filter": """SELECT doc_id || '.md' AS path, n_chars::INTEGER AS chars, '2020-01-0' || (doc_id % 9 + 1) AS made, lang FROM documents
+WHERE n_chars > 2000 AND doc_id % 9 + 1 >= 4 AND lang IN ('de', 'en')""",
     "rendered_results": f"WITH RECURSIVE {_STORED}, {_BLOCKS} SELECT position, block FROM blocks",
     "guards": f"""WITH RECURSIVE {_STORED.replace("depth < 2", "depth < 3").replace("ORDER BY depth, id LIMIT 20", "")}, c AS (SELECT (SELECT count(*) FROM sf) AS f, (SELECT count(*) FROM sx) AS x, (SELECT count(*) FROM sb) AS b, (SELECT count(*) FROM sd) AS d, (SELECT count(*) FROM edges WHERE source_id = 'none') AS u)
 SELECT unnest(['operators only', 'blank', 'refused', 'lexical 0', 'semantic 0', 'final 0', 'depth 0', 'expanded 0', 'unknown id', 'lexical all', 'semantic all', 'depth 3']) AS asked, unnest([0, 0, 0, 0, 0, 0, f, f, u, b, d, f + x]) AS n FROM c""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,8 @@ TIMELINE = r"(?imd)^[ \t]*---[ \t]*\n(?:[ \t]*\n)*[ \t]*##[ \t]+Timeline[ \t]*$"
 META = T.StructType([T.StructField(c, T.StringType()) for c in ("error", "title", "domain", "json")])
 
 
-def read_front_matter(raw: str | None) -> tuple[str | None, str | None, str | None, str]:
-    """(error, title, domain, metadata as JSON) of one YAML block."""
+def read_front_matter(raw: str | None, keep_dates: bool = False) -> tuple[str | None, str | None, str | None, str]:
+    """(error, title, domain, metadata as JSON) of one YAML block. Dates are refused, or kept in ISO form."""
     import yaml
 
     if raw is None:
@@ -31,7 +32,7 @@ def read_front_matter(raw: str | None) -> tuple[str | None, str | None, str | No
     if not isinstance(data, dict):
         return f"front matter must be a mapping, not {type(data).__name__}", None, None, "{}"
     try:
-        text = json.dumps(data)
+        text = json.dumps(data, default=iso if keep_dates else None)
     except TypeError as e:
         return f"front matter cannot be stored: {e}", None, None, "{}"
     domain = data.get("domain")
@@ -42,10 +43,26 @@ def read_front_matter(raw: str | None) -> tuple[str | None, str | None, str | No
     return None, str(title) if title else None, None if domain is None else str(domain), text
 
 
-@F.arrow_udf(META)
-def front_matter(blocks: pa.Array) -> pa.Array:
-    rows = [read_front_matter(b.as_py()) for b in blocks]
-    return pa.array([dict(zip(META.names, r)) for r in rows], pa.struct([(n, pa.string()) for n in META.names]))
+def iso(value: object) -> str:
+    if isinstance(value, date):  # a time of day included
+        return value.isoformat()
+    raise TypeError(f"no form for {type(value).__name__}")
+
+
+def front_matter(block: Column, keep_dates: bool = False) -> Column:
+    @F.arrow_udf(META)
+    def run(blocks: pa.Array) -> pa.Array:
+        rows = [read_front_matter(b.as_py(), keep_dates) for b in blocks]
+        return pa.array([dict(zip(META.names, r)) for r in rows], pa.struct([(n, pa.string()) for n in META.names]))
+
+    return run(block)
+
+
+def typed(documents: DataFrame, path: str, kind: str) -> Column:
+    """A value of the front matter by its path ($.key, $.key[0]) and type; null where it is missing or of another kind.
+
+    The metadata is read as a variant, so a filter on it needs no schema of the keys that documents have."""
+    return F.try_variant_get(F.try_parse_json(documents["metadata_json"]), path, kind)
 
 
 def split_page(body: Column) -> tuple[Column, Column]:
@@ -63,7 +80,7 @@ def refuse_bad(parsed: DataFrame, shown: int = 20) -> None:
         raise ParseError(first, bad.count())
 
 
-def parse(files: DataFrame) -> DataFrame:
+def parse(files: DataFrame, keep_dates: bool = False) -> DataFrame:
     """files(path, content) -> id, path, title, domain, content_hash, metadata_json, truth, timeline_text, error.
 
     A document that cannot be parsed has an error and null fields; it never fails the batch.
@@ -72,7 +89,7 @@ def parse(files: DataFrame) -> DataFrame:
     d = files.select("path", doc_id(F.col("path")).alias("id"), content_hash(F.col("content")).alias("content_hash"), text.alias("text"))
     has = F.col("text").rlike(FRONT)
     d = d.withColumn("front", F.when(has, F.regexp_extract("text", FRONT, 1))).withColumn("body", F.when(has, F.regexp_extract("text", FRONT, 2)).otherwise(F.col("text")))
-    d = d.withColumn("meta", front_matter("front"))
+    d = d.withColumn("meta", front_matter(F.col("front"), keep_dates))
     error = F.when(F.col("text").isNull(), "not valid UTF-8").otherwise(F.col("meta.error"))
     truth, timeline = split_page(F.col("body"))
     return d.select(

@@ -56,14 +56,15 @@ def touched(fresh: DataFrame, snap: Snapshot) -> DataFrame:
     return snap.table("links").join(sources, "source_id", "left_semi")
 
 
-def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], embed.Embedder], *, now: str | None = None, whole_store_scope: bool = False, strict: bool = False) -> Stats:
+def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], embed.Embedder], *, now: str | None = None, whole_store_scope: bool = False, strict: bool = False, keep_dates: bool = False) -> Stats:
     """files(path, content) into the store. A bad document is counted and keeps its stored version;
-    with strict it is a ParseError, raised before anything is written. Files with modified and size have these
+    with strict it is a ParseError, raised before anything is written. Dates in front matter make a document bad,
+    or are kept as text with keep_dates. Files with modified and size have these
     recorded, the bad ones too, so that a stream need not read them again.
     """
     now = now or datetime.now(UTC).isoformat()
     with store.snapshot() as snap:
-        parsed = detect_changes(parse(files), snap.table("documents")).persist(StorageLevel.MEMORY_AND_DISK)
+        parsed = detect_changes(parse(files, keep_dates), snap.table("documents")).persist(StorageLevel.MEMORY_AND_DISK)
         resolved = None
         try:
             bad = F.col("error").isNotNull()

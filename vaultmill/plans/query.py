@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from vaultmill.errors import QueryError
 from vaultmill.operators import fuse, graph, lexical, semantic
 from vaultmill.operators.embed import Embedder, encoder
+from vaultmill.operators.parse import typed
 from vaultmill.plans.store import Snapshot, Store
 from vaultmill.schema import NEIGHBOR, RESULT
 
@@ -84,6 +86,12 @@ class Engine:
         snap = self.store.snapshot()
         return graph.neighbors(snap.table("edges"), snap.table("documents"), doc_id).select(*NEIGHBOR.names)
 
+    def having(self, path: str, kind: str, condition: Callable[[Column], Column]) -> DataFrame:
+        """(id, path, title, value): documents whose front matter has a value of that type for which the condition holds."""
+        documents = self.store.table("documents")
+        rows = documents.select("id", "path", "title", typed(documents, path, kind).alias("value"))
+        return rows.where(condition(F.col("value")))
+
     def backlinks(self, doc_id: str) -> DataFrame:
         snap = self.store.snapshot()
         return graph.backlinks(snap.table("edges"), snap.table("documents"), doc_id)

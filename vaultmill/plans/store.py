@@ -200,7 +200,7 @@ class Store:
         return self.spark.read.schema(nullable).parquet(f"{self.root}/{segment}/{name}")
 
     def _rows(self, name: str, segments: list[str]) -> DataFrame:
-        schema, own = TABLES[name], OWNER[name]
+        schema, own = TABLES[name], OWNER.get(name)
         if not segments:
             return self.spark.createDataFrame([], schema)
         rows = [self._file(s, name, schema).withColumn("__seq", F.lit(k)) for k, s in enumerate(segments)]
