@@ -260,7 +260,7 @@ def test_late_targets_in_a_stream(spark, stream):
     assert targets(spark, store) == [("x/a.md", "b.md", "1"), ("x/a.md", "deep/c.md", "2"), ("x/a.md", "q.md", "3")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_streamed_edges_are_those_of_one_ingest(spark, tmp_path, seed):
     import random
 
