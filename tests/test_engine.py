@@ -225,6 +225,25 @@ def test_stream_takes_in_new_edited_and_hidden_files(spark, stream):
     assert go({}) and store.segments() == segments
 
 
+def test_listing_of_hidden_files_asks_little_of_the_driver(spark, tmp_path, monkeypatch):
+    """Plain notes are passed over by the file system: calls to the JVM do not grow with them."""
+    from vaultmill.sources.vault import hidden_files
+
+    hidden = [".a.md", "_b.md", "s/.c.md", ".h/d.md", ".h/deep/e.md", "x.md/_f.md", "x.md/_g/h.md", "md/_i.md", "o [1], {x}/.j.md", "k/.l.md/m.md"]
+    folder, client = vaults.write(tmp_path / "n", dict.fromkeys([*hidden, "x.md/y.md", ".h/no.txt", "s/no.txt"], "x")), spark.sparkContext._gateway._gateway_client
+    calls, real = [0], client.send_command
+    monkeypatch.setattr(client, "send_command", lambda *a, **k: (calls.__setitem__(0, calls[0] + 1), real(*a, **k))[1])
+
+    def look():
+        calls[0] = 0
+        assert sorted(p for _, p, *_ in hidden_files(spark, folder)) == sorted(hidden)
+        return calls[0]
+
+    few = look()
+    vaults.write(tmp_path / "n", {f"s/{k}.md": "x" for k in range(500)})
+    assert look() < few + 500
+
+
 def test_repeated_batch_changes_nothing(spark, stream, monkeypatch):
     """The stream fails after its commit; the batch that is repeated finds nothing to do."""
     from vaultmill.streaming import ingest as module

@@ -14,6 +14,7 @@ FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("cont
 LISTED = "uri string, path string, modified long, size long"
 CONTENT = "uri string, content binary"
 BATCH = 1000  # hidden files that are listed or read as one set
+TASKS = 8  # tasks for each core that read files, at most
 
 
 def root_of(spark: SparkSession, folder: str) -> str:
@@ -27,17 +28,41 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def unlike(suffix: str) -> str:
+    """A pattern of the names that are hidden or do not have the suffix."""
+    ends = [suffix[k:] for k in range(1, len(suffix))]
+    return f"{{{','.join(['[._]*', *(f'*[^{c}]{suffix[k + 1 :]}' for k, c in enumerate(suffix)), *ends])}}}"
+
+
+def below(fs, at) -> Iterator:
+    """All files below a folder."""
+    for f in fs.listStatus(at):
+        if f.isDirectory():
+            yield from below(fs, f.getPath())
+        else:
+            yield f
+
+
 def hidden_files(spark: SparkSession, folder: str, suffix: str = ".md") -> Iterator[tuple[str, str, int, int]]:
     """(uri, path, modified, size) of files that Spark's reader skips, as some name below the folder begins with
-    "." or "_". The listing is read as it comes; paths that are not hidden are never kept."""
-    path, root = spark._jvm.org.apache.hadoop.fs.Path(folder), root_of(spark, folder)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
-    while found.hasNext():
-        f = found.next()
-        relative = f.getPath().toUri().getPath()[len(root) + 1 :]
-        names = relative.split("/")
-        if names[-1].endswith(suffix) and any(x[:1] in "._" for x in names):
-            yield f.getPath().toString(), relative, f.getModificationTime(), f.getLen()
+    "." or "_". Folders are walked one by one, and the file system itself passes over the names of plain notes, so what
+    the driver does grows with folders and other files, not with notes. Nothing is kept."""
+    hadoop, root = spark._jvm.org.apache.hadoop.fs, root_of(spark, folder)
+    top = hadoop.Path(folder)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    apart, left = hadoop.GlobFilter(unlike(suffix)), [fs.makeQualified(top)]
+    while left:
+        at = left.pop()
+        inner = {f.getPath().getParent().toString() for f in fs.globStatus(hadoop.Path(literal(at.toString()) + f"/*{suffix}/*"))}  # folders that are named like notes
+        left += [p for p in map(hadoop.Path, inner) if p.getName()[:1] not in "._"]
+        for f in fs.listStatus(at, apart):
+            path = f.getPath()
+            if path.getName()[:1] not in "._":
+                left += [path] if f.isDirectory() else []
+                continue
+            for h in below(fs, path) if f.isDirectory() else [f]:
+                if h.getPath().getName().endswith(suffix):
+                    yield h.getPath().toString(), h.getPath().toUri().getPath()[len(root) + 1 :], h.getModificationTime(), h.getLen()
 
 
 def sets(rows: Iterator) -> Iterator[list]:
@@ -53,6 +78,7 @@ def relative(uri: str, root: str) -> Column:
 def binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Spark's reader of whole files, with modified (milliseconds) and size. What is not selected is not read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("ignoreMissingFiles", True).load(paths)
+    raw = raw.coalesce(TASKS * spark.sparkContext.defaultParallelism)  # else one task for each few dozen files
     return raw.select(F.col("path").alias("uri"), F.unix_millis("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
 
