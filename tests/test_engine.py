@@ -244,6 +244,22 @@ def test_listing_of_hidden_files_asks_little_of_the_driver(spark, tmp_path, monk
     assert look() < few + 500
 
 
+def test_stream_reads_many_files_with_the_folder(spark, stream, monkeypatch):
+    """Batches too large to be named on the driver: no name of theirs comes there, and what was seen before is not read."""
+    from vaultmill.streaming import ingest as module
+
+    folder, store, go = stream
+    monkeypatch.setattr(module, "NAMED", 2)
+    monkeypatch.setattr(module, "read_listed", lambda *_: pytest.fail("named on the driver"))
+    first = {"a.md": "one [[b]]\n", "b.md": "two\n", ".h/c.md": "hidden\n", "_d.md": "also\n", "odd [1], {x}*.md": "odd\n"}
+    assert go(first) == sorted(first)
+    segments = store.segments()
+    assert go({}) == sorted(first) and store.segments() == segments
+    assert go({"a.md": "one, edited [[e]]\n", "e.md": "three\n", "_d.md": "edited\n"}) == sorted([*first, "e.md"])
+    assert {r.title: r.content for r in store.table("truths").collect()} == {"a": "one, edited [[e]]", "b": "two", "c": "hidden", "_d": "edited", "odd [1], {x}*": "odd", "e": "three"}
+    assert targets(spark, store) == [("a.md", "e.md", "")]
+
+
 def test_repeated_batch_changes_nothing(spark, stream, monkeypatch):
     """The stream fails after its commit; the batch that is repeated finds nothing to do."""
     from vaultmill.streaming import ingest as module

@@ -75,9 +75,14 @@ def relative(uri: str, root: str) -> Column:
     return F.substring(plain, F.lit(len(root) + 2), F.length(plain))
 
 
-def binary(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Spark's reader of whole files, with modified (milliseconds) and size. What is not selected is not read."""
+def binary(spark: SparkSession, paths: str | list[str], since: int | None = None, until: int | None = None) -> DataFrame:
+    """Spark's reader of whole files, with modified (milliseconds) and size. What is not selected, or was changed
+    before ``since`` or after ``until``, is not read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").option("ignoreMissingFiles", True).load(paths)
+    if since is not None:
+        raw = raw.where(F.col("modificationTime") >= F.timestamp_millis(F.lit(since)))
+    if until is not None:
+        raw = raw.where(F.col("modificationTime") < F.timestamp_millis(F.lit(until + 1)))
     raw = raw.coalesce(TASKS * spark.sparkContext.defaultParallelism)  # else one task for each few dozen files
     return raw.select(F.col("path").alias("uri"), F.unix_millis("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
 
@@ -142,3 +147,16 @@ def read_listed(spark: SparkSession, rows: list[tuple[str, str, int, int]]) -> D
     if hidden:
         content = content.unionByName(read_hidden(spark, hidden))
     return content.join(F.broadcast(named), "uri").select("path", "modified", "size", "content")
+
+
+def read_among(spark: SparkSession, folder: str, named: DataFrame) -> DataFrame:
+    """The same for named(uri, path, modified, size) of any number, whose names do not come to the driver. Files
+    are read below the folder, those that were changed before or after all that are named left out."""
+    hidden = F.col("path").rlike(r"(^|/)[._]")
+    span = named.where(~hidden).agg(F.min("modified"), F.max("modified")).first()
+    content = spark.createDataFrame([], CONTENT)
+    if span[0] is not None:
+        content = binary(spark, folder, *span).select("uri", "content")
+    for s in sets(named.where(hidden).select("uri").toLocalIterator()):
+        content = content.unionByName(read_hidden(spark, [r["uri"] for r in s]))
+    return content.join(named, "uri").select("path", "modified", "size", "content")

@@ -21,31 +21,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.storagelevel import StorageLevel
 
 from vaultmill.operators.embed import Embedder
 from vaultmill.plans.ingest import ingest_files
 from vaultmill.plans.store import Store
-from vaultmill.sources.vault import listing, read_listed
+from vaultmill.sources.vault import listing, read_among, read_listed
 
 log = logging.getLogger(__name__)
-MOST = 1000  # files of one ingest
+MOST, NAMED = 1000, 1000  # files of one ingest; of those that are read by their names
 
 
-def due(files: DataFrame, store: Store, after: str = "", most: int = MOST) -> list[tuple[str, str, int, int]]:
+def due(files: DataFrame, store: Store, after: str = "", most: int = MOST) -> DataFrame:
     """The listed files whose version the store has not seen, by path, ``most`` of them at most, behind a path."""
     seen = store.table("versions").select("path", "modified", "size")
-    rows = files.where(F.col("path") > after).join(seen, ["path", "modified", "size"], "left_anti")
-    return [tuple(r) for r in rows.select("uri", "path", "modified", "size").orderBy("path").limit(most).collect()]
+    rows = files.where(F.col("path") > after).join(seen, ["path", "modified", "size"], "left_anti").select("uri", "path", "modified", "size")
+    return rows if rows.limit(most + 1).count() <= most else rows.orderBy("path").limit(most)
 
 
 def catch_up(spark: SparkSession, folder: str, store: Store, make_embedder: Callable[[], Embedder], most: int = MOST) -> int:
     """Takes in whatever is new or edited, and returns how many files that were. Each listed file is tried
-    once; what changes meanwhile is for the next call."""
+    once; what changes meanwhile is for the next call. Up to ``NAMED`` files are read by their names, more of them
+    with the folder."""
     files, done, after = listing(spark, folder), 0, ""
-    while rows := due(files, store, after, most):
-        ingest_files(read_listed(spark, rows), store, make_embedder, whole_store_scope=True)
-        done, after = done + len(rows), rows[-1][1]
-    return done
+    while True:
+        rows = due(files, store, after, most).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n, last = rows.agg(F.count("*"), F.max("path")).first()
+            if not n:
+                return done
+            found = read_listed(spark, [tuple(r) for r in rows.collect()]) if n <= NAMED else read_among(spark, folder, rows)
+            ingest_files(found, store, make_embedder, whole_store_scope=True)
+            done, after = done + n, last
+        finally:
+            rows.unpersist()
 
 
 def watch(spark: SparkSession, folder: str, store: Store, make_embedder: Callable[[], Embedder], checkpoint: str, *, once: bool = False, every: str = "10 seconds", most: int = MOST) -> StreamingQuery:
