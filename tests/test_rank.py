@@ -120,3 +120,13 @@ def test_pruned_ranking_is_the_whole_ranking(spark, monkeypatch):
     left = bound.where(F.col("bound") >= least - 1e-9).select("block")
     kept = lexical.matches(posts.join(left, "block", "left_semi"), query).count()
     assert kept < 0.35 * found.count()
+
+
+def test_postings_of_a_document_are_made_in_its_row(spark):
+    """No occurrence of a term is shuffled, and rows without terms give none."""
+    from vaultmill.operators import lexical
+
+    docs = spark.createDataFrame([(1, "One", "two one, ONE"), (2, None, None), (3, "", "!")], "id long, title string, text string")
+    p = lexical.postings(docs, "title", "text")
+    assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, p.collect())) == [(1, "one", 3, [0, (1 << 29) + 1, (1 << 29) + 2], 4), (1, "two", 1, [1 << 29], 4)]

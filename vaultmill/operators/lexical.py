@@ -7,7 +7,7 @@ higher first, then id.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,16 +28,23 @@ def postings(docs: DataFrame, *columns: str, id_col: str = "id") -> DataFrame:
 
     Each row carries its document's length, so a stored index ranks without a join.
     """
-    parts = [terms(F.coalesce(F.col(c), F.lit(""))) for c in columns]
-    d = docs.select(F.col(id_col).alias("doc_id"), *[p.alias(f"t{k}") for k, p in enumerate(parts)])
-    n = sum((F.size(f"t{k}") for k in range(1, len(parts))), F.size("t0"))
-    out = None
-    for k in range(len(parts)):
-        part = d.select("doc_id", n.alias("n_tokens"), F.posexplode(f"t{k}").alias("p", "term"))
-        part = part.withColumn("p", F.col("p") + k * (1 << 29))
-        out = part if out is None else out.unionByName(part)
-    rows = out.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("p")).alias("positions"), F.max("n_tokens").alias("n_tokens"))
-    return rows.select("doc_id", "term", "tf", "positions", "n_tokens")
+
+    def placed(k: int, c: str) -> Column:
+        return F.transform(terms(F.coalesce(F.col(c), F.lit(""))), lambda t, p: F.struct(t.alias("term"), (p + k * (1 << 29)).alias("p")))
+
+    parts = [placed(k, c) for k, c in enumerate(columns)]
+    d = docs.select(F.col(id_col).alias("doc_id"), F.sort_array(F.concat(*parts) if len(parts) > 1 else parts[0]).alias("x"))
+    # a document's terms are grouped in its row: each begins where the sorted terms change, so nothing is shuffled
+    d = d.withColumn("n_tokens", F.size("x"))
+    begins = F.filter(F.sequence(F.lit(0), F.greatest(F.col("n_tokens") - 1, F.lit(0))), lambda i: (i == 0) | (F.get("x", i)["term"] != F.get("x", i - 1)["term"]))
+    d = d.withColumn("begin", begins).withColumn("end", F.concat(F.slice("begin", 2, F.size("begin")), F.array("n_tokens")))
+
+    def group(g):
+        tf = g["end"] - g["begin"]
+        return F.struct(F.get("x", g["begin"])["term"].alias("term"), tf.alias("tf"), F.transform(F.slice("x", g["begin"] + 1, tf), lambda e: e["p"]).alias("positions"))
+
+    rows = d.select("doc_id", "n_tokens", F.explode(F.when(F.col("n_tokens") > 0, F.transform(F.arrays_zip("begin", "end"), group))).alias("g"))
+    return rows.select("doc_id", "g.term", "g.tf", "g.positions", "n_tokens")
 
 
 def postings_of(tokens: DataFrame, query: list[list[str]]) -> DataFrame:

@@ -64,7 +64,8 @@ def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], emb
     """
     now = now or datetime.now(UTC).isoformat()
     with store.snapshot() as snap:
-        parsed = detect_changes(parse(files, keep_dates), snap.table("documents")).persist(StorageLevel.MEMORY_AND_DISK)
+        # spread before the work: files may come in few partitions, and a join with an empty store moves nothing
+        parsed = detect_changes(parse(files.repartition("path"), keep_dates), snap.table("documents")).persist(StorageLevel.MEMORY_AND_DISK)
         resolved = None
         try:
             bad = F.col("error").isNotNull()
