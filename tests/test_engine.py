@@ -440,6 +440,14 @@ def test_stored_blocks_prune_without_changing_ranks(spark, tmp_path, monkeypatch
     assert {tuple(r) for r in lexical.blocks(posts).collect()} == {tuple(r) for r in store.table("blocks").collect()}
 
 
+def test_rows_are_made_once_for_a_write(spark):
+    """Postings and watched keys are sorted in their partitions: no range asks for a first pass over them, or sends a frequent key to one task."""
+    for name in ("postings", "blocks", "watches"):
+        df = spark.createDataFrame([], store_module.TABLES[name])
+        plan = store_module.laid_out(name, df, 2 * store_module.FILE)._jdf.queryExecution().analyzed().toString()
+        assert "RepartitionByExpression" not in plan and "Sort" in plan
+
+
 def test_merges_rewrite_new_segments_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store_module, "MOST", 3)
     store = Store.create(spark, str(tmp_path / "s"))

@@ -130,6 +130,32 @@ def test_crowds_change_no_result(spark, monkeypatch, crowd):
     assert len(got) == 40 and all(got[i] == want.get(labels[i % len(labels)], (None, "none")) for i in range(40))
 
 
+def test_labels_are_resolved_once(spark, monkeypatch):
+    """Links that share a label are answered by a broadcast: none is shuffled. One by one they resolve to the same."""
+    labels = ["x/one", "one", "three", "Drei", "same", "nope", "x/none", "five.md", "STRASSE", " two "]
+    rows = spark.range(400).select(F.concat(F.lit("s"), F.col("id") % 7).alias("source_id"), F.when(F.col("id") % 3 == 0, "x/two.md").when(F.col("id") % 3 == 1, "z/deep/y.md").otherwise("top.md").alias("source_path"), F.col("id").cast("int").alias("n"), F.element_at(F.array(*map(F.lit, labels)), (F.col("id") % len(labels) + 1).cast("int")).alias("label"))
+    scope = spark.createDataFrame([*SCOPE, ("five.md", "Same")], "path string, title string")
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        whole = links.resolve_keyed(links.keyed(rows), scope)
+        assert "SortMergeJoin" not in whole._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(str, whole.collect()))
+        monkeypatch.setattr(links, "ASKED", 0)
+        single = links.resolve_keyed(links.keyed(rows), scope)
+        assert single.columns == whole.columns and got == sorted(map(str, single.collect())) and len(got) == 400
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 10**6])
+def test_crowds_change_no_single_answer(spark, monkeypatch, crowd):
+    monkeypatch.setattr(links, "ASKED", 0)
+    test_crowds_change_no_result(spark, monkeypatch, crowd)
+
+
 def test_watches_and_announced_keys(spark):
     rows = spark.createDataFrame([("s", "x/two.md", i, t, None) for i, t in enumerate(["x/one", "one", "three", "Drei", "nope", "x/none"])], "source_id string, source_path string, n int, label string, relationship_type string")
     r = links.resolve_keyed(links.keyed(rows), spark.createDataFrame(SCOPE, "path string, title string"))

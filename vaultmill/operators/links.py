@@ -22,12 +22,14 @@ def file_name(label: Column) -> Column:
     return F.when(label.endswith(".md"), label).otherwise(F.concat(label, F.lit(".md")))
 
 
-def extract(docs: DataFrame, text: str = "truth") -> DataFrame:
-    """docs(id, path, text) -> (source_id, source_path, n, label, relationship_type), one row per link in order."""
+def extract(docs: DataFrame, text: str = "truth", *more: str) -> DataFrame:
+    """docs(id, path, text) -> (source_id, source_path, n, label, relationship_type), one row per link in order.
+
+    ``more`` names columns of the documents that stay with their links."""
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(LINK), 1).alias("label"), F.regexp_extract_all(text, F.lit(LINK), 2).alias("rel"))
-    rows = docs.select(F.col("id").alias("source_id"), F.col("path").alias("source_path"), F.posexplode(found).alias("n", "m"))
+    rows = docs.select(F.col("id").alias("source_id"), F.col("path").alias("source_path"), *more, F.posexplode(found).alias("n", "m"))
     rel = F.col("m.rel")
-    return rows.select("source_id", "source_path", "n", F.col("m.label").alias("label"), F.when(rel != "", strip(rel)).alias("relationship_type"))
+    return rows.select("source_id", "source_path", "n", F.col("m.label").alias("label"), F.when(rel != "", strip(rel)).alias("relationship_type"), *more)
 
 
 def _unique(scope: DataFrame, key: Column, name: str) -> DataFrame:
@@ -40,6 +42,7 @@ def _unique(scope: DataFrame, key: Column, name: str) -> DataFrame:
 PATH, STEM, TITLE = "path", "stem", "title"
 EXACT, SIBLING, BY_STEM, BY_TITLE, DANGLING = "exact", "sibling", "stem", "title", "none"
 KEYS = ("name_key", "next_key", "stem_key", "title_key")
+ASKED = 200_000  # labels, each with the folder that it stands in, whose answers are broadcast
 
 
 def keyed(links: DataFrame) -> DataFrame:
@@ -54,8 +57,47 @@ def keyed(links: DataFrame) -> DataFrame:
     })
 
 
-def resolve_keyed(links: DataFrame, scope: DataFrame) -> DataFrame:
-    """links with their keys -> the same with target_path (null if dangling), target_id and how."""
+def asked(links: DataFrame) -> DataFrame:
+    """(label, source_path): what there is to resolve. Where a link leads depends on its label and folder only, so
+    a label is taken once in each folder, which stands for all paths in it."""
+    return links.select("label", parent(F.col("source_path")).alias("source_path")).distinct()
+
+
+def answers(questions: DataFrame, scope: DataFrame) -> DataFrame:
+    """A bounded number of labels (see ``asked``), resolved. The scope is passed once and not shuffled: only what a
+    key of theirs fits is counted, by key."""
+    q = keyed(questions)
+    tried = [F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), F.col(k).alias("key")) for i, (k, kind) in enumerate(zip(KEYS, (PATH, PATH, STEM, TITLE)))]
+    tries = q.select("label", "source_path", F.explode(F.array(*tried)).alias("k")).where("k.key is not null").select("label", "source_path", "k.*")
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), c.alias("key")) for kind, c in ((PATH, F.col("path")), (STEM, fold(stem(F.col("path")))), (TITLE, fold(F.col("title"))))])
+    had = scope.select("path", F.explode(each).alias("k")).select("path", "k.kind", "k.key").join(F.broadcast(tries.select("kind", "key").distinct()), ["kind", "key"], "left_semi")
+    one = had.groupBy("kind", "key").agg(F.min("path").alias("at"), F.max("path").alias("__most")).where(F.col("at") == F.col("__most"))
+    hits = tries.join(F.broadcast(one), ["kind", "key"]).groupBy(F.col("label").alias("__l"), F.col("source_path").alias("__p")).agg(*[F.max(F.when(F.col("i") == i, F.col("at"))).alias(c) for i, c in enumerate(FOUND)])
+    return led(q.join(F.broadcast(hits), F.col("label").eqNullSafe(F.col("__l")) & F.col("source_path").eqNullSafe(F.col("__p")), "left").drop("__l", "__p"))
+
+
+FOUND = ("__exact", "__sibling", "__stem", "__title")  # paths by the keys, in their order
+
+
+def led(rows: DataFrame) -> DataFrame:
+    """Adds target_path, target_id and how, by what the keys found."""
+    exact, sibling, by_stem, by_title = (F.col(c).isNotNull() for c in FOUND)
+    how = F.when(exact, EXACT).when(sibling, SIBLING).when(by_stem, BY_STEM).when(by_title, BY_TITLE).otherwise(DANGLING)
+    rows = rows.withColumn("target_path", F.coalesce(*FOUND)).withColumn("how", how)
+    return rows.withColumn("target_id", doc_id(F.coalesce("target_path", "name_key"))).drop(*FOUND)
+
+
+def resolve_keyed(links: DataFrame, scope: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """links with their keys -> the same with target_path (null if dangling), target_id and how.
+
+    Labels repeat: up to ``ASKED`` different ones are resolved by themselves and their answers are broadcast,
+    so no link is shuffled. More of them are joined link by link. ``questions`` is ``asked`` of the links, if that is at hand.
+    """
+    questions = asked(links) if questions is None else questions
+    if questions.limit(ASKED + 1).count() <= ASKED:
+        known = answers(questions, scope).withColumnsRenamed({"label": "__label", "source_path": "__folder"})
+        rows = links.drop(*KEYS).join(F.broadcast(known), F.col("label").eqNullSafe(F.col("__label")) & parent(F.col("source_path")).eqNullSafe(F.col("__folder")), "left")
+        return rows.select(*links.columns, "target_path", "target_id", "how")
     paths = scope.select("path").distinct()
     sides = {
         "name_key": paths.select(F.col("path").alias("name_key"), F.col("path").alias("__exact")),
@@ -67,18 +109,15 @@ def resolve_keyed(links: DataFrame, scope: DataFrame) -> DataFrame:
     rows = links
     for k in KEYS:
         rows = skew.left_join(rows, sides[k], k, slots[k], ["source_id", "source_path", "n"])
-    how = F.when(F.col("__exact").isNotNull(), EXACT).when(F.col("__sibling").isNotNull(), SIBLING).when(F.col("__stem").isNotNull(), BY_STEM).when(F.col("__title").isNotNull(), BY_TITLE).otherwise(DANGLING)
-    target = F.coalesce("__exact", "__sibling", "__stem", "__title")
-    rows = rows.withColumn("target_path", target).withColumn("target_id", doc_id(F.coalesce("target_path", "name_key"))).withColumn("how", how)
-    return rows.select(*links.columns, "target_path", "target_id", "how")
+    return led(rows).select(*links.columns, "target_path", "target_id", "how")
 
 
 def resolve(links: DataFrame, scope: DataFrame) -> DataFrame:
     """Adds target_path (null if dangling) and target_id. scope(path, title) names all documents.
 
     Order: the exact path; a file next to the source; the only file of that name; the only document
-    of that title. Ambiguous names fall through. Links without a key and links that share a label are spread
-    over tasks; small scopes are broadcast by the optimizer from their statistics, large ones shuffled.
+    of that title. Ambiguous names fall through. See ``resolve_keyed``; where links are joined one by one, those without
+    a key and those that share a label are spread over tasks.
     """
     return resolve_keyed(keyed(links), scope).select(*links.columns, "target_path", "target_id")
 
@@ -101,12 +140,13 @@ def announced(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(keys).alias("k")).where("k.key is not null").select("k.kind", "k.key").distinct()
 
 
-def digests(resolved: DataFrame) -> DataFrame:
-    """(source_id, digest): of a source's resolved links, in any order, repeats included."""
+def digests(resolved: DataFrame, *more: str) -> DataFrame:
+    """(source_id, digest): of a source's resolved links, in any order, repeats included. ``more`` names columns that a
+    source has one value of."""
     one = F.xxhash64("target_id", "relationship_type", F.col("relationship_type").isNull(), "how")
     two = F.xxhash64(F.lit(1), F.col("relationship_type").isNull(), "how", "relationship_type", "target_id")
     total = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
-    return resolved.groupBy("source_id").agg(F.concat_ws(" ", F.count("*").cast("string"), total(one), total(two)).alias("digest"))
+    return resolved.groupBy("source_id", *more).agg(F.concat_ws(" ", F.count("*").cast("string"), total(one), total(two)).alias("digest"))
 
 
 def edges(docs: DataFrame, scope: DataFrame, text: str = "truth") -> DataFrame:

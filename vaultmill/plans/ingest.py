@@ -21,13 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from vaultmill.functions.text import doc_id
-from vaultmill.operators import chunk, embed, lexical, links
+from vaultmill.operators import chunk, embed, graph, lexical, links
 from vaultmill.operators.parse import parse, refuse_bad
 from vaultmill.plans.store import Snapshot, Store
 from vaultmill.schema import DOCUMENT, RESOLUTION, VERSION
 from vaultmill.sources.vault import scan
 
 log = logging.getLogger(__name__)
+NEAR = 4  # digits of the ids by which files are dealt out
 
 
 @dataclass
@@ -64,9 +65,15 @@ def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], emb
     """
     now = now or datetime.now(UTC).isoformat()
     with store.snapshot() as snap:
-        # spread before the work: files may come in few partitions, and a join with an empty store moves nothing
-        parsed = detect_changes(parse(files.repartition("path"), keep_dates), snap.table("documents")).persist(StorageLevel.MEMORY_AND_DISK)
-        resolved = None
+        # spread before the work: files may come in few partitions, and a join with an empty store moves nothing.
+        # Ids that begin alike stay together, so the bounds of a block of postings are found where these are
+        parsed = detect_changes(parse(files.repartition(F.substring(doc_id(F.col("path")), 1, NEAR)), keep_dates), snap.table("documents")).persist(StorageLevel.MEMORY_AND_DISK)
+        kept: list[DataFrame] = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+            return df
+
         try:
             bad = F.col("error").isNotNull()
             counts = {r["s"]: r["count"] for r in parsed.groupBy(F.when(bad, "failed").when(F.col("status") == "same", "same").otherwise("fresh").alias("s")).count().collect()}
@@ -81,44 +88,57 @@ def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], emb
                 return stats
             good = parsed.where(~bad)
             fresh = good.where("status <> 'same'")
-            scope = good.select("path", "title")
+            scope, status = good.select("path", "title"), F.lit("same").alias("status")
             if whole_store_scope:
                 stored = snap.table("documents").select("id", "path", "title").join(good.select("id"), "id", "left_anti")
                 scope = scope.unionByName(stored.select("path", "title"))
-                found = links.extract(fresh).unionByName(touched(fresh, snap))
+                found = links.extract(fresh, "truth", "status").unionByName(touched(fresh, snap).select("*", status))
+            else:
+                found = links.extract(good, "truth", "status")
+            resolved = keep(links.resolve_keyed(links.keyed(found), scope, keep(links.asked(found))))
+            # a source is written if it is fresh or its links resolve in another way than they did
+            digests = links.digests(resolved, "status")
+            again = stats.skipped or (whole_store_scope and snap.segments)  # else all sources are fresh
+            if again:
+                old = snap.table("digests").withColumnRenamed("digest", "__old")
+                digests = digests.join(old, "source_id", "left").select("source_id", "status", "digest", ((F.col("status") != "same") | ~F.col("digest").eqNullSafe(F.col("__old"))).alias("written"))
+                digests = keep(digests)
+                left, moved = digests.agg(F.count_if(~F.col("written")), F.count_if(F.col("written") & (F.col("status") == "same"))).first()
             else:
-                found = links.extract(good)
-            resolved = links.resolve_keyed(links.keyed(found), scope).persist(StorageLevel.MEMORY_AND_DISK)
-            digests = links.digests(resolved)
-            own = fresh.select(F.col("id").alias("source_id"))
-            old = snap.table("digests").withColumnRenamed("digest", "__old")
-            differ = digests.join(own, "source_id", "left_anti").join(old, "source_id", "left").where(~F.col("digest").eqNullSafe(F.col("__old"))).select("source_id")
-            gone = fresh.select("id", F.lit(DOCUMENT).alias("what")).unionByName(differ.select(F.col("source_id").alias("id"), F.lit(RESOLUTION).alias("what")))
+                digests, left, moved = digests.withColumn("written", F.lit(True)), 0, 0
+            differ = digests.where("written and status = 'same'").select("source_id")
+            gone = fresh.select("id", F.lit(DOCUMENT).alias("what"))
+            if moved:
+                gone = gone.unionByName(differ.select(F.col("source_id").alias("id"), F.lit(RESOLUTION).alias("what")))
             versions = None
             if {"modified", "size"} <= set(files.columns):
                 seen = files.select(doc_id(F.col("path")).alias("id"), "path", "modified", "size")
                 versions = seen.join(snap.table("versions").select("id", "modified", "size"), ["id", "modified", "size"], "left_anti").select("id", "path", "modified", "size")
                 gone = gone.unionByName(versions.select("id", F.lit(VERSION).alias("what")))
-            if gone.limit(1).isEmpty():
+            if not stats.ingested and not moved and (versions is None or versions.isEmpty()):
                 log.info("nothing has changed: %s", asdict(stats))
                 return stats
-            written = own.unionByName(differ)
-            mine = lambda rows: rows.join(written, "source_id", "left_semi")
+            mine = resolved
+            if left:
+                own = F.col("status") != "same"
+                mine = resolved.where(own)
+                if moved:
+                    some = F.broadcast(differ) if moved <= graph.SOME else differ
+                    mine = mine.unionByName(resolved.where(~own).join(some, "source_id", "left_semi"))
             # chunks that need no vector are never sent to the model: unchanged documents are filtered before it
             chunks = embed.embedded(chunk.chunk_rows(fresh), make_embedder)
             documents = fresh.select("*", F.coalesce("kept_created_at", F.lit(now)).alias("created_at"), F.lit(now).alias("updated_at"))
             truths = fresh.select("id", "title", F.col("truth").alias("content"))
             tables = {
                 "documents": documents, "truths": truths, "chunks": chunks, "postings": lexical.postings(truths, "title", "content"), "lengths": lexical.lengths(truths, "title", "content"),
-                "links": links.extract(fresh), "edges": links.once(mine(resolved).select("source_id", "target_id", "relationship_type")), "watches": mine(links.watches(resolved)), "digests": mine(digests),
+                "links": resolved.where("status <> 'same'"), "edges": links.once(mine.select("source_id", "target_id", "relationship_type")), "watches": links.watches(mine), "digests": digests.where("written"),
             }
             store.append(tables | ({"versions": versions} if versions is not None else {}), gone)
             log.info("ingested %s", asdict(stats))
             return stats
         finally:
-            parsed.unpersist()
-            if resolved is not None:
-                resolved.unpersist()
+            for df in (parsed, *kept):
+                df.unpersist()
 
 
 def ingest(spark: SparkSession, folder: str, store: Store, make_embedder: Callable[[], embed.Embedder] = embed.HashingEmbedder, **options) -> Stats:
