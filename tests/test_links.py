@@ -177,3 +177,20 @@ def test_digests_tell_edges_apart(spark):
     assert base == of(("b", "x", "stem"), ("a", None, "stem"))
     for other in (of(("a", "", "stem"), ("b", "x", "stem")), of(("a", None, "title"), ("b", "x", "stem")), of(("a", None, "stem"), ("a", None, "stem"), ("b", "x", "stem")), of(("a", "x", "stem"), ("b", None, "stem"))):
         assert base != other
+
+
+def test_digests_add_whole_hashes(spark):
+    """Sums of halves are the sums of the hashes themselves, negative ones too."""
+    rows = spark.range(500).selectExpr("cast(id % 7 as string) AS source_id", "cast(id as string) AS target_id", "if(id % 3 = 0, null, 'r') AS relationship_type", "'exact' AS how")
+    one = F.xxhash64("target_id", "relationship_type", F.col("relationship_type").isNull(), "how")
+    want = rows.groupBy("source_id").agg(F.sum(one.cast("decimal(38,0)")).cast("string").alias("total"))
+    j = links.digests(rows).join(want, "source_id").collect()
+    assert len(j) == 7 and all(r["digest"].split(" ")[1] == r["total"] for r in j)
+    plan = links.digests(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(cast(xxhash64" not in plan  # no decimals for each link
+
+
+def test_asked_in_documents_is_asked_of_their_links(spark):
+    docs = spark.createDataFrame([("1", "a/x.md", "[[y]] (r) [[y]] [[z]]"), ("2", "a/w.md", "[[y]]"), ("3", "top.md", "[[y]] [[ y ]]"), ("4", "b/none.md", "text"), ("5", "b/c/n.md", None)], "id string, path string, truth string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(links.asked_in(docs)) == rows(links.asked(links.extract(docs))) == [(" y ", ""), ("y", ""), ("y", "a/"), ("z", "a/")]

@@ -101,3 +101,23 @@ def test_metadata_by_path_and_type(spark):
     assert get("$.n", "int") == {"a": 3, "b": None, "c": None, "d": 5} or get("$.n", "int") == {"a": 3, "b": None, "c": None, "d": 4}
     assert get("$.d", "string") == {"a": "2020-01-05", "b": "2020-01-04T10:00:00", "c": None, "d": None}
     assert get("$.t[1]", "int")["a"] == 7 and get("$.o.k", "boolean")["b"] is True and str(get("$.d", "date")["a"]) == "2020-01-05"
+
+
+def test_plain_texts_take_the_short_way(spark):
+    """ASCII is split by a plain class, ends without blanks are not searched, folders and stems need no search: same results."""
+    from vaultmill.functions import text as functions
+
+    texts = ["", " ", "Plain words, 2 of_them", "a\tb\n", "\u2003x\u2003", "x\x1c", "Gr\u00fc\u00dfe e\u0301t\u00e9", "\u212a mixed", "---", "a" * 50, "\x00b\x7fc", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    low = F.translate(F.lower("t"), functions._from, functions._to)
+    long = F.filter(F.split(low, functions.NOT_TERM), lambda t: t != "")
+    whole = F.regexp_replace("t", rf"\A{functions.BLANK}+|{functions.BLANK}+\z", "")
+    for r in df.select("t", functions.terms(F.col("t")).alias("terms"), long.alias("long"), functions.strip(F.col("t")).alias("strip"), whole.alias("whole")).collect():
+        assert r.terms == r.long and r.strip == r.whole
+        assert r.t is None or functions.terms_of(r.t) == r.terms
+    paths = ["a/b/c.x.md", "c.md", "a/.md", "/x", "a/", "", "n\nl/\u00e9.md", None]
+    d = spark.createDataFrame([(p,) for p in paths], "p string")
+    folder, name = F.regexp_extract("p", r"(?s)^(.*/)?[^/]*$", 1), F.regexp_replace(F.regexp_replace("p", r"(?s)^.*/", ""), r"(?s)^(.+)\.[^.]+$", "$1")
+    for r in d.select("p", functions.parent(F.col("p")).alias("a"), folder.alias("b"), functions.stem(F.col("p")).alias("c"), name.alias("d")).collect():
+        assert (r.a, r.c) == (r.b, r.d)
+    assert "NOT_PLAIN" in dir(functions) and functions.NOT_PLAIN in functions.terms(F.col("t"))._jc.toString()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"  # what str.strip() and \s mean for Python strings
 NOT_TERM = r"[^\p{L}\p{N}\p{Co}\p{M}]+"
+NOT_PLAIN = "[^a-z0-9]+"  # the same in lower-case ASCII
 
 
 def _plain_letters() -> dict[str, str]:
@@ -34,11 +35,15 @@ _table = str.maketrans(PLAIN)
 
 
 def terms(text: Column) -> Column:
-    """The terms of a text in order."""
-    return F.filter(F.split(F.translate(F.lower(text), _from, _to), NOT_TERM), lambda t: t != "")
+    """The terms of a text in order. ASCII, where no letter has a mark, is split by a plain class of letters."""
+    low = F.lower(text)
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.filter(F.when(ascii_only, F.split(low, NOT_PLAIN)).otherwise(F.split(F.translate(low, _from, _to), NOT_TERM)), lambda t: t != "")
 
 
 def terms_of(text: str) -> list[str]:
+    if text.isascii():
+        return re.findall("[a-z0-9]+", text.lower())
     out, word = [], []
     for c in [*text.lower().translate(_table), " "]:
         if unicodedata.category(c)[0] in "LNM" or unicodedata.category(c) == "Co":
@@ -50,7 +55,9 @@ def terms_of(text: str) -> list[str]:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")
+    """Without blanks at both ends. Texts without any there, which are most, are not searched."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(BLANK), F.regexp_replace(text, rf"\A{BLANK}+|{BLANK}+\z", "")).otherwise(text)
 
 
 def doc_id(path: Column) -> Column:
@@ -64,12 +71,12 @@ def content_hash(body: Column) -> Column:
 
 def stem(path: Column) -> Column:
     """The file name without its last suffix."""
-    return F.regexp_replace(F.regexp_replace(path, r"(?s)^.*/", ""), r"(?s)^(.+)\.[^.]+$", "$1")
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"(?s)^(.+)\.[^.]+$", "$1")
 
 
 def parent(path: Column) -> Column:
     """The folder with a closing slash; empty at the top."""
-    return F.regexp_extract(path, r"(?s)^(.*/)?[^/]*$", 1)
+    return F.substring(path, F.lit(1), F.length(path) - F.length(F.substring_index(path, "/", -1)))
 
 
 # lower-case letters that full case folding changes further (sharp s, final sigma, ligatures and the like)

@@ -63,14 +63,21 @@ def asked(links: DataFrame) -> DataFrame:
     return links.select("label", parent(F.col("source_path")).alias("source_path")).distinct()
 
 
+def asked_in(docs: DataFrame, text: str = "truth") -> DataFrame:
+    """``asked`` of all links in docs(path, text), from their labels alone."""
+    labels = F.array_distinct(F.regexp_extract_all(text, F.lit(LINK), 1))
+    return docs.select(parent(F.col("path")).alias("source_path"), F.explode(labels).alias("label")).select("label", "source_path").distinct()
+
+
 def answers(questions: DataFrame, scope: DataFrame) -> DataFrame:
     """A bounded number of labels (see ``asked``), resolved. The scope is passed once and not shuffled: only what a
     key of theirs fits is counted, by key."""
     q = keyed(questions)
     tried = [F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), F.col(k).alias("key")) for i, (k, kind) in enumerate(zip(KEYS, (PATH, PATH, STEM, TITLE)))]
     tries = q.select("label", "source_path", F.explode(F.array(*tried)).alias("k")).where("k.key is not null").select("label", "source_path", "k.*")
-    each = F.array(*[F.struct(F.lit(kind).alias("kind"), c.alias("key")) for kind, c in ((PATH, F.col("path")), (STEM, fold(stem(F.col("path")))), (TITLE, fold(F.col("title"))))])
-    had = scope.select("path", F.explode(each).alias("k")).select("path", "k.kind", "k.key").join(F.broadcast(tries.select("kind", "key").distinct()), ["kind", "key"], "left_semi")
+    named = scope.select("path", F.col("path").alias(PATH + "_"), fold(stem(F.col("path"))).alias(STEM + "_"), fold(F.col("title")).alias(TITLE + "_"))  # each key is made once
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_").alias("key")) for kind in (PATH, STEM, TITLE)])
+    had = named.select("path", F.explode(each).alias("k")).select("path", "k.kind", "k.key").join(F.broadcast(tries.select("kind", "key").distinct()), ["kind", "key"], "left_semi")
     one = had.groupBy("kind", "key").agg(F.min("path").alias("at"), F.max("path").alias("__most")).where(F.col("at") == F.col("__most"))
     hits = tries.join(F.broadcast(one), ["kind", "key"]).groupBy(F.col("label").alias("__l"), F.col("source_path").alias("__p")).agg(*[F.max(F.when(F.col("i") == i, F.col("at"))).alias(c) for i, c in enumerate(FOUND)])
     return led(q.join(F.broadcast(hits), F.col("label").eqNullSafe(F.col("__l")) & F.col("source_path").eqNullSafe(F.col("__p")), "left").drop("__l", "__p"))
@@ -145,7 +152,11 @@ def digests(resolved: DataFrame, *more: str) -> DataFrame:
     source has one value of."""
     one = F.xxhash64("target_id", "relationship_type", F.col("relationship_type").isNull(), "how")
     two = F.xxhash64(F.lit(1), F.col("relationship_type").isNull(), "how", "relationship_type", "target_id")
-    total = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
+
+    def total(h: Column) -> Column:  # exact: halves of 32 bits are added as longs
+        high, low = F.sum(F.shiftright(h, 32)).cast("decimal(20,0)"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).cast("decimal(20,0)")
+        return (high * F.lit(1 << 32).cast("decimal(10,0)") + low).cast("decimal(38,0)").cast("string")
+
     return resolved.groupBy("source_id", *more).agg(F.concat_ws(" ", F.count("*").cast("string"), total(one), total(two)).alias("digest"))
 
 

@@ -92,10 +92,12 @@ def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], emb
             if whole_store_scope:
                 stored = snap.table("documents").select("id", "path", "title").join(good.select("id"), "id", "left_anti")
                 scope = scope.unionByName(stored.select("path", "title"))
-                found = links.extract(fresh, "truth", "status").unionByName(touched(fresh, snap).select("*", status))
+                waiting = touched(fresh, snap)
+                found = links.extract(fresh, "truth", "status").unionByName(waiting.select("*", status))
+                questions = links.asked_in(fresh).unionByName(links.asked(waiting)).distinct()
             else:
-                found = links.extract(good, "truth", "status")
-            resolved = keep(links.resolve_keyed(links.keyed(found), scope, keep(links.asked(found))))
+                found, questions = links.extract(good, "truth", "status"), links.asked_in(good)
+            resolved = keep(links.resolve_keyed(links.keyed(found), scope, keep(questions)))
             # a source is written if it is fresh or its links resolve in another way than they did
             digests = links.digests(resolved, "status")
             again = stats.skipped or (whole_store_scope and snap.segments)  # else all sources are fresh
