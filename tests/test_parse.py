@@ -121,3 +121,10 @@ def test_plain_texts_take_the_short_way(spark):
     for r in d.select("p", functions.parent(F.col("p")).alias("a"), folder.alias("b"), functions.stem(F.col("p")).alias("c"), name.alias("d")).collect():
         assert (r.a, r.c) == (r.b, r.d)
     assert "NOT_PLAIN" in dir(functions) and functions.NOT_PLAIN in functions.terms(F.col("t"))._jc.toString()
+
+
+def test_equal_front_matter_and_none(spark):
+    texts = ["---\ntitle: T\n---\na", "b", "---\ntitle: T\n---\nc", "---\n[1]\n---\nd", "e"]
+    files = spark.createDataFrame([(f"{k}.md", bytearray(t.encode())) for k, t in enumerate(texts)], "path string, content binary").coalesce(1)
+    got = [(r["title"], r["metadata_json"], (r["error"] or "")[:25]) for r in parse(files).orderBy("path").collect()]
+    assert got == [("T", '{"title": "T"}', ""), ("1", "{}", ""), ("T", '{"title": "T"}', ""), ("3", "{}", "front matter must be a map"[:25]), ("4", "{}", "")]

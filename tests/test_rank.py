@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from vaultmill.functions.text import terms_of
-from vaultmill.operators import fuse, lexical, semantic
+from vaultmill.operators import embed, fuse, lexical, semantic
 
 WORDS = ["zebra", "horse", "plain", "river", "stone", "cloud", "école", "x1"]
 
@@ -130,3 +130,27 @@ def test_postings_of_a_document_are_made_in_its_row(spark):
     p = lexical.postings(docs, "title", "text")
     assert "Exchange" not in p._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, p.collect())) == [(1, "one", 3, [0, (1 << 29) + 1, (1 << 29) + 2], 4), (1, "two", 1, [1 << 29], 4)]
+
+
+def test_rounding_is_not_repeated_in_sorts(spark):
+    """A sort makes its expressions for every comparison, so what is rounded is a column before it."""
+    scores = spark.createDataFrame([("b", 0.1 + 0.2), ("a", 0.3), ("c", 0.5)], "doc_id string, score double")
+    chunks = spark.createDataFrame([("b", 1, [0.5]), ("b", 0, [0.5]), ("a", 0, [0.5]), ("c", 0, [0.25])], "doc_id string, chunk_index int, embedding array<float>")
+    top, near = lexical.ranked(scores, 1_000_000), semantic.nearest(chunks, [0.0], 1_000_000)
+    assert [(r.doc_id, r.lexical_rank) for r in top.orderBy("lexical_rank").collect()] == [("c", 1), ("a", 2), ("b", 3)]
+    assert [(r.doc_id, r.chunk_index) for r in near.orderBy("rank").collect()] == [("c", 0), ("a", 0), ("b", 0), ("b", 1)]
+    assert near.columns == ["doc_id", "chunk_index", "distance", "rank"]
+    for df in (top, near):
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        sorts = [x for x in lines if "Sort [" in x or "Window [" in x]
+        assert len(sorts) == 2 and not any("round(" in x for x in sorts)
+
+
+def test_equal_texts_are_encoded_once(spark):
+    class Counting:
+        def encode(self, texts):
+            return np.array([[len(t), len(texts)] for t in texts], np.float32)
+
+    rows = spark.createDataFrame([(i, "xyz"[: i % 3 + 1]) for i in range(30)], "i int, text string").coalesce(1)
+    got = embed.embedded(rows, Counting).collect()
+    assert len(got) == 30 and all(r["embedding"] == [len(r["text"]), 3.0] for r in got)

@@ -37,13 +37,13 @@ def postings(docs: DataFrame, *columns: str, id_col: str = "id") -> DataFrame:
     # a document's terms are grouped in its row: each begins where the sorted terms change, so nothing is shuffled
     d = d.withColumn("n_tokens", F.size("x"))
     begins = F.filter(F.sequence(F.lit(0), F.greatest(F.col("n_tokens") - 1, F.lit(0))), lambda i: (i == 0) | (F.get("x", i)["term"] != F.get("x", i - 1)["term"]))
-    d = d.withColumn("begin", begins).withColumn("end", F.concat(F.slice("begin", 2, F.size("begin")), F.array("n_tokens")))
+    d = d.withColumn("begin", begins)
 
-    def group(g):
-        tf = g["end"] - g["begin"]
-        return F.struct(F.get("x", g["begin"])["term"].alias("term"), tf.alias("tf"), F.transform(F.slice("x", g["begin"] + 1, tf), lambda e: e["p"]).alias("positions"))
+    def group(begin, k):
+        first, tf = F.get("x", begin), F.coalesce(F.get("begin", k + 1), "n_tokens") - begin
+        return F.struct(first["term"].alias("term"), tf.alias("tf"), F.when(tf == 1, F.array(first["p"])).otherwise(F.transform(F.slice("x", begin + 1, tf), lambda e: e["p"])).alias("positions"))
 
-    rows = d.select("doc_id", "n_tokens", F.explode(F.when(F.col("n_tokens") > 0, F.transform(F.arrays_zip("begin", "end"), group))).alias("g"))
+    rows = d.select("doc_id", "n_tokens", F.explode(F.when(F.col("n_tokens") > 0, F.transform("begin", group))).alias("g"))
     return rows.select("doc_id", "g.term", "g.tf", "g.positions", "n_tokens")
 
 
@@ -189,9 +189,10 @@ def bm25(found: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def ranked(scores: DataFrame, top_k: int) -> DataFrame:
     """(doc_id, lexical_rank, score). Scores equal to 12 digits are ties, broken by id."""
-    top = scores.orderBy(F.round("score", 12).desc(), "doc_id").limit(top_k)
-    order = W.orderBy(F.round("score", 12).desc(), "doc_id")  # over top_k rows at most
-    return top.select("doc_id", F.row_number().over(order).alias("lexical_rank"), "score")
+    order = [F.col("__tie").desc(), F.col("doc_id")]
+    # rounded once a row: a sort makes its expressions anew for each comparison
+    top = scores.withColumn("__tie", F.round("score", 12)).orderBy(*order).limit(top_k)
+    return top.select("doc_id", F.row_number().over(W.orderBy(*order)).alias("lexical_rank"), "score")  # over top_k rows at most
 
 
 def search(posts: DataFrame, corpus: DataFrame, text: str, top_k: int = 20, strict: bool = True) -> DataFrame:

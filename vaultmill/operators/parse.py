@@ -6,6 +6,7 @@ import json
 from datetime import date
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,8 +53,10 @@ def iso(value: object) -> str:
 def front_matter(block: Column, keep_dates: bool = False) -> Column:
     @F.arrow_udf(META)
     def run(blocks: pa.Array) -> pa.Array:
-        rows = [read_front_matter(b.as_py(), keep_dates) for b in blocks]
-        return pa.array([dict(zip(META.names, r)) for r in rows], pa.struct([(n, pa.string()) for n in META.names]))
+        blocks = pc.dictionary_encode(blocks)  # notes without front matter, and those with the same, are read once
+        rows = [read_front_matter(None), *(read_front_matter(b, keep_dates) for b in blocks.dictionary.to_pylist())]
+        at = pc.fill_null(pc.add(pc.cast(blocks.indices, pa.int32()), 1), 0)
+        return pa.StructArray.from_arrays([pa.array(c, pa.string()).take(at) for c in zip(*rows)], META.names)
 
     return run(block)
 
@@ -67,7 +70,7 @@ def typed(documents: DataFrame, path: str, kind: str) -> Column:
 
 def split_page(body: Column) -> tuple[Column, Column]:
     """(stable body, timeline or null): split at a rule that a Timeline heading follows."""
-    parts = F.split(body, TIMELINE, 2)
+    parts = F.when(F.contains(body, F.lit("---")), F.split(body, TIMELINE, 2)).otherwise(F.array(body))  # texts without a rule are not searched
     timeline = strip(F.get(parts, F.lit(1)))
     return strip(F.get(parts, F.lit(0))), F.when(timeline != "", timeline)
 
@@ -87,7 +90,7 @@ def parse(files: DataFrame, keep_dates: bool = False) -> DataFrame:
     """
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "utf-8"))
     d = files.select("path", doc_id(F.col("path")).alias("id"), content_hash(F.col("content")).alias("content_hash"), text.alias("text"))
-    has = F.col("text").rlike(FRONT)
+    has = F.startswith("text", F.lit("---")) & F.col("text").rlike(FRONT)
     d = d.withColumn("front", F.when(has, F.regexp_extract("text", FRONT, 1))).withColumn("body", F.when(has, F.regexp_extract("text", FRONT, 2)).otherwise(F.col("text")))
     d = d.withColumn("meta", front_matter(F.col("front"), keep_dates))
     error = F.when(F.col("text").isNull(), "not valid UTF-8").otherwise(F.col("meta.error"))

@@ -15,8 +15,9 @@ def nearest(chunks: DataFrame, query: Sequence[float], top_k: int = 20, metric:
     """(doc_id, chunk_index, rank, distance): the top_k chunks by distance, then id and index."""
     dist = METRICS[metric](F.col("embedding"), query)
     rows = chunks.select("doc_id", "chunk_index", dist.alias("distance")).where("distance is not null")
-    key = (F.round("distance", 12), F.col("doc_id"), F.col("chunk_index"))
-    return rows.orderBy(*key).limit(max(0, top_k)).withColumn("rank", F.row_number().over(W.orderBy(*key)))
+    key = ("__tie", "doc_id", "chunk_index")  # rounded once a row: a sort makes its expressions anew for each comparison
+    top = rows.withColumn("__tie", F.round("distance", 12)).orderBy(*key).limit(max(0, top_k))
+    return top.select("doc_id", "chunk_index", "distance", F.row_number().over(W.orderBy(*key)).alias("rank"))
 
 
 def best_per_document(near: DataFrame) -> DataFrame:
