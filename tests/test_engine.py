@@ -581,3 +581,29 @@ def test_hit_without_document(spark, tmp_path_factory):
     with pytest.raises(QueryError):
         Engine(spark, store, make()).query("zebra")
     assert Tools(spark, store.root, make()).query("zebra").is_error
+
+
+def test_front_matter_that_comes_between_two_looks_is_read(spark, tmp_path, monkeypatch):
+    """Files looked plain when they were first read; the rows are made again with their front matter."""
+    import vaultmill.plans.ingest as module
+
+    monkeypatch.setattr(module, "fronted", lambda files: False)
+    store = Store.create(spark, str(tmp_path / "s"))
+    files = spark.createDataFrame([("a.md", bytearray(b"---\ntitle: T\n---\nsee [[b]]")), ("b.md", bytearray(b"text"))], "path string, content binary")
+    assert ingest_files(files, store, HashingEmbedder) == Stats(2, 2, 0, 0)
+    assert {(r["path"], r["title"]) for r in store.table("documents").collect()} == {("a.md", "T"), ("b.md", "b")}
+
+
+def test_links_of_plain_notes_are_grouped_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Watches, edges and digests of a source are made in the partition that its note is in."""
+    plans = {}
+    real = Store.append
+    look = lambda t: {k: t[k]._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0] for k in ("watches", "edges", "digests")}
+    # (the links are made first: plans on top of them are final then)
+    monkeypatch.setattr(Store, "append", lambda self, tables, gone: (tables["links"].count(), plans.update(look(tables)), real(self, tables, gone))[-1])
+    store = Store.create(spark, str(tmp_path / "s"))
+    files = spark.createDataFrame([(f"{k}.md", bytearray(f"[[{k + 1}]] (r) [[{k + 1}]] (r) [[x]]".encode())) for k in range(50)], "path string, content binary")
+    ingest_files(files, store, HashingEmbedder)
+    assert not any("Exchange hashpartitioning(source_id" in p for p in plans.values()) and len(plans) == 3
+    assert store.table("edges").count() == 100 and store.table("digests").count() == 50
+    assert store.table("watches").count() == store.table("watches").distinct().count()

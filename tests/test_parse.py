@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vaultmill.functions.text import doc_id, excerpt, query_tokens, sanitize, sanitized, stem, terms, terms_of
 from vaultmill.operators.chunk import chunks
-from vaultmill.operators.parse import parse, split_page, typed
+from vaultmill.operators.parse import LATE, fronted, parse, split_page, typed
 
 
 def one(spark, column, **values):
@@ -123,6 +123,18 @@ def test_plain_texts_take_the_short_way(spark):
     assert "NOT_PLAIN" in dir(functions) and functions.NOT_PLAIN in functions.terms(F.col("t"))._jc.toString()
 
 
+def test_files_known_to_be_plain_run_no_python(spark):
+    """Their rows keep the partitioning of the files; front matter that comes all the same is an error, not text."""
+    rows = [("a.md", b"one\n\n---\n## Timeline\nthen"), ("b.md", b"--- no rule"), ("c.md", b"\xc3("), ("d/e.md", "é [[x]]".encode()), ("f.md", b"")]
+    files = spark.createDataFrame([(p, bytearray(b)) for p, b in rows], "path string, content binary")
+    both = [sorted(map(tuple, parse(files, plain=plain).collect()), key=str) for plain in (True, False)]
+    assert both[0] == both[1] and not fronted(files.where("path = 'a.md'")) and fronted(files)
+    plan = parse(files.repartition(doc_id(F.col("path"))), plain=True).groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("Exchange ") == 1
+    late = spark.createDataFrame([("g.md", bytearray(b"---\ntitle: T\n---\ntext"))], "path string, content binary")
+    assert parse(late, plain=True).first()["error"] == LATE and parse(late).first()["title"] == "T"
+
+
 def test_equal_front_matter_and_none(spark):
     texts = ["---\ntitle: T\n---\na", "b", "---\ntitle: T\n---\nc", "---\n[1]\n---\nd", "e"]
     files = spark.createDataFrame([(f"{k}.md", bytearray(t.encode())) for k, t in enumerate(texts)], "path string, content binary").coalesce(1)

@@ -129,14 +129,15 @@ def resolve(links: DataFrame, scope: DataFrame) -> DataFrame:
     return resolve_keyed(keyed(links), scope).select(*links.columns, "target_path", "target_id")
 
 
-def watches(resolved: DataFrame) -> DataFrame:
-    """(source_id, kind, key): the keys that a new document or title must have to change how a link resolves."""
+def watches(resolved: DataFrame, *more: str) -> DataFrame:
+    """(source_id, kind, key): the keys that a new document or title must have to change how a link resolves. ``more`` names
+    columns that a source has one value of."""
     key = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("key"))
     name, near, by_stem, by_title = key(PATH, "name_key"), key(PATH, "next_key"), key(STEM, "stem_key"), key(TITLE, "title_key")
     none = F.array().cast("array<struct<kind:string,key:string>>")
     how = F.col("how")
     kept = F.when(how == EXACT, none).when(how == SIBLING, F.array(name)).when(how == BY_STEM, F.array(name, near, by_stem)).otherwise(F.array(name, near, by_stem, by_title))
-    return resolved.select("source_id", F.explode(kept).alias("k")).where("k.key is not null").select("source_id", "k.kind", "k.key").distinct()
+    return resolved.select("source_id", *more, F.explode(kept).alias("k")).where("k.key is not null").select("source_id", *more, "k.kind", "k.key").distinct()
 
 
 def announced(docs: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from vaultmill.functions.text import BLANK, content_hash, doc_id, stem, strip
 # fixed values: what front matter and the start of a timeline look like
 FRONT = rf"(?s)\A---{BLANK}*\n(.*?)\n---{BLANK}*\n(.*)\z"
 TIMELINE = r"(?imd)^[ \t]*---[ \t]*\n(?:[ \t]*\n)*[ \t]*##[ \t]+Timeline[ \t]*$"
+LATE = "front matter where none was expected"
 META = T.StructType([T.StructField(c, T.StringType()) for c in ("error", "title", "domain", "json")])
 
 
@@ -83,16 +84,24 @@ def refuse_bad(parsed: DataFrame, shown: int = 20) -> None:
         raise ParseError(first, bad.count())
 
 
-def parse(files: DataFrame, keep_dates: bool = False) -> DataFrame:
+def fronted(files: DataFrame) -> bool:
+    """Whether a file may have front matter. Each task stops at the first one that may."""
+    return files.where(F.startswith(F.col("content").cast("string"), F.lit("---"))).limit(1).count() > 0
+
+
+def parse(files: DataFrame, keep_dates: bool = False, plain: bool = False) -> DataFrame:
     """files(path, content) -> id, path, title, domain, content_hash, metadata_json, truth, timeline_text, error.
 
-    A document that cannot be parsed has an error and null fields; it never fails the batch.
+    A document that cannot be parsed has an error and null fields; it never fails the batch. With plain, where no file is
+    expected to have front matter, no Python runs and the rows keep the partitioning of the files; one that has it
+    all the same gets the error LATE.
     """
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "utf-8"))
     d = files.select("path", doc_id(F.col("path")).alias("id"), content_hash(F.col("content")).alias("content_hash"), text.alias("text"))
     has = F.startswith("text", F.lit("---")) & F.col("text").rlike(FRONT)
     d = d.withColumn("front", F.when(has, F.regexp_extract("text", FRONT, 1))).withColumn("body", F.when(has, F.regexp_extract("text", FRONT, 2)).otherwise(F.col("text")))
-    d = d.withColumn("meta", front_matter(F.col("front"), keep_dates))
+    none = [F.when(F.col("front").isNotNull(), F.lit(LATE)), *[F.lit(None).cast("string")] * 2, F.lit("{}")]
+    d = d.withColumn("meta", F.struct(*[c.alias(n) for c, n in zip(none, META.names)]) if plain else front_matter(F.col("front"), keep_dates))
     error = F.when(F.col("text").isNull(), "not valid UTF-8").otherwise(F.col("meta.error"))
     truth, timeline = split_page(F.col("body"))
     return d.select(

@@ -22,7 +22,7 @@ from pyspark.storagelevel import StorageLevel
 
 from vaultmill.functions.text import doc_id
 from vaultmill.operators import chunk, embed, graph, lexical, links
-from vaultmill.operators.parse import parse, refuse_bad
+from vaultmill.operators.parse import LATE, fronted, parse, refuse_bad
 from vaultmill.plans.store import Snapshot, Store
 from vaultmill.schema import DOCUMENT, RESOLUTION, VERSION
 from vaultmill.sources.vault import scan
@@ -65,18 +65,26 @@ def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], emb
     """
     now = now or datetime.now(UTC).isoformat()
     with store.snapshot() as snap:
-        # spread before the work: files may come in few partitions, and a join with an empty store moves nothing.
-        # Ids that begin alike stay together, so the bounds of a block of postings are found where these are
-        parsed = detect_changes(parse(files.repartition(F.substring(doc_id(F.col("path")), 1, NEAR)), keep_dates), snap.table("documents")).persist(StorageLevel.MEMORY_AND_DISK)
         kept: list[DataFrame] = []
 
         def keep(df: DataFrame) -> DataFrame:
             kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
             return df
 
+        def prepared(plain: bool) -> tuple[DataFrame, dict[str, int]]:
+            # spread before the work: files may come in few partitions. Ids that begin alike stay together, so the bounds of a
+            # block of postings are found where these are; with rows in the store a join asks for whole ids
+            name = doc_id(F.col("path"))
+            spread = files.repartition(name if snap.segments else F.substring(name, 1, NEAR))
+            df = keep(detect_changes(parse(spread, keep_dates, plain), snap.table("documents")).withColumn("near", F.substring("id", 1, NEAR)))
+            kind = F.when(F.col("error") == LATE, "late").when(F.col("error").isNotNull(), "failed").when(F.col("status") == "same", "same").otherwise("fresh")
+            return df, {r["s"]: r["count"] for r in df.groupBy(kind.alias("s")).count().collect()}
+
         try:
             bad = F.col("error").isNotNull()
-            counts = {r["s"]: r["count"] for r in parsed.groupBy(F.when(bad, "failed").when(F.col("status") == "same", "same").otherwise("fresh").alias("s")).count().collect()}
+            parsed, counts = prepared(plain=not fronted(files))
+            if "late" in counts:  # a file was changed between the two looks at it
+                parsed, counts = prepared(plain=False)
             stats = Stats(sum(counts.values()), counts.get("fresh", 0), counts.get("same", 0), counts.get("failed", 0))
             if stats.failed:
                 if strict:
@@ -93,13 +101,14 @@ def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], emb
                 stored = snap.table("documents").select("id", "path", "title").join(good.select("id"), "id", "left_anti")
                 scope = scope.unionByName(stored.select("path", "title"))
                 waiting = touched(fresh, snap)
-                found = links.extract(fresh, "truth", "status").unionByName(waiting.select("*", status))
+                found = links.extract(fresh, "truth", "status", "near").unionByName(waiting.select("*", status, F.substring("source_id", 1, NEAR).alias("near")))
                 questions = links.asked_in(fresh).unionByName(links.asked(waiting)).distinct()
             else:
-                found, questions = links.extract(good, "truth", "status"), links.asked_in(good)
+                found, questions = links.extract(good, "truth", "status", "near"), links.asked_in(good)
             resolved = keep(links.resolve_keyed(links.keyed(found), scope, keep(questions)))
             # a source is written if it is fresh or its links resolve in another way than they did
-            digests = links.digests(resolved, "status")
+            # (with the first digits of its id a source is known to be in one partition, so these are grouped there)
+            digests = links.digests(resolved, "status", "near")
             again = stats.skipped or (whole_store_scope and snap.segments)  # else all sources are fresh
             if again:
                 old = snap.table("digests").withColumnRenamed("digest", "__old")
@@ -133,13 +142,13 @@ def ingest_files(files: DataFrame, store: Store, make_embedder: Callable[[], emb
             truths = fresh.select("id", "title", F.col("truth").alias("content"))
             tables = {
                 "documents": documents, "truths": truths, "chunks": chunks, "postings": lexical.postings(truths, "title", "content"), "lengths": lexical.lengths(truths, "title", "content"),
-                "links": resolved.where("status <> 'same'"), "edges": links.once(mine.select("source_id", "target_id", "relationship_type")), "watches": links.watches(mine), "digests": digests.where("written"),
+                "links": resolved.where("status <> 'same'"), "edges": links.once(mine.select("source_id", "target_id", "relationship_type", "near")), "watches": links.watches(mine, "near"), "digests": digests.where("written"),
             }
             store.append(tables | ({"versions": versions} if versions is not None else {}), gone)
             log.info("ingested %s", asdict(stats))
             return stats
         finally:
-            for df in (parsed, *kept):
+            for df in kept:
                 df.unpersist()
 
 
