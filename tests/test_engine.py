@@ -192,6 +192,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("neighbors", "unknown") == 0 and "(no outbound edges)" in capsys.readouterr().out
 
 
+def test_ingest_of_a_folder_lists_nothing_on_the_driver(spark, tmp_path, monkeypatch, capsys):
+    from vaultmill.sources import vault
+
+    for name in ("binary", "hidden_files"):
+        monkeypatch.setattr(vault, name, lambda *_, **__: pytest.fail("listed on the driver"))
+    folder, root = vaults.write(tmp_path / "n", {"a.md": "one [[b]]\n", ".h/b.md": "two\n"}), str(tmp_path / "s")
+    assert [cli.main([*a, "--store", root], spark, vaults.Concepts) for a in (["init"], ["ingest", folder])] == [0, 0]
+    assert "total=2 ingested=2" in capsys.readouterr().out
+
+
 @pytest.fixture
 def stream(spark, tmp_path):
     """(folder, store, go): go writes files, lets a streaming query catch up, and returns the store's paths."""
@@ -244,6 +254,18 @@ def test_listing_of_hidden_files_asks_little_of_the_driver(spark, tmp_path, monk
     assert look() < few + 500
 
 
+def test_tasks_hold_files_of_a_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    from vaultmill.sources import vault
+
+    monkeypatch.setattr(vault, "PAGE", 3)
+    monkeypatch.setattr(vault, "BYTES", 10)
+    sizes = [4, 4, 4, 11, 0, 0, 0, 0, 2]
+    out = list(vault.paged(((b"x" * n,) for n in sizes), ["content"], [pa.binary()]))
+    assert [[len(c) for c in b.column(0).to_pylist()] for b in out] == [[4, 4], [4], [11], [0, 0, 0], [0, 2]]
+
+
 def test_stream_reads_many_files_with_the_folder(spark, stream, monkeypatch):
     """Batches too large to be named on the driver: no name of theirs comes there, and what was seen before is not read."""
     from vaultmill.streaming import ingest as module

@@ -1,20 +1,31 @@
-"""Scan of a folder of Markdown files."""
+"""Scan of a folder of Markdown files.
+
+Spark's readers of files list all of them on the driver and keep what they found there, so its memory grows with the
+vault. Folders of a file system that tasks can open themselves are therefore listed and read by tasks, and no file's
+name comes to the driver. Other file systems are left to Spark's reader.
+"""
 
 from __future__ import annotations
 
+import errno
+import os
 import re
 from collections.abc import Iterator
 from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("content", T.BinaryType())])
 LISTED = "uri string, path string, modified long, size long"
 CONTENT = "uri string, content binary"
 BATCH = 1000  # hidden files that are listed or read as one set
 TASKS = 8  # tasks for each core that read files, at most
+PAGE, BYTES = 10_000, 1 << 24  # names or files, and bytes of them, that a task holds at a time, but for one larger file
+ON_DISK = "uri binary, path string, modified long, size long"  # names of files are bytes there
 
 
 def root_of(spark: SparkSession, folder: str) -> str:
@@ -28,6 +39,101 @@ def exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def on_disk(spark: SparkSession, folder: str) -> str | None:
+    """The folder's full path, if it is in a file system that tasks open by themselves."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    scheme = path.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+    return root_of(spark, folder) or "/" if scheme == "file" else None
+
+
+def paged(rows: Iterator[tuple], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of bounded size."""
+    held: list[tuple] = []
+    total = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
+
+    for r in rows:
+        size = sum(len(x) for x in r if isinstance(x, bytes))
+        if held and (len(held) == PAGE or total + size > BYTES):
+            yield batch()
+            held, total = [], 0
+        held.append(r)
+        total += size
+    if held:
+        yield batch()
+
+
+def entries(folder: bytes) -> Iterator[tuple[os.DirEntry, bool]]:
+    """What is in a folder, and whether it is a folder itself. Nothing if it is gone."""
+    try:
+        with os.scandir(folder) as found:
+            for e in found:
+                try:
+                    yield e, e.is_dir()
+                except OSError as error:  # a link that leads to itself
+                    if error.errno != errno.ELOOP:
+                        raise
+    except (FileNotFoundError, NotADirectoryError):
+        return
+
+
+def folders(spark: SparkSession, root: str) -> DataFrame:
+    """(uri) of a folder and all below it, found level by level; each level is listed by tasks and stays with them."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from paged(((e.path,) for b in batches for at in b.column(0).to_pylist() for e, is_folder in entries(at) if is_folder), ["uri"], [pa.binary()])
+
+    out = level = spark.createDataFrame([(bytearray(root.encode()),)], "uri binary")
+    while True:
+        level = level.repartition(spark.sparkContext.defaultParallelism, "uri").mapInArrow(inner, "uri binary").localCheckpoint(storageLevel=StorageLevel.MEMORY_AND_DISK_2)
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+
+
+def named_by_tasks(spark: SparkSession, root: str, versions: bool = True) -> DataFrame:
+    """(uri, path, modified, size) of every *.md below a folder. Without versions the last two are null and no file is asked for."""
+    start = len(root.rstrip("/").encode()) + 1
+
+    def rows(folder: bytes) -> Iterator[tuple]:
+        for e, is_folder in entries(folder):
+            if is_folder or not e.name.endswith(b".md") or not e.is_file():
+                continue
+            path, modified, size = e.path[start:].decode("utf-8", "replace"), None, None
+            if versions:
+                try:
+                    s = e.stat()
+                except FileNotFoundError:
+                    continue
+                modified, size = s.st_mtime_ns // 1_000_000, s.st_size
+            yield e.path, path, modified, size
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from paged((r for b in batches for at in b.column(0).to_pylist() for r in rows(at)), ["uri", "path", "modified", "size"], [pa.binary(), pa.string(), pa.int64(), pa.int64()])
+
+    return folders(spark, root).repartition(spark.sparkContext.defaultParallelism, "uri").mapInArrow(found, ON_DISK)
+
+
+def read_by_tasks(named: DataFrame) -> DataFrame:
+    """(path, modified, size, content) of files named by ``named_by_tasks``. One that is gone since is left out."""
+
+    def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+        for at, *rest in zip(*(c.to_pylist() for c in b.columns)):
+            try:
+                with open(at, "rb") as f:
+                    yield *rest, f.read()
+            except FileNotFoundError:
+                continue
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from paged((r for b in batches for r in rows(b)), ["path", "modified", "size", "content"], [pa.string(), pa.int64(), pa.int64(), pa.binary()])
+
+    spread = named.select("uri", "path", "modified", "size").repartition(TASKS * named.sparkSession.sparkContext.defaultParallelism, "uri")
+    return spread.mapInArrow(read, "path string, modified long, size long, content binary")
+
+
 def unlike(suffix: str) -> str:
     """A pattern of the names that are hidden or do not have the suffix."""
     ends = [suffix[k:] for k in range(1, len(suffix))]
@@ -115,10 +221,13 @@ def literal(uri: str) -> str:
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content): every *.md below the folder, path relative to it; a missing folder is empty.
 
-    Files are listed and read by Spark's binary reader. Hidden ones, which it skips, are read apart.
+    Files are listed and read by tasks, where these can open them, else by Spark's binary reader; hidden ones, which
+    that skips, are then read apart.
     """
     if not exists(spark, folder):
         return spark.createDataFrame([], FILES)
+    if root := on_disk(spark, folder):
+        return read_by_tasks(named_by_tasks(spark, root, versions=False)).select("path", "content")
     raw = binary(spark, folder).select("uri", "content")
     for s in sets(hidden_files(spark, folder)):
         raw = raw.unionByName(read_hidden(spark, [uri for uri, *_ in s]))
