@@ -254,6 +254,9 @@ def test_listing_of_hidden_files_asks_little_of_the_driver(spark, tmp_path, monk
     assert look() < few + 500
 
 
+ODD = ["a.md", ".h/b.md", "_c.md", "s/.d.md", "x.md/e.md", "x.md/_g/f.md", "deep/er/and/deeper/g.md", "odd [1], {x}*.md", "Customer#1.md", "é.md", "50%.md"]
+
+
 def test_tasks_hold_files_of_a_bounded_size(monkeypatch):
     import pyarrow as pa
 
@@ -266,6 +269,25 @@ def test_tasks_hold_files_of_a_bounded_size(monkeypatch):
     assert [[len(c) for c in b.column(0).to_pylist()] for b in out] == [[4, 4], [4], [11], [0, 0, 0], [0, 2]]
 
 
+@pytest.mark.parametrize("by_tasks", [True, False])
+def test_files_by_tasks_are_those_of_the_reader(spark, stream, monkeypatch, by_tasks):
+    """Where tasks cannot open files themselves, Spark's reader finds the same ones."""
+    from vaultmill.sources import vault
+    from vaultmill.streaming import ingest as module
+
+    folder, store, go = stream
+    for m in (vault, module) if not by_tasks else ():
+        monkeypatch.setattr(m, "on_disk", lambda *_: None)
+    if by_tasks:
+        for name in ("binary", "hidden_files"):
+            monkeypatch.setattr(vault, name, lambda *_, **__: pytest.fail("listed on the driver"))
+    assert go(dict.fromkeys(ODD, "x\n")) == sorted(ODD)
+    segments = store.segments()
+    assert go({}) == sorted(ODD) and store.segments() == segments
+    assert go({"a.md": "edited\n"}) == sorted(ODD) and len(store.segments()) == len(segments) + 1
+    assert {r.path: bytes(r.content) for r in vault.scan(spark, str(folder)).collect()} == dict.fromkeys(ODD, b"x\n") | {"a.md": b"edited\n"}
+
+
 def test_stream_reads_many_files_with_the_folder(spark, stream, monkeypatch):
     """Batches too large to be named on the driver: no name of theirs comes there, and what was seen before is not read."""
     from vaultmill.streaming import ingest as module

@@ -238,6 +238,8 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     """(uri, path, modified, size) of the same files, without reading them."""
     if not exists(spark, folder):
         return spark.createDataFrame([], LISTED)
+    if root := on_disk(spark, folder):
+        return named_by_tasks(spark, root)
     out = binary(spark, folder).select("uri", relative("uri", root_of(spark, folder)).alias("path"), "modified", "size")
     for s in sets(hidden_files(spark, folder)):
         out = out.unionByName(spark.createDataFrame(s, LISTED))
@@ -259,8 +261,10 @@ def read_listed(spark: SparkSession, rows: list[tuple[str, str, int, int]]) -> D
 
 
 def read_among(spark: SparkSession, folder: str, named: DataFrame) -> DataFrame:
-    """The same for named(uri, path, modified, size) of any number, whose names do not come to the driver. Files
-    are read below the folder, those that were changed before or after all that are named left out."""
+    """The same for named(uri, path, modified, size) of any number, whose names do not come to the driver. Where tasks
+    cannot open them, files are read below the folder, those that were changed before or after all that are named left out."""
+    if on_disk(spark, folder):
+        return read_by_tasks(named)
     hidden = F.col("path").rlike(r"(^|/)[._]")
     span = named.where(~hidden).agg(F.min("modified"), F.max("modified")).first()
     content = spark.createDataFrame([], CONTENT)

@@ -26,7 +26,7 @@ from pyspark.storagelevel import StorageLevel
 from vaultmill.operators.embed import Embedder
 from vaultmill.plans.ingest import ingest_files
 from vaultmill.plans.store import Store
-from vaultmill.sources.vault import listing, read_among, read_listed
+from vaultmill.sources.vault import listing, on_disk, read_among, read_listed
 
 log = logging.getLogger(__name__)
 MOST, NAMED = 1000, 1000  # files of one ingest; of those that are read by their names
@@ -41,20 +41,24 @@ def due(files: DataFrame, store: Store, after: str = "", most: int = MOST) -> Da
 
 def catch_up(spark: SparkSession, folder: str, store: Store, make_embedder: Callable[[], Embedder], most: int = MOST) -> int:
     """Takes in whatever is new or edited, and returns how many files that were. Each listed file is tried
-    once; what changes meanwhile is for the next call. Up to ``NAMED`` files are read by their names, more of them
-    with the folder."""
-    files, done, after = listing(spark, folder), 0, ""
-    while True:
-        rows = due(files, store, after, most).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            n, last = rows.agg(F.count("*"), F.max("path")).first()
-            if not n:
-                return done
-            found = read_listed(spark, [tuple(r) for r in rows.collect()]) if n <= NAMED else read_among(spark, folder, rows)
-            ingest_files(found, store, make_embedder, whole_store_scope=True)
-            done, after = done + n, last
-        finally:
-            rows.unpersist()
+    once; what changes meanwhile is for the next call. Files that tasks cannot open by themselves are read by
+    their names, up to ``NAMED`` of them, more of them with the folder."""
+    files, done, after = listing(spark, folder).persist(StorageLevel.MEMORY_AND_DISK), 0, ""
+    by_tasks = on_disk(spark, folder) is not None
+    try:
+        while True:
+            rows = due(files, store, after, most).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                n, last = rows.agg(F.count("*"), F.max("path")).first()
+                if not n:
+                    return done
+                found = read_listed(spark, [tuple(r) for r in rows.collect()]) if n <= NAMED and not by_tasks else read_among(spark, folder, rows)
+                ingest_files(found, store, make_embedder, whole_store_scope=True)
+                done, after = done + n, last
+            finally:
+                rows.unpersist()
+    finally:
+        files.unpersist()
 
 
 def watch(spark: SparkSession, folder: str, store: Store, make_embedder: Callable[[], Embedder], checkpoint: str, *, once: bool = False, every: str = "10 seconds", most: int = MOST) -> StreamingQuery:
