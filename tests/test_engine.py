@@ -257,6 +257,40 @@ def test_listing_of_hidden_files_asks_little_of_the_driver(spark, tmp_path, monk
 ODD = ["a.md", ".h/b.md", "_c.md", "s/.d.md", "x.md/e.md", "x.md/_g/f.md", "deep/er/and/deeper/g.md", "odd [1], {x}*.md", "Customer#1.md", "é.md", "50%.md"]
 
 
+def test_scan_keeps_no_file_on_the_driver(spark, tmp_path):
+    """Neither the plan nor the driver has a name of a file; hidden and odd names, links, and folders whose name is a pattern are read."""
+    from vaultmill.sources.vault import listing, scan
+
+    top = tmp_path / "o [1] {x}"
+    folder = vaults.write(top, dict.fromkeys([*ODD, "no.txt", "x.md/no.MD"], "x") | {"empty.md": ""})
+    (top / "self.md").symlink_to("self.md")
+    (top / "none.md").symlink_to("nowhere")
+    (top / "link.md").symlink_to("a.md")
+    (tmp_path / "apart").mkdir()
+    (tmp_path / "apart" / "far.md").write_text("far")
+    (top / "linked").symlink_to(tmp_path / "apart")
+    with open(bytes(top) + b"/\xff.md", "wb") as f:
+        f.write(b"no name")
+    want = dict.fromkeys(ODD, b"x") | {"empty.md": b"", "link.md": b"x", "linked/far.md": b"far", "\ufffd.md": b"no name"}
+    for at in (folder, f"{folder}/", f"file:{folder}"):
+        found = scan(spark, at)
+        assert found.inputFiles() == []
+        assert {r.path: bytes(r.content) for r in found.collect()} == want and found.count() == len(want)
+    listed = listing(spark, folder)
+    assert listed.inputFiles() == []
+    there = top / "a.md"
+    assert {r.path: r.size for r in listed.collect()} == {p: len(c) for p, c in want.items()}
+    assert listed.where("path = 'a.md'").first()["modified"] == there.stat().st_mtime_ns // 1_000_000
+    assert scan(spark, f"{folder}/none").count() == 0 and scan(spark, f"{folder}/deep").first()["path"] == "er/and/deeper/g.md"
+
+
+def test_scan_files_has_no_file_in_its_plan(spark):
+    from vaultmill import catalog
+
+    found = catalog.scan_files(spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() == [] and found.count() == catalog.notes(spark, "/root/testdata/sf0.001").count()
+
+
 def test_tasks_hold_files_of_a_bounded_size(monkeypatch):
     import pyarrow as pa
 
